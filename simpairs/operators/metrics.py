@@ -12,6 +12,7 @@ from typing import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numeric import rnd
 from .rank import _cols, _null_safe_join, rank_table
 
 
@@ -51,6 +52,7 @@ def correlations(
     group_cols: Iterable[str] = (),
     spearman: bool = True,
     digits: int | None = 6,
+    extra_aggs=(),
 ) -> DataFrame:
     """Per group: ``n``, ``pearson`` and (optionally) ``spearman`` of y, y_hat.
 
@@ -58,7 +60,7 @@ def correlations(
     """
     g = _cols(group_cols)
     d = df.where(F.col(y).isNotNull() & F.col(y_hat).isNotNull())
-    aggs = [F.count(F.lit(1)).alias("n"), pearson(y, y_hat).alias("pearson")]
+    aggs = [F.count(F.lit(1)).alias("n"), pearson(y, y_hat).alias("pearson"), *extra_aggs]
     if spearman:
         d = with_ranks(d, y, y_hat, g)
         aggs.append(pearson(F.col("rank2_y").cast("double"), F.col("rank2_p").cast("double")).alias("spearman"))
@@ -66,7 +68,7 @@ def correlations(
     if digits is not None:
         for c in ("pearson", "spearman"):
             if c in out.columns:
-                out = out.withColumn(c, F.round(c, digits))
+                out = out.withColumn(c, rnd(c, digits))
     return out
 
 
@@ -101,7 +103,7 @@ def epoch_metrics(
     One query for all stages, instead of one accumulator per stage."""
     g = _cols(group_cols)
     corr = correlations(df, y, y_hat, g, spearman=True, digits=digits)
-    losses = mean_batch_loss(df, loss, batch_col, g).withColumn("avg_loss", F.round("avg_loss", digits))
+    losses = mean_batch_loss(df, loss, batch_col, g).withColumn("avg_loss", rnd("avg_loss", digits))
     return corr.join(losses, on=g, how="inner")
 
 

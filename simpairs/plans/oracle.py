@@ -9,6 +9,8 @@ form, the Spark plan is the scalable one.  Conventions: vectors cast to
 
 from __future__ import annotations
 
+from ..functions.numeric import rnd_sql
+
 # -- stand-in tables -------------------------------------------------------
 
 VEC_PAIRS = """
@@ -45,12 +47,146 @@ WITH {VEC_PAIRS},
 c AS (SELECT label_a AS label, score, {cos_sql('u', 'v')} AS cos FROM vec_pairs),
 r AS (SELECT *, {rank2_sql('score', 'label')}::DOUBLE AS ry, {rank2_sql('cos', 'label')}::DOUBLE AS rp FROM c)
 SELECT label, count(*) AS n,
-       round(avg(pow(cos - score, 2)), 6) AS mse,
-       round({pearson_sql('score', 'cos')}, 6) AS pearson,
-       round({pearson_sql('ry', 'rp')}, 6) AS spearman
+       {rnd_sql('avg(pow(cos - score, 2))')} AS mse,
+       {rnd_sql(pearson_sql('score', 'cos'))} AS pearson,
+       {rnd_sql(pearson_sql('ry', 'rp'))} AS spearman
 FROM r GROUP BY label
 """
 
 ORACLES = {
     "sts_eval": STS_EVAL,
 }
+
+
+# -- helpers -----------------------------------------------------------------
+
+from ..functions.numeric import fixed4_sql, rnd_sql as r6  # noqa: E402
+
+
+def md5_sql(*parts: str) -> str:
+    return "md5(concat_ws('|', " + ", ".join(f"({p})::VARCHAR" for p in parts) + "))"
+
+
+def unit_sql(*parts: str) -> str:
+    return f"(('0x' || substr({md5_sql(*parts)}, 1, 8))::UBIGINT / 4294967296.0::DOUBLE)"
+
+
+def text_pairs_sql(name: str, modulus: int) -> str:
+    return f"""{name} AS (
+  SELECT a.doc_id AS pair_id, (a.n_chars % {modulus})::DOUBLE AS score, a.text AS text1, b.text AS text2
+  FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1)"""
+
+
+TURN_PAIRS = """turn_pairs AS (
+  SELECT a.conv_id * 1000000 + a.turn AS pair_id, a.conv_id, a.turn, a.text AS text1, b.text AS text2
+  FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1)"""
+
+
+def strata_sql(name: str, width: int) -> str:
+    return f"{name} AS (SELECT doc_id, n_chars // {width} AS skey FROM documents)"
+
+
+def split_sql(name: str, src: str, id_col: str, key: str, test_size: float, seed: str, first: str, second: str) -> str:
+    """CTEs ending in ``name``: every row of ``src`` with a ``part`` column."""
+    return f"""{name}_cls AS (SELECT {key} AS k, count(*) AS nc FROM {src} GROUP BY {key}),
+{name}_tot AS (
+  SELECT n, ceil({float(test_size)!r}::DOUBLE * n)::BIGINT AS ntest, n - ceil({float(test_size)!r}::DOUBLE * n)::BIGINT AS ntrain
+  FROM (SELECT coalesce(sum(nc) FILTER (WHERE nc > 1), 0)::BIGINT AS n FROM {name}_cls)),
+{name}_q AS (
+  SELECT k, nc = 1 AS rare, ntrain,
+         CASE WHEN nc = 1 THEN 0 ELSE (nc::HUGEINT * ntrain) // n END::BIGINT AS fl,
+         CASE WHEN nc = 1 THEN -1 ELSE (nc::HUGEINT * ntrain) % n END::BIGINT AS rem
+  FROM {name}_cls, {name}_tot),
+{name}_q2 AS (
+  SELECT *, row_number() OVER (ORDER BY -rem, {md5_sql(repr(seed), 'k')}) AS rpos, sum(fl) OVER () AS sf FROM {name}_q),
+{name}_q3 AS (
+  SELECT k, rare, fl + CASE WHEN NOT rare AND rpos <= ntrain - sf THEN 1 ELSE 0 END AS quota FROM {name}_q2),
+{name}_r AS (
+  SELECT s.*, row_number() OVER (PARTITION BY s.{key} ORDER BY {md5_sql(repr(seed), 's.' + id_col)}, s.{id_col}) AS kpos
+  FROM {src} s),
+{name} AS (
+  SELECT r.* EXCLUDE (kpos), CASE WHEN NOT q.rare AND r.kpos <= q.quota THEN '{first}' ELSE '{second}' END AS part
+  FROM {name}_r r JOIN {name}_q3 q ON r.{key} IS NOT DISTINCT FROM q.k)"""
+
+
+def perm_sql(src: str, id_col: str, seed: str, salt: str) -> str:
+    return f"row_number() OVER (ORDER BY {md5_sql(repr(seed), repr(salt), id_col)}, {id_col})"
+
+
+def negatives_sql(src: str, seed: str = "42") -> str:
+    return f"""rec AS (SELECT *, {perm_sql(src, 'pair_id', seed, 'a')} AS ra,
+                1 + (('0x' || substr({md5_sql(repr(seed), "'c'", 'pair_id')}, 1, 8))::UBIGINT % 2)::INTEGER AS side FROM {src}),
+don AS (SELECT pair_id AS donor_id, text1 AS d1, text2 AS d2, {perm_sql(src, 'pair_id', seed, 'b')} AS rb FROM {src}),
+neg AS (SELECT rec.*, don.donor_id, CASE WHEN side = 1 THEN d1 ELSE d2 END AS sentence3 FROM rec JOIN don ON ra = rb)"""
+
+
+# -- queries -------------------------------------------------------------------
+
+ORACLES.update({
+    "score_normalise": f"""
+WITH {text_pairs_sql('ro', 6)}, {text_pairs_sql('bib', 101)}
+SELECT 'ro-sts' AS dataset, pair_id, text1 AS sentence1, text2 AS sentence2, NULL::VARCHAR AS sentence3,
+       {r6('score / 5.0::DOUBLE')} AS sim FROM ro
+UNION ALL
+SELECT 'biblical_01', pair_id, text1, text2, NULL::VARCHAR, {r6('score / 100.0::DOUBLE')} FROM bib
+""",
+    "split_chain": f"""
+WITH {strata_sql('st', 50)},
+{split_sql('s1', 'st', 'doc_id', 'skey', 0.1, '42-1', 'discard', 'keep')},
+k1 AS (SELECT doc_id, skey FROM s1 WHERE part = 'keep'),
+{split_sql('s2', 'k1', 'doc_id', 'skey', 0.3, '42-2', 'train', 'temp')},
+k2 AS (SELECT doc_id, skey FROM s2 WHERE part = 'temp'),
+{split_sql('s3', 'k2', 'doc_id', 'skey', 0.5, '42-3', 'dev', 'test')}
+SELECT doc_id, skey, part FROM s1 WHERE part = 'discard'
+UNION ALL SELECT doc_id, skey, part FROM s2 WHERE part = 'train'
+UNION ALL SELECT doc_id, skey, part FROM s3
+""",
+    "stratified_split": f"""
+WITH {strata_sql('st', 1)},
+{split_sql('s1', 'st', 'doc_id', 'skey', 0.3, '42', 'train', 'test')}
+SELECT doc_id, skey, part FROM s1
+""",
+    "key_semi_anti": f"""
+WITH {strata_sql('st', 50)},
+c AS (SELECT skey, count(*) AS n FROM st GROUP BY skey)
+SELECT st.doc_id, st.skey, CASE WHEN c.n = 1 THEN 'rare' ELSE 'common' END AS kind
+FROM st JOIN c ON st.skey IS NOT DISTINCT FROM c.skey
+""",
+    "negatives_pair": f"""
+WITH {text_pairs_sql('tp', 6)}, {negatives_sql('tp')}
+SELECT pair_id, donor_id, side, text1 AS sentence1, text2 AS sentence2, sentence3, {r6('score / 5.0::DOUBLE')} AS sim FROM neg
+""",
+    "negatives_triplet": f"""
+WITH {TURN_PAIRS}, {negatives_sql('turn_pairs')}
+SELECT pair_id, donor_id, side, text1 AS sentence1, text2 AS sentence2, sentence3 FROM neg
+""",
+    "batches": f"""
+WITH d AS (SELECT doc_id FROM documents),
+s0 AS (SELECT doc_id, row_number() OVER (ORDER BY {md5_sql("'42'", '0', 'doc_id')}, doc_id) AS p FROM d),
+s1 AS (SELECT doc_id, row_number() OVER (ORDER BY {md5_sql("'42'", '1', 'doc_id')}, doc_id) AS p FROM d),
+sq AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS p FROM d)
+SELECT 'shuffled-0' AS kind, doc_id, (p - 1) // 16 AS batch_id, (p - 1) % 16 AS batch_idx FROM s0
+UNION ALL SELECT 'shuffled-1', doc_id, (p - 1) // 16, (p - 1) % 16 FROM s1
+UNION ALL SELECT 'sequential', doc_id, (p - 1) // 16, (p - 1) % 16 FROM sq
+""",
+    "row_lookup": """
+SELECT row_number() OVER (ORDER BY doc_id) - 1 AS position, doc_id, lang, n_chars FROM documents
+""",
+    "pearson_by_stage": f"""
+SELECT l_returnflag AS stage, count(*) AS n, {r6(pearson_sql('l_quantity', 'l_extendedprice'))} AS pearson
+FROM lineitem GROUP BY l_returnflag
+""",
+    "spearman_by_stage": f"""
+WITH r AS (SELECT l_returnflag AS stage,
+   {rank2_sql('l_quantity', 'l_returnflag')}::DOUBLE AS ry,
+   {rank2_sql('l_extendedprice', 'l_returnflag')}::DOUBLE AS rp FROM lineitem)
+SELECT stage, count(*) AS n, {r6(pearson_sql('ry', 'rp'))} AS spearman FROM r GROUP BY stage
+""",
+    "mean_batch_loss": f"""
+WITH p AS (SELECT l_returnflag AS stage, l_orderkey // 64 AS batch_id,
+                  pow(l_extendedprice / 105000.0::DOUBLE - l_quantity / 50.0::DOUBLE, 2) AS loss FROM lineitem),
+b AS (SELECT stage, batch_id, avg(loss) AS bl FROM p GROUP BY stage, batch_id)
+SELECT stage, count(*) AS n_batches, {r6('avg(bl)')} AS avg_loss FROM b GROUP BY stage
+""",
+})
+ORACLES["split_counts"] = "WITH x AS (" + ORACLES["split_chain"] + ") SELECT part, count(*) AS n FROM x GROUP BY part"

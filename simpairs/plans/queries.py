@@ -11,8 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fixtures as fx
+from ..functions.numeric import rnd
 from ..functions.vectors import cosine
-from ..operators.metrics import correlations
+from ..operators.batching import sequential_batches, shuffled_batches
+from ..operators.metrics import correlations, mean_batch_loss
+from ..operators.negatives import draw_negatives
+from ..operators.split import keep_keys, rare_keys, split_chain, stratified_split
+from ..session import checkpoint_root
+from ..sources.pairs import normalise_scores, to_instances, with_positions
 
 R = 6  # digits kept on every double output
 
@@ -22,11 +28,140 @@ def sts_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = fx.vec_pairs(spark, sf_dir).select(
         F.col("label_a").alias("label"), "score", cosine("u", "v").alias("cos")
     )
-    corr = correlations(p, "score", "cos", ["label"], spearman=True, digits=R)
-    mse = p.groupBy("label").agg(F.round(F.avg(F.pow(F.col("cos") - F.col("score"), 2)), R).alias("mse"))
-    return corr.join(mse, "label").select("label", "n", "mse", "pearson", "spearman")
+    corr = correlations(p, "score", "cos", ["label"], spearman=True, digits=None,
+                        extra_aggs=[F.avg(F.pow(F.col("cos") - F.col("score"), 2)).alias("mse")])
+    return corr.select("label", "n", rnd("mse").alias("mse"), rnd("pearson").alias("pearson"), rnd("spearman").alias("spearman"))
 
 
 QUERIES = {
     "sts_eval": sts_eval,
 }
+
+
+# -- helpers ----------------------------------------------------------------
+
+def _materialize(spark: SparkSession):
+    """Cut lineage with a reliable checkpoint in the session's shared folder."""
+    checkpoint_root(spark)
+    return lambda d: d.checkpoint(eager=True)
+
+
+# -- B1 B2 B4 B5 B6 ---------------------------------------------------------
+
+def score_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """0..5 and 0..100 scores to [0, 1], projected to instance records."""
+    ro = normalise_scores(fx.text_pairs(spark, sf_dir, 6), "ro-sts")
+    bib = normalise_scores(fx.text_pairs(spark, sf_dir, 101), "biblical_01")
+    parts = [
+        to_instances(d, keep=["pair_id"]).withColumn("dataset", F.lit(name))
+        for name, d in (("ro-sts", ro), ("biblical_01", bib))
+    ]
+    out = parts[0].unionByName(parts[1])
+    return out.select("dataset", "pair_id", "sentence1", "sentence2", "sentence3", rnd("sim").alias("sim"))
+
+
+# -- A16 D1 E2 / E1 E2 H2 ------------------------------------------------------
+
+def split_chain_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = fx.strata(spark, sf_dir, 50)
+    return split_chain(s, "doc_id", "skey", seed="42", materialize=_materialize(spark)).select("doc_id", "skey", "part")
+
+
+def split_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Row counts per split of the three-step chain, one pass for all splits."""
+    return split_chain_q(spark, sf_dir).groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+
+
+def stratified_split_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rare-safe stratified split of the hard key (n_chars), test size 0.3."""
+    s = fx.strata(spark, sf_dir, 1)
+    return stratified_split(s, "doc_id", "skey", 0.3, seed="42").select("doc_id", "skey", "part")
+
+
+# -- B7 D2 --------------------------------------------------------------------
+
+def key_semi_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = fx.strata(spark, sf_dir, 50)
+    rare = rare_keys(s, "skey")
+    a = keep_keys(s, rare, "skey", keep=True).withColumn("kind", F.lit("rare"))
+    b = keep_keys(s, rare, "skey", keep=False).withColumn("kind", F.lit("common"))
+    return a.unionByName(b).select("doc_id", "skey", "kind")
+
+
+# -- C1 E3 --------------------------------------------------------------------
+
+def negatives_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tp = normalise_scores(fx.text_pairs(spark, sf_dir, 6), "ro-sts")
+    n = draw_negatives(tp, "pair_id", ("text1", "text2"), seed="42")
+    return n.select(
+        "pair_id", "donor_id", "side",
+        F.col("text1").alias("sentence1"), F.col("text2").alias("sentence2"), "sentence3",
+        rnd("score").alias("sim"),
+    )
+
+
+def negatives_triplet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tp = fx.turn_pairs(spark, sf_dir)
+    n = draw_negatives(tp, "pair_id", ("text1", "text2"), seed="42")
+    return n.select(
+        "pair_id", "donor_id", "side",
+        F.col("text1").alias("sentence1"), F.col("text2").alias("sentence2"), "sentence3",
+    )
+
+
+# -- E4 E5 --------------------------------------------------------------------
+
+def batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shuffled batches of 16 for epochs 0 and 1, and sequential batches."""
+    d = fx.read(spark, sf_dir, "documents").select("doc_id")
+    parts = [
+        shuffled_batches(d, "doc_id", 16, seed="42", epoch=e).withColumn("kind", F.lit(f"shuffled-{e}"))
+        for e in (0, 1)
+    ]
+    parts.append(sequential_batches(d, "doc_id", 16).withColumn("kind", F.lit("sequential")))
+    out = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return out.select("kind", "doc_id", "batch_id", "batch_idx")
+
+
+# -- B21 ----------------------------------------------------------------------
+
+def row_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Position of every document in id order; ``row_at`` filters on it."""
+    d = fx.read(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
+    return with_positions(d, "doc_id").select("position", "doc_id", "lang", "n_chars")
+
+
+# -- D3 D4 D21 D5 -------------------------------------------------------------
+
+def pearson_by_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = fx.predictions(spark, sf_dir)
+    return correlations(p, "y", "y_hat", ["stage"], spearman=False, digits=R).select("stage", "n", "pearson")
+
+
+def spearman_by_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = fx.predictions(spark, sf_dir)
+    return correlations(p, "y", "y_hat", ["stage"], spearman=True, digits=R).select("stage", "n", "spearman")
+
+
+def mean_batch_loss_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean of per-batch squared errors on scores scaled to [0, 1]."""
+    p = fx.predictions(spark, sf_dir)
+    loss = F.pow(F.col("y_hat") / F.lit(105000.0) - F.col("y") / F.lit(50.0), 2)
+    out = mean_batch_loss(p, loss, "batch_id", ["stage"])
+    return out.select("stage", "n_batches", rnd("avg_loss").alias("avg_loss"))
+
+
+QUERIES.update({
+    "score_normalise": score_normalise,
+    "split_counts": split_counts,
+    "split_chain": split_chain_q,
+    "stratified_split": stratified_split_q,
+    "key_semi_anti": key_semi_anti,
+    "negatives_pair": negatives_pair,
+    "negatives_triplet": negatives_triplet,
+    "batches": batches,
+    "row_lookup": row_lookup,
+    "pearson_by_stage": pearson_by_stage,
+    "spearman_by_stage": spearman_by_stage,
+    "mean_batch_loss": mean_batch_loss_q,
+})
