@@ -74,19 +74,19 @@ def ranking_loss(df: DataFrame, score: str, label: str, batch_col: str = "batch_
     ``(M - m) + ln(exp(-(M - m)) + S)``; no ordered pair gives 0.
     """
     wb = Window.partitionBy(batch_col)
-    d = df.withColumn("_M", F.max(score).over(wb)).withColumn("_m", F.min(score).over(wb))
+    d = df.withColumn("_smax", F.max(score).over(wb)).withColumn("_smin", F.min(score).over(wb))
     per_label = d.groupBy(batch_col, label).agg(
-        F.sum(F.exp(F.col(score) - F.col("_M"))).alias("_P"),
-        F.sum(F.exp(F.col("_m") - F.col(score))).alias("_N"),
-        F.first("_M").alias("_M"),
-        F.first("_m").alias("_m"),
+        F.sum(F.exp(F.col(score) - F.col("_smax"))).alias("_P"),
+        F.sum(F.exp(F.col("_smin") - F.col(score))).alias("_N"),
+        F.first("_smax").alias("_smax"),
+        F.first("_smin").alias("_smin"),
     )
     wl = Window.partitionBy(batch_col).orderBy(label).rowsBetween(Window.unboundedPreceding, -1)
     per_label = per_label.withColumn("_lower", F.coalesce(F.sum("_P").over(wl), F.lit(0.0)))
     agg = per_label.groupBy(batch_col).agg(
-        F.sum(F.col("_N") * F.col("_lower")).alias("_S"), F.first("_M").alias("_M"), F.first("_m").alias("_m")
+        F.sum(F.col("_N") * F.col("_lower")).alias("_S"), F.first("_smax").alias("_smax"), F.first("_smin").alias("_smin")
     )
-    span = F.col("_M") - F.col("_m")
+    span = F.col("_smax") - F.col("_smin")
     return agg.select(batch_col, (span + F.log(F.exp(-span) + F.col("_S"))).alias("loss"))
 
 

@@ -190,3 +190,114 @@ SELECT stage, count(*) AS n_batches, {r6('avg(bl)')} AS avg_loss FROM b GROUP BY
 """,
 })
 ORACLES["split_counts"] = "WITH x AS (" + ORACLES["split_chain"] + ") SELECT part, count(*) AS n FROM x GROUP BY part"
+
+
+# -- vector losses ----------------------------------------------------------------
+
+def nrm(x: str) -> str:
+    return f"sqrt(list_dot_product({x}, {x}))"
+
+
+def ncos_sql(u: str, v: str) -> str:
+    """Cosine of the L2-normalised vectors (eps 1e-12)."""
+    return f"(list_dot_product({u}, {v}) / (greatest({nrm(u)}, 1e-12) * greatest({nrm(v)}, 1e-12)))"
+
+
+def angle_sql(u: str, v: str, tau: float = 20.0) -> str:
+    a, b = f"list_slice({u}, 1, len({u}) // 2)", f"list_slice({u}, len({u}) // 2 + 1, len({u}))"
+    c, d = f"list_slice({v}, 1, len({v}) // 2)", f"list_slice({v}, len({v}) // 2 + 1, len({v}))"
+    num = f"(list_dot_product({a}, {c}) + list_dot_product({b}, {d}) + list_dot_product({b}, {c}) - list_dot_product({a}, {d}))"
+    return f"({tau}::DOUBLE * abs({num} / ({nrm(u)} * {nrm(v)})))"
+
+
+def dist_sql(u: str, v: str) -> str:
+    return f"sqrt(list_sum(list_transform(generate_series(1, len({u})), lambda i: pow({u}[i] - {v}[i] + 1e-6::DOUBLE, 2))))"
+
+
+def ranking_ctes(score_expr: str, name: str = "rk") -> str:
+    """Theta-join form of the ranking loss per batch, unrounded, as CTEs
+    ending in ``name(batch_id, loss)``; needs ``vec_pairs``."""
+    return f"""{name}_c AS (SELECT batch_id, score, {score_expr} AS s FROM vec_pairs),
+{name}_b AS (SELECT DISTINCT batch_id FROM {name}_c),
+{name}_t AS (SELECT a.batch_id, sum(exp(a.s - z.s)) AS e FROM {name}_c a JOIN {name}_c z
+             ON a.batch_id = z.batch_id AND a.score < z.score GROUP BY a.batch_id),
+{name} AS (SELECT b.batch_id, ln(1 + coalesce(t.e, 0)) AS loss FROM {name}_b b LEFT JOIN {name}_t t ON b.batch_id = t.batch_id)"""
+
+
+def ranking_sql(score_expr: str) -> str:
+    return f"WITH {VEC_PAIRS}, {ranking_ctes(score_expr)} SELECT batch_id, {r6('loss')} AS loss FROM rk"
+
+
+IN_BATCH = f"""{VEC_PAIRS},
+z AS (SELECT batch_id, pair_id, 1 AS side, u AS x, score FROM vec_pairs
+      UNION ALL SELECT batch_id, pair_id, 2 AS side, v AS x, score FROM vec_pairs),
+zn AS (SELECT *, list_transform(x, lambda e: e / greatest({nrm('x')}, 1e-12)) AS xn FROM z),
+pr AS (SELECT a.batch_id, a.pair_id, a.side, a.score, 20.0::DOUBLE * list_dot_product(a.xn, b.xn) AS logit,
+              a.pair_id = b.pair_id AS is_partner, list_dot_product(a.xn, b.xn) AS sim
+       FROM zn a JOIN zn b ON a.batch_id = b.batch_id AND NOT (a.pair_id = b.pair_id AND a.side = b.side)),
+mx AS (SELECT batch_id, pair_id, side, max(logit) AS m FROM pr GROUP BY ALL),
+rows AS (SELECT pr.batch_id, pr.pair_id, pr.side, any_value(pr.score) AS score,
+                mx.m + ln(sum(exp(pr.logit - mx.m))) AS lse, max(pr.sim) FILTER (WHERE pr.is_partner) AS partner_sim
+         FROM pr JOIN mx USING (batch_id, pair_id, side) GROUP BY pr.batch_id, pr.pair_id, pr.side, mx.m),
+ce AS (SELECT *, CASE WHEN floor(score) = 1 THEN lse - 20.0::DOUBLE * partner_sim ELSE 0.0::DOUBLE END AS ce FROM rows)"""
+
+
+def vec_negatives_sql(seed: str = "42") -> str:
+    return f"""rec AS (SELECT *, {perm_sql('vec_pairs', 'pair_id', seed, 'a')} AS ra,
+                1 + (('0x' || substr({md5_sql(repr(seed), "'c'", 'pair_id')}, 1, 8))::UBIGINT % 2)::INTEGER AS side FROM vec_pairs),
+don AS (SELECT u AS du, v AS dv, {perm_sql('vec_pairs', 'pair_id', seed, 'b')} AS rb FROM vec_pairs),
+neg AS (SELECT rec.*, CASE WHEN side = 1 THEN du ELSE dv END AS w FROM rec JOIN don ON ra = rb)"""
+
+
+ORACLES.update({
+    "theta_pairs": f"""
+WITH {VEC_PAIRS}
+SELECT l.batch_id, l.pair_id,
+       count(*) FILTER (WHERE r.score < l.score) AS n_lower,
+       count(*) FILTER (WHERE r.score > l.score) AS n_higher
+FROM vec_pairs l JOIN vec_pairs r ON l.batch_id = r.batch_id
+GROUP BY l.batch_id, l.pair_id
+""",
+    "inbatch_similarity": f"""
+WITH {IN_BATCH}
+SELECT batch_id, pair_id, side, {r6('lse')} AS lse, {r6('partner_sim')} AS partner_sim, {r6('ce')} AS ce FROM ce
+""",
+    "inbatch_loss": f"""
+WITH {IN_BATCH}
+SELECT batch_id, {r6('avg(ce)')} AS loss FROM ce GROUP BY batch_id
+""",
+    "cosent_loss": ranking_sql(f"20.0::DOUBLE * {ncos_sql('u', 'v')}"),
+    "angle_loss": ranking_sql(angle_sql("u", "v")),
+    "pair_loss": f"""
+WITH {VEC_PAIRS}, {vec_negatives_sql()},
+c AS (SELECT batch_id, score, {cos_sql('u', 'v')} AS cos12, {cos_sql('u', 'w')} AS cos13 FROM neg),
+b AS (SELECT batch_id, avg(pow(cos12 - score, 2)) AS ls, avg(pow(cos13, 2)) AS ld FROM c GROUP BY batch_id)
+SELECT batch_id, {r6('ls')} AS loss_similar, {r6('ld')} AS loss_dissimilar, {r6('ls + ld')} AS loss FROM b
+""",
+    "triplet_eval": f"""
+WITH {VEC_PAIRS}, {vec_negatives_sql()},
+t AS (SELECT batch_id, {dist_sql('u', 'v')} AS d_ap, {dist_sql('u', 'w')} AS d_an FROM neg)
+SELECT batch_id, count(*) AS n, {r6('avg(greatest(0.0::DOUBLE, d_ap - d_an + 1.0::DOUBLE))')} AS loss,
+       {r6('avg(CASE WHEN d_ap < d_an THEN 1.0 ELSE 0.0 END::DOUBLE)')} AS accuracy
+FROM t GROUP BY batch_id
+""",
+    "mean_pool": f"""
+WITH tok AS (SELECT label AS sent_id, label // 5 AS batch_id, embedding::DOUBLE[] AS vec FROM embeddings),
+ex AS (SELECT sent_id, batch_id, generate_subscripts(vec, 1) - 1 AS dim, unnest(vec) AS x FROM tok),
+s AS (SELECT sent_id, batch_id, dim, sum(x) AS sx, count(*) AS n FROM ex GROUP BY ALL),
+pl AS (SELECT batch_id, max(n) AS pad_len FROM s GROUP BY batch_id),
+pooled AS (SELECT s.sent_id, s.dim, s.sx / pl.pad_len AS value FROM s JOIN pl USING (batch_id)),
+w AS (SELECT i.i AS i, j.j AS j, ((7 * i.i + 13 * j.j) % 11 - 5) / 10.0::DOUBLE AS w
+      FROM range(64) i(i), range(16) j(j)),
+ro AS (SELECT p.sent_id, w.j AS dim, sum(w.w * p.value) AS value FROM pooled p JOIN w ON p.dim = w.i GROUP BY ALL),
+rn AS (SELECT sent_id, dim, value / greatest(sqrt(sum(value * value) OVER (PARTITION BY sent_id)), 1e-12) AS value FROM ro)
+SELECT 'pooled' AS kind, sent_id AS label, dim::BIGINT AS dim, {r6('value')} AS value FROM pooled
+UNION ALL SELECT 'readout', sent_id, dim::BIGINT, {r6('value')} FROM rn
+""",
+})
+ORACLES["combined_loss"] = f"""
+WITH {IN_BATCH},
+ib AS (SELECT batch_id, avg(ce) AS loss FROM ce GROUP BY batch_id),
+{ranking_ctes(angle_sql('u', 'v'), 'an')}
+SELECT ib.batch_id, {r6('20.0::DOUBLE * ib.loss + an.loss')} AS loss FROM ib JOIN an ON ib.batch_id = an.batch_id
+"""

@@ -7,12 +7,17 @@ are rounded to 6 digits so both engines compare equal.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import fixtures as fx
 from ..functions.numeric import rnd
-from ..functions.vectors import cosine
+from ..functions.vectors import as_double_array, cosine, l2_normalize
+from ..functions.pooling import linear_readout, mean_pool_tokens, readout_weights
+from ..operators.losses import (
+    angle_loss, combined_loss, cosent_loss, in_batch_loss, in_batch_rows,
+    pair_loss_per_batch, triplet_per_batch, triplet_terms,
+)
 from ..operators.batching import sequential_batches, shuffled_batches
 from ..operators.metrics import correlations, mean_batch_loss
 from ..operators.negatives import draw_negatives
@@ -165,3 +170,85 @@ QUERIES.update({
     "spearman_by_stage": spearman_by_stage,
     "mean_batch_loss": mean_batch_loss_q,
 })
+
+
+# -- C2 F7 C3 C4 E11 F3 D6-D14 F4-F10 D20 ----------------------------------------
+
+def theta_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per pair: how many pairs of its batch have a strictly lower / higher
+    score (the ordered-pair mask of the ranking losses), from ranks in the
+    batch instead of a self join."""
+    p = fx.vec_pairs(spark, sf_dir).select("batch_id", "pair_id", "score")
+    w_up = Window.partitionBy("batch_id").orderBy(F.col("score").asc())
+    w_dn = Window.partitionBy("batch_id").orderBy(F.col("score").desc())
+    return p.select(
+        "batch_id", "pair_id",
+        (F.rank().over(w_up) - 1).cast("bigint").alias("n_lower"),
+        (F.rank().over(w_dn) - 1).cast("bigint").alias("n_higher"),
+    )
+
+
+def inbatch_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = in_batch_rows(fx.vec_pairs(spark, sf_dir))
+    return rows.select("batch_id", "pair_id", "side", *[rnd(c).alias(c) for c in ("lse", "partner_sim", "ce")])
+
+
+def inbatch_loss_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return in_batch_loss(fx.vec_pairs(spark, sf_dir)).select("batch_id", rnd("loss").alias("loss"))
+
+
+def combined_loss_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return combined_loss(fx.vec_pairs(spark, sf_dir)).select("batch_id", rnd("loss").alias("loss"))
+
+
+def cosent_loss_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cosent_loss(fx.vec_pairs(spark, sf_dir), "u", "v", "score").select("batch_id", rnd("loss").alias("loss"))
+
+
+def angle_loss_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return angle_loss(fx.vec_pairs(spark, sf_dir), "u", "v", "score").select("batch_id", rnd("loss").alias("loss"))
+
+
+def pair_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``mse(cos(1,2), sim) + mse(cos(1,3), 0)`` per batch, sentence 3 drawn by C1."""
+    p = draw_negatives(fx.vec_pairs(spark, sf_dir), "pair_id", ("u", "v"), seed="42", out="w")
+    p = p.select("batch_id", "score", cosine("u", "v").alias("cos12"), cosine("u", "w").alias("cos13"))
+    out = pair_loss_per_batch(p, "cos12", "score", "cos13")
+    return out.select("batch_id", *[rnd(c).alias(c) for c in ("loss_similar", "loss_dissimilar", "loss")])
+
+
+def triplet_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anchor k, positive k + 1, negative by C1: margin loss and accuracy per batch."""
+    p = draw_negatives(fx.vec_pairs(spark, sf_dir), "pair_id", ("u", "v"), seed="42", out="w")
+    t = triplet_terms(p, "u", "v", "w", margin=1.0, p=2.0)
+    out = triplet_per_batch(t)
+    return out.select("batch_id", "n", rnd("loss").alias("loss"), rnd("accuracy").alias("accuracy"))
+
+
+def mean_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each label is a sentence whose tokens are its vectors (in id order);
+    labels are batched by ``label div 5`` and padded to the longest sentence
+    of the batch with zero vectors, which the mean counts (D20).  Then a
+    fixed linear readout (F9) and L2 normalisation (F2)."""
+    e = fx.read(spark, sf_dir, "embeddings").select(
+        F.col("label").alias("sent_id"), F.expr("label div 5").alias("batch_id"), as_double_array("embedding").alias("vec")
+    )
+    pooled = mean_pool_tokens(e, "sent_id", "batch_id", "vec", masked=False)
+    ro = pooled.withColumn("readout", linear_readout("pooled", readout_weights(64, 16)))
+    ro = ro.withColumn("normalized", l2_normalize("readout"))
+    a = pooled.select(F.lit("pooled").alias("kind"), "sent_id", F.posexplode("pooled").alias("dim", "value"))
+    b = ro.select(F.lit("readout").alias("kind"), "sent_id", F.posexplode("normalized").alias("dim", "value"))
+    return a.unionByName(b).select("kind", F.col("sent_id").alias("label"), F.col("dim").cast("bigint").alias("dim"), rnd("value").alias("value"))
+
+
+QUERIES.update({
+    "theta_pairs": theta_pairs,
+    "inbatch_similarity": inbatch_similarity,
+    "inbatch_loss": inbatch_loss_q,
+    "combined_loss": combined_loss_q,
+    "cosent_loss": cosent_loss_q,
+    "angle_loss": angle_loss_q,
+    "pair_loss": pair_loss,
+    "triplet_eval": triplet_eval,
+    "mean_pool": mean_pool,
+})
