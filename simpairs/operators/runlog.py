@@ -85,7 +85,7 @@ def split_name(metric: str | Column = "metric") -> tuple[Column, Column]:
 def py_text(c: Column, dtype: str) -> Column:
     """A value as Python's ``str()`` prints it; null as ``None``."""
     if dtype == "boolean":
-        t = F.when(c, F.lit("True")).otherwise(F.lit("False"))
+        t = F.when(c.isNull(), F.lit(None)).when(c, F.lit("True")).otherwise(F.lit("False"))
     elif dtype.startswith("array"):
         t = F.concat(F.lit("['"), F.array_join(c, "', '"), F.lit("']"))
     else:

@@ -23,6 +23,14 @@ PIVOT_LANGUAGES = ["en", "fr", "de", "es", "it"]
 EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 
 
+def epoch_micros(df: DataFrame, col: str):
+    """Microseconds since 1970 of a timestamp column, without time-zone
+    shifts for TIMESTAMP_NTZ (parquet timestamps that are not UTC-adjusted)."""
+    if dict(df.dtypes)[col] == "timestamp_ntz":
+        return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {col})")
+    return F.unix_micros(F.col(col))
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
@@ -102,7 +110,7 @@ def epoch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = ev.select(
         F.col("user_id").alias("run_id"),
         F.col("event_id").alias("step"),
-        F.unix_micros("ts").alias("_ts"),
+        epoch_micros(ev, "ts").alias("_ts"),
         F.concat(F.lit("dev/"), F.col("event_type")).alias("metric"),
         "value",
     )

@@ -301,3 +301,130 @@ ib AS (SELECT batch_id, avg(ce) AS loss FROM ce GROUP BY batch_id),
 {ranking_ctes(angle_sql('u', 'v'), 'an')}
 SELECT ib.batch_id, {r6('20.0::DOUBLE * ib.loss + an.loss')} AS loss FROM ib JOIN an ON ib.batch_id = an.batch_id
 """
+
+
+# -- run logs -------------------------------------------------------------------------
+
+DEFAULT_MODEL = "dumitrescustefan/bert-base-romanian-cased-v1"
+EPOCH_LOG = """el AS (SELECT user_id AS run_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS epoch,
+                    event_id AS step, 'dev/' || event_type AS metric, value FROM events)"""
+RUN_METRICS_LONG = """rml AS (SELECT user_id AS run_id, (CASE WHEN event_id % 2 = 0 THEN 'dev_' ELSE 'test_' END) || event_type AS metric,
+                      avg(value) AS value FROM events GROUP BY ALL)"""
+_TYPES = ["click", "error", "purchase", "signup", "view"]
+_METRICS = [f"{p}_{t}" for p in ("dev", "test") for t in _TYPES]
+RUN_METRICS_WIDE = "rm AS (SELECT user_id AS run_id, " + ", ".join(
+    f"avg(value) FILTER (WHERE event_id % 2 = {0 if p == 'dev' else 1} AND event_type = '{t}') AS {p}_{t}"
+    for p in ("dev", "test") for t in _TYPES) + " FROM events GROUP BY user_id)"
+RUN_CONFIG = """rc AS (SELECT d.doc_id AS run_id, d.lang AS model_name, d.source AS training_method,
+       (32 + 32 * l.quality)::BIGINT AS batch_size, (4 + 4 * l.toxic)::BIGINT AS accumulate_grad_batches,
+       (l.quality = 1) AS translate, (l.toxic = 1) AS negative,
+       CASE WHEN l.quality = 1 THEN ['ro-sts', 'biblical_01'] WHEN l.quality = 0 THEN ['biblical_01'] END AS tdn
+  FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
+
+
+def list_text(x: str) -> str:
+    return f"coalesce('[''' || array_to_string({x}, ''', ''') || ''']', 'None')"
+
+
+def bool_text(x: str) -> str:
+    return f"coalesce(CASE WHEN {x} THEN 'True' WHEN NOT {x} THEN 'False' END, 'None')"
+
+
+NAME_PAT = "'^(dev|test)[/_](.*)$'"
+
+ORACLES.update({
+    "config_overlay": f"""
+WITH {RUN_CONFIG}, {RUN_METRICS_WIDE},
+hist AS (SELECT user_id AS run_id, count(*) AS n_epochs FROM events GROUP BY user_id)
+SELECT rc.run_id, 1 AS gpus, coalesce(batch_size, 256) AS batch_size, coalesce(accumulate_grad_batches, 16) AS accumulate_grad_batches,
+       2e-05::DOUBLE AS lr, 512 AS model_max_length, 20 AS max_train_epochs,
+       coalesce(model_name, '{DEFAULT_MODEL}') AS model_name, coalesce(training_method, 'simple-train') AS training_method,
+       coalesce(translate, false) AS data_augmentation_translate_data, negative AS data_augmentation_negative_samples,
+       {list_text("coalesce(tdn, ['ro-sts'])")} AS train_dataset_name,
+       'ro-sts' AS dev_dataset_name, 'ro-sts' AS test_dataset_name, hist.n_epochs, {r6('rm.dev_click')} AS dev_click
+FROM rc LEFT JOIN hist ON rc.run_id = hist.run_id LEFT JOIN rm ON rc.run_id = rm.run_id
+""",
+    "log_tail_drop": f"""
+WITH {EPOCH_LOG}, m AS (SELECT run_id, max(epoch) AS last FROM el GROUP BY run_id)
+SELECT el.run_id, epoch, metric, {r6('value')} AS value FROM el JOIN m ON el.run_id = m.run_id
+WHERE epoch <= last - 2 AND value IS NOT NULL AND NOT isnan(value)
+""",
+    "labels_and_names": f"""
+WITH {RUN_METRICS_LONG}, {RUN_CONFIG},
+x AS (SELECT r.run_id, r.metric, r.value, rc.model_name, rc.translate,
+             nullif(regexp_extract(r.metric, {NAME_PAT}, 1), '') AS prefix,
+             nullif(regexp_extract(r.metric, {NAME_PAT}, 2), '') AS suffix
+      FROM rml r LEFT JOIN rc ON r.run_id = rc.run_id WHERE r.value IS NOT NULL)
+SELECT run_id, metric, prefix, suffix, replace(concat_ws('/', prefix, suffix), '/', '_') AS safe_name,
+       concat_ws('/', coalesce(model_name, 'None'), {bool_text('translate')}) AS label,
+       concat_ws(', ', 'model_name=' || coalesce(model_name, 'None'), 'data_augmentation_translate_data=' || {bool_text('translate')}) AS title,
+       {fixed4_sql('value')} AS value_text
+FROM x
+""",
+    "best_run_per_metric": f"""
+WITH {RUN_METRICS_LONG},
+a AS (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY value DESC, run_id) AS rmax,
+                row_number() OVER (PARTITION BY metric ORDER BY value ASC, run_id) AS rmin FROM rml WHERE value IS NOT NULL)
+SELECT metric, max(run_id) FILTER (WHERE rmax = 1) AS max_run, {r6('max(value) FILTER (WHERE rmax = 1)')} AS max_value,
+       max(run_id) FILTER (WHERE rmin = 1) AS min_run, {r6('max(value) FILTER (WHERE rmin = 1)')} AS min_value
+FROM a GROUP BY metric
+""",
+    "mean_over_repeats": f"""
+WITH {RUN_METRICS_WIDE}
+SELECT run_id // 10 AS config_id, count(*) AS n_repeats, {', '.join(f"{r6(f'avg({m})')} AS {m}" for m in _METRICS)}
+FROM rm GROUP BY run_id // 10
+""",
+    "best_epoch": f"""
+WITH {EPOCH_LOG},
+a AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY value DESC NULLS LAST, epoch) AS rb FROM el)
+SELECT run_id, count(*) AS n_epochs, max(epoch) FILTER (WHERE rb = 1) AS best_epoch, {r6('max(value) FILTER (WHERE rb = 1)')} AS best_value
+FROM a GROUP BY run_id
+""",
+    "early_stop": f"""
+WITH {EPOCH_LOG},
+a AS (SELECT *, max(value) OVER (PARTITION BY run_id ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM el),
+b AS (SELECT *, CASE WHEN value IS NOT NULL AND NOT isnan(value) AND (prev IS NULL OR value > prev) THEN epoch END AS imp FROM a),
+c AS (SELECT *, max(imp) OVER (PARTITION BY run_id ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last_imp FROM b),
+s AS (SELECT run_id, min(CASE WHEN epoch - coalesce(last_imp, -1) >= 4 AND epoch < 60 THEN epoch END) AS stop_epoch, max(epoch) AS last
+      FROM c GROUP BY run_id)
+SELECT run_id, stop_epoch, (stop_epoch IS NULL AND last + 1 >= 60) AS capped FROM s
+""",
+    "curves": f"""
+WITH {EPOCH_LOG}, m AS (SELECT run_id, max(epoch) AS last FROM el GROUP BY run_id),
+lg AS (SELECT el.* FROM el JOIN m ON el.run_id = m.run_id WHERE epoch <= last - 2 AND value IS NOT NULL AND NOT isnan(value)),
+s AS (SELECT *, nullif(regexp_extract(metric, {NAME_PAT}, 2), '') AS suffix FROM lg),
+fr AS (SELECT suffix, min(epoch) AS seen FROM s WHERE run_id = (SELECT min(run_id) FROM s) GROUP BY suffix),
+fo AS (SELECT suffix, row_number() OVER (ORDER BY seen, suffix) AS suffix_pos FROM fr),
+rc AS (SELECT doc_id AS run_id, lang AS model_name FROM documents)
+SELECT s.suffix, fo.suffix_pos, s.run_id, coalesce(rc.model_name, 'None') AS label,
+       row_number() OVER (PARTITION BY s.run_id, s.metric ORDER BY s.epoch) - 1 AS epoch, {r6('s.value')} AS value
+FROM s LEFT JOIN fo ON s.suffix = fo.suffix LEFT JOIN rc ON s.run_id = rc.run_id
+""",
+    "effective_batch": """
+SELECT r_name, (b.pos * 4 + a.pos)::BIGINT AS grid_pos, b.v AS batch_size, a.v AS accumulate_grad_batches,
+       b.v::BIGINT * a.v::BIGINT AS effective_batch
+FROM region, (VALUES (0, 16), (1, 32), (2, 64), (3, 256)) b(pos, v), (VALUES (0, 1), (1, 4), (2, 8), (3, 16)) a(pos, v)
+""",
+    "pad_symbol": """
+SELECT d.doc_id AS run_id,
+       coalesce(CASE WHEN l.quality = 1 THEN '[PAD]' END, CASE WHEN l.toxic = 0 THEN '[SEP]' END,
+                CASE WHEN l.quality IS NOT NULL THEN '</s>' END, NULL, '[CLS]') AS pad,
+       CASE WHEN l.quality = 1 THEN 'pad' WHEN l.toxic = 0 THEN 'sep' WHEN l.quality IS NOT NULL THEN 'eos' ELSE 'cls' END AS pad_source
+FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
+""",
+})
+
+_REPORT_RUNS = [12, 3, 7, 140, 0, 55, 99, 21, 8, 130, 64, 149]
+ORACLES["report_sorted"] = f"""
+WITH {RUN_METRICS_WIDE}, {RUN_CONFIG},
+cfg AS (SELECT run_id, coalesce(model_name, '{DEFAULT_MODEL}') AS model_name, coalesce(tdn, ['ro-sts']) AS tdn,
+               coalesce(translate, false) AS translate FROM rc),
+sel AS (SELECT * FROM (VALUES {', '.join(f'({i}, {r})' for i, r in enumerate(_REPORT_RUNS))}) t(sel_pos, run_id)),
+rep AS (SELECT s.sel_pos, c.run_id, c.model_name, c.tdn, c.translate, {', '.join('rm.' + m for m in _METRICS)}
+        FROM sel s JOIN cfg c ON s.run_id = c.run_id LEFT JOIN rm ON c.run_id = rm.run_id)
+SELECT sel_pos::BIGINT AS sel_pos,
+       row_number() OVER (ORDER BY model_name NULLS FIRST, tdn NULLS FIRST, translate NULLS FIRST, run_id) AS sort_pos,
+       run_id, model_name, {list_text('tdn')} AS train_dataset_name, translate AS data_augmentation_translate_data,
+       {', '.join(f"{r6(m)} AS {m}" for m in sorted(_METRICS))}
+FROM rep
+"""

@@ -22,6 +22,13 @@ from ..operators.batching import sequential_batches, shuffled_batches
 from ..operators.metrics import correlations, mean_batch_loss
 from ..operators.negatives import draw_negatives
 from ..operators.split import keep_keys, rare_keys, split_chain, stratified_split
+from ..operators.grid import effective_batch_size, expand_grid, mean_over_seeds, resolve_pad
+from ..operators.rank import value_rank
+from ..operators.runlog import (
+    DEFAULT_HPARAMS, arg_best, as_name_list, best_epoch, drop_tail, early_stop, label, overlay,
+    present_metrics, py_text, report, safe_name, select_runs, split_name, title, unpivot_metrics,
+)
+from ..functions.numeric import fixed4
 from ..session import checkpoint_root
 from ..sources.pairs import normalise_scores, to_instances, with_positions
 
@@ -252,3 +259,165 @@ QUERIES.update({
     "triplet_eval": triplet_eval,
     "mean_pool": mean_pool,
 })
+
+
+# -- run logs: B8-B20, C5-C7, D15-D19, E6-E10, I4, I5 ------------------------------
+
+RESULT_METRICS = [f"{p}_{t}" for p in ("dev", "test") for t in fx.EVENT_TYPES]
+
+
+def _history_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = fx.read(spark, sf_dir, "events").select("user_id")
+    return ev.groupBy(F.col("user_id").alias("run_id")).agg(F.count(F.lit(1)).alias("n_epochs"))
+
+
+def config_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logged hyper-parameters over defaults (B8, B9), joined with the run's
+    history length and one result by run id; both may be absent (C6)."""
+    cfg = overlay(fx.run_config(spark, sf_dir), DEFAULT_HPARAMS)
+    res = fx.run_metrics(spark, sf_dir).select("run_id", "dev_click")
+    j = cfg.join(_history_length(spark, sf_dir), "run_id", "left").join(res, "run_id", "left")
+    types = dict(j.dtypes)
+    return j.select(
+        "run_id", "gpus", "batch_size", "accumulate_grad_batches", "lr", "model_max_length", "max_train_epochs",
+        "model_name", "training_method", "data_augmentation_translate_data", "data_augmentation_negative_samples",
+        py_text(F.col("train_dataset_name"), types["train_dataset_name"]).alias("train_dataset_name"),
+        "dev_dataset_name", "test_dataset_name", "n_epochs", rnd("dev_click").alias("dev_click"),
+    )
+
+
+def log_tail_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drop the two trailing evaluation rows of every log, the bookkeeping
+    columns, and empty cells (B10-B13)."""
+    log = present_metrics(drop_tail(fx.epoch_log(spark, sf_dir), 2))
+    return log.select("run_id", "epoch", "metric", rnd("value").alias("value"))
+
+
+def labels_and_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metric names split into prefix and suffix (B15), safe file names
+    (B17), 4-decimal text (B18), curve labels and titles (B14)."""
+    long = present_metrics(unpivot_metrics(fx.run_metrics(spark, sf_dir), ["run_id"], RESULT_METRICS))
+    cfg = fx.run_config(spark, sf_dir).select("run_id", "model_name", "data_augmentation_translate_data")
+    j = long.join(cfg, "run_id", "left")
+    prefix, suffix = split_name("metric")
+    keys = ["model_name", "data_augmentation_translate_data"]
+    return j.select(
+        "run_id", "metric", prefix.alias("prefix"), suffix.alias("suffix"),
+        safe_name(F.concat_ws("/", prefix, suffix)).alias("safe_name"),
+        label(j, keys).alias("label"), title(j, keys).alias("title"),
+        fixed4("value").alias("value_text"),
+    )
+
+
+REPORT_RUNS = [12, 3, 7, 140, 0, 55, 99, 21, 8, 130, 64, 149]
+
+
+def report_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Report table for an explicit run list (C7): chosen hyper-parameters,
+    then the sorted metric columns (D16, D19), sorted by the
+    hyper-parameters with list cells compared element-wise (B16, E9)."""
+    long = unpivot_metrics(fx.run_metrics(spark, sf_dir), ["run_id"], RESULT_METRICS)
+    cfg = overlay(fx.run_config(spark, sf_dir), DEFAULT_HPARAMS)
+    cfg = cfg.withColumn("train_dataset_name", as_name_list(cfg, "train_dataset_name"))
+    hp = ["model_name", "train_dataset_name", "data_augmentation_translate_data"]
+    rep = select_runs(report(long, cfg, hp, RESULT_METRICS), REPORT_RUNS)
+    # The selection is bounded by the literal run list, so one window is fine.
+    w = Window.orderBy(*[F.col(k).asc_nulls_first() for k in hp], "run_id")
+    rep = rep.withColumn("sort_pos", F.row_number().over(w).cast("bigint")).withColumn("sel_pos", F.col("sel_pos").cast("bigint"))
+    types = dict(rep.dtypes)
+    return rep.select(
+        "sel_pos", "sort_pos", "run_id", "model_name",
+        py_text(F.col("train_dataset_name"), types["train_dataset_name"]).alias("train_dataset_name"),
+        "data_augmentation_translate_data",
+        *[rnd(m).alias(m) for m in sorted(RESULT_METRICS)],
+    )
+
+
+def best_run_per_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arg-max and arg-min run per metric, ties to the lowest run id."""
+    long = unpivot_metrics(fx.run_metrics(spark, sf_dir), ["run_id"], RESULT_METRICS)
+    b = arg_best(long)
+    return b.select("metric", "max_run", rnd("max_value").alias("max_value"), "min_run", rnd("min_value").alias("min_value"))
+
+
+def mean_over_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs repeated with ten seeds (config = run_id div 10, seed = run_id % 10),
+    averaged per configuration (D18, I5)."""
+    rm = fx.run_metrics(spark, sf_dir).withColumn("config_id", F.expr("run_id div 10"))
+    out = mean_over_seeds(rm, ["config_id"], RESULT_METRICS)
+    return out.select("config_id", "n_repeats", *[rnd(m).alias(m) for m in RESULT_METRICS])
+
+
+def best_epoch_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = best_epoch(fx.epoch_log(spark, sf_dir))
+    return b.select("run_id", "n_epochs", "best_epoch", rnd("best_value").alias("best_value"))
+
+
+def early_stop_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stop epoch with patience 4 (strict improvement) and an epoch cap of 60."""
+    return early_stop(fx.epoch_log(spark, sf_dir), patience=4, max_epochs=60).select("run_id", "stop_epoch", "capped")
+
+
+def curves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frame behind the metric plots (E10): per suffix (in first-seen order of
+    the first run, D17), run, label, epoch index in its series (E8), value."""
+    log = present_metrics(drop_tail(fx.epoch_log(spark, sf_dir), 2))
+    prefix, suffix = split_name("metric")
+    log = log.withColumn("suffix", suffix)
+    idx = value_rank(log, "epoch", group_cols=["run_id", "metric"], out="_p")
+    first_run = log.agg(F.min("run_id").alias("_r0"))
+    order = (
+        log.join(F.broadcast(first_run), log["run_id"] == first_run["_r0"])
+        .groupBy("suffix").agg(F.min("epoch").alias("_seen"))
+    )
+    order = value_rank(order, "_seen", tie_cols=["suffix"], out="suffix_pos")
+    cfg = fx.run_config(spark, sf_dir).select("run_id", "model_name")
+    j = idx.join(order.select("suffix", "suffix_pos"), "suffix", "left").join(cfg, "run_id", "left")
+    return j.select(
+        "suffix", "suffix_pos", "run_id", label(j, ["model_name"]).alias("label"),
+        (F.col("_p") - 1).alias("epoch"), rnd("value").alias("value"),
+    )
+
+
+# Fixed experiment grid of the effective-batch report.
+GRID = {"batch_size": [16, 32, 64, 256], "accumulate_grad_batches": [1, 4, 8, 16]}
+
+
+def effective_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grid product (C5) per region row (I4) with the effective batch."""
+    reg = fx.read(spark, sf_dir, "region").select("r_name")
+    g = expand_grid(reg, GRID)
+    return g.select(
+        "r_name", "grid_pos", "batch_size", "accumulate_grad_batches",
+        effective_batch_size("batch_size", "accumulate_grad_batches").alias("effective_batch"),
+    )
+
+
+def pad_symbol(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First present of pad, sep, eos, bos, cls per run."""
+    rc = fx.read(spark, sf_dir, "documents").select("doc_id").join(
+        fx.read(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"), "doc_id", "left")
+    tokens = rc.select(
+        F.col("doc_id").alias("run_id"),
+        F.when(F.col("quality") == 1, F.lit("[PAD]")).alias("pad_token"),
+        F.when(F.col("toxic") == 0, F.lit("[SEP]")).alias("sep_token"),
+        F.when(F.col("quality").isNotNull(), F.lit("</s>")).alias("eos_token"),
+        F.lit(None).cast("string").alias("bos_token"),
+        F.lit("[CLS]").alias("cls_token"),
+    )
+    return resolve_pad(tokens).select("run_id", "pad", "pad_source")
+
+
+QUERIES.update({
+    "config_overlay": config_overlay,
+    "log_tail_drop": log_tail_drop,
+    "labels_and_names": labels_and_names,
+    "report_sorted": report_sorted,
+    "best_run_per_metric": best_run_per_metric,
+    "mean_over_repeats": mean_over_repeats,
+    "best_epoch": best_epoch_q,
+    "early_stop": early_stop_q,
+    "curves": curves,
+    "effective_batch": effective_batch,
+    "pad_symbol": pad_symbol,
+})
