@@ -428,3 +428,81 @@ SELECT sel_pos::BIGINT AS sel_pos,
        {', '.join(f"{r6(m)} AS {m}" for m in sorted(_METRICS))}
 FROM rep
 """
+
+
+# -- text, catalog, files ---------------------------------------------------------------
+
+TOKEN_PAT = r"'[\p{L}\p{N}]+|[^\p{L}\p{N}\s]'"
+LANGS = "['en', 'fr', 'de', 'es', 'it']"
+
+ORACLES.update({
+    "tokenise_pad": f"""
+WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {TOKEN_PAT}) AS toks FROM documents),
+ex AS (SELECT doc_id, unnest(toks) AS token, generate_subscripts(toks, 1) - 1 AS pos FROM t),
+voc AS (SELECT token, row_number() OVER (ORDER BY md5(token), token) AS token_id FROM (SELECT DISTINCT token FROM ex)),
+ids AS (SELECT ex.doc_id, list(voc.token_id ORDER BY ex.pos) AS ids FROM ex JOIN voc ON ex.token = voc.token
+        WHERE ex.pos < 512 GROUP BY ex.doc_id),
+d AS (SELECT d.doc_id, coalesce(ids.ids, []::BIGINT[]) AS ids, (row_number() OVER (ORDER BY d.doc_id) - 1) // 16 AS batch_id
+      FROM documents d LEFT JOIN ids ON d.doc_id = ids.doc_id),
+p AS (SELECT *, len(ids) AS n, max(len(ids)) OVER (PARTITION BY batch_id) AS plen FROM d)
+SELECT doc_id, batch_id, n::BIGINT AS n_tokens, plen::BIGINT AS padded_length,
+       md5(array_to_string(list_concat(ids, list_transform(range(plen - n), lambda x: 0::BIGINT)), ',')) AS ids_hash,
+       n::BIGINT AS mask_sum
+FROM p
+""",
+    "encode_score": f"""
+WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {TOKEN_PAT}) AS toks FROM documents),
+ex AS (SELECT doc_id, unnest(toks) AS token FROM t),
+pt AS (SELECT doc_id, token, count(*) AS c FROM ex GROUP BY doc_id, token),
+vec AS (SELECT doc_id, (('0x' || substr(md5(token), 1, 8))::UBIGINT % 256)::INTEGER AS dim, sum(c)::DOUBLE AS w FROM pt GROUP BY ALL),
+nrm AS (SELECT doc_id, sqrt(sum(w * w)) AS n FROM vec GROUP BY doc_id),
+tp AS (SELECT a.doc_id AS pair_id, a.doc_id AS doc_a, b.doc_id AS doc_b, (a.n_chars % 6)::DOUBLE / 5.0::DOUBLE AS score
+       FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1),
+dots AS (SELECT tp.pair_id, sum(va.w * vb.w) AS dot FROM tp JOIN vec va ON va.doc_id = tp.doc_a
+         JOIN vec vb ON vb.doc_id = tp.doc_b AND vb.dim = va.dim GROUP BY tp.pair_id),
+c AS (SELECT tp.pair_id, tp.score,
+             coalesce(dots.dot, 0) / (greatest(coalesce(na.n, 0), 1e-6) * greatest(coalesce(nb.n, 0), 1e-6)) AS cos
+      FROM tp LEFT JOIN dots ON dots.pair_id = tp.pair_id LEFT JOIN nrm na ON na.doc_id = tp.doc_a LEFT JOIN nrm nb ON nb.doc_id = tp.doc_b)
+SELECT pair_id, {r6('score')} AS sim, {r6('cos')} AS prediction, {r6('pow(cos - score, 2)')} AS sq_error FROM c
+""",
+    "augment_lookup": f"""
+WITH {TURN_PAIRS}, {negatives_sql('turn_pairs')},
+tr AS (SELECT pair_id, text1 AS sentence1, text2 AS sentence2, sentence3 FROM neg),
+b AS (SELECT *, (row_number() OVER (ORDER BY pair_id) - 1) // 16 AS batch_id FROM tr),
+r0 AS (SELECT *, {unit_sql("'42'", "'route'", '0', 'batch_id')} AS u, {unit_sql("'42'", "'lang'", '0', 'batch_id')} AS ul FROM b),
+r AS (SELECT *, CASE WHEN u < 0.3 THEN 1 WHEN u < 0.7 THEN 2 ELSE 3 END AS route,
+             {LANGS}[floor(ul * 5)::INTEGER + 1] AS lang FROM r0),
+src AS (SELECT conv_id, turn, text AS src_text FROM conversations WHERE role = 'user'),
+nx AS (SELECT conv_id, turn - 1 AS turn, text AS replacement FROM conversations),
+tm AS (SELECT md5(src_text) AS text_key, {LANGS}[floor({unit_sql("'tm'", 'src.conv_id')} * 5)::INTEGER + 1] AS lang,
+              min(replacement) AS replacement
+       FROM src JOIN nx ON src.conv_id = nx.conv_id AND src.turn = nx.turn GROUP BY ALL)
+SELECT r.pair_id, r.batch_id, r.route, r.lang, tm.replacement IS NOT NULL AS translated,
+       CASE WHEN route = 1 THEN coalesce(tm.replacement, sentence1) ELSE sentence1 END AS sentence1,
+       CASE WHEN route = 2 THEN coalesce(tm.replacement, sentence2) ELSE sentence2 END AS sentence2,
+       CASE WHEN route = 3 THEN coalesce(tm.replacement, sentence3) ELSE sentence3 END AS sentence3
+FROM r LEFT JOIN tm ON tm.text_key = md5(CASE route WHEN 1 THEN sentence1 WHEN 2 THEN sentence2 ELSE sentence3 END)
+                    AND tm.lang = r.lang
+""",
+    "catalog_union": f"""
+WITH {text_pairs_sql('ro', 6)}, {TURN_PAIRS},
+ro2 AS (SELECT pair_id, score / 5.0::DOUBLE AS score, text1, text2,
+               CASE WHEN u < 0.7 THEN 'train' WHEN u < 0.85 THEN 'dev' ELSE 'test' END AS split
+        FROM (SELECT *, {unit_sql("'split'", 'pair_id')} AS u FROM ro)),
+pa AS (SELECT pair_id, text1, text2, CASE WHEN {unit_sql("'split'", 'pair_id')} < 0.8 THEN 'train' ELSE 'dev' END AS split
+       FROM turn_pairs)
+SELECT 'train' AS part, 'ro-sts' AS dataset, pair_id, {r6('score')} AS score, text1, text2 FROM ro2 WHERE split = 'train'
+UNION ALL BY NAME
+SELECT 'train' AS part, 'paraphrase-ro' AS dataset, pair_id, text1, text2 FROM pa WHERE split = 'train'
+UNION ALL BY NAME
+SELECT 'dev' AS part, 'ro-sts' AS dataset, pair_id, {r6('score')} AS score, text1, text2 FROM ro2 WHERE split = 'dev'
+UNION ALL BY NAME
+SELECT 'test' AS part, 'ro-sts' AS dataset, pair_id, {r6('score')} AS score, text1, text2 FROM ro2 WHERE split = 'test'
+""",
+    "tsv_roundtrip": f"""
+WITH {text_pairs_sql('ro', 6)}, {TURN_PAIRS}, {text_pairs_sql('bib', 101)}
+SELECT 'ro-sts' AS dataset, score, text1, text2 FROM ro
+UNION ALL SELECT 'paraphrase-ro', NULL::DOUBLE, text1, text2 FROM turn_pairs
+UNION ALL SELECT 'biblical_01', score, text1, text2 FROM bib
+""",
+})
