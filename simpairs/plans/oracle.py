@@ -506,3 +506,14 @@ UNION ALL SELECT 'paraphrase-ro', NULL::DOUBLE, text1, text2 FROM turn_pairs
 UNION ALL SELECT 'biblical_01', score, text1, text2 FROM bib
 """,
 })
+
+
+# -- streaming: equal to the batch queries ----------------------------------------------
+
+ORACLES["stream_metrics"] = f"""
+SELECT l_returnflag AS stage, count(*) AS n, {r6(pearson_sql('l_quantity', 'l_extendedprice'))} AS pearson,
+       {r6('avg(pow(l_extendedprice / 105000.0::DOUBLE - l_quantity / 50.0::DOUBLE, 2))')} AS avg_loss
+FROM lineitem GROUP BY l_returnflag
+"""
+ORACLES["stream_stop"] = "SELECT run_id, stop_epoch FROM (" + ORACLES["early_stop"].replace(
+    "AND epoch < 60 ", "") + ") WHERE stop_epoch IS NOT NULL"

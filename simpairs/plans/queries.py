@@ -32,7 +32,9 @@ from ..functions.numeric import fixed4
 from ..functions.hashing import hash_unit
 from ..operators.batching import apply_translation, route_augmentation
 from ..operators.text import pad_batches, score_pairs, token_ids, vocabulary
+from ..operators.fit import FEATURES, pair_features, staged_fit, train_and_report
 from ..session import checkpoint_root, scratch_dir
+from ..streaming.monitors import patience_monitor, run_append_to_table, run_complete_to_table, stream_metrics, write_in_chunks
 from ..sources.pairs import (
     Catalog, DatasetSpec, compute_once, normalise_scores, read_header_csv, read_scored_tsv, read_unscored_tsv,
     to_instances, with_positions, write_header_csv, write_scored_tsv, write_unscored_tsv,
@@ -536,3 +538,74 @@ QUERIES.update({
     "catalog_union": catalog_union,
     "tsv_roundtrip": tsv_roundtrip,
 })
+
+
+# -- I1 I2 (rows-only check) ---------------------------------------------------------
+
+def _scored_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_pairs with features, split 70/15/15 by the exact stratified split
+    on the score class.  The feature table and the first split are
+    checkpointed: each split step reads its input several times."""
+    m = _materialize(spark)
+    cols = ["pair_id", "score", *FEATURES]
+    p = m(pair_features(fx.vec_pairs(spark, sf_dir)).select(*cols).withColumn("skey", F.round(F.col("score") * 9).cast("int")))
+    s1 = m(stratified_split(p, "pair_id", "skey", 0.3, seed="fit-1", out="part", first="train", second="temp"))
+    tr = s1.where(F.col("part") == "train")
+    s2 = stratified_split(s1.where(F.col("part") == "temp").drop("part"), "pair_id", "skey", 0.5, seed="fit-2",
+                          out="part", first="dev", second="test")
+    return tr.select("part", *cols).unionByName(s2.select("part", *cols))
+
+
+def regressor_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fit a distributed regressor on train pair features, report dev and
+    test Pearson, Spearman and MSE (I1)."""
+    parts = _materialize(spark)(_scored_parts(spark, sf_dir))
+    return train_and_report(parts).select("part", "n", "pearson", "spearman", "mse")
+
+
+def staged_fit_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stage 1 on a large noisy set (vector k with k + 2), stage 2 on the
+    clean train part with the stage-1 prediction as a feature (I2)."""
+    e = fx.read(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    a = e.select("vec_id", as_double_array("embedding").alias("u"), F.col("label").alias("la"))
+    b = e.select((F.col("vec_id") - 2).alias("vec_id"), as_double_array("embedding").alias("v"), F.col("label").alias("lb"))
+    noisy = pair_features(a.join(b, "vec_id").select("u", "v", "la", "lb")).withColumn(
+        "score", F.lit(1.0) - F.abs(F.col("la") - F.col("lb")) / F.lit(9.0))
+    m = _materialize(spark)
+    parts = m(_scored_parts(spark, sf_dir))
+    return staged_fit(m(noisy.select("score", *FEATURES)), parts).select("part", "n", "pearson", "spearman", "mse")
+
+
+# -- J1 J2 ---------------------------------------------------------------------------
+
+def stream_metrics_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prediction log replayed as a file stream; running n, Pearson and mean
+    loss per stage (J1).  ``availableNow`` over all files equals the batch query."""
+    p = fx.predictions(spark, sf_dir).withColumn(
+        "loss", F.pow(F.col("y_hat") / F.lit(105000.0) - F.col("y") / F.lit(50.0), 2))
+    src = scratch_dir(spark, "pred-stream")
+    n_files = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    p.repartition(n_files, "batch_id").write.parquet(src)
+    stream = spark.readStream.schema(p.schema).option("maxFilesPerTrigger", max(1, n_files // 3)).parquet(src)
+    out = run_complete_to_table(stream_metrics(stream, ["stage"], "y", "y_hat", "loss"), spark, "stream-metrics")
+    return out.select("stage", "n", rnd("pearson").alias("pearson"), rnd("avg_loss").alias("avg_loss"))
+
+
+def stream_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Epoch log replayed in four epoch chunks as a file stream; the patience
+    monitor emits one stop event per run that stops (J2)."""
+    log = _materialize(spark)(fx.epoch_log(spark, sf_dir).select("run_id", "epoch", "value"))
+    log = log.withColumn("_chunk", F.least(F.expr("epoch div 25"), F.lit(3)))
+    src = scratch_dir(spark, "epoch-stream")
+    n_files = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    write_in_chunks(log, src, "_chunk", [0, 1, 2, 3], "run_id", n_files)
+    stream = spark.readStream.schema("run_id long, epoch long, value double").option("maxFilesPerTrigger", n_files).parquet(src)
+    return run_append_to_table(patience_monitor(stream, patience=4), spark, "stream-stop").select("run_id", "stop_epoch")
+
+
+QUERIES.update({
+    "regressor_eval": regressor_eval,
+    "staged_fit": staged_fit_q,
+    "stream_metrics": stream_metrics_q,
+    "stream_stop": stream_stop,
+})
