@@ -99,10 +99,17 @@ def split_chain(
     test.  Class counts are taken afresh at every step, as in the reference,
     so a key rare in the kept part never reaches train.
 
-    ``materialize`` (e.g. ``DataFrame.checkpoint``) cuts the lineage between
-    steps, since each step reads its input several times.
+    Each step reads its input several times, so without a cut the plan of
+    step three would hold step one many times over.  ``materialize`` cuts
+    the lineage between steps; by default a reliable ``checkpoint`` in the
+    session's checkpoint folder (``spark.checkpoint.dir``).
     """
-    m = materialize or (lambda d: d)
+    if materialize is None:
+        from ..session import checkpoint_root
+
+        checkpoint_root(df.sparkSession)
+        materialize = lambda d: d.checkpoint(eager=True)
+    m = materialize
     s1 = m(stratified_split(df, id_col, key, keep_size, f"{seed}-1", "_p1", "discard", "keep"))
     kept = s1.where(F.col("_p1") == "keep").drop("_p1")
     s2 = m(stratified_split(kept, id_col, key, temp_size, f"{seed}-2", "_p2", "train", "temp"))
