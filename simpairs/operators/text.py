@@ -73,12 +73,12 @@ def pad_batches(df: DataFrame, batch_col: str = "batch_id", ids_col: str = "inpu
 
 def hashed_bag(docs: DataFrame, id_col: str, text_col: str, dims: int = HASH_DIMS) -> DataFrame:
     """Default encoder (G5): token counts hashed into ``dims`` buckets by md5,
-    in long form ``(id, dim, weight)``.  Counting per (doc, token) first
-    means each distinct token of a document is hashed once."""
+    in long form ``(id, dim, weight)``.  Each token is mapped to its bucket
+    before aggregating, so the shuffle key is (id, dim) and the partial
+    aggregation leaves at most ``dims`` rows per document and task."""
     ex = docs.select(id_col, F.explode(tokens(text_col)).alias("token"))
-    per_tok = ex.groupBy(id_col, "token").agg(F.count(F.lit(1)).alias("_c"))
     dim = (F.conv(F.substring(F.md5("token"), 1, 8), 16, 10).cast("bigint") % dims).cast("int")
-    return per_tok.groupBy(id_col, dim.alias("dim")).agg(F.sum("_c").cast("double").alias("weight"))
+    return ex.select(id_col, dim.alias("dim")).groupBy(id_col, "dim").agg(F.count(F.lit(1)).cast("double").alias("weight"))
 
 
 def sparse_cosine(a: DataFrame, b: DataFrame, pairs: DataFrame, a_id: str, b_id: str, eps: float = COSINE_EPS) -> DataFrame:
