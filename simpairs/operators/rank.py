@@ -37,7 +37,7 @@ def _cols(xs) -> list:
 def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join on ``keys`` where null matches null (group keys may be null)."""
     if not keys:
-        return left.crossJoin(right)  # right is a one-row frame here
+        raise ValueError("join keys required")
     r = right
     renamed = {}
     for k in keys:
@@ -68,10 +68,13 @@ def with_value_bucket(
     10**10 distinct keys.
     """
     g = _cols(group_cols)
-    bounds = df.groupBy(*g).agg(F.min(key).alias("_kmin"), F.max(key).alias("_kmax"))
-    if not g:
-        bounds = F.broadcast(bounds)  # one row
-    d = _null_safe_join(df, bounds, g)
+    if g:
+        bounds = df.groupBy(*g).agg(F.min(key).alias("_kmin"), F.max(key).alias("_kmax"))
+        d = _null_safe_join(df, bounds, g)
+    else:
+        # One (min, max) pair: a scalar subquery, no join.
+        mm = df.agg(F.struct(F.min(key).alias("lo"), F.max(key).alias("hi"))).scalar()
+        d = df.withColumn("_kmin", mm["lo"]).withColumn("_kmax", mm["hi"])
     k = F.col(key).cast("double")
     lo = F.col("_kmin").cast("double")
     span = F.col("_kmax").cast("double") - lo

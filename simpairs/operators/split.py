@@ -58,13 +58,10 @@ def stratified_split(
     * inside a class, rows are ordered by ``md5(seed|id)``.
     """
     cls = df.groupBy(key).agg(F.count(F.lit(1)).alias("_nc"))
-    totals = cls.where(F.col("_nc") > 1).agg(F.sum("_nc").alias("_n"))
-    totals = totals.select(
-        F.coalesce(F.col("_n"), F.lit(0)).cast("bigint").alias("_n"),
-    ).withColumn("_ntest", F.ceil(F.lit(float(test_size)) * F.col("_n")).cast("bigint"))
-    totals = totals.withColumn("_ntrain", F.col("_n") - F.col("_ntest"))
-    # One row: broadcast is bounded.
-    q = cls.crossJoin(F.broadcast(totals))
+    # Totals are scalar subqueries: computed once, attached to every class row.
+    n = cls.where(F.col("_nc") > 1).agg(F.coalesce(F.sum("_nc"), F.lit(0)).cast("bigint")).scalar()
+    q = cls.withColumn("_n", n).withColumn("_ntest", F.ceil(F.lit(float(test_size)) * F.col("_n")).cast("bigint"))
+    q = q.withColumn("_ntrain", F.col("_n") - F.col("_ntest"))
     q = q.withColumn("_rare", F.col("_nc") == 1)
     q = q.withColumn(
         "_floor", F.when(F.col("_rare"), F.lit(0)).otherwise(F.expr("(CAST(_nc AS DECIMAL(38,0)) * _ntrain) div _n")).cast("bigint")
@@ -72,11 +69,10 @@ def stratified_split(
     # Classes that get one more row: the largest remainders first.
     q = q.withColumn("_negrem", -F.col("_rem")).withColumn("_chash", hash_key(F.lit(seed), F.col(key)))
     q = value_rank(q, "_negrem", tie_cols=["_chash"], out="_rpos")
-    short = q.agg(F.sum("_floor").alias("_sf"))
-    q = q.crossJoin(F.broadcast(short))
+    short = q.agg(F.sum("_floor")).scalar()
     q = q.withColumn(
         "_quota",
-        F.col("_floor") + F.when(~F.col("_rare") & (F.col("_rpos") <= F.col("_ntrain") - F.col("_sf")), 1).otherwise(0),
+        F.col("_floor") + F.when(~F.col("_rare") & (F.col("_rpos") <= F.col("_ntrain") - short), 1).otherwise(0),
     ).select(key, "_rare", "_quota")
     ranked = hash_rank(df, hash_key(F.lit(seed), F.col(id_col)), [id_col], group_cols=[key], out="_kpos")
     j = _null_safe_join(ranked, q, [key])

@@ -379,11 +379,8 @@ def curves(spark: SparkSession, sf_dir: str) -> DataFrame:
     prefix, suffix = split_name("metric")
     log = log.withColumn("suffix", suffix)
     idx = value_rank(log, "epoch", group_cols=["run_id", "metric"], out="_p")
-    first_run = log.agg(F.min("run_id").alias("_r0"))
-    order = (
-        log.join(F.broadcast(first_run), log["run_id"] == first_run["_r0"])
-        .groupBy("suffix").agg(F.min("epoch").alias("_seen"))
-    )
+    first_run = log.agg(F.min("run_id")).scalar()
+    order = log.where(F.col("run_id") == first_run).groupBy("suffix").agg(F.min("epoch").alias("_seen"))
     order = value_rank(order, "_seen", tie_cols=["suffix"], out="suffix_pos")
     cfg = fx.run_config(spark, sf_dir).select("run_id", "model_name")
     j = idx.join(order.select("suffix", "suffix_pos"), "suffix", "left").join(cfg, "run_id", "left")
