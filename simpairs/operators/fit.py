@@ -70,3 +70,17 @@ def staged_fit(noisy: DataFrame, parts: DataFrame, features: Sequence[str] = FEA
     asm2, m2 = fit_regressor(staged.where(F.col("part") == "train"), feats2, label)
     pred = predict(asm2, m2, staged.where(F.col("part").isin("dev", "test")))
     return evaluate(pred, "part", label)
+
+
+def grid_fit(parts: DataFrame, reg_params: Sequence[float], features: Sequence[str] = FEATURES, label: str = "score") -> DataFrame:
+    """Run every configuration of a grid (I4): one distributed fit per
+    regularisation value, each evaluated on dev and test; one result row per
+    (configuration, part).  The grid is a short literal list; the fits are
+    Spark jobs over the whole training part."""
+    out = None
+    for i, reg in enumerate(reg_params):
+        asm, model = fit_regressor(parts.where(F.col("part") == "train"), features, label, reg=reg)
+        pred = predict(asm, model, parts.where(F.col("part").isin("dev", "test")))
+        ev = evaluate(pred, "part", label).withColumn("config_pos", F.lit(i)).withColumn("reg_param", F.lit(float(reg)))
+        out = ev if out is None else out.unionByName(ev)
+    return out

@@ -32,7 +32,7 @@ from ..functions.numeric import fixed4
 from ..functions.hashing import hash_unit
 from ..operators.batching import apply_translation, route_augmentation
 from ..operators.text import pad_batches, score_pairs, token_ids, vocabulary
-from ..operators.fit import FEATURES, pair_features, staged_fit, train_and_report
+from ..operators.fit import FEATURES, grid_fit, pair_features, staged_fit, train_and_report
 from ..session import checkpoint_root, scratch_dir
 from ..streaming.monitors import patience_monitor, run_append_to_table, run_complete_to_table, stream_metrics, write_in_chunks
 from ..sources.pairs import (
@@ -600,7 +600,15 @@ def stream_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_append_to_table(patience_monitor(stream, patience=4), spark, "stream-stop").select("run_id", "stop_epoch")
 
 
+def grid_fit_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every configuration of a small regularisation grid fitted and
+    evaluated, one row per (configuration, part) (I4)."""
+    parts = _materialize(spark)(_scored_parts(spark, sf_dir))
+    return grid_fit(parts, [0.0, 0.01, 0.1]).select("config_pos", "reg_param", "part", "n", "pearson", "spearman", "mse")
+
+
 QUERIES.update({
+    "grid_fit": grid_fit_q,
     "regressor_eval": regressor_eval,
     "staged_fit": staged_fit_q,
     "stream_metrics": stream_metrics_q,

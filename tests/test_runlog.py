@@ -99,3 +99,12 @@ def test_golden_run_logs(spark):
     hp = {r.run_id: r for r in read_hparams(spark, LOG_ROOT).collect()}
     assert hp[13].train_dataset_name == ["ro-sts", "biblical_01"] and hp[26].lr == 1e-05
     assert all(r.parse_error is None for r in hp.values())
+
+
+def test_configuration_defaults_and_extra_keys():
+    from simpairs.operators.grid import Configuration, grid_configs
+
+    c = Configuration(batch_size=64, loss_function="MSE")
+    assert c.effective_batch == 64 * 16 and c.loss_function == "MSE" and c.lr == 2e-05
+    cfgs = grid_configs({"a": [1, 2], "b": ["x", "y"]})
+    assert [(x.a, x.b) for x in cfgs] == [(1, "x"), (1, "y"), (2, "x"), (2, "y")]
