@@ -38,13 +38,11 @@ def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     """Equi-join on ``keys`` where null matches null (group keys may be null)."""
     if not keys:
         raise ValueError("join keys required")
-    r = right
-    renamed = {}
-    for k in keys:
-        renamed[k] = f"__r_{k}"
-        r = r.withColumnRenamed(k, renamed[k])
+    renamed = {k: f"__r_{k}" for k in keys}
+    r = right.select(*[F.col(c).alias(renamed[c]) if c in renamed else F.col(c) for c in right.columns])
     cond = reduce(lambda a, b: a & b, [left[k].eqNullSafe(r[renamed[k]]) for k in keys])
-    return left.join(r, cond, how).drop(*renamed.values())
+    keep = [left[c] for c in left.columns] + [r[c] for c in r.columns if c not in renamed.values()]
+    return left.join(r, cond, how).select(*keep)
 
 
 def with_hash_bucket(df: DataFrame, hex_key: str, digits: int = 3) -> DataFrame:
@@ -79,7 +77,8 @@ def with_value_bucket(
     lo = F.col("_kmin").cast("double")
     span = F.col("_kmax").cast("double") - lo
     cell = F.when(span > 0, F.least(F.floor((k - lo) / span * F.lit(cells)), F.lit(cells - 1))).otherwise(F.lit(0))
-    return d.withColumn(BUCKET, cell.cast("bigint")).drop("_kmin", "_kmax")
+    rest = [c for c in d.columns if c not in ("_kmin", "_kmax")]
+    return d.select(*rest, cell.cast("bigint").alias(BUCKET))
 
 
 def prefix_before(
@@ -100,14 +99,15 @@ def prefix_before(
     w_col = F.col(weight) if weight else F.lit(1).cast("bigint")
     counts = df.groupBy(*g, BUCKET).agg(F.sum(w_col).alias("_bn"))
     wb = Window.partitionBy(*g).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_boff", F.coalesce(F.sum("_bn").over(wb), F.lit(0).cast("bigint"))).drop("_bn")
+    offsets = counts.select(*g, BUCKET, F.coalesce(F.sum("_bn").over(wb), F.lit(0).cast("bigint")).alias("_boff"))
     if not g:
         # At most 16**digits or `cells` rows: a proven bound.
         offsets = F.broadcast(offsets)
     joined = _null_safe_join(df, offsets, [*g, BUCKET])
     wr = Window.partitionBy(*g, BUCKET).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, -1)
     inside = F.coalesce(F.sum(w_col).over(wr), F.lit(0).cast("bigint"))
-    return joined.withColumn(out, F.col("_boff") + inside).drop("_boff")
+    rest = [c for c in joined.columns if c != "_boff"]
+    return joined.select(*rest, (F.col("_boff") + inside).alias(out))
 
 
 def ordered_index(
@@ -120,12 +120,13 @@ def ordered_index(
     g = _cols(group_cols)
     counts = df.groupBy(*g, BUCKET).agg(F.count(F.lit(1)).alias("_bn"))
     wb = Window.partitionBy(*g).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_boff", F.coalesce(F.sum("_bn").over(wb), F.lit(0).cast("bigint"))).drop("_bn")
+    offsets = counts.select(*g, BUCKET, F.coalesce(F.sum("_bn").over(wb), F.lit(0).cast("bigint")).alias("_boff"))
     if not g:
         offsets = F.broadcast(offsets)
     joined = _null_safe_join(df, offsets, [*g, BUCKET])
     wr = Window.partitionBy(*g, BUCKET).orderBy(*order_cols)
-    return joined.withColumn(out, F.col("_boff") + F.row_number().over(wr)).drop("_boff", BUCKET)
+    rest = [c for c in joined.columns if c not in ("_boff", BUCKET)]
+    return joined.select(*rest, (F.col("_boff") + F.row_number().over(wr)).alias(out))
 
 
 def hash_rank(
