@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_key
-from .rank import hash_rank
+from .rank import hash_rank, value_rank
 
 
 def permutation(df: DataFrame, id_col: str, seed="42", salt: str = "p", out: str = "perm_pos") -> DataFrame:
@@ -33,13 +33,44 @@ def draw_negatives(
     text_cols=("text1", "text2"),
     seed="42",
     out: str = "sentence3",
+    avoid_self: bool = False,
 ) -> DataFrame:
     """Adds ``donor_id``, ``side`` (1 or 2) and ``out``: the donor row's
-    sentence ``side``.  One shuffle join between the two numberings."""
+    sentence ``side``.  One shuffle join between the two numberings.
+    ``avoid_self`` re-deals the donors of rows that drew themselves (off by
+    default, as in the reference)."""
     recipients = permutation(df, id_col, seed, "a", "_ra").withColumn("side", coin(seed, id_col))
     donors = permutation(df.select(id_col, *text_cols), id_col, seed, "b", "_rb").select(
         F.col("_rb"), F.col(id_col).alias("donor_id"), *[F.col(c).alias(f"_d{i + 1}") for i, c in enumerate(text_cols)]
     )
     j = recipients.join(donors, recipients["_ra"] == donors["_rb"], "inner")
+    if avoid_self:
+        j = _rotate_fixed_points(j, id_col, [f"_d{i + 1}" for i in range(len(text_cols))])
     pick = F.when(F.col("side") == 1, F.col("_d1")).otherwise(F.col("_d2"))
     return j.withColumn(out, pick).drop("_ra", "_rb", *[f"_d{i + 1}" for i in range(len(text_cols))])
+
+
+def _rotate_fixed_points(j: DataFrame, id_col: str, donor_cols) -> DataFrame:
+    """Give every row that drew itself another donor, keeping a bijection.
+
+    The cycle members are the fixed points; when there is exactly one, it is
+    joined by the next recipient in ``_ra`` order.  Members are ordered by
+    ``_ra`` and member ``k`` takes the donor of member ``k + 1`` (cyclic), so
+    nobody in the cycle keeps its own id.  A permutation of a hash order has
+    about one fixed point on average, so the cycle is tiny; it is still
+    handled with distributed operators and scalar subqueries."""
+    is_fixed = F.col(id_col) == F.col("donor_id")
+    n_fixed = j.where(is_fixed).agg(F.count(F.lit(1))).scalar()
+    n_all = j.agg(F.count(F.lit(1))).scalar()
+    f_ra = j.where(is_fixed).agg(F.min("_ra")).scalar()
+    partner = (n_fixed == 1) & (n_all > 1) & (F.col("_ra") == f_ra % n_all + 1)
+    cyc = j.where(is_fixed | partner).select(id_col, "_ra", "donor_id", *donor_cols)
+    cyc = value_rank(cyc, "_ra", out="_cp")
+    m = cyc.agg(F.count(F.lit(1))).scalar()
+    recv = cyc.select(F.col(id_col).alias("_recv"), ((F.col("_cp") % m) + 1).alias("_take"))
+    give = cyc.select(F.col("_cp").alias("_take"), "donor_id", *donor_cols)
+    new = recv.join(give, "_take").drop("_take")
+    keep_cols = [c for c in j.columns if c not in ("donor_id", *donor_cols)]
+    changed = j.select(*keep_cols).join(new, j[id_col] == new["_recv"]).drop("_recv")
+    rest = j.join(cyc.select(F.col(id_col).alias("_c")), j[id_col] == F.col("_c"), "left_anti")
+    return rest.unionByName(changed.select(*j.columns))

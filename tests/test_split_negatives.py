@@ -54,3 +54,18 @@ def test_negatives_are_a_bijection(spark):
     n2 = draw_negatives(df.repartition(5), "pid", ("t1", "t2"), seed="42")
     j = n.select("pid", "donor_id", "sentence3").join(n2.select("pid", F.col("donor_id").alias("d2"), F.col("sentence3").alias("s2")), "pid")
     assert j.where((F.col("donor_id") != F.col("d2")) | (F.col("sentence3") != F.col("s2"))).count() == 0
+
+
+def test_avoid_self_keeps_a_bijection_without_fixed_points(spark):
+    df = spark.range(0, 40).select(F.col("id").alias("pid"), F.concat(F.lit("x"), F.col("id")).alias("t1"),
+                                   F.concat(F.lit("y"), F.col("id")).alias("t2"))
+    had_fixed = 0
+    for seed in ["1", "2", "3", "4", "5", "6"]:
+        plain = draw_negatives(df, "pid", ("t1", "t2"), seed=seed)
+        had_fixed += plain.where(F.col("pid") == F.col("donor_id")).count()
+        n = draw_negatives(df, "pid", ("t1", "t2"), seed=seed, avoid_self=True)
+        rows = n.select("pid", "donor_id").collect()
+        assert sorted(r.pid for r in rows) == list(range(40))
+        assert sorted(r.donor_id for r in rows) == list(range(40))
+        assert all(r.pid != r.donor_id for r in rows)
+    assert had_fixed > 0
