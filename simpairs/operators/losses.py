@@ -114,7 +114,7 @@ def _check_tau(tau: float) -> None:
 IN_BATCH_SCHEMA = "batch_id long, pair_id long, side int, lse double, partner_sim double, ce double"
 
 
-def _in_batch_rows(tau: float, negative_weight: float):
+def _in_batch_rows(tau: float, negative_weight: float, positive_threshold: float | None = None):
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
         n = len(pdf)
         if 2 * n > MAX_IN_BATCH_ROWS:
@@ -129,7 +129,10 @@ def _in_batch_rows(tau: float, negative_weight: float):
         idx = np.arange(2 * n)
         partner = idx ^ 1
         score = np.repeat(pdf["score"].to_numpy(dtype=np.float64), 2)
-        positive = np.floor(score) == 1   # scores cut to int, as the reference does
+        if positive_threshold is None:
+            positive = np.floor(score) == 1   # scores cut to int, as the reference does
+        else:
+            positive = score >= positive_threshold
         logits = sims * tau
         if negative_weight > 0:
             neg = np.floor(score) == 0
@@ -153,21 +156,28 @@ def _in_batch_rows(tau: float, negative_weight: float):
     return fn
 
 
-def in_batch_rows(df: DataFrame, tau: float = IBN_TAU, negative_weight: float = 0.0) -> DataFrame:
+def in_batch_rows(
+    df: DataFrame, tau: float = IBN_TAU, negative_weight: float = 0.0, positive_threshold: float | None = None
+) -> DataFrame:
     """Per zigzag row of every batch: log-sum-exp over the other rows of the
     batch, similarity to its partner (C3, C4, E11, F2, F3) and the
     categorical cross-entropy toward the partner (D12, D13).
 
-    Input columns: batch_id, pair_id, u, v, score.
+    Input columns: batch_id, pair_id, u, v, score.  A pair is a positive
+    when its score cut to an integer is 1 (the reference's rule, so 0.99
+    counts as 0), or when ``score >= positive_threshold`` if one is given.
     """
     _check_tau(tau)
     d = df.select("batch_id", "pair_id", "u", "v", "score")
-    return d.groupBy("batch_id").applyInPandas(_in_batch_rows(tau, negative_weight), IN_BATCH_SCHEMA)
+    return d.groupBy("batch_id").applyInPandas(_in_batch_rows(tau, negative_weight, positive_threshold), IN_BATCH_SCHEMA)
 
 
-def in_batch_loss(df: DataFrame, tau: float = IBN_TAU, negative_weight: float = 0.0) -> DataFrame:
+def in_batch_loss(
+    df: DataFrame, tau: float = IBN_TAU, negative_weight: float = 0.0, positive_threshold: float | None = None
+) -> DataFrame:
     """In-batch contrastive loss per batch: mean CE over the 2B rows."""
-    return in_batch_rows(df, tau, negative_weight).groupBy("batch_id").agg(F.avg("ce").alias("loss"))
+    rows = in_batch_rows(df, tau, negative_weight, positive_threshold)
+    return rows.groupBy("batch_id").agg(F.avg("ce").alias("loss"))
 
 
 def combined_loss(

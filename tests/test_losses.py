@@ -70,3 +70,10 @@ def test_unknown_loss_name_raises():
     with pytest.raises(ValueError):
         select_loss("zzz")
     assert select_loss("MSE") is not None
+
+
+def test_positive_threshold_option(spark):
+    rows = [(0, k, [1.0, float(k)], [1.0, float(k) + 0.1], 0.99) for k in range(4)]
+    df = spark.createDataFrame(rows, "batch_id long, pair_id long, u array<double>, v array<double>, score double")
+    assert in_batch_loss(df).first().loss == 0.0          # 0.99 cut to 0: no positives
+    assert in_batch_loss(df, positive_threshold=0.9).first().loss > 0.0
