@@ -517,3 +517,5 @@ FROM lineitem GROUP BY l_returnflag
 """
 ORACLES["stream_stop"] = "SELECT run_id, stop_epoch FROM (" + ORACLES["early_stop"].replace(
     "AND epoch < 60 ", "") + ") WHERE stop_epoch IS NOT NULL"
+
+ORACLES["stream_spearman"] = ORACLES["spearman_by_stage"]

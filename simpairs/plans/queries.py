@@ -34,7 +34,9 @@ from ..operators.batching import apply_translation, route_augmentation
 from ..operators.text import pad_batches, score_pairs, token_ids, vocabulary
 from ..operators.fit import FEATURES, grid_fit, pair_features, staged_fit, train_and_report
 from ..session import checkpoint_root, scratch_dir
-from ..streaming.monitors import patience_monitor, run_append_to_table, run_complete_to_table, stream_metrics, write_in_chunks
+from ..streaming.monitors import (
+    patience_monitor, run_append_to_table, run_complete_to_table, stream_metrics, stream_rank_metrics, write_in_chunks,
+)
 from ..sources.pairs import (
     Catalog, DatasetSpec, compute_once, normalise_scores, read_header_csv, read_scored_tsv, read_unscored_tsv,
     to_instances, with_positions, write_header_csv, write_scored_tsv, write_unscored_tsv,
@@ -588,6 +590,18 @@ def stream_metrics_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("stage", "n", rnd("pearson").alias("pearson"), rnd("avg_loss").alias("avg_loss"))
 
 
+def stream_spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spearman per stage over the prediction stream: each micro-batch
+    recomputes the stages it touched from all rows seen (J1)."""
+    p = fx.predictions(spark, sf_dir).select("stage", "batch_id", "y", "y_hat")
+    src = scratch_dir(spark, "pred-rank-stream")
+    n_files = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    p.repartition(n_files, "batch_id").write.parquet(src)
+    stream = spark.readStream.schema(p.schema).option("maxFilesPerTrigger", max(1, n_files // 3)).parquet(src)
+    out = stream_rank_metrics(stream, spark, "stage", "y", "y_hat", "stream-spearman")
+    return out.select("stage", "n", rnd("spearman").alias("spearman"))
+
+
 def stream_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Epoch log replayed in four epoch chunks as a file stream; the patience
     monitor emits one stop event per run that stops (J2)."""
@@ -612,5 +626,6 @@ QUERIES.update({
     "regressor_eval": regressor_eval,
     "staged_fit": staged_fit_q,
     "stream_metrics": stream_metrics_q,
+    "stream_spearman": stream_spearman,
     "stream_stop": stream_stop,
 })

@@ -115,3 +115,36 @@ def run_append_to_table(stream_out: DataFrame, spark: SparkSession, name: str) -
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
     return spark.read.schema(STOP_SCHEMA).parquet(out)
+
+
+def stream_rank_metrics(stream: DataFrame, spark: SparkSession, group_col: str, y: str, y_hat: str, name: str) -> DataFrame:
+    """Spearman needs the whole group, so it cannot be a running aggregate
+    (J1).  Each micro-batch is stored under its batch id (overwrite, so a
+    replayed batch is idempotent); then only the groups it touched are
+    recomputed from everything stored so far and rewritten with a dynamic
+    partition overwrite.  Returns the final result table."""
+    from ..operators.metrics import correlations
+
+    acc = scratch_dir(spark, f"{name}-acc")
+    out = scratch_dir(spark, f"{name}-out")
+    ckpt = scratch_dir(spark, f"{name}-ckpt")
+
+    def update(batch_df: DataFrame, batch_id: int) -> None:
+        batch_df.write.mode("overwrite").parquet(f"{acc}/batch={batch_id}")
+        ss = batch_df.sparkSession
+        # Read the written micro-batch back instead of recomputing its source.
+        touched = ss.read.parquet(f"{acc}/batch={batch_id}").select(group_col).distinct()
+        stored = ss.read.parquet(acc).drop("batch")
+        rows = stored.join(touched, group_col, "left_semi")
+        res = correlations(rows, y, y_hat, [group_col], spearman=True, digits=None)
+        (res.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy(group_col).parquet(out))
+
+    q = (
+        stream.writeStream.foreachBatch(update).option("checkpointLocation", ckpt)
+        .trigger(availableNow=True).start()
+    )
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise RuntimeError(str(q.exception()))
+    return spark.read.parquet(out)
