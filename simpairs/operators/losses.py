@@ -215,3 +215,29 @@ def select_loss(name: str):
     if name == "AnglE":
         return combined_loss
     raise ValueError(f"Unknown loss function {name}")
+
+
+def zigzag_rows(df: DataFrame, u: str = "u", v: str = "v", batch_col: str = "batch_id", pos_col: str = "batch_idx") -> DataFrame:
+    """Pairs as the zigzag rows of the reference's batch matrix (C4, E11):
+    row ``2k`` is sentence 1 of pair ``k``, row ``2k + 1`` its sentence 2;
+    ``partner = idx ^ 1``.  Even rows are ``idx % 2 == 0``."""
+    rows = df.select(batch_col, pos_col, F.expr(f"stack(2, 0, {u}, 1, {v}) AS (_side, vec)"), *[c for c in df.columns if c not in (batch_col, pos_col, u, v)])
+    rows = rows.withColumn("idx", (F.col(pos_col) * 2 + F.col("_side")).cast("bigint"))
+    return rows.withColumn("partner", F.col("idx").bitwiseXOR(F.lit(1))).drop("_side")
+
+
+def categorical_crossentropy(logits: DataFrame, row_cols, logit: str = "logit", target: str = "target") -> DataFrame:
+    """``-sum_j target_j * log_softmax(logit)_j`` per row (D13), from a long
+    table (row, column, logit, target).  The log-sum-exp is stabilised by the
+    row maximum; both passes are aggregations per row."""
+    rc = list(row_cols)
+    m = logits.groupBy(*rc).agg(F.max(logit).alias("_m"))
+    j = logits.join(m, rc)
+    agg = j.groupBy(*rc).agg(
+        F.first("_m").alias("_m"),
+        F.sum(F.exp(F.col(logit) - F.col("_m"))).alias("_s"),
+        F.sum(F.col(target) * F.col(logit)).alias("_tl"),
+        F.sum(F.col(target)).alias("_t"),
+    )
+    lse = F.col("_m") + F.log(F.col("_s"))
+    return agg.select(*rc, (F.col("_t") * lse - F.col("_tl")).alias("ce"))

@@ -77,3 +77,25 @@ def test_positive_threshold_option(spark):
     df = spark.createDataFrame(rows, "batch_id long, pair_id long, u array<double>, v array<double>, score double")
     assert in_batch_loss(df).first().loss == 0.0          # 0.99 cut to 0: no positives
     assert in_batch_loss(df, positive_threshold=0.9).first().loss > 0.0
+
+
+def test_categorical_crossentropy_matches_numpy(spark):
+    from simpairs.operators.losses import categorical_crossentropy
+
+    logits = np.array([[1000.0, 2.0, 0.0], [0.5, -1.0, 3.0]])
+    target = np.array([[0.0, 1.0, 0.0], [1.0, 0.0, 0.0]])
+    rows = [(i, j, float(logits[i, j]), float(target[i, j])) for i in range(2) for j in range(3)]
+    df = spark.createDataFrame(rows, "r long, c long, logit double, target double")
+    got = {r.r: r.ce for r in categorical_crossentropy(df, ["r"]).collect()}
+    for i in range(2):
+        m = logits[i].max()
+        lse = m + np.log(np.exp(logits[i] - m).sum())
+        assert abs(got[i] - (-(target[i] * (logits[i] - lse)).sum())) < 1e-9
+
+
+def test_zigzag_rows(spark):
+    from simpairs.operators.losses import zigzag_rows
+
+    df = spark.createDataFrame([(0, 0, [1.0], [2.0]), (0, 1, [3.0], [4.0])], "batch_id long, batch_idx long, u array<double>, v array<double>")
+    rows = {r.idx: (r.vec[0], r.partner) for r in zigzag_rows(df).collect()}
+    assert rows == {0: (1.0, 1), 1: (2.0, 0), 2: (3.0, 3), 3: (4.0, 2)}
