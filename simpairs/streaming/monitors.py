@@ -7,7 +7,8 @@
 * J2: an early-stopping monitor over an epoch stream, one state per run
   (``applyInPandasWithState``): best value, last improving epoch, stopped
   flag.  It emits the stop event once per run.  Epochs of a run must arrive
-  in order across micro-batches; inside a micro-batch they are sorted.
+  in order across micro-batches (a late epoch raises instead of silently
+  changing the answer); inside a micro-batch they are sorted.
 """
 
 from __future__ import annotations
@@ -54,18 +55,21 @@ def run_complete_to_table(agg: DataFrame, spark: SparkSession, name: str) -> Dat
 
 
 STOP_SCHEMA = "run_id long, stop_epoch long"
-STATE_SCHEMA = "best double, last_imp long, stopped boolean"
+STATE_SCHEMA = "best double, last_imp long, stopped boolean, last_epoch long"
 
 
 def _patience_fn(patience: int, run_col: str, epoch_col: str, value_col: str):
     def fn(key, pdfs: Iterable[pd.DataFrame], state):
         if state.exists:
-            best, last_imp, stopped = state.get
+            best, last_imp, stopped, last_epoch = state.get
             best = np.nan if best is None else best
         else:
-            best, last_imp, stopped = np.nan, -1, False
+            best, last_imp, stopped, last_epoch = np.nan, -1, False, -1
         pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(epoch_col, kind="stable")
         e = pdf[epoch_col].to_numpy(dtype=np.int64)
+        if len(e) and e[0] <= last_epoch:
+            # A late epoch would silently change the answer: refuse it.
+            raise ValueError(f"run {key[0]}: epoch {int(e[0])} arrived after epoch {int(last_epoch)}")
         v = pdf[value_col].to_numpy(dtype=np.float64)
         # Best so far before each row (NaN = nothing yet; NaN values never count).
         prev = np.fmax.accumulate(np.concatenate([[best], v]))[:-1]
@@ -78,7 +82,12 @@ def _patience_fn(patience: int, run_col: str, epoch_col: str, value_col: str):
             out.append((int(key[0]), int(e[hit[0]])))
             stopped = True
         new_best = float(np.fmax.reduce(np.concatenate([[best], v])))
-        state.update((None if np.isnan(new_best) else new_best, int(last[-1]) if len(last) else int(last_imp), bool(stopped)))
+        state.update((
+            None if np.isnan(new_best) else new_best,
+            int(last[-1]) if len(last) else int(last_imp),
+            bool(stopped),
+            int(e[-1]) if len(e) else int(last_epoch),
+        ))
         if out:
             yield pd.DataFrame(out, columns=["run_id", "stop_epoch"])
 
