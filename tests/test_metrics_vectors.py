@@ -72,3 +72,15 @@ def test_short_last_batch_weighs_the_same(spark):
     df = spark.createDataFrame([(0, 1.0), (0, 1.0), (1, 1.0), (1, 1.0), (2, 4.0)], "b int, loss double")
     r = mean_batch_loss(df, "loss", "b").first()
     assert r.avg_loss == 2.0 and r.n_batches == 3
+
+
+def test_epoch_metrics_groups_all_stages_at_once(spark):
+    from simpairs.operators.metrics import epoch_metrics
+
+    rows = [(0, s, 0, b, float(i), float(i) * 2 + (1 if s == "dev" else -1) * (i % 3), float(i % 2))
+            for s in ("dev", "test") for b in range(3) for i in range(b * 4, b * 4 + 4)]
+    df = spark.createDataFrame(rows, "run_id long, stage string, epoch long, batch_id long, y double, p double, loss double")
+    got = {r.stage: r for r in epoch_metrics(df, "y", "p", "loss", "batch_id").collect()}
+    assert set(got) == {"dev", "test"}
+    assert got["dev"].n == 12 and got["dev"].avg_loss == 0.5 and got["dev"].n_batches == 3
+    assert -1.0 <= got["test"].spearman <= 1.0
