@@ -583,7 +583,7 @@ def stream_metrics_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = fx.predictions(spark, sf_dir).withColumn(
         "loss", F.pow(F.col("y_hat") / F.lit(105000.0) - F.col("y") / F.lit(50.0), 2))
     src = scratch_dir(spark, "pred-stream")
-    n_files = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_files = max(1, spark.sparkContext.defaultParallelism)
     p.repartition(n_files, "batch_id").write.parquet(src)
     stream = spark.readStream.schema(p.schema).option("maxFilesPerTrigger", max(1, n_files // 3)).parquet(src)
     out = run_complete_to_table(stream_metrics(stream, ["stage"], "y", "y_hat", "loss"), spark, "stream-metrics")
@@ -595,7 +595,7 @@ def stream_spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
     recomputes the stages it touched from all rows seen (J1)."""
     p = fx.predictions(spark, sf_dir).select("stage", "batch_id", "y", "y_hat")
     src = scratch_dir(spark, "pred-rank-stream")
-    n_files = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_files = max(1, spark.sparkContext.defaultParallelism)
     p.repartition(n_files, "batch_id").write.parquet(src)
     stream = spark.readStream.schema(p.schema).option("maxFilesPerTrigger", max(1, n_files // 3)).parquet(src)
     out = stream_rank_metrics(stream, spark, "stage", "y", "y_hat", "stream-spearman")
@@ -608,7 +608,7 @@ def stream_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = _materialize(spark)(fx.epoch_log(spark, sf_dir).select("run_id", "epoch", "value"))
     log = log.withColumn("_chunk", F.least(F.expr("epoch div 25"), F.lit(3)))
     src = scratch_dir(spark, "epoch-stream")
-    n_files = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_files = max(1, spark.sparkContext.defaultParallelism)
     write_in_chunks(log, src, "_chunk", [0, 1, 2, 3], "run_id", n_files)
     stream = spark.readStream.schema("run_id long, epoch long, value double").option("maxFilesPerTrigger", n_files).parquet(src)
     return run_append_to_table(patience_monitor(stream, patience=4), spark, "stream-stop").select("run_id", "stop_epoch")
