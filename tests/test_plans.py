@@ -24,3 +24,10 @@ def test_scan_is_pruned(spark):
     df = entry.queries()["pearson_by_stage"](spark, SF001)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<l_quantity:double,l_extendedprice:double,l_returnflag:string>" in plan
+
+
+def test_text_scan_reads_only_id_and_text(spark):
+    df = entry.queries()["tokenise_pad"](spark, SF001)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
+    assert "n_chars" not in plan.split("ReadSchema: struct<doc_id:bigint,text:string>")[0][-200:]
