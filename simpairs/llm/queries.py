@@ -79,10 +79,10 @@ WITH d AS (
   FROM w WINDOW o AS (ORDER BY cap / w, source ASC NULLS LAST)
 ), l AS (
   SELECT *, (total - filled) / w_left AS level FROM r
-), at AS (
+), lv AS (
   SELECT arg_min(level, filled) AS level FROM l WHERE cap >= level * w
 ), t AS (
-  SELECT source, source_size, least(cap, (SELECT level FROM at) * w) AS target FROM l
+  SELECT source, source_size, least(cap, (SELECT level FROM lv) * w) AS target FROM l
 ), k AS (
   SELECT d.doc_id, d.source, d.size, t.source_size, t.target,
     row_number() OVER (PARTITION BY d.source ORDER BY d.size, substr(md5(coalesce(d.doc_id::VARCHAR, '')), 1, 2), d.doc_id) - 1 AS k,
