@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from .bpe import digests, encode_decode
 from .common import table
 from .exact_dedup import exact_dedup
+from .language import identify_languages
 from .mixing import mix_counts
+from .quality import score_quality
 from .url_filters import RULE_SCHEMA, filter_urls
 
 # The rules of the url contract.
@@ -29,6 +31,10 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def tokenizer_path() -> str:
     """The public word-level BPE vocabulary, where it is installed."""
     import public_tokenizers
@@ -40,6 +46,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(encode_decode(table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(table(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), keep="max")
 
@@ -51,7 +61,9 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_url_filters": op1_url_filters,
+    "op2_quality": op2_quality,
     "op3_bpe": op3_bpe,
+    "op8_language": op8_language,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_mixing": op10_mixing,
 }
