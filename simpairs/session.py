@@ -9,6 +9,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -63,3 +64,21 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
         root = root[len("file:"):]
     path = os.path.join(root, f"{name}-{uuid.uuid4().hex[:12]}")
     return path
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in Python workers, wherever the driver
+    found it: its sources go out once per application with ``addPyFile``."""
+    sc = spark.sparkContext
+    if getattr(sc, "_simpairs_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="simpairs-py-"), "simpairs.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(here):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, os.path.dirname(here)))
+    sc.addPyFile(path)
+    sc._simpairs_shipped = True
