@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Regex, normalizers, pre_tokenizers
 
+from ..session import ship_package
 from .common import text_slices
 
 WORD_MEMORY = 600_000
@@ -264,6 +265,7 @@ def encode_decode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
     length is one word; work is linear in text length but for exact merging,
     which is n log n in a failing word.
     """
+    ship_package(docs.sparkSession)
     with open(vocabulary_path, "rb") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))

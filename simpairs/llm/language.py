@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_unit
+from ..session import ship_package
 from .common import crc_fold, staged, text_slices
 
 #: Bound of the fit: labelled rows read per language (fewer rows: all).
@@ -154,6 +155,7 @@ class LanguageScorer:
 def language_column(docs: DataFrame, model: LanguageModel, text: Column) -> Column:
     """struct(lang_pred, score) of a text column.  The model is broadcast; its
     size is bounded by MODEL_WORDS and MODEL_GRAMS."""
+    ship_package(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     held: dict = {}
 

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_unit
+from ..session import ship_package
 from .common import crc_fold, staged, text_slices
 
 #: Bounds of the fit: rows read of each kind (fewer rows: all).
@@ -125,6 +126,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     Trusted positives are ids all of whose labels are 1; null labels and null
     ids are ignored.  Unlabelled rows are documents without any label row.
     """
+    ship_package(docs.sparkSession)
     use = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
     marked = staged(use.where(crc_fold(id_col, folds) != held_fold).groupBy(F.col(id_col).alias("id"))
                     .agg(F.min(label_col).alias("good")), "quality-labels")

@@ -14,6 +14,7 @@ from .common import table
 from .exact_dedup import exact_dedup
 from .language import identify_languages
 from .mixing import mix_counts
+from .near_dup import near_duplicates
 from .quality import score_quality
 from .url_filters import RULE_SCHEMA, filter_urls
 
@@ -46,6 +47,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(encode_decode(table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
+def op6_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(table(spark, sf_dir, "documents"))
 
@@ -63,6 +68,7 @@ QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_quality": op2_quality,
     "op3_bpe": op3_bpe,
+    "op6_near_dup": op6_near_dup,
     "op8_language": op8_language,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_mixing": op10_mixing,
