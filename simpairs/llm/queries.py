@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .bpe import digests, encode_decode
 from .common import table
+from .embed_dup import embedding_duplicates
 from .exact_dedup import exact_dedup
 from .language import identify_languages
 from .mixing import mix_counts
@@ -51,6 +52,10 @@ def op6_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
 
 
+def op7_embed_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(table(spark, sf_dir, "documents"))
 
@@ -69,6 +74,7 @@ QUERIES = {
     "op2_quality": op2_quality,
     "op3_bpe": op3_bpe,
     "op6_near_dup": op6_near_dup,
+    "op7_embed_dup": op7_embed_dup,
     "op8_language": op8_language,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_mixing": op10_mixing,
