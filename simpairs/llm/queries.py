@@ -17,6 +17,7 @@ from .language import identify_languages
 from .mixing import mix_counts
 from .near_dup import near_duplicates
 from .quality import score_quality
+from .suffix_dedup import removal_digests, remove_repeats
 from .url_filters import RULE_SCHEMA, filter_urls
 
 # The rules of the url contract.
@@ -48,6 +49,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(encode_decode(table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return removal_digests(remove_repeats(table(spark, sf_dir, "documents"), width=400))
+
+
 def op6_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
 
@@ -73,6 +78,7 @@ QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_quality": op2_quality,
     "op3_bpe": op3_bpe,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op6_near_dup": op6_near_dup,
     "op7_embed_dup": op7_embed_dup,
     "op8_language": op8_language,
