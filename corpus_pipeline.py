@@ -27,21 +27,33 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.where(quality_column(docs, model, F.col("text")) >= THRESHOLD).select(*docs.columns)
 
 
-def _without(docs: DataFrame, judged: DataFrame) -> DataFrame:
-    """``docs`` without the rows of the ids that were judged as dropped; only
-    those ids are shuffled against the texts."""
-    gone = judged.where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
-
-
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every group of equal texts: the one with the largest id."""
-    return _without(docs, exact_dedup(docs, keep="max"))
+    """One row of every group of equal texts: that of the largest id.
+
+    Only ids and digests of rows that go, or that repeat an id and text, meet
+    the texts in a join.
+    """
+    rows = docs.withColumn("__sha", F.sha2(F.coalesce("text", F.lit("")), 256))
+    fates = staged(
+        exact_dedup(docs, keep="max").groupBy(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__digest"))
+        .agg(F.max("kept").alias("__kept"), F.count(F.lit(1)).alias("__rows")).where("not __kept or __rows > 1"), "fates")
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__digest"))
+    out = rows.join(fates, same, "left_anti").select(*docs.columns)
+    repeated = fates.where("__kept")
+    if repeated.isEmpty():
+        return out
+    one = rows.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "__sha"])
+    return out.unionByName(one.select(*docs.columns))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every group of near duplicates (five words, 0.8): the one with the smallest id."""
-    return _without(docs, near_duplicates(docs, words=5, percent=80))
+    """One document of every group of near duplicates (five words, 0.8): that
+    of the smallest id.  The id is paired with a hash of the text, so rows
+    that repeat an id with other texts are judged apart."""
+    rows = docs.withColumn("__id", F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("text")))
+    judged = near_duplicates(rows, words=5, percent=80, id_col="__id")
+    gone = judged.where(~F.col("kept")).select(F.col("__id").alias("__gone")).distinct()
+    return rows.join(gone, F.col("__id") == F.col("__gone"), "left_anti").select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
