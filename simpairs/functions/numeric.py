@@ -13,14 +13,21 @@ from pyspark.sql import functions as F
 
 
 def rnd(x, digits: int = 6) -> Column:
-    c = F.col(x) if isinstance(x, str) else x
+    """Half-up rounding by the rule above.  NaN, infinities and magnitudes
+    that have no digits left to cut (2^53 / 10^digits and more) pass through."""
+    c = (F.col(x) if isinstance(x, str) else x).cast("double")
     scale = float(10 ** digits)
-    return (F.floor(c * F.lit(scale) + F.lit(0.5)).cast("double") / F.lit(scale))
+    whole = F.isnan(c) | (F.abs(c) >= F.lit(2.0 ** 53 / scale))
+    return F.when(whole, c).otherwise(F.floor(c * F.lit(scale) + F.lit(0.5)).cast("double") / F.lit(scale))
 
 
 def rnd_sql(expr: str, digits: int = 6) -> str:
     scale = f"{float(10 ** digits)!r}::DOUBLE"
-    return f"(floor(({expr}) * {scale} + 0.5::DOUBLE) / {scale})"
+    x = f"({expr})::DOUBLE"
+    return (
+        f"(CASE WHEN isnan({x}) OR abs({x}) >= {2.0 ** 53 / 10 ** digits!r}::DOUBLE THEN {x} "
+        f"ELSE floor({x} * {scale} + 0.5::DOUBLE) / {scale} END)"
+    )
 
 
 def fixed4(x) -> Column:

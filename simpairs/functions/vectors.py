@@ -25,10 +25,6 @@ def as_double_array(x) -> Column:
     return _c(x).cast("array<double>")
 
 
-def vsum(x) -> Column:
-    return F.aggregate(_c(x), F.lit(0.0).cast("double"), lambda acc, e: acc + e)
-
-
 def dot(u, v) -> Column:
     """Row-wise dot product."""
     return F.aggregate(F.zip_with(_c(u), _c(v), lambda a, b: a * b), F.lit(0.0).cast("double"), lambda acc, e: acc + e)
@@ -90,7 +86,3 @@ def angle_score(u, v, tau: float = 20.0, pooling: str = "sum") -> Column:
     if pooling == "mean":
         pooled = pooled / F.size(_c(u))
     return F.abs(pooled) * F.lit(tau)
-
-
-def round_array(x, digits: int = 6) -> Column:
-    return F.transform(_c(x), lambda e: F.round(e, digits))

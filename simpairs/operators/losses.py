@@ -2,29 +2,29 @@
 
 * MSE losses are plain ``avg`` aggregations.
 * The ordered-pair ranking losses (CoSENT on cosine, and the angle variant)
-  are computed without enumerating pairs:
-  ``sum_{l_i < l_j} exp(s_i - s_j) = sum_j exp(-s_j) * sum_{l_i < l_j} exp(s_i)``,
-  i.e. per (batch, label) sums and a running sum over labels, stabilised by
-  the batch's max and min score.  Cost is a sort per batch, not B squared.
-* The in-batch contrastive loss needs every dot product inside a batch; it
-  runs as one vectorised numpy step per batch (``applyInPandas``), so no
-  pair rows are emitted.  Batches have a bounded size by construction.
+  are computed without enumerating pairs: per (batch, label) sums, then one
+  fold over a batch's labels in order, all in logarithms.
+* The in-batch contrastive loss needs every dot product inside a batch.  A
+  batch is dealt into tiles of rows; a task holds two tiles, and each row gets
+  a partial ``(max, sum exp)`` per tile it meets.  The partials are merged by
+  an aggregation, so a batch may have any size and no pair rows are emitted.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import NORMALIZE_EPS, angle_score, dot, norm, pairwise_distance
+from ..functions.vectors import NORMALIZE_EPS, angle_score, cosine, dot, norm, pairwise_distance
+from .rank import _null_safe_join
 
 # Default weights and scales of the combined AnglE loss.
 COSINE_W, IBN_W, ANGLE_W = 0.0, 20.0, 1.0
 COSINE_TAU, IBN_TAU, ANGLE_TAU = 20.0, 20.0, 20.0
-MAX_TAU = 200.0          # above this the stabilised sums could overflow
-MAX_IN_BATCH_ROWS = 4096  # 2 x batch size, the bound of one numpy step
+#: Pairs of one tile of an in-batch step; larger batches have several tiles.
+TILE_PAIRS = 1024
 
 
 def normalized_cosine(u, v) -> Column:
@@ -68,31 +68,37 @@ def triplet_per_batch(df: DataFrame, batch_col: str = "batch_id") -> DataFrame:
 def ranking_loss(df: DataFrame, score: str, label: str, batch_col: str = "batch_id") -> DataFrame:
     """``ln(1 + sum over label_i < label_j of exp(s_i - s_j))`` per batch.
 
-    ``score`` is already scaled by tau.  With ``M``/``m`` the batch's max/min
-    score, ``P_l = sum exp(s - M)`` and ``N_l = sum exp(m - s)`` per label,
-    ``S = sum_l N_l * (sum of P over lower labels)`` and the loss is
-    ``(M - m) + ln(exp(-(M - m)) + S)``; no ordered pair gives 0.
+    ``score`` is already scaled by tau.  Per label: the log of the sum of
+    ``exp(s)`` and of ``exp(-s)``, each as a maximum and a scaled sum.  A fold
+    over the labels in order keeps the running log-sum of the lower labels'
+    ``exp(s)`` and of the result, so no span of scores under- or overflows.
+    No ordered pair gives 0; rows without label or score are left out.
     """
-    wb = Window.partitionBy(batch_col)
-    d = df.withColumn("_smax", F.max(score).over(wb)).withColumn("_smin", F.min(score).over(wb))
-    per_label = d.groupBy(batch_col, label).agg(
-        F.sum(F.exp(F.col(score) - F.col("_smax"))).alias("_P"),
-        F.sum(F.exp(F.col("_smin") - F.col(score))).alias("_N"),
-        F.first("_smax").alias("_smax"),
-        F.first("_smin").alias("_smin"),
-    )
-    wl = Window.partitionBy(batch_col).orderBy(label).rowsBetween(Window.unboundedPreceding, -1)
-    per_label = per_label.withColumn("_lower", F.coalesce(F.sum("_P").over(wl), F.lit(0.0)))
-    agg = per_label.groupBy(batch_col).agg(
-        F.sum(F.col("_N") * F.col("_lower")).alias("_S"), F.first("_smax").alias("_smax"), F.first("_smin").alias("_smin")
-    )
-    span = F.col("_smax") - F.col("_smin")
-    return agg.select(batch_col, (span + F.log(F.exp(-span) + F.col("_S"))).alias("loss"))
+    s = F.col(score)
+    known = F.col(label).isNotNull() & s.isNotNull()
+    top = df.groupBy(batch_col, label).agg(F.max(F.when(known, s)).alias("_hi"), F.min(F.when(known, s)).alias("_lo"))
+    d = _null_safe_join(df.select(batch_col, label, s.alias("_s")), top, [batch_col, label])
+    per_label = d.groupBy(batch_col, label, "_hi", "_lo").agg(
+        F.sum(F.exp(F.col("_s") - F.col("_hi"))).alias("_up"), F.sum(F.exp(F.col("_lo") - F.col("_s"))).alias("_down"))
+    rows = per_label.groupBy(batch_col).agg(F.array_sort(F.collect_list(F.when(
+        F.col("_hi").isNotNull(), F.struct(F.col(label).cast("double").alias("l"), "_hi", "_lo", "_up", "_down")))).alias("_labels"))
+    none = F.lit(float("-inf"))
+    zero = F.struct(none.alias("m"), F.lit(0.0).alias("x"), F.lit(0.0).alias("om"), F.lit(1.0).alias("ox"))
+
+    def step(acc, r):
+        # exp(-s) of this label times exp(s) of the lower ones, added to the result.
+        om = F.greatest(acc["om"], acc["m"] - r["_lo"])
+        ox = acc["ox"] * F.exp(acc["om"] - om) + acc["x"] * r["_down"] * F.exp(acc["m"] - r["_lo"] - om)
+        m = F.greatest(acc["m"], r["_hi"])
+        x = acc["x"] * F.exp(acc["m"] - m) + r["_up"] * F.exp(r["_hi"] - m)
+        return F.struct(m.alias("m"), x.alias("x"), om.alias("om"), ox.alias("ox"))
+
+    loss = F.aggregate("_labels", zero, step, lambda acc: acc["om"] + F.log(acc["ox"]))
+    return rows.select(batch_col, loss.alias("loss"))
 
 
 def cosent_loss(df: DataFrame, u: str, v: str, label: str, tau: float = COSINE_TAU, batch_col: str = "batch_id") -> DataFrame:
     """Ranking loss on ``tau * cos(u, v)``."""
-    _check_tau(tau)
     d = df.select(batch_col, label, (F.lit(tau) * normalized_cosine(u, v)).alias("_s"))
     return ranking_loss(d, "_s", label, batch_col)
 
@@ -101,63 +107,51 @@ def angle_loss(
     df: DataFrame, u: str, v: str, label: str, tau: float = ANGLE_TAU, pooling: str = "sum", batch_col: str = "batch_id"
 ) -> DataFrame:
     """Ranking loss on the angle score."""
-    _check_tau(tau)
     d = df.select(batch_col, label, angle_score(u, v, tau, pooling).alias("_s"))
     return ranking_loss(d, "_s", label, batch_col)
 
 
-def _check_tau(tau: float) -> None:
-    if not 0 < tau <= MAX_TAU:
-        raise ValueError(f"tau must be in (0, {MAX_TAU}], got {tau}")
+PARTIAL_SCHEMA = "batch_id long, pair_id long, side int, m double, x double, partner_sim double, score double"
 
 
-IN_BATCH_SCHEMA = "batch_id long, pair_id long, side int, lse double, partner_sim double, ce double"
+def _tile_rows(tau: float, negative_weight: float):
+    """Partial log-sums of the rows of tile ``rt`` over the rows of tile ``ct``."""
 
-
-def _in_batch_rows(tau: float, negative_weight: float, positive_threshold: float | None = None):
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        n = len(pdf)
-        if 2 * n > MAX_IN_BATCH_ROWS:
-            raise ValueError(f"batch of {n} pairs exceeds the in-batch limit of {MAX_IN_BATCH_ROWS // 2}")
-        pdf = pdf.sort_values("pair_id", kind="stable")
-        u = np.stack(pdf["u"].to_numpy()).astype(np.float64)
-        v = np.stack(pdf["v"].to_numpy()).astype(np.float64)
-        x = np.empty((2 * n, u.shape[1]))
-        x[0::2], x[1::2] = u, v  # zigzag rows: u_0, v_0, u_1, v_1, ...
-        x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), NORMALIZE_EPS)
-        sims = x @ x.T
-        idx = np.arange(2 * n)
-        partner = idx ^ 1
-        score = np.repeat(pdf["score"].to_numpy(dtype=np.float64), 2)
-        if positive_threshold is None:
-            positive = np.floor(score) == 1   # scores cut to int, as the reference does
-        else:
-            positive = score >= positive_threshold
-        logits = sims * tau
-        if negative_weight > 0:
-            neg = np.floor(score) == 0
-            logits[idx[neg], partner[neg]] += negative_weight
-        logits[idx, idx] = -np.inf    # self excluded
+        def zigzag(part: pd.DataFrame) -> np.ndarray:
+            u = np.stack(part["u"].to_numpy()).astype(np.float64)
+            v = np.stack(part["v"].to_numpy()).astype(np.float64)
+            x = np.empty((2 * len(part), u.shape[1]))
+            x[0::2], x[1::2] = u, v
+            return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), NORMALIZE_EPS)
+
+        own = bool((pdf["rt"] == pdf["ct"]).iloc[0])
+        rows = pdf[pdf["tile"] == pdf["rt"]]
+        a = zigzag(rows)
+        logits = a @ (a if own else zigzag(pdf[pdf["tile"] == pdf["ct"]])).T * tau
+        idx = np.arange(len(a))
+        score = np.repeat(rows["score"].to_numpy(dtype=np.float64), 2)
+        partner_sim = np.full(len(a), np.nan)
+        if own:
+            partner_sim = logits[idx, idx ^ 1] / tau
+            if negative_weight > 0:  # pairs scored exactly 0
+                zero = score == 0
+                logits[idx[zero], (idx ^ 1)[zero]] += negative_weight
+            logits[idx, idx] = -np.inf  # self excluded
         m = logits.max(axis=1)
-        lse = m + np.log(np.exp(logits - m[:, None]).sum(axis=1))
-        partner_logit = logits[idx, partner]
-        ce = np.where(positive, lse - partner_logit, 0.0)
-        return pd.DataFrame(
-            {
-                "batch_id": np.repeat(pdf["batch_id"].to_numpy(), 2).astype(np.int64),
-                "pair_id": np.repeat(pdf["pair_id"].to_numpy(), 2).astype(np.int64),
-                "side": np.tile([1, 2], n).astype(np.int32),
-                "lse": lse,
-                "partner_sim": sims[idx, partner],
-                "ce": ce,
-            }
-        )
+        return pd.DataFrame({
+            "batch_id": np.repeat(rows["batch_id"].to_numpy(), 2).astype(np.int64),
+            "pair_id": np.repeat(rows["pair_id"].to_numpy(), 2).astype(np.int64),
+            "side": np.tile([1, 2], len(rows)).astype(np.int32),
+            "m": m, "x": np.exp(logits - m[:, None]).sum(axis=1), "partner_sim": partner_sim, "score": score,
+        })
 
     return fn
 
 
 def in_batch_rows(
-    df: DataFrame, tau: float = IBN_TAU, negative_weight: float = 0.0, positive_threshold: float | None = None
+    df: DataFrame, tau: float = IBN_TAU, negative_weight: float = 0.0, positive_threshold: float | None = None,
+    tile_pairs: int | None = None,
 ) -> DataFrame:
     """Per zigzag row of every batch: log-sum-exp over the other rows of the
     batch, similarity to its partner (C3, C4, E11, F2, F3) and the
@@ -166,10 +160,28 @@ def in_batch_rows(
     Input columns: batch_id, pair_id, u, v, score.  A pair is a positive
     when its score cut to an integer is 1 (the reference's rule, so 0.99
     counts as 0), or when ``score >= positive_threshold`` if one is given.
+    With a ``negative_weight``, the partner's logit of a pair scored exactly 0
+    is raised by it.  Batches larger than ``tile_pairs`` are dealt into tiles
+    by a hash of the pair id.
     """
-    _check_tau(tau)
-    d = df.select("batch_id", "pair_id", "u", "v", "score")
-    return d.groupBy("batch_id").applyInPandas(_in_batch_rows(tau, negative_weight, positive_threshold), IN_BATCH_SCHEMA)
+    limit = tile_pairs or TILE_PAIRS
+    sizes = df.groupBy("batch_id").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(limit))).cast("int").alias("_tiles"))
+    d = df.select("batch_id", "pair_id", "u", "v", "score").join(sizes, "batch_id")
+    d = d.withColumn("tile", F.pmod(F.xxhash64("pair_id"), F.col("_tiles")).cast("int"))
+    # A tile meets every tile as rows and every other tile as columns.
+    meets = F.flatten(F.transform(F.sequence(F.lit(0), F.col("_tiles") - 1), lambda k: F.when(
+        k == F.col("tile"), F.array(F.struct(k.alias("rt"), k.alias("ct")))).otherwise(F.array(
+            F.struct(F.col("tile").alias("rt"), k.alias("ct")), F.struct(k.alias("rt"), F.col("tile").alias("ct"))))))
+    dealt = d.withColumn("_meet", F.explode(meets)).select("batch_id", "pair_id", "u", "v", "score", "tile", "_meet.rt", "_meet.ct")
+    partial = dealt.groupBy("batch_id", "rt", "ct").applyInPandas(_tile_rows(tau, negative_weight), PARTIAL_SCHEMA)
+    known = F.when(F.isnan("partner_sim"), None).otherwise(F.col("partner_sim"))
+    merged = partial.groupBy("batch_id", "pair_id", "side").agg(
+        F.collect_list(F.struct("m", "x")).alias("_parts"), F.max("m").alias("_m"), F.max(known).alias("partner_sim"), F.max("score").alias("score"))
+    lse = F.col("_m") + F.log(F.aggregate("_parts", F.lit(0.0), lambda s, p: s + p["x"] * F.exp(p["m"] - F.col("_m"))))
+    positive = F.floor("score") == 1 if positive_threshold is None else F.col("score") >= F.lit(positive_threshold)
+    raised = F.lit(tau) * F.col("partner_sim") + F.when(F.col("score") == 0, F.lit(float(negative_weight))).otherwise(F.lit(0.0))
+    return merged.select("batch_id", "pair_id", "side", lse.alias("lse"), "partner_sim",
+                         F.when(positive, lse - raised).otherwise(F.lit(0.0)).alias("ce"))
 
 
 def in_batch_loss(
@@ -209,9 +221,10 @@ def combined_loss(
 
 # K3: loss chosen by name.
 def select_loss(name: str):
-    """``MSE`` -> cosine MSE per batch; ``AnglE`` -> combined loss; else ValueError."""
+    """``MSE`` -> cosine MSE per batch; ``AnglE`` -> combined loss; else
+    ValueError.  Both take batch_id, pair_id, u, v, score and give batch_id, loss."""
     if name == "MSE":
-        return lambda df: mse_per_batch(df.withColumn("_cos", F.col("cos")), "_cos", "score")
+        return lambda df: mse_per_batch(df.withColumn("_cos", cosine("u", "v")), "_cos", "score").select("batch_id", "loss")
     if name == "AnglE":
         return combined_loss
     raise ValueError(f"Unknown loss function {name}")

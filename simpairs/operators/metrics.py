@@ -1,8 +1,8 @@
 """Evaluation metrics.
 
 All are aggregations with partial (map-side) combine; Spearman adds the
-bucketed average ranks of ``rank.average_rank2`` so a stage holding a third of
-the rows is still spread over many tasks.
+bucketed average ranks of ``rank.rank_table`` over rows collapsed by value, so
+a stage holding a third of the rows is still spread over many tasks.
 """
 
 from __future__ import annotations
@@ -24,27 +24,6 @@ def pearson(x, y) -> Column:
     return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
 
-def with_ranks(df: DataFrame, y: str, y_hat: str, group_cols: Iterable[str] = ()) -> DataFrame:
-    """Adds ``rank2_y`` and ``rank2_p``: doubled average ranks within the group.
-
-    Both variables are ranked in one pass over a long form (group, which,
-    value); the rank table is then joined twice, so the input's lineage
-    appears twice in the plan, not once per rank step.
-    """
-    g = _cols(group_cols)
-    long = df.select(
-        *g,
-        F.expr(f"stack(2, 'y', CAST({y} AS DOUBLE), 'p', CAST({y_hat} AS DOUBLE)) AS (_which, _v)"),
-    )
-    rt = rank_table(long, "_v", [*g, "_which"], out="_r2")
-    ry = rt.where(F.col("_which") == "y").select(*g, F.col("_v").alias("_vy"), F.col("_r2").alias("rank2_y"))
-    rp = rt.where(F.col("_which") == "p").select(*g, F.col("_v").alias("_vp"), F.col("_r2").alias("rank2_p"))
-    d = df.withColumn("_vy", F.col(y).cast("double")).withColumn("_vp", F.col(y_hat).cast("double"))
-    d = _null_safe_join(d, ry, [*g, "_vy"], how="left")
-    d = _null_safe_join(d, rp, [*g, "_vp"], how="left")
-    return d.drop("_vy", "_vp")
-
-
 def correlations(
     df: DataFrame,
     y: str,
@@ -56,15 +35,22 @@ def correlations(
 ) -> DataFrame:
     """Per group: ``n``, ``pearson`` and (optionally) ``spearman`` of y, y_hat.
 
-    Rows with a null y or y_hat are left out, as the reference never sees them.
+    Rows with a null y or y_hat are left out, as the reference never sees
+    them.  A NaN in either variable makes both correlations of its group NaN;
+    a constant side or a single row makes them null.  Null groups are groups.
+
+    Spearman collapses equal (group, y, y_hat) rows to one weighted row before
+    any ranking or join; its moments are weighted double sums of the ranks.
     """
     g = _cols(group_cols)
     d = df.where(F.col(y).isNotNull() & F.col(y_hat).isNotNull())
-    aggs = [F.count(F.lit(1)).alias("n"), pearson(y, y_hat).alias("pearson"), *extra_aggs]
+    out = d.groupBy(*g).agg(F.count(F.lit(1)).alias("n"), pearson(y, y_hat).alias("pearson"), *extra_aggs)
     if spearman:
-        d = with_ranks(d, y, y_hat, g)
-        aggs.append(pearson(F.col("rank2_y").cast("double"), F.col("rank2_p").cast("double")).alias("spearman"))
-    out = d.groupBy(*g).agg(*aggs)
+        ranked = rank_correlation(d, y, y_hat, g)
+        if g:
+            out = _null_safe_join(out, ranked, g, "left")
+        else:
+            out = out.withColumn("spearman", ranked.select("spearman").scalar())
     if digits is not None:
         for c in ("pearson", "spearman"):
             if c in out.columns:
@@ -72,6 +58,32 @@ def correlations(
     return out
 
 
+def rank_correlation(df: DataFrame, y: str, y_hat: str, group_cols: Iterable[str] = ()) -> DataFrame:
+    """Per group: ``spearman``, the Pearson correlation of average ranks.
+
+    ``df`` may carry a ``weight`` column, the number of rows that each of its
+    rows stands for."""
+    g = _cols(group_cols)
+    weight = F.col("weight") if "weight" in df.columns else F.lit(1).cast("bigint")
+    pairs = df.select(*g, F.col(y).cast("double").alias("_y"), F.col(y_hat).cast("double").alias("_p"), weight.alias("_w"))
+    pairs = pairs.groupBy(*g, "_y", "_p").agg(F.sum("_w").alias("_w"))
+    long = pairs.select(*g, "_w", F.expr("stack(2, 'y', _y, 'p', _p) AS (_which, _v)"))
+    ranks = rank_table(long, "_v", [*g, "_which"], out="_r2", weight="_w")
+    ry = ranks.where(F.col("_which") == "y").select(*g, F.col("_v").alias("_y"), F.col("_r2").alias("_ry"))
+    rp = ranks.where(F.col("_which") == "p").select(*g, F.col("_v").alias("_p"), F.col("_r2").alias("_rp"))
+    both = _null_safe_join(_null_safe_join(pairs, ry, [*g, "_y"]), rp, [*g, "_p"])
+    # Weighted moments around the known mean rank (n + 1) / 2, doubled: n + 1.
+    total = both.groupBy(*g).agg(F.sum("_w").alias("_n"))
+    both = _null_safe_join(both, total, g) if g else both.withColumn("_n", total.select("_n").scalar())
+    a, b, w = F.col("_ry") - F.col("_n") - 1, F.col("_rp") - F.col("_n") - 1, F.col("_w").cast("double")
+    sums = both.groupBy(*g).agg(
+        F.sum(w * a * b).alias("_ab"), F.sum(w * a * a).alias("_aa"), F.sum(w * b * b).alias("_bb"),
+        F.max((F.isnan("_y") | F.isnan("_p")).cast("int")).alias("_bad"))
+    value = F.when(F.col("_bad") == 1, F.lit(float("nan"))).otherwise(
+        F.try_divide(F.col("_ab"), F.sqrt(F.col("_aa")) * F.sqrt(F.col("_bb"))))
+    return sums.select(*g, value.alias("spearman"))
+
+
 def mean_batch_loss(
     df: DataFrame,
     loss: str | Column,
@@ -104,7 +116,7 @@ def epoch_metrics(
     g = _cols(group_cols)
     corr = correlations(df, y, y_hat, g, spearman=True, digits=digits)
     losses = mean_batch_loss(df, loss, batch_col, g).withColumn("avg_loss", rnd("avg_loss", digits))
-    return corr.join(losses, on=g, how="inner")
+    return _null_safe_join(corr, losses, g) if g else corr.withColumn("avg_loss", losses.select("avg_loss").scalar())
 
 
 def batch_accuracy(df: DataFrame, correct: Column, batch_col: str, group_cols: Iterable[str] = ()) -> DataFrame:

@@ -5,12 +5,14 @@ window partitioned by a heavy key does the same for that key.  Here every
 order is first cut into *buckets* whose order agrees with the row order:
 
 * hash orders use a prefix of the md5 key (uniform by construction);
-* value orders use equi-width cells between the group's min and max.
-
-Rows are counted per (group, bucket); a prefix sum over those counts (at most
-``16 ** digits`` or ``cells`` rows per group) gives each bucket its offset, and the
-final ``row_number`` runs per (group, bucket), so no task sees more than one
-bucket of one group.
+* value orders are cut at values of a sorted sample of the order key, ties
+  included, so neither an outlier nor a value shared by many rows fills one
+  bucket.  The sample is drawn by a hash of the key: every evaluation of the
+  plan cuts at the same values.
+
+Rows are counted per (group, bucket); a prefix sum over those counts gives each
+bucket its offset, and the final ``row_number`` runs per (group, bucket), so no
+task sees more than one bucket of one group.
 """
 
 from __future__ import annotations
@@ -24,6 +26,11 @@ from pyspark.sql import functions as F
 from ..functions.hashing import hash_bucket
 
 BUCKET = "_bucket"
+#: Rows of a group that may share a bucket; smaller groups are one bucket.
+ROWS_PER_BUCKET = 100_000
+#: Sampled keys per group, and the most buckets of a group (a power of two).
+SAMPLE_KEYS = 20_000
+MOST_BUCKETS = 4096
 
 
 def _cols(xs) -> list:
@@ -45,7 +52,7 @@ def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(r, cond, how).select(*keep)
 
 
-def with_hash_bucket(df: DataFrame, hex_key: str, digits: int = 3) -> DataFrame:
+def with_hash_bucket(df: DataFrame, hex_key: str, digits: int = 4) -> DataFrame:
     """Bucket = first ``digits`` hex digits of an md5 column (16**digits buckets)."""
     return df.withColumn(BUCKET, hash_bucket(F.col(hex_key), digits))
 
@@ -54,31 +61,44 @@ def with_value_bucket(
     df: DataFrame,
     group_cols: Iterable[str],
     key: str,
-    cells: int = 4096,
+    tie_cols: Sequence[str] = (),
+    rows_per_bucket: int | None = None,
 ) -> DataFrame:
-    """Bucket = equi-width cell of ``key`` between its group's min and max.
-
-    One small aggregate (min, max per group) is joined back; the cell is a
-    single codegen'd expression ``floor((key - min) / (max - min) * cells)``,
-    monotone in the key, so equal keys share a cell and cells are ordered like
-    the key: positions computed per cell add up exactly.  ``cells`` bounds the
-    size of the per-group offset table; raise it for groups of more than about
-    10**10 distinct keys.
+    """Bucket = number of the group's cut points at or below (key, ties).
+
+    The order of buckets is the order of (key, ties): nulls first, NaN after
+    infinity.  Groups up to ``rows_per_bucket`` rows have no cuts.  Larger
+    groups get about one cut per ``rows_per_bucket`` rows, taken at even steps
+    from at most about ``SAMPLE_KEYS`` sampled keys; a row finds its bucket by
+    binary search.  Rows equal in key and all ties share a bucket.
     """
     g = _cols(group_cols)
+    limit = rows_per_bucket or ROWS_PER_BUCKET
+    order = F.struct(*[F.col(c) for c in (key, *tie_cols)])
+    counts = df.groupBy(*g).agg(F.count(F.lit(1)).alias("_gn")).where(F.col("_gn") > limit)
+    unit = F.pmod(F.xxhash64(order), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    keys = df.select(*g, order.alias("_order"), unit.alias("_unit"))
     if g:
-        bounds = df.groupBy(*g).agg(F.min(key).alias("_kmin"), F.max(key).alias("_kmax"))
-        d = _null_safe_join(df, bounds, g)
+        keys = _null_safe_join(keys, counts, g)
     else:
-        # One (min, max) pair: a scalar subquery, no join.
-        mm = df.agg(F.struct(F.min(key).alias("lo"), F.max(key).alias("hi"))).scalar()
-        d = df.withColumn("_kmin", mm["lo"]).withColumn("_kmax", mm["hi"])
-    k = F.col(key).cast("double")
-    lo = F.col("_kmin").cast("double")
-    span = F.col("_kmax").cast("double") - lo
-    cell = F.when(span > 0, F.least(F.floor((k - lo) / span * F.lit(cells)), F.lit(cells - 1))).otherwise(F.lit(0))
-    rest = [c for c in d.columns if c not in ("_kmin", "_kmax")]
-    return d.select(*rest, cell.cast("bigint").alias(BUCKET))
+        keys = keys.withColumn("_gn", counts.select("_gn").scalar())
+    drawn = keys.where(F.col("_unit") < F.lit(float(SAMPLE_KEYS)) / F.col("_gn"))
+    sampled = drawn.groupBy(*g).agg(F.array_sort(F.collect_list("_order")).alias("_s"), F.max("_gn").alias("_gn"))
+    # An even number of steps through the sample: 2^depth - 1 cuts for the search.
+    wanted = F.least(F.ceil(F.col("_gn") / F.lit(limit)), F.size("_s"), F.lit(MOST_BUCKETS)).cast("int")
+    depth = F.greatest(F.ceil(F.log2(wanted.cast("double"))), F.lit(0)).cast("int")
+    cuts = sampled.select(*g, F.col("_s"), depth.alias("_depth")).select(
+        *g, F.expr("transform(sequence(1, shiftleft(1, _depth)), k -> get(_s, least(size(_s) - 1, cast(k * size(_s) div shiftleft(1, _depth) as int))))").alias("_cuts"),
+        F.expr("transform(sequence(_depth, 0, -1), k -> cast(shiftleft(1, k) div 2 as int))").alias("_steps"))
+    d = df.withColumn("_order", order)
+    if g:
+        d = _null_safe_join(d, cuts, g, "left")
+    else:
+        one = cuts.select(F.struct("_cuts", "_steps").alias("c")).scalar()
+        d = d.withColumn("_cuts", one["_cuts"]).withColumn("_steps", one["_steps"])
+    found = F.aggregate("_steps", F.lit(0), lambda at, step: F.when(
+        (step > 0) & (F.element_at(F.col("_cuts"), F.greatest(at + step, F.lit(1))) <= F.col("_order")), at + step).otherwise(at))
+    return d.select(*df.columns, F.coalesce(found, F.lit(0)).cast("bigint").alias(BUCKET))
 
 
 def prefix_before(
@@ -101,7 +121,7 @@ def prefix_before(
     wb = Window.partitionBy(*g).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*g, BUCKET, F.coalesce(F.sum("_bn").over(wb), F.lit(0).cast("bigint")).alias("_boff"))
     if not g:
-        # At most 16**digits or `cells` rows: a proven bound.
+        # At most 16**digits or MOST_BUCKETS rows: a proven bound.
         offsets = F.broadcast(offsets)
     joined = _null_safe_join(df, offsets, [*g, BUCKET])
     wr = Window.partitionBy(*g, BUCKET).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, -1)
@@ -135,7 +155,7 @@ def hash_rank(
     tie_cols: Sequence[str],
     group_cols: Iterable[str] = (),
     out: str = "pos",
-    digits: int = 3,
+    digits: int = 4,
 ) -> DataFrame:
     """1-based position by an md5 key (ties by ``tie_cols``): a seeded shuffle."""
     tmp = "_hkey"
@@ -150,10 +170,10 @@ def value_rank(
     tie_cols: Sequence[str] = (),
     group_cols: Iterable[str] = (),
     out: str = "pos",
-    cells: int = 4096,
+    rows_per_bucket: int | None = None,
 ) -> DataFrame:
-    """1-based position by a numeric ``key`` ascending, ties by ``tie_cols``."""
-    d = with_value_bucket(df, group_cols, key, cells=cells)
+    """1-based position by ``key`` ascending, ties by ``tie_cols``."""
+    d = with_value_bucket(df, group_cols, key, tie_cols, rows_per_bucket)
     return ordered_index(d, [F.col(key), *[F.col(c) for c in tie_cols]], group_cols, out)
 
 
@@ -162,29 +182,19 @@ def rank_table(
     value: str,
     group_cols: Iterable[str] = (),
     out: str = "rank2",
-    cells: int = 4096,
+    weight: str | None = None,
+    rows_per_bucket: int | None = None,
 ) -> DataFrame:
     """Distinct (group, value) with the doubled average rank of the value.
 
     ``2 * avg_rank = 2 * before + count + 1`` with ``before`` the rows with a
     strictly smaller value.  Ties are collapsed first, so one value held by a
-    third of the rows is a single row here.  Null values are left out.
+    third of the rows is a single row here.  Null values are left out; NaN
+    ranks above infinity.  ``weight`` counts each row that many times.
     """
     g = _cols(group_cols)
-    distinct = df.where(F.col(value).isNotNull()).groupBy(*g, value).agg(F.count(F.lit(1)).alias("_tc"))
-    distinct = with_value_bucket(distinct, g, value, cells=cells)
+    n = F.sum(weight) if weight else F.count(F.lit(1))
+    distinct = df.where(F.col(value).isNotNull()).groupBy(*g, value).agg(n.alias("_tc"))
+    distinct = with_value_bucket(distinct, g, value, (), rows_per_bucket)
     distinct = prefix_before(distinct, [F.col(value)], g, weight="_tc", out="_tb")
     return distinct.select(*g, value, (F.col("_tb") * 2 + F.col("_tc") + 1).cast("bigint").alias(out))
-
-
-def average_rank2(
-    df: DataFrame,
-    value: str,
-    group_cols: Iterable[str] = (),
-    out: str = "rank2",
-    cells: int = 4096,
-) -> DataFrame:
-    """``df`` with the doubled average rank of ``value`` in its group (BIGINT);
-    rows with a null value get null."""
-    g = _cols(group_cols)
-    return _null_safe_join(df, rank_table(df, value, g, out, cells), [*g, value], how="left")

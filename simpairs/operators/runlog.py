@@ -31,6 +31,12 @@ DEFAULT_HPARAMS = {
     "data_augmentation_translate_data": False,
     "training_method": "simple-train",
 }
+# Option defaults of one experiment (B9), for `overlay`; they
+# differ from the report defaults in the batch size and name no training method.
+EXPERIMENT_DEFAULTS = {
+    **{k: v for k, v in DEFAULT_HPARAMS.items() if k != "training_method"},
+    "batch_size": 16,
+}
 # Metric prefixes of the logs.
 METRIC_PREFIXES = ("dev", "test")
 BLOCK = 4096  # epochs per block of the blocked running maximum

@@ -5,7 +5,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
-from simpairs.operators.losses import in_batch_loss, ranking_loss, select_loss
+from simpairs.operators.losses import in_batch_loss, in_batch_rows, ranking_loss, select_loss
 
 
 def brute_ranking(labels, scores):
@@ -99,3 +99,52 @@ def test_zigzag_rows(spark):
     df = spark.createDataFrame([(0, 0, [1.0], [2.0]), (0, 1, [3.0], [4.0])], "batch_id long, batch_idx long, u array<double>, v array<double>")
     rows = {r.idx: (r.vec[0], r.partner) for r in zigzag_rows(df).collect()}
     assert rows == {0: (1.0, 1), 1: (2.0, 0), 2: (3.0, 3), 3: (4.0, 2)}
+
+
+def test_wide_spans_do_not_underflow(spark):
+    df = spark.createDataFrame([(0, 0.0, 0.0), (0, 1.0, 1000.0), (1, 0.0, 2000.0), (1, 1.0, -2000.0), (2, None, 5.0), (2, 1.0, 3.0)],
+                               "batch_id long, label double, s double")
+    got = {r.batch_id: r.loss for r in ranking_loss(df, "s", "label").collect()}
+    assert got[0] == 0.0 and abs(got[1] - 4000.0) < 1e-9 and got[2] == 0.0
+
+
+def _pairs(spark, n, dims=5, seed=6):
+    rng = np.random.default_rng(seed)
+    rows = [(0, k, rng.normal(size=dims).tolist(), rng.normal(size=dims).tolist(), float(k % 3 == 0) if k % 5 else 0.95) for k in range(n)]
+    return spark.createDataFrame(rows, "batch_id long, pair_id long, u array<double>, v array<double>, score double")
+
+
+def test_tiles_give_the_same_rows_as_one_step(spark):
+    df = _pairs(spark, 60)
+    key = lambda r: (r.pair_id, r.side)
+    one = sorted(in_batch_rows(df, 20.0, 5.0, 0.9).collect(), key=key)
+    many = sorted(in_batch_rows(df, 20.0, 5.0, 0.9, tile_pairs=7).collect(), key=key)
+    assert len(one) == len(many) == 120
+    for a, b in zip(one, many):
+        assert all(abs(a[c] - b[c]) < 1e-9 for c in ("lse", "partner_sim", "ce"))
+
+
+def test_batches_of_any_size_and_any_tau(spark):
+    df = _pairs(spark, 2500, 3)
+    got = in_batch_rows(df, tau=500.0).collect()
+    assert len(got) == 5000 and all(math.isfinite(r.lse) for r in got)
+
+
+def test_negative_weight_marks_scores_of_zero_only(spark):
+    u, v = [1.0, 0.0], [0.6, 0.8]
+    df = spark.createDataFrame([(0, 0, u, v, 0.95), (0, 1, v, u, 0.0), (0, 2, u, u, 0.5)],
+                               "batch_id long, pair_id long, u array<double>, v array<double>, score double")
+    plain = {(r.pair_id, r.side): r for r in in_batch_rows(df, 20.0, 0.0, 0.9).collect()}
+    heavy = {(r.pair_id, r.side): r for r in in_batch_rows(df, 20.0, 5.0, 0.9).collect()}
+    for k, r in heavy.items():
+        if k[0] == 1:
+            assert r.lse > plain[k].lse
+        else:
+            assert abs(r.lse - plain[k].lse) < 1e-12 and abs(r.ce - plain[k].ce) < 1e-12
+
+
+def test_losses_chosen_by_name_take_the_same_rows(spark):
+    df = _pairs(spark, 20, 4)
+    for name in ("MSE", "AnglE"):
+        out = select_loss(name)(df)
+        assert out.columns == ["batch_id", "loss"] and out.count() == 1

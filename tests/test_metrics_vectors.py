@@ -52,14 +52,10 @@ def test_angle_score_matches_complex_division(spark):
     u, v = rng.normal(size=8), rng.normal(size=8)
     df = spark.createDataFrame([(u.tolist(), v.tolist())], "u array<double>, v array<double>")
     got = df.select(angle_score("u", "v", tau=20.0).alias("s")).first().s
-    a, b, c, d = u[:4], u[4:], v[:4], v[4:]
-    z = np.sum(c ** 2 + d ** 2)
-    re = (a * c + b * d) / z
-    im = (b * c - a * d) / z
-    dz, dw = np.sqrt(np.sum(a ** 2 + b ** 2)), np.sqrt(np.sum(c ** 2 + d ** 2))
-    re, im = re / (dz / dw), im / (dz / dw)
-    ref = abs(np.sum(np.concatenate([re, im]))) * 20.0
-    assert abs(got - ref) < 1e-9
+    quotient = (u[:4] + 1j * u[4:]) * np.conj(v[:4] + 1j * v[4:]) / (np.linalg.norm(u) * np.linalg.norm(v))
+    assert abs(got - 20.0 * abs(quotient.real.sum() + quotient.imag.sum())) < 1e-9
+    mean = df.select(angle_score("u", "v", tau=20.0, pooling="mean").alias("s")).first().s
+    assert abs(mean - 20.0 * abs(np.concatenate([quotient.real, quotient.imag]).mean())) < 1e-9
 
 
 def test_pairwise_distance_adds_eps(spark):
@@ -84,3 +80,36 @@ def test_epoch_metrics_groups_all_stages_at_once(spark):
     assert set(got) == {"dev", "test"}
     assert got["dev"].n == 12 and got["dev"].avg_loss == 0.5 and got["dev"].n_batches == 3
     assert -1.0 <= got["test"].spearman <= 1.0
+
+
+def test_nan_makes_the_correlations_nan(spark):
+    nan = float("nan")
+    rows = [("a", 1.0, 2.0), ("a", 2.0, nan), ("a", 3.0, 1.0), ("b", 1.0, 1.0), ("b", 2.0, 3.0), (None, 1.0, 1.0), (None, 2.0, 0.0)]
+    df = spark.createDataFrame(rows, "g string, y double, p double")
+    got = {r.g: r for r in correlations(df, "y", "p", ["g"]).collect()}
+    assert math.isnan(got["a"].pearson) and math.isnan(got["a"].spearman)
+    assert (got["b"].spearman, got[None].spearman, got[None].n) == (1.0, -1.0, 2)
+
+
+def test_rounding_keeps_nan_infinity_and_large_values(spark):
+    from simpairs.functions.numeric import rnd
+
+    inf = float("inf")
+    df = spark.createDataFrame([(x,) for x in (float("nan"), inf, -inf, 1e13, -2.5e15, 0.1234565, None)], "x double")
+    got = [r.r for r in df.select(rnd("x").alias("r")).collect()]
+    assert math.isnan(got[0]) and got[1:5] == [inf, -inf, 1e13, -2.5e15] and got[6] is None and abs(got[5] - 0.123457) < 1e-12
+
+
+def test_epoch_metrics_keep_null_groups(spark):
+    from simpairs.operators.metrics import epoch_metrics
+
+    rows = [(s, b, float(i), float(i * i), 1.0) for s in ("dev", None) for b in range(2) for i in range(3)]
+    df = spark.createDataFrame(rows, "stage string, batch_id long, y double, p double, loss double")
+    assert {r.stage for r in epoch_metrics(df, "y", "p", "loss", "batch_id", ["stage"]).collect()} == {"dev", None}
+
+
+def test_pairwise_distance_other_norms(spark):
+    df = spark.createDataFrame([([1.0, 5.0], [4.0, 1.0])], "u array<double>, v array<double>")
+    for p in (1.0, 3.0):
+        got = df.select(pairwise_distance("u", "v", p).alias("d")).first().d
+        assert abs(got - np.linalg.norm(np.array([-3.0, 4.0]) + 1e-6, p)) < 1e-9

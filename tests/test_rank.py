@@ -5,7 +5,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from simpairs.functions.hashing import hash_key
-from simpairs.operators.rank import average_rank2, hash_rank, value_rank
+from simpairs.operators.rank import hash_rank, rank_table, value_rank, with_value_bucket
 
 
 def test_value_rank_matches_window(spark):
@@ -29,5 +29,37 @@ def test_hash_rank_is_a_permutation_and_partition_free(spark):
 
 def test_average_ranks(spark):
     df = spark.createDataFrame([(0.1,), (0.1,), (0.5,), (0.9,)], "v double")
-    got = sorted(r.rank2 / 2 for r in average_rank2(df, "v").collect())
-    assert got == [1.5, 1.5, 3.0, 4.0]
+    got = sorted(((r.v, r.rank2 / 2) for r in rank_table(df, "v").collect()))
+    assert got == [(0.1, 1.5), (0.5, 3.0), (0.9, 4.0)]
+    weighted = spark.createDataFrame([(0.1, 2), (0.5, 1), (0.9, 1)], "v double, w long")
+    assert sorted((r.v, r.rank2 / 2) for r in rank_table(weighted, "v", weight="w").collect()) == got
+
+
+def _sizes(df):
+    return sorted(r["count"] for r in df.groupBy("_bucket").count().collect())
+
+
+def test_one_outlier_does_not_fill_a_bucket(spark):
+    inf, nan = float("inf"), float("nan")
+    df = spark.range(0, 10000).select("id", F.when(F.col("id") == 5, inf).when(F.col("id") == 6, nan).when(F.col("id") == 7, None)
+                                      .otherwise(F.col("id").cast("double")).alias("v"))
+    d = with_value_bucket(df, [], "v", ["id"], rows_per_bucket=500)
+    assert max(_sizes(d)) < 1200
+    pos = {r.id: r.pos for r in value_rank(df, "v", ["id"], rows_per_bucket=500).collect()}
+    assert (pos[7], pos[5], pos[6]) == (1, 9999, 10000) and sorted(pos.values()) == list(range(1, 10001))
+
+
+def test_equal_values_are_split_by_their_ties(spark):
+    df = spark.range(0, 9000).select("id", (F.col("id") % 2).alias("g"), F.lit(3.0).alias("v"))
+    d = with_value_bucket(df, ["g"], "v", ["id"], rows_per_bucket=300)
+    assert max(r["count"] for r in d.groupBy("g", "_bucket").count().collect()) < 900
+    got = value_rank(df, "v", ["id"], ["g"], rows_per_bucket=300)
+    assert got.where(F.col("pos") != F.expr("id div 2") + 1).count() == 0
+
+
+def test_groups_with_and_without_cuts_together(spark):
+    df = spark.range(0, 6000).select(F.when(F.col("id") < 5000, F.lit(None)).otherwise(F.col("id") % 50).alias("g"),
+                                     ((F.col("id") * 7919) % 1000).cast("double").alias("v"), "id")
+    mine = value_rank(df, "v", ["id"], ["g"], rows_per_bucket=400).select("id", "pos")
+    ref = df.select("id", F.row_number().over(Window.partitionBy("g").orderBy("v", "id")).alias("ref"))
+    assert mine.join(ref, "id").where(F.col("pos") != F.col("ref")).count() == 0

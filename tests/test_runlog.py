@@ -101,10 +101,10 @@ def test_golden_run_logs(spark):
     assert all(r.parse_error is None for r in hp.values())
 
 
-def test_configuration_defaults_and_extra_keys():
-    from simpairs.operators.grid import Configuration, grid_configs
+def test_experiment_defaults_and_extra_keys(spark):
+    from simpairs.operators.grid import effective_batch_size
+    from simpairs.operators.runlog import EXPERIMENT_DEFAULTS, overlay
 
-    c = Configuration(batch_size=64, loss_function="MSE")
-    assert c.effective_batch == 64 * 16 and c.loss_function == "MSE" and c.lr == 2e-05
-    cfgs = grid_configs({"a": [1, 2], "b": ["x", "y"]})
-    assert [(x.a, x.b) for x in cfgs] == [(1, "x"), (1, "y"), (2, "x"), (2, "y")]
+    logged = spark.createDataFrame([(64, "MSE"), (None, None)], "batch_size int, loss_function string")
+    rows = overlay(logged, EXPERIMENT_DEFAULTS).withColumn("eff", effective_batch_size("batch_size", "accumulate_grad_batches")).collect()
+    assert [(r.eff, r.loss_function, r.lr) for r in rows] == [(1024, "MSE", 2e-05), (256, None, 2e-05)]
