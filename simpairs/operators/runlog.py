@@ -14,7 +14,7 @@ from typing import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .rank import _cols, _null_safe_join
+from .rank import _cols, _null_safe_join, value_rank
 
 # Report defaults of the run-log overlay, in the reference's order.
 DEFAULT_HPARAMS = {
@@ -66,11 +66,12 @@ def as_name_list(df: DataFrame, c: str) -> Column:
 
 
 def drop_tail(df: DataFrame, n_tail: int = 2, run_col: str = "run_id", epoch_col: str = "epoch") -> DataFrame:
-    """Drop the last ``n_tail`` epochs of every run (B11); the count per run is
-    a partial aggregation, no window over a whole run."""
-    counts = df.groupBy(run_col).agg(F.max(epoch_col).alias("_last"))
-    j = _null_safe_join(df, counts, [run_col])
-    return j.where(F.col(epoch_col) <= F.col("_last") - n_tail).drop("_last")
+    """Drop the last ``n_tail`` epochs of every run by position from the end
+    (B11), whatever gaps the epoch numbers have; all rows of an epoch go."""
+    epochs = df.select(run_col, epoch_col).distinct().withColumn("_back", -F.col(epoch_col))
+    tail = value_rank(epochs, "_back", group_cols=[run_col], out="_from_end").where(F.col("_from_end") <= n_tail)
+    t = tail.select(F.col(run_col).alias("_tr"), F.col(epoch_col).alias("_te"))
+    return df.join(t, df[run_col].eqNullSafe(t["_tr"]) & df[epoch_col].eqNullSafe(t["_te"]), "left_anti")
 
 
 def present_metrics(df: DataFrame, run_col: str = "run_id") -> DataFrame:
@@ -88,12 +89,38 @@ def split_name(metric: str | Column = "metric") -> tuple[Column, Column]:
     return prefix, suffix
 
 
+def py_double(c: Column) -> Column:
+    """A double as Python's ``repr`` prints it: shortest digits, plain notation
+    from 1e-4 up to 1e16, otherwise ``2e-05`` form; ``nan``, ``inf``."""
+    text = c.cast("double").cast("string")
+    pattern = r"^(-?)(\d)\.(\d+)E(-?\d+)$"
+    sign, lead, frac = (F.regexp_extract(text, pattern, k) for k in (1, 2, 3))
+    power = F.regexp_extract(text, pattern, 4).try_cast("int")
+    tail = F.when(frac == "0", F.lit("")).otherwise(frac)
+    digits = F.concat(lead, tail)
+    whole = F.rpad(digits, power + 1, "0")
+    plain = F.when(power >= 0, F.concat(
+        F.substring(whole, F.lit(1), power + 1), F.lit("."),
+        F.when(F.length(digits) > power + 1, F.substring(digits, power + 2, F.length(digits))).otherwise(F.lit("0")),
+    )).otherwise(F.concat(F.lit("0."), F.repeat(F.lit("0"), F.greatest(-power - 1, F.lit(0))), digits))
+    size = F.abs(power).cast("string")
+    scientific = F.concat(lead, F.when(tail == "", F.lit("")).otherwise(F.concat(F.lit("."), tail)), F.lit("e"),
+                          F.when(power < 0, F.lit("-")).otherwise(F.lit("+")), F.when(F.length(size) < 2, F.lpad(size, 2, "0")).otherwise(size))
+    return (
+        F.when(F.isnan(c), F.lit("nan")).when(text == "Infinity", F.lit("inf")).when(text == "-Infinity", F.lit("-inf"))
+        .when(power.isNull(), text).when((power >= 16) | (power < -4), F.concat(sign, scientific))
+        .otherwise(F.concat(sign, plain))
+    )
+
+
 def py_text(c: Column, dtype: str) -> Column:
     """A value as Python's ``str()`` prints it; null as ``None``."""
     if dtype == "boolean":
         t = F.when(c.isNull(), F.lit(None)).when(c, F.lit("True")).otherwise(F.lit("False"))
     elif dtype.startswith("array"):
         t = F.concat(F.lit("['"), F.array_join(c, "', '"), F.lit("']"))
+    elif dtype in ("double", "float"):
+        t = py_double(c)
     else:
         t = c.cast("string")
     return F.coalesce(t, F.lit("None"))
@@ -151,19 +178,40 @@ def select_runs(df: DataFrame, run_ids: Sequence[int], run_col: str = "run_id")
     return df.join(F.broadcast(sel), df[run_col] == sel["_sel_run"], "inner").drop("_sel_run")
 
 
+def metric_names(metrics_long: DataFrame) -> list[str]:
+    """All metric names found in the data, sorted (D16).  One row per name,
+    which is the width of the report that is built from them."""
+    return [r[0] for r in metrics_long.select("metric").distinct().orderBy("metric").collect()]
+
+
 def report(
     metrics_long: DataFrame,
     hparams: DataFrame,
     hp_keys: Sequence[str],
-    metric_names: Sequence[str],
+    names: Sequence[str] | None = None,
     run_col: str = "run_id",
 ) -> DataFrame:
-    """One row per run: chosen hyper-parameters, then the sorted metrics,
-    missing -> null (D19).  ``metric_names`` are the pivot values (D16)."""
-    wide = metrics_long.groupBy(run_col).pivot("metric", sorted(metric_names)).agg(F.first("value"))
+    """One row per run of ``hparams``: chosen hyper-parameters, then the sorted
+    metrics, missing -> null (D19).  ``names`` are the pivot values; without
+    them they are found in the data (D16).  Only the metrics of those runs
+    are pivoted."""
+    runs = hparams.select(run_col).distinct()
+    own = metrics_long.join(runs, run_col, "left_semi")
+    wide = own.groupBy(run_col).pivot("metric", sorted(names) if names is not None else metric_names(own)).agg(F.first("value"))
     return hparams.select(run_col, *hp_keys).join(wide, run_col, "left")
 
 
+def overlay_options(df: DataFrame, defaults: dict, options: str = "options") -> DataFrame:
+    """Any logged key over the defaults (B8, B9): ``options`` becomes a map of
+    every default and every logged key, values as JSON text."""
+    import json
+
+    base = F.create_map(*[F.lit(x) for k, v in defaults.items() for x in (k, json.dumps(v))])
+    logged = F.coalesce(F.col(options), F.create_map().cast("map<string,string>"))
+    rest = F.map_filter(base, lambda k, v: ~F.map_contains_key(logged, k))
+    return df.withColumn(options, F.map_concat(rest, logged))
+
+
 def best_epoch(series: DataFrame, run_col: str = "run_id", epoch_col: str = "epoch", value: str = "value") -> DataFrame:
     """Per run: epoch of the highest value, earliest on ties (E6); NaN is
     treated as missing.  Also the run's length and its last epoch."""
@@ -176,7 +224,7 @@ def best_epoch(series: DataFrame, run_col: str = "run_id", epoch_col: str = "epo
         run_col,
         "n_epochs",
         "last_epoch",
-        (-F.col("_b._ne")).alias("best_epoch"),
+        F.when(F.col("_b._v").isNotNull(), -F.col("_b._ne")).alias("best_epoch"),
         F.col("_b._v").alias("best_value"),
     )
 
