@@ -11,7 +11,10 @@ and full shingle sets decide.
 Within a group all members are compared with one pivot, never all with all.
 Jaccard distance is a metric: members as close to the pivot as the threshold
 need no comparison with members farther than twice the threshold's distance.
-What is left of a group is regrouped by a further band until it is small.
+Only links between components matter, so what is in one component already is
+left alone.  Members in the ring around a component are compared with it in
+blocks; members far from the pivot are regrouped by a further band until the
+groups are small or settled.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship_package
 from .common import connected_components, staged, text_slices
+from .embed_dup import unite
 from .rolling import Stretches, mix
 
 BANDS = 28
@@ -35,7 +39,10 @@ TOP = 2**16 - 1
 SMALL = 8
 #: Log-likelihood distance at which an estimate is taken as certain.
 CERTAIN = 14.0
-LEVELS = 3
+#: Bounds of a block of members that are compared with other blocks by matrix products.
+BLOCK_MEMBERS = 1024
+BLOCK_SHINGLES = 1_500_000
+COLUMNS = 4096
 SLICE_CHARS = 2_000_000
 BLOCK = 60_000
 
@@ -207,9 +214,10 @@ def _grouped(members: DataFrame) -> DataFrame:
     return members.join(g, "gid")
 
 
-def near_links(reps: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """(a, b) links between set representatives that, with equal sets, connect
-    every pair at or above ``percent`` that the bands bring together."""
+def near_components(reps: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """(node, component) of the set representatives with a link, from every
+    pair at or above ``percent`` that the bands bring together.  Links inside
+    a component are not looked for once it is one."""
     near = percent / 100.0
     ring = max(0.0, 2 * near - 1)  # farther from the pivot than this: no link to what is near it
     band = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band")
@@ -218,38 +226,133 @@ def near_links(reps: DataFrame, texts: DataFrame, words: int, percent: int) -> D
     wanted = members.select(F.col("rep").alias("id")).distinct()
     sets = staged(full_sets(texts.join(wanted, "id", "left_semi"), words).dropDuplicates(["id"]), "near-sets")
     linked = F.col("shared") * 100 >= F.col("either") * percent
-    links = []
-    for level in range(LEVELS + 1):
+    low = ring / 2
+    found = None  # (node, component) so far
+    while True:
         star = members.where("rep != pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
-        seen = _compared(star, reps, sets, ring)
-        links.append(seen.where(linked).select("a", "b"))
-        # What the pivot did not settle, with the distance to it.
-        rest = members.where("rep != pivot and size > 2").join(
-            seen.select(F.col("a").alias("pivot"), F.col("b").alias("rep"), (F.col("shared") / F.col("either")).alias("sim"),
-                        linked.alias("near")), ["pivot", "rep"], "left")
-        rest = rest.select("gid", "band", "rep", F.coalesce("sim", F.lit(0.0)).alias("sim"), F.coalesce("near", F.lit(False)).alias("near"))
-        # Members near the pivot stay only where some member lies in the ring around them.
-        edge = rest.where(~F.col("near") & (F.col("sim") >= ring)).groupBy("gid").agg(F.max("sim").alias("edge"))
-        rest = rest.join(edge, "gid", "left").where(~F.col("near") | (F.col("sim") <= F.col("edge") + (1 - near)))
-        rest = staged(_grouped(rest.select("gid", "band", "rep", "near")).where(~F.col("near") | (F.col("size") > 1)), "near-rest")
-        if rest.isEmpty():
-            break
-        few = rest if level == LEVELS else rest.where(F.col("size") <= SMALL)
-        x, y = few.select("gid", F.col("rep").alias("a"), F.col("near").alias("na")), few.select("gid", F.col("rep").alias("b"), F.col("near").alias("nb"))
-        pairs = x.join(y, "gid").where("a < b and not (na and nb)").select("a", "b").distinct()
-        links.append(_compared(pairs, reps, sets, near).where(linked).select("a", "b"))
-        if level == LEVELS:
-            break
-        many = rest.where(F.col("size") > SMALL).select("gid", F.col("band").alias("last"), "rep").join(reps.select("rep", "sketch"), "rep")
-        further = many.where(F.col("last") < BANDS - 1).select(
-            "gid", "rep", "sketch", F.explode(F.sequence(F.col("last") + 1, F.lit(BANDS - 1))).alias("band"))
+        seen = _compared(star, reps, sets, low)
+        found = _joined(found, seen.where(linked).select("a", "b"))
+        rest = _unsettled(members, seen.withColumn("near", linked), found, ring, 1 - near)
+        few = rest.where(F.col("size") <= SMALL)
+        pairs = few.alias("x").join(few.alias("y"), "gid").where("x.rep < y.rep and x.component != y.component") \
+            .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+        more = _compared(pairs, reps, sets, near).where(linked).select("a", "b")
+        many = rest.where(F.col("size") > SMALL)
+        more = more.unionByName(_block_links(many.where((F.col("component") == F.col("centre")) | (F.col("sim") >= low)), sets, percent))
+        found = _joined(found, more)
+        # Members far from the pivot are regrouped, with those that may be near one of them.
+        far = many.where(F.col("sim") < low + 1 - near).select("gid", "band", "rep", (F.col("sim") < low).alias("far"))
+        some = far.groupBy("gid").agg(F.max("far").alias("any")).where("any").select("gid")
+        further = far.where(F.col("band") < BANDS - 1).join(some, "gid").join(reps.select("rep", "sketch"), "rep").select(
+            "gid", "rep", "sketch", F.explode(F.sequence(F.col("band") + 1, F.lit(BANDS - 1))).alias("band"))
         members = staged(_grouped(further.select(_band_key(F.col("gid"), F.col("band")).alias("gid"), "band", "rep")), "near-members")
         if members.isEmpty():
-            break
-    out = links[0]
-    for more in links[1:]:
-        out = out.unionByName(more)
-    return out.distinct()
+            return found
+
+
+def _block_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b) links that join the members outside a centre's component with it
+    or with each other, for every ``centre``.
+
+    The members of a centre, gathered over all its groups, are dealt into
+    blocks of bounded size, and every block of outsiders meets every block.
+    Intersections are products of membership matrices inside a task, which
+    returns a spanning forest of its links, never the pairs.
+    """
+    m = members.groupBy("centre", "rep").agg(F.max("component").alias("component"))
+    m = staged(m.withColumn("outside", F.col("component") != F.col("centre")), "near-blocks")
+    m = m.join(sets.select(F.col("id").alias("rep"), "shingles"), "rep")
+    dealt = m.groupBy("centre", "outside").agg(
+        F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_MEMBERS), F.ceil(F.sum(F.size("shingles")) / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    outs = dealt.where("outside").select("centre", F.col("blocks").alias("outs"))
+    ins = dealt.where("not outside").select("centre", F.col("blocks").alias("ins"))
+    plan = staged(outs.join(ins, "centre", "left").select("centre", "outs", F.coalesce("ins", F.lit(0)).alias("ins")), "near-plan")
+    x = m.join(plan, "centre")
+    block = F.pmod(F.hash("rep"), F.when(F.col("outside"), F.col("outs")).otherwise(F.col("ins")))
+    x = x.select("centre", "rep", "component", "shingles", "outside", "outs", "ins", block.alias("block"))
+    # Blocks 0 .. outs-1 hold outsiders, the rest insiders; a task is (outsider block, block).
+    meets = F.when(F.col("outside"), F.concat(
+        F.transform(F.sequence(F.lit(0), F.col("outs") + F.col("ins") - 1), lambda k: F.struct(F.least(F.col("block"), k).alias("i"), F.greatest(F.col("block"), k).alias("j"))),
+    )).otherwise(F.transform(F.sequence(F.lit(0), F.col("outs") - 1), lambda k: F.struct(k.alias("i"), (F.col("outs") + F.col("block")).alias("j"))))
+    at = F.when(F.col("outside"), F.col("block")).otherwise(F.col("outs") + F.col("block"))
+    work = x.select("centre", "rep", "component", "shingles", at.alias("at"), F.explode(meets).alias("task"))
+    work = work.select(F.xxhash64("centre", "task.i", "task.j").alias("job"), F.col("task.i").alias("i"), F.col("task.j").alias("j"), "at", "rep", "component", "shingles")
+    kind = sets.schema["id"].dataType.simpleString()
+
+    def compare(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        where, i, j = (group.column(c).to_numpy() for c in ("at", "i", "j"))
+        reps = group.column("rep").combine_chunks()
+        _, component = np.unique(np.array([repr(c) for c in group.column("component").to_pylist()]), return_inverse=True)
+        lists = group.column("shingles").combine_chunks()
+        ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+        a, b = np.flatnonzero(where == i), np.flatnonzero(where == j)
+        size = np.diff(ends)
+        shared = shared_counts([flat[ends[k]:ends[k + 1]] for k in a], [flat[ends[k]:ends[k + 1]] for k in b])
+        linked = (100 * shared >= percent * (size[a][:, None] + size[b][None, :] - shared)) & (component[a][:, None] != component[b][None, :])
+        x, y = np.nonzero(linked)
+        root = np.arange(len(where))
+        unite(root, a[x], b[y])
+        hit = np.flatnonzero(root != np.arange(len(where)))
+        return pa.table({"a": reps.take(pa.array(hit)), "b": reps.take(pa.array(root[hit]))})
+
+    return work.groupBy("job").applyInArrow(compare, f"a {kind}, b {kind}")
+
+
+def shared_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Intersection sizes of all sets of ``a`` with all sets of ``b``."""
+    out = np.zeros((len(a), len(b)))
+    if not a or not b:
+        return out
+    flat_a, flat_b = np.concatenate(a), np.concatenate(b)
+    both = np.intersect1d(flat_a, flat_b)
+
+    def numbered(flat: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        at = np.minimum(np.searchsorted(both, flat), max(0, len(both) - 1))
+        known = both[at] == flat if len(both) else np.zeros(len(flat), bool)
+        order = np.argsort(at[known], kind="stable")
+        return owner[known][order], at[known][order]
+
+    (ra, ca), (rb, cb) = numbered(flat_a, a), numbered(flat_b, b)
+    for lo in range(0, len(both), COLUMNS):
+        x, y = np.zeros((len(a), COLUMNS), np.float32), np.zeros((len(b), COLUMNS), np.float32)
+        for matrix, rows, columns in ((x, ra, ca), (y, rb, cb)):
+            s, e = np.searchsorted(columns, [lo, lo + COLUMNS])
+            matrix[rows[s:e], columns[s:e] - lo] = 1
+        out += x @ y.T
+    return out
+
+
+def _joined(found: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(node, component) with more links."""
+    edges = links if found is None else found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links)
+    return connected_components(edges)
+
+
+def _unsettled(members: DataFrame, seen: DataFrame, found: DataFrame, ring: float, reach: float) -> DataFrame:
+    """The members that may still have links which would join components, with
+    their component and the size of what is left of the group, staged.
+
+    The pivot is settled, and so are members near it unless a member of
+    another component lies in the ring around them; groups whose members are
+    all in one component are settled as a whole.
+    """
+    own = found.select(F.col("node").alias("rep"), "component")
+    rest = members.where("rep != pivot and size > 2").join(
+        seen.select(F.col("a").alias("pivot"), F.col("b").alias("rep"), (F.col("shared") / F.col("either")).alias("sim"), "near"),
+        ["pivot", "rep"], "left").join(own, "rep", "left") \
+        .join(own.select(F.col("rep").alias("pivot"), F.col("component").alias("centre")), "pivot", "left")
+    rest = staged(rest.select(
+        "gid", "band", "rep", F.coalesce("component", "rep").alias("component"), F.coalesce("sim", F.lit(0.0)).alias("sim"),
+        F.coalesce("near", F.lit(False)).alias("near"), F.coalesce("centre", "pivot").alias("centre")), "near-rest")
+    outside = ~F.col("near") & (F.col("sim") >= ring) & (F.col("component") != F.col("centre"))
+    edge = rest.where(outside).groupBy("gid").agg(F.max("sim").alias("edge"))
+    rest = rest.join(edge, "gid", "left").where(~F.col("near") | (F.col("sim") <= F.col("edge") + reach)) \
+        .select("gid", "band", "rep", "component", "sim", "centre")
+    parts = rest.groupBy("gid").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")) \
+        .where("lo != hi").select("gid", "size")
+    return staged(rest.join(parts, "gid"), "near-unsettled")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id",
@@ -274,8 +377,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     key = ["n", "d1", "d2"]
     classes = rows.where("n > 0").groupBy(*key).agg(F.min("id").alias("rep"), F.first("sketch").alias("sketch"))
     classes = staged(classes.where("rep is not null"), "near-classes")
-    links = near_links(classes, texts.where("id is not null"), words, percent)
-    found = connected_components(links).select(F.col("node").alias("rep"), "component")
+    found = near_components(classes, texts.where("id is not null"), words, percent).select(F.col("node").alias("rep"), "component")
     named = classes.select(*key, "rep").join(found, "rep", "left").select(*key, F.coalesce("component", "rep").alias("component_id"))
     out = rows.select("id", *key).join(named, key, "left")
     component = F.coalesce("component_id", "id")

@@ -62,9 +62,11 @@ def chained(seed, n, length=60, edits=3):
     return rows
 
 
-@pytest.mark.parametrize("small", [8, 2])
-def test_a_large_group_around_the_threshold(spark, monkeypatch, small):
+@pytest.mark.parametrize("small, block, far", [(8, 1024, 200_000), (2, 16, 0)])
+def test_a_large_group_around_the_threshold(spark, monkeypatch, small, block, far):
     monkeypatch.setattr(module, "SMALL", small)
+    monkeypatch.setattr(module, "BLOCK_MEMBERS", block)
+    monkeypatch.setattr(module, "FAR_ROWS", far)
     rows = chained(1, 150) + [(i + 1000, t) for i, t in chained(2, 20, edits=1)] + [(2000 + i, f"alone {i} and no other text like it") for i in range(5)]
     assert answer(near_duplicates(docs_of(spark, rows), 4)) == brute(rows, 4)
 
