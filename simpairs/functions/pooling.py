@@ -1,7 +1,7 @@
 """Token pooling and the linear readout.
 
-Pooling is an aggregation over exploded token vectors: sums per (sentence,
-dimension), divided by the padded length of the sentence's batch (padding
+Pooling is an aggregation over token vectors: one vector sum per sentence,
+divided by the padded length of the sentence's batch (padding
 counted, as the reference's plain mean does) or by its own length
 (``masked``).  The readout is a matrix product per Arrow batch in a pandas
 UDF, with the weight matrix shipped once in the closure.
@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,19 +21,15 @@ from pyspark.sql import types as T
 def mean_pool_tokens(df: DataFrame, sent_col: str, batch_col: str, vec_col: str, masked: bool = False) -> DataFrame:
     """One row per sentence with ``pooled`` (array<double>) and ``n_tokens``.
 
-    Each input row is one token vector.  Work is split by (sentence, dim), so
-    a long sentence is spread over many tasks; the result per sentence is a
-    vector of the model width (bounded)."""
-    long = df.select(sent_col, batch_col, F.posexplode(vec_col).alias("_dim", "_x"))
-    sums = long.groupBy(sent_col, batch_col, "_dim").agg(F.sum("_x").alias("_s"), F.count(F.lit(1)).alias("_n"))
-    per_batch = sums.groupBy(batch_col).agg(F.max("_n").alias("_pad_len"))
+    Each input row is one token vector.  Vectors are summed whole and combined
+    before the shuffle, so a long sentence is spread over many tasks and
+    leaves one vector per task."""
+    sums = df.groupBy(sent_col, batch_col).agg(
+        Summarizer.sum(array_to_vector(F.col(vec_col))).alias("_s"), F.count(F.lit(1)).alias("n_tokens"))
+    per_batch = sums.groupBy(batch_col).agg(F.max("n_tokens").alias("_pad_len"))
     j = sums.join(per_batch, batch_col)
-    denom = F.col("_n") if masked else F.col("_pad_len")
-    j = j.withColumn("_m", F.col("_s") / denom)
-    return j.groupBy(sent_col, batch_col).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_dim", "_m"))), lambda x: x["_m"]).alias("pooled"),
-        F.max("_n").alias("n_tokens"),
-    )
+    denom = F.col("n_tokens") if masked else F.col("_pad_len")
+    return j.select(sent_col, batch_col, F.transform(vector_to_array("_s"), lambda x: x / denom).alias("pooled"), "n_tokens")
 
 
 def readout_weights(n_in: int, n_out: int) -> np.ndarray:

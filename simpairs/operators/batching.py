@@ -27,16 +27,22 @@ def _batch_cols(df: DataFrame, pos: str, batch_size: int, prefix: str) -> DataFr
     )
 
 
+def _numbered(df: DataFrame, ranked: DataFrame, id_col: str, batch_size: int, prefix: str) -> DataFrame:
+    """``df`` with the batch of every id; only ids went through the windows."""
+    numbers = _batch_cols(ranked, "_bpos", batch_size, prefix).drop("_bpos")
+    return numbers if df.columns == [id_col] else df.join(numbers, id_col)
+
+
 def shuffled_batches(df: DataFrame, id_col: str, batch_size: int, seed="42", epoch: int = 0, prefix: str = "") -> DataFrame:
-    """Shuffled batches of ``batch_size`` (E4); the last batch may be short."""
-    d = hash_rank(df, hash_key(F.lit(seed), F.lit(epoch), F.col(id_col)), [id_col], out="_bpos")
-    return _batch_cols(d, "_bpos", batch_size, prefix).drop("_bpos")
+    """Shuffled batches of ``batch_size`` (E4); the last batch may be short.
+    Ids are unique."""
+    d = hash_rank(df.select(id_col), hash_key(F.lit(seed), F.lit(epoch), F.col(id_col)), [id_col], out="_bpos")
+    return _numbered(df, d, id_col, batch_size, prefix)
 
 
 def sequential_batches(df: DataFrame, id_col: str, batch_size: int, prefix: str = "") -> DataFrame:
-    """Batches in id order (E5)."""
-    d = value_rank(df, id_col, out="_bpos")
-    return _batch_cols(d, "_bpos", batch_size, prefix).drop("_bpos")
+    """Batches in id order (E5).  Ids are unique."""
+    return _numbered(df, value_rank(df.select(id_col), id_col, out="_bpos"), id_col, batch_size, prefix)
 
 
 def route_augmentation(df: DataFrame, batch_col: str = "batch_id", seed="42", epoch: int = 0) -> DataFrame:

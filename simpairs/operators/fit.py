@@ -1,10 +1,11 @@
 """Supervised scoring, re-aimed from neural training.
 
-The reference fine-tunes a transformer; here the same protocol (fit on
-train, choose on dev, report dev and test with D3-D5) runs on pair features
-with a distributed MLlib regressor.  Features per pair: cosine, p-norm
-distance, angle score, vector norms ratio.  The staged fit (I2) trains a
-first model on a large noisy set and feeds its prediction to the second.
+The reference fine-tunes a transformer; here the same protocol (fit on train,
+choose on dev, report dev and test with D3-D5) runs on pair features.  Every
+configuration is one feature and one ridge weight; its closed form needs only
+sums over the training part, so all configurations are fitted by one
+aggregation and scored by one pass, whatever their number.  ``fit_regressor``
+is the same step with a distributed MLlib model over all features.
 """
 
 from __future__ import annotations
@@ -17,10 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import angle_score, cosine, norm, pairwise_distance
-from ..functions.numeric import rnd
 from .metrics import correlations
 
-FEATURES = ["f_cos", "f_dist", "f_angle", "f_ratio"]
+# The norm ratio is no default: vectors of length one make it rounding noise.
+FEATURES = ["f_cos", "f_dist", "f_angle"]
 
 
 def pair_features(df: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
@@ -34,53 +35,80 @@ def pair_features(df: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     )
 
 
+def configurations(features: Sequence[str], reg_params: Sequence[float]) -> list[tuple[int, str, float]]:
+    """(position, feature, ridge weight) in product order, the weight fastest."""
+    return [(i * len(reg_params) + j, f, float(r)) for i, f in enumerate(features) for j, r in enumerate(reg_params)]
+
+
+def _per_config(df: DataFrame, configs: Sequence[tuple[int, str, float]], keep: Sequence[str]) -> DataFrame:
+    """Every row once per configuration, with the configuration's feature as ``x``."""
+    rows = F.array(*[F.struct(F.lit(p).alias("config_pos"), F.lit(f).alias("feature"), F.lit(r).alias("reg_param"), F.col(f).alias("x"))
+                     for p, f, r in configs])
+    return df.select(*keep, F.explode(rows).alias("_c")).select(*keep, "_c.*")
+
+
+def ridge_lines(train: DataFrame, configs: Sequence[tuple[int, str, float]], label: str = "score") -> DataFrame:
+    """(config_pos, slope, intercept) of every configuration by one aggregation:
+    ``slope = cov(x, y) / (var(x) + weight)``; a constant feature without
+    weight has slope 0."""
+    y = F.col(label).cast("double")
+    sums = _per_config(train, configs, [label]).groupBy("config_pos", "reg_param").agg(
+        F.covar_pop("x", y).alias("_c"), F.var_pop("x").alias("_v"), F.avg("x").alias("_mx"), F.avg(y).alias("_my"))
+    slope = F.coalesce(F.try_divide(F.col("_c"), F.col("_v") + F.col("reg_param")), F.lit(0.0))
+    return sums.select("config_pos", slope.alias("slope"), (F.col("_my") - slope * F.col("_mx")).alias("intercept"))
+
+
+def _scores(pred: DataFrame, groups: Sequence[str], label: str) -> DataFrame:
+    return correlations(pred, label, "prediction", groups, spearman=True, digits=None,
+                        extra_aggs=[F.avg(F.pow(F.col("prediction") - F.col(label), 2)).alias("mse")])
+
+
+def grid_fit(parts: DataFrame, reg_params: Sequence[float], features: Sequence[str] = FEATURES, label: str = "score",
+             choose: str = "pearson") -> DataFrame:
+    """Run every configuration (I4): one row each with its dev and test scores
+    and ``chosen`` for the one with the best dev score, ties to the first.
+
+    The configurations are a short literal list; training rows are read once
+    for all of them.
+    """
+    configs = configurations(features, reg_params)
+    lines = ridge_lines(parts.where(F.col("part") == "train"), configs, label)
+    held = _per_config(parts.where(F.col("part").isin("dev", "test")), configs, ["part", label])
+    pred = held.join(lines, "config_pos").withColumn("prediction", F.col("slope") * F.col("x") + F.col("intercept"))
+    rows = _scores(pred, ["config_pos", "feature", "reg_param", "part"], label)
+    side = lambda part, c: F.max(F.when(F.col("part") == part, F.col(c))).alias(f"{part}_{c}")
+    wide = rows.groupBy("config_pos", "feature", "reg_param").agg(
+        *[side(p, c) for p in ("dev", "test") for c in ("n", "pearson", "spearman", "mse")])
+    best = wide.agg(F.max_by(F.struct("config_pos"), F.struct(F.coalesce(f"dev_{choose}", F.lit(float("-inf"))), -F.col("config_pos")))).scalar()
+    return wide.withColumn("chosen", F.col("config_pos") == best["config_pos"])
+
+
+def train_and_report(parts: DataFrame, reg_params: Sequence[float] = (0.0,), features: Sequence[str] = FEATURES,
+                     label: str = "score") -> DataFrame:
+    """Fit on train, choose on dev, report the chosen one's dev and test rows."""
+    best = grid_fit(parts, reg_params, features, label).where("chosen")
+    side = lambda part: F.struct(F.lit(part).alias("part"), *[F.col(f"{part}_{c}").alias(c) for c in ("n", "pearson", "spearman", "mse")])
+    return best.select("feature", "reg_param", F.explode(F.array(side("dev"), side("test"))).alias("_r")).select(
+        "_r.part", "feature", "reg_param", "_r.n", "_r.pearson", "_r.spearman", "_r.mse")
+
+
+def staged_fit(noisy: DataFrame, parts: DataFrame, first: str = "f_cos", second: str = "f_dist", label: str = "score") -> DataFrame:
+    """Stage 1 fits ``first`` on the large noisy set; stage 2 fits what stage 1
+    leaves over on the clean train part with ``second``, a feature that stage 1
+    has not seen (I2).  Reports dev and test."""
+    line1 = ridge_lines(noisy, [(0, first, 0.0)], label).select(F.struct("slope", "intercept").alias("l")).scalar()
+    d = parts.withColumn("_base", line1["slope"] * F.col(first) + line1["intercept"])
+    rest = d.where(F.col("part") == "train").withColumn("_rest", F.col(label) - F.col("_base"))
+    line2 = ridge_lines(rest, [(0, second, 0.0)], "_rest").select(F.struct("slope", "intercept").alias("l")).scalar()
+    pred = d.where(F.col("part").isin("dev", "test")).withColumn(
+        "prediction", F.col("_base") + line2["slope"] * F.col(second) + line2["intercept"])
+    return _scores(pred, ["part"], label)
+
+
 def fit_regressor(train: DataFrame, features: Sequence[str], label: str = "score", reg: float = 0.0):
-    """A linear regressor on the assembled features (squared error)."""
+    """An MLlib linear regressor on all features (squared error) as a function
+    from rows to rows with ``prediction``."""
     asm = VectorAssembler(inputCols=list(features), outputCol="_features")
     lr = LinearRegression(featuresCol="_features", labelCol=label, predictionCol="prediction", regParam=reg, maxIter=50)
     model = lr.fit(asm.transform(train))
-    return asm, model
-
-
-def predict(asm, model, df: DataFrame) -> DataFrame:
-    return model.transform(asm.transform(df)).drop("_features")
-
-
-def evaluate(pred: DataFrame, part_col: str = "part", label: str = "score") -> DataFrame:
-    """Per part: n, Pearson, Spearman (D3, D4) and mean squared error."""
-    return correlations(
-        pred, label, "prediction", [part_col], spearman=True, digits=6,
-        extra_aggs=[F.avg(F.pow(F.col("prediction") - F.col(label), 2)).alias("mse")],
-    ).withColumn("mse", rnd("mse"))
-
-
-def train_and_report(parts: DataFrame, features: Sequence[str] = FEATURES, label: str = "score") -> DataFrame:
-    """Fit on ``part = train``; report dev and test."""
-    asm, model = fit_regressor(parts.where(F.col("part") == "train"), features, label)
-    pred = predict(asm, model, parts.where(F.col("part").isin("dev", "test")))
-    return evaluate(pred, "part", label)
-
-
-def staged_fit(noisy: DataFrame, parts: DataFrame, features: Sequence[str] = FEATURES, label: str = "score") -> DataFrame:
-    """Stage 1 on the large noisy set, stage 2 on the clean train part with
-    the stage-1 prediction as an extra feature; report dev and test (I2)."""
-    asm1, m1 = fit_regressor(noisy, features, label)
-    staged = predict(asm1, m1, parts).withColumnRenamed("prediction", "f_stage1")
-    feats2 = [*features, "f_stage1"]
-    asm2, m2 = fit_regressor(staged.where(F.col("part") == "train"), feats2, label)
-    pred = predict(asm2, m2, staged.where(F.col("part").isin("dev", "test")))
-    return evaluate(pred, "part", label)
-
-
-def grid_fit(parts: DataFrame, reg_params: Sequence[float], features: Sequence[str] = FEATURES, label: str = "score") -> DataFrame:
-    """Run every configuration of a grid (I4): one distributed fit per
-    regularisation value, each evaluated on dev and test; one result row per
-    (configuration, part).  The grid is a short literal list; the fits are
-    Spark jobs over the whole training part."""
-    out = None
-    for i, reg in enumerate(reg_params):
-        asm, model = fit_regressor(parts.where(F.col("part") == "train"), features, label, reg=reg)
-        pred = predict(asm, model, parts.where(F.col("part").isin("dev", "test")))
-        ev = evaluate(pred, "part", label).withColumn("config_pos", F.lit(i)).withColumn("reg_param", F.lit(float(reg)))
-        out = ev if out is None else out.unionByName(ev)
-    return out
+    return lambda df: model.transform(asm.transform(df)).drop("_features")

@@ -27,6 +27,17 @@ def coin(seed, id_col: str, sides: int = 2) -> Column:
     return (F.lit(1) + h % sides).cast("int")
 
 
+def draw_donors(ids: DataFrame, id_col: str, seed="42", avoid_self: bool = False) -> DataFrame:
+    """(id, donor_id, side) for a table of unique ids: one shuffle join between
+    two numberings that hold nothing but ids."""
+    recipients = permutation(ids, id_col, seed, "a", "_ra")
+    donors = permutation(ids, id_col, seed, "b", "_rb").select("_rb", F.col(id_col).alias("donor_id"))
+    j = recipients.join(donors, recipients["_ra"] == donors["_rb"], "inner").drop("_rb")
+    if avoid_self:
+        j = _rotate_fixed_points(j, id_col)
+    return j.select(id_col, "donor_id", coin(seed, id_col).alias("side"))
+
+
 def draw_negatives(
     df: DataFrame,
     id_col: str,
@@ -36,21 +47,17 @@ def draw_negatives(
     avoid_self: bool = False,
 ) -> DataFrame:
     """Adds ``donor_id``, ``side`` (1 or 2) and ``out``: the donor row's
-    sentence ``side``.  One shuffle join between the two numberings.
-    ``avoid_self`` re-deals the donors of rows that drew themselves (off by
-    default, as in the reference)."""
-    recipients = permutation(df, id_col, seed, "a", "_ra").withColumn("side", coin(seed, id_col))
-    donors = permutation(df.select(id_col, *text_cols), id_col, seed, "b", "_rb").select(
-        F.col("_rb"), F.col(id_col).alias("donor_id"), *[F.col(c).alias(f"_d{i + 1}") for i, c in enumerate(text_cols)]
-    )
-    j = recipients.join(donors, recipients["_ra"] == donors["_rb"], "inner")
-    if avoid_self:
-        j = _rotate_fixed_points(j, id_col, [f"_d{i + 1}" for i in range(len(text_cols))])
+    sentence ``side``.  Sentences meet in one join per side of the draw, after
+    the numbering.  ``avoid_self`` re-deals the donors of rows that drew
+    themselves (off by default, as in the reference)."""
+    drawn = draw_donors(df.select(id_col), id_col, seed, avoid_self)
+    given = df.select(F.col(id_col).alias("donor_id"), *[F.col(c).alias(f"_d{i + 1}") for i, c in enumerate(text_cols)])
     pick = F.when(F.col("side") == 1, F.col("_d1")).otherwise(F.col("_d2"))
-    return j.withColumn(out, pick).drop("_ra", "_rb", *[f"_d{i + 1}" for i in range(len(text_cols))])
+    sentence = drawn.join(given, "donor_id").select(id_col, "donor_id", "side", pick.alias(out))
+    return df.join(sentence, id_col)
 
 
-def _rotate_fixed_points(j: DataFrame, id_col: str, donor_cols) -> DataFrame:
+def _rotate_fixed_points(j: DataFrame, id_col: str) -> DataFrame:
     """Give every row that drew itself another donor, keeping a bijection.
 
     The cycle members are the fixed points; when there is exactly one, it is
@@ -64,13 +71,9 @@ def _rotate_fixed_points(j: DataFrame, id_col: str, donor_cols) -> DataFrame:
     n_all = j.agg(F.count(F.lit(1))).scalar()
     f_ra = j.where(is_fixed).agg(F.min("_ra")).scalar()
     partner = (n_fixed == 1) & (n_all > 1) & (F.col("_ra") == f_ra % n_all + 1)
-    cyc = j.where(is_fixed | partner).select(id_col, "_ra", "donor_id", *donor_cols)
-    cyc = value_rank(cyc, "_ra", out="_cp")
+    cyc = value_rank(j.where(is_fixed | partner), "_ra", out="_cp")
     m = cyc.agg(F.count(F.lit(1))).scalar()
-    recv = cyc.select(F.col(id_col).alias("_recv"), ((F.col("_cp") % m) + 1).alias("_take"))
-    give = cyc.select(F.col("_cp").alias("_take"), "donor_id", *donor_cols)
-    new = recv.join(give, "_take").drop("_take")
-    keep_cols = [c for c in j.columns if c not in ("donor_id", *donor_cols)]
-    changed = j.select(*keep_cols).join(new, j[id_col] == new["_recv"]).drop("_recv")
-    rest = j.join(cyc.select(F.col(id_col).alias("_c")), j[id_col] == F.col("_c"), "left_anti")
-    return rest.unionByName(changed.select(*j.columns))
+    taken = cyc.select(F.col(id_col).alias("_recv"), ((F.col("_cp") % m) + 1).alias("_take")) \
+        .join(cyc.select(F.col("_cp").alias("_take"), F.col("donor_id").alias("_new")), "_take").select("_recv", "_new")
+    return j.join(taken, j[id_col] == taken["_recv"], "left").select(
+        id_col, "_ra", F.coalesce("_new", "donor_id").alias("donor_id"))

@@ -10,6 +10,8 @@ approximately stratified and could not reproduce the quotas.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +40,14 @@ def _null_safe_join_semi(df: DataFrame, keys: DataFrame, key: str, how: str) ->
     return df.join(r, df[key].eqNullSafe(r["__k"]), how)
 
 
+def _refuse_small_parts(df: DataFrame, key: str, test_size: float) -> None:
+    common = key_counts(df, key).where(F.col("n") > 1)
+    classes, rows = common.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    test = math.ceil(test_size * rows)
+    if classes and min(test, rows - test) < classes:
+        raise ValueError(f"parts of {rows - test} and {test} rows cannot hold {classes} classes each")
+
+
 def stratified_split(
     df: DataFrame,
     id_col: str,
@@ -47,6 +57,7 @@ def stratified_split(
     out: str = "part",
     first: str = "train",
     second: str = "test",
+    strict: bool = False,
 ) -> DataFrame:
     """Assign every row to ``first`` or ``second``.
 
@@ -56,28 +67,33 @@ def stratified_split(
       ``first`` plus one for the classes with the largest remainders
       ``n_c * n_train % n`` (ties by ``md5(seed|class)``);
     * inside a class, rows are ordered by ``md5(seed|id)``.
+
+    Ids are unique.  Only ids and keys are counted and ranked; other columns
+    are joined back once.  ``strict`` refuses a part that could not hold every
+    class (fewer rows than classes), as a stratified split must.
     """
-    cls = df.groupBy(key).agg(F.count(F.lit(1)).alias("_nc"))
+    if strict:
+        _refuse_small_parts(df, key, test_size)
+    rows = df.select(id_col, key)
+    cls = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_nc")).where(F.col("_nc") > 1)
     # Totals are scalar subqueries: computed once, attached to every class row.
-    n = cls.where(F.col("_nc") > 1).agg(F.coalesce(F.sum("_nc"), F.lit(0)).cast("bigint")).scalar()
+    n = cls.agg(F.coalesce(F.sum("_nc"), F.lit(0)).cast("bigint")).scalar()
     q = cls.withColumn("_n", n).withColumn("_ntest", F.ceil(F.lit(float(test_size)) * F.col("_n")).cast("bigint"))
     q = q.withColumn("_ntrain", F.col("_n") - F.col("_ntest"))
-    q = q.withColumn("_rare", F.col("_nc") == 1)
-    q = q.withColumn(
-        "_floor", F.when(F.col("_rare"), F.lit(0)).otherwise(F.expr("(CAST(_nc AS DECIMAL(38,0)) * _ntrain) div _n")).cast("bigint")
-    ).withColumn("_rem", F.when(F.col("_rare"), F.lit(-1)).otherwise(F.expr("(CAST(_nc AS DECIMAL(38,0)) * _ntrain) % _n")).cast("bigint"))
-    # Classes that get one more row: the largest remainders first.
-    q = q.withColumn("_negrem", -F.col("_rem")).withColumn("_chash", hash_key(F.lit(seed), F.col(key)))
-    q = value_rank(q, "_negrem", tie_cols=["_chash"], out="_rpos")
+    share = "CAST(_nc AS DECIMAL(38,0)) * _ntrain"
+    q = q.withColumn("_floor", F.expr(f"({share}) div _n").cast("bigint")).withColumn("_negrem", -F.expr(f"({share}) % _n").cast("bigint"))
+    # Classes that get one more row: the largest remainders first.  Classes
+    # seen once need no place and are not ranked; equal remainders are split
+    # over buckets by the hash of the class.
+    q = value_rank(q.withColumn("_chash", hash_key(F.lit(seed), F.col(key))), "_negrem", tie_cols=["_chash"], out="_rpos")
     short = q.agg(F.sum("_floor")).scalar()
-    q = q.withColumn(
-        "_quota",
-        F.col("_floor") + F.when(~F.col("_rare") & (F.col("_rpos") <= F.col("_ntrain") - short), 1).otherwise(0),
-    ).select(key, "_rare", "_quota")
-    ranked = hash_rank(df, hash_key(F.lit(seed), F.col(id_col)), [id_col], group_cols=[key], out="_kpos")
-    j = _null_safe_join(ranked, q, [key])
-    part = F.when(~F.col("_rare") & (F.col("_kpos") <= F.col("_quota")), F.lit(first)).otherwise(F.lit(second))
-    return j.withColumn(out, part).drop("_rare", "_quota", "_kpos")
+    q = q.select(key, (F.col("_floor") + F.when(F.col("_rpos") <= F.col("_ntrain") - short, 1).otherwise(0)).alias("_quota"))
+    ranked = hash_rank(rows, hash_key(F.lit(seed), F.col(id_col)), [id_col], group_cols=[key], out="_kpos")
+    part = F.when(F.col("_kpos") <= F.col("_quota"), F.lit(first)).otherwise(F.lit(second))
+    parts = _null_safe_join(ranked, q, [key], "left").select(id_col, key, part.alias(out))
+    if set(df.columns) == {id_col, key}:
+        return parts
+    return df.join(parts.select(id_col, out), id_col)
 
 
 def split_chain(
@@ -106,13 +122,11 @@ def split_chain(
         checkpoint_root(df.sparkSession)
         materialize = lambda d: d.checkpoint(eager=True)
     m = materialize
-    s1 = m(stratified_split(df, id_col, key, keep_size, f"{seed}-1", "_p1", "discard", "keep"))
-    kept = s1.where(F.col("_p1") == "keep").drop("_p1")
-    s2 = m(stratified_split(kept, id_col, key, temp_size, f"{seed}-2", "_p2", "train", "temp"))
-    temp = s2.where(F.col("_p2") == "temp").drop("_p2")
+    ids = df.select(id_col, key)
+    s1 = m(stratified_split(ids, id_col, key, keep_size, f"{seed}-1", "part", "discard", "keep"))
+    kept = s1.where(F.col("part") == "keep").drop("part")
+    s2 = m(stratified_split(kept, id_col, key, temp_size, f"{seed}-2", "part", "train", "temp"))
+    temp = s2.where(F.col("part") == "temp").drop("part")
     s3 = stratified_split(temp, id_col, key, test_size, f"{seed}-3", "part", "dev", "test")
-    return (
-        s1.where(F.col("_p1") == "discard").withColumnRenamed("_p1", "part")
-        .unionByName(s2.where(F.col("_p2") == "train").withColumnRenamed("_p2", "part"))
-        .unionByName(s3)
-    )
+    parts = s1.where(F.col("part") == "discard").unionByName(s2.where(F.col("part") == "train")).unionByName(s3)
+    return parts if set(df.columns) == {id_col, key} else df.join(parts.select(id_col, "part"), id_col)

@@ -1,12 +1,12 @@
-"""Text preparation and encoding.
+"""Text preparation and encoding.
 
 The reference's per-row tokenizer is re-aimed as a batch job: regular
 expression tokens, a vocabulary built from the whole corpus (ids in a seeded
 hash order, so every engine numbers it the same way), truncation and padding
 to the longest row of each batch.  The default sentence encoder is a hashed
-bag of tokens kept in long form ``(doc, dim, weight)``: similarities are
-joins and aggregations on ``dim``, never a Python loop.  A user encoder
-(``K2``) plugs in as any ``DataFrame -> DataFrame`` producing vectors.
+bag of tokens: one vector per document, built behind a single exchange of the
+texts by document.  A user encoder (``K2``) plugs in as any
+``DataFrame -> DataFrame`` producing ``(id, vec array<double>)``.
 """
 
 from __future__ import annotations
@@ -16,7 +16,8 @@ from typing import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import COSINE_EPS
+from ..functions.vectors import cosine
+from .losses import triplet_terms
 from .rank import hash_rank
 
 # The token pattern (letter/digit runs, or one other non-space
@@ -46,7 +47,7 @@ def token_ids(docs: DataFrame, id_col: str, text_col: str, vocab: DataFrame, max
     Tokens are exploded with their position, joined to the vocabulary on the
     token, and re-collected in position order; a document keeps at most
     ``max_length`` ids, so the collected array is bounded."""
-    ex = docs.select(id_col, F.posexplode(tokens(text_col)).alias("_pos", "token")).where(F.col("_pos") < max_length)
+    ex = docs.select(id_col, F.posexplode(F.slice(tokens(text_col), 1, max_length)).alias("_pos", "token"))
     j = ex.join(vocab.select("token", "token_id"), "token")
     ids = j.groupBy(id_col).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("_pos", "token_id"))), lambda x: x["token_id"]).alias("input_ids")
@@ -72,42 +73,49 @@ def pad_batches(df: DataFrame, batch_col: str = "batch_id", ids_col: str = "inpu
 # -- encoders ------------------------------------------------------------------
 
 def hashed_bag(docs: DataFrame, id_col: str, text_col: str, dims: int = HASH_DIMS) -> DataFrame:
-    """Default encoder (G5): token counts hashed into ``dims`` buckets by md5,
-    in long form ``(id, dim, weight)``.  Each token is mapped to its bucket
-    before aggregating, so the shuffle key is (id, dim) and the partial
-    aggregation leaves at most ``dims`` rows per document and task."""
-    ex = docs.select(id_col, F.explode(tokens(text_col)).alias("token"))
+    """Default encoder (G5): ``(id, vec)`` with token counts hashed into
+    ``dims`` buckets by md5.
+
+    Texts are dealt out by document once; counting tokens, hashing each
+    distinct token of a document, and gathering its buckets then need no
+    further exchange."""
+    d = docs.select(id_col, F.coalesce(text_col, F.lit("")).alias("_text")).repartition(F.col(id_col))
+    counted = d.select(id_col, F.explode_outer(tokens("_text")).alias("token")).groupBy(id_col, "token").agg(F.count("token").alias("_n"))
     dim = (F.conv(F.substring(F.md5("token"), 1, 8), 16, 10).cast("bigint") % dims).cast("int")
-    return ex.select(id_col, dim.alias("dim")).groupBy(id_col, "dim").agg(F.count(F.lit(1)).cast("double").alias("weight"))
-
-
-def sparse_cosine(a: DataFrame, b: DataFrame, pairs: DataFrame, a_id: str, b_id: str, eps: float = COSINE_EPS) -> DataFrame:
-    """Cosine (F1) of long-form vectors for the rows of ``pairs(a_id, b_id)``.
-
-    Dot products join the two sides on (pair, dim); norms are per-document
-    aggregates.  Work is linear in the non-zero entries."""
-    na = a.groupBy(F.col(a_id).alias("_na_id")).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("_na"))
-    nb = b.groupBy(F.col(b_id).alias("_nb_id")).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("_nb"))
-    pa = pairs.select(a_id, b_id).join(a.withColumnRenamed("weight", "_wa"), a_id)
-    pb = b.select(F.col(b_id), F.col("dim"), F.col("weight").alias("_wb"))
-    dots = pa.join(pb, [b_id, "dim"]).groupBy(a_id, b_id).agg(F.sum(F.col("_wa") * F.col("_wb")).alias("_dot"))
-    out = pairs.select(a_id, b_id).join(dots, [a_id, b_id], "left")
-    out = out.join(na, out[a_id] == na["_na_id"], "left").join(nb, out[b_id] == nb["_nb_id"], "left")
-    cos = F.coalesce(F.col("_dot"), F.lit(0.0)) / (
-        F.greatest(F.coalesce(F.col("_na"), F.lit(0.0)), F.lit(eps)) * F.greatest(F.coalesce(F.col("_nb"), F.lit(0.0)), F.lit(eps))
-    )
-    return out.select(a_id, b_id, cos.alias("cos"))
+    sums = counted.select(id_col, dim.alias("dim"), "_n").groupBy(id_col, "dim").agg(F.sum("_n").cast("double").alias("w"))
+    bags = sums.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.when(F.col("dim").isNotNull(), F.struct("dim", "w")))).alias("_bag"))
+    vec = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.try_element_at("_bag", i), F.lit(0.0)))
+    return bags.select(id_col, vec.alias("vec"))
 
 
 Encoder = Callable[[DataFrame, str, str], DataFrame]
 
 
+def _encoded(docs: DataFrame, id_col: str, text_col: str, encoder: Encoder, as_id: str, as_vec: str) -> DataFrame:
+    vec = encoder(docs, id_col, text_col)
+    return vec.select(F.col(id_col).alias(as_id), F.col("vec").alias(as_vec))
+
+
 def score_pairs(
     docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, a_id: str, b_id: str, encoder: Encoder = hashed_bag
 ) -> DataFrame:
     """End-to-end pair scoring (G6): encode every document once, then the
-    cosine of each pair is the prediction.  ``encoder`` is the hook (K2)."""
-    vec = encoder(docs, id_col, text_col)
-    a = vec.withColumnRenamed(id_col, a_id)
-    b = vec.withColumnRenamed(id_col, b_id)
-    return sparse_cosine(a, b, pairs, a_id, b_id)
+    cosine (F1) of each row of ``pairs`` as ``cos``; the columns of ``pairs``
+    stay, and a pair that is listed twice is scored twice.  Ids without a
+    document count as zero vectors.  ``encoder`` is the hook (K2)."""
+    u = _encoded(docs, id_col, text_col, encoder, a_id, "_u")
+    v = _encoded(docs, id_col, text_col, encoder, b_id, "_v")
+    j = pairs.join(u, a_id, "left").join(v, b_id, "left")
+    return j.select(*pairs.columns, F.coalesce(cosine("_u", "_v"), F.lit(0.0)).alias("cos"))
+
+
+def score_triplets(
+    docs: DataFrame, triplets: DataFrame, id_col: str, text_col: str, anchor: str, positive: str, negative: str,
+    margin: float = 1.0, p: float = 2.0, encoder: Encoder = hashed_bag,
+) -> DataFrame:
+    """End-to-end triplet scoring (G7): encode three texts, two distances,
+    hinge and correctness per row (F4, D8, D9)."""
+    j = triplets
+    for k, c in enumerate((anchor, positive, negative)):
+        j = j.join(_encoded(docs, id_col, text_col, encoder, c, f"_x{k}"), c)
+    return triplet_terms(j, "_x0", "_x1", "_x2", margin, p).drop("_x0", "_x1", "_x2")

@@ -14,11 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vectors import as_double_array
-from ..operators.rank import value_rank, with_value_bucket, ordered_index
+from ..operators.batching import PIVOT_LANGUAGES
+from ..operators.rank import value_rank
 from ..functions.hashing import hash_unit
 
-# Fixed value: the pivot languages of the augmentation step, in order.
-PIVOT_LANGUAGES = ["en", "fr", "de", "es", "it"]
 # The event types of the driver's `events` table, in order.
 EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 

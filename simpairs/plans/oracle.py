@@ -400,10 +400,11 @@ SELECT s.suffix, fo.suffix_pos, s.run_id, coalesce(rc.model_name, 'None') AS lab
        row_number() OVER (PARTITION BY s.run_id, s.metric ORDER BY s.epoch) - 1 AS epoch, {r6('s.value')} AS value
 FROM s LEFT JOIN fo ON s.suffix = fo.suffix LEFT JOIN rc ON s.run_id = rc.run_id
 """,
-    "effective_batch": """
-SELECT r_name, (b.pos * 4 + a.pos)::BIGINT AS grid_pos, b.v AS batch_size, a.v AS accumulate_grad_batches,
-       b.v::BIGINT * a.v::BIGINT AS effective_batch
-FROM region, (VALUES (0, 16), (1, 32), (2, 64), (3, 256)) b(pos, v), (VALUES (0, 1), (1, 4), (2, 8), (3, 16)) a(pos, v)
+    "effective_batch": f"""
+WITH {RUN_CONFIG}
+SELECT run_id, 16 * coalesce(accumulate_grad_batches, 16)::BIGINT AS own_batch, (b.pos * 4 + a.pos)::BIGINT AS grid_pos,
+       b.v AS batch_size, a.v AS accumulate_grad_batches, b.v::BIGINT * a.v::BIGINT AS effective_batch
+FROM rc, (VALUES (0, 16), (1, 32), (2, 64), (3, 256)) b(pos, v), (VALUES (0, 1), (1, 4), (2, 8), (3, 16)) a(pos, v)
 """,
     "pad_symbol": """
 SELECT d.doc_id AS run_id,
@@ -519,3 +520,67 @@ ORACLES["stream_stop"] = "SELECT run_id, stop_epoch FROM (" + ORACLES["early_sto
     "AND epoch < 60 ", "") + ") WHERE stop_epoch IS NOT NULL"
 
 ORACLES["stream_spearman"] = ORACLES["spearman_by_stage"]
+
+
+# -- fits: closed forms ---------------------------------------------------------------
+
+FEATURES = ["f_cos", "f_dist", "f_angle"]
+
+
+def features_sql(src: str, u: str = "u", v: str = "v") -> str:
+    nu, nv = nrm(u), nrm(v)
+    return (f"SELECT *, {cos_sql(u, v)} AS f_cos, {dist_sql(u, v)} AS f_dist, coalesce({angle_sql(u, v, 1.0)}, 0) AS f_angle, "
+            f"coalesce(least({nu}, {nv}) / nullif(greatest({nu}, {nv}), 0), 0) AS f_ratio FROM {src}")
+
+
+FIT_PARTS = f"""{VEC_PAIRS},
+feat AS ({features_sql('vec_pairs')}),
+fkey AS (SELECT pair_id, score, f_cos, f_dist, f_angle, round(score * 9)::INTEGER AS skey FROM feat),
+{split_sql('p1', 'fkey', 'pair_id', 'skey', 0.3, 'fit-1', 'train', 'temp')},
+ptemp AS (SELECT * EXCLUDE (part) FROM p1 WHERE part = 'temp'),
+{split_sql('p2', 'ptemp', 'pair_id', 'skey', 0.5, 'fit-2', 'dev', 'test')},
+parts AS (SELECT part, pair_id, score, f_cos, f_dist, f_angle FROM p1 WHERE part = 'train'
+          UNION ALL SELECT part, pair_id, score, f_cos, f_dist, f_angle FROM p2)"""
+
+
+def grid_ctes(regs: list[float]) -> str:
+    rows = ", ".join(f"({i * len(regs) + j}, '{f}', {r!r}::DOUBLE)" for i, f in enumerate(FEATURES) for j, r in enumerate(regs))
+    pick = "CASE feature " + " ".join(f"WHEN '{f}' THEN {f}" for f in FEATURES) + " END"
+    return f"""cfg(config_pos, feature, reg_param) AS (VALUES {rows}),
+long AS (SELECT config_pos, feature, reg_param, part, score, {pick} AS x FROM parts, cfg),
+ln AS (SELECT config_pos, covar_pop(x, score) / (var_pop(x) + any_value(reg_param)) AS slope, avg(x) AS mx, avg(score) AS my
+       FROM long WHERE part = 'train' GROUP BY config_pos),
+pred AS (SELECT l.config_pos, feature, reg_param, part, score, slope * x + (my - slope * mx) AS p
+         FROM long l JOIN ln ON l.config_pos = ln.config_pos WHERE part IN ('dev', 'test')),
+rk AS (SELECT *, {rank2_sql('score', 'config_pos, part')}::DOUBLE AS ry, {rank2_sql('p', 'config_pos, part')}::DOUBLE AS rp FROM pred),
+sc AS (SELECT config_pos, feature, reg_param, part, count(*) AS n, {pearson_sql('score', 'p')} AS pearson,
+              {pearson_sql('ry', 'rp')} AS spearman, avg(pow(p - score, 2)) AS mse FROM rk GROUP BY ALL)"""
+
+
+_sides = lambda c: ", ".join(f"max({c}) FILTER (WHERE part = '{p}') AS {p}_{c}" for p in ("dev", "test"))
+ORACLES["grid_fit"] = f"""
+WITH {FIT_PARTS}, {grid_ctes([0.0, 0.01, 0.1])},
+w AS (SELECT config_pos, feature, reg_param, {_sides('n')}, {_sides('pearson')}, {_sides('mse')} FROM sc GROUP BY ALL)
+SELECT config_pos, feature, reg_param, dev_n, test_n, {', '.join(f"{r6(f'{p}_{c}')} AS {p}_{c}" for p in ('dev', 'test') for c in ('pearson', 'mse'))}
+FROM w
+"""
+ORACLES["regressor_eval"] = f"""
+WITH {FIT_PARTS}, {grid_ctes([0.0])},
+best AS (SELECT config_pos FROM sc WHERE part = 'dev' ORDER BY pearson DESC NULLS LAST, config_pos LIMIT 1)
+SELECT part, feature, n, {r6('pearson')} AS pearson, {r6('spearman')} AS spearman, {r6('mse')} AS mse
+FROM sc WHERE config_pos = (SELECT config_pos FROM best)
+"""
+ORACLES["staged_fit"] = f"""
+WITH {FIT_PARTS},
+noisy0 AS (SELECT a.emb AS u, b.emb AS v, 1.0::DOUBLE - abs(a.label - b.label) / 9.0::DOUBLE AS score
+           FROM e a JOIN e b ON b.vec_id = a.vec_id + 2),
+noisy AS ({features_sql('noisy0')}),
+l1 AS (SELECT covar_pop(f_cos, score) / var_pop(f_cos) AS s, avg(score) - covar_pop(f_cos, score) / var_pop(f_cos) * avg(f_cos) AS i FROM noisy),
+d AS (SELECT parts.*, l1.s * f_cos + l1.i AS base FROM parts, l1),
+l2 AS (SELECT covar_pop(f_dist, score - base) / var_pop(f_dist) AS s,
+              avg(score - base) - covar_pop(f_dist, score - base) / var_pop(f_dist) * avg(f_dist) AS i FROM d WHERE part = 'train'),
+pr AS (SELECT part, score, base + l2.s * f_dist + l2.i AS p FROM d, l2 WHERE part IN ('dev', 'test')),
+r AS (SELECT *, {rank2_sql('score', 'part')}::DOUBLE AS ry, {rank2_sql('p', 'part')}::DOUBLE AS rp FROM pr)
+SELECT part, count(*) AS n, {r6(pearson_sql('score', 'p'))} AS pearson, {r6(pearson_sql('ry', 'rp'))} AS spearman,
+       {r6('avg(pow(p - score, 2))')} AS mse FROM r GROUP BY part
+"""

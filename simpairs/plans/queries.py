@@ -25,7 +25,7 @@ from ..operators.split import keep_keys, rare_keys, split_chain, stratified_spli
 from ..operators.grid import effective_batch_size, expand_grid, mean_over_seeds, resolve_pad
 from ..operators.rank import value_rank
 from ..operators.runlog import (
-    DEFAULT_HPARAMS, arg_best, as_name_list, best_epoch, drop_tail, early_stop, label, overlay,
+    DEFAULT_HPARAMS, EXPERIMENT_DEFAULTS, arg_best, as_name_list, best_epoch, drop_tail, early_stop, label, overlay,
     present_metrics, py_text, report, safe_name, select_runs, split_name, title, unpivot_metrics,
 )
 from ..functions.numeric import fixed4
@@ -34,9 +34,7 @@ from ..operators.batching import apply_translation, route_augmentation
 from ..operators.text import pad_batches, score_pairs, token_ids, vocabulary
 from ..operators.fit import FEATURES, grid_fit, pair_features, staged_fit, train_and_report
 from ..session import checkpoint_root, scratch_dir
-from ..streaming.monitors import (
-    patience_monitor, run_append_to_table, run_complete_to_table, stream_metrics, stream_rank_metrics, write_in_chunks,
-)
+from ..streaming.monitors import PatienceMonitor, replay_in_order, run_complete_to_table, stream_metrics, stream_rank_metrics
 from ..sources.pairs import (
     Catalog, DatasetSpec, compute_once, normalise_scores, read_header_csv, read_scored_tsv, read_unscored_tsv,
     to_instances, with_positions, write_header_csv, write_scored_tsv, write_unscored_tsv,
@@ -90,7 +88,7 @@ def split_chain_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = fx.strata(spark, sf_dir, 50)
     path = scratch_dir(spark, "split-chain")
     stored = compute_once(
-        lambda: split_chain(s, "doc_id", "skey", seed="42", materialize=_materialize(spark)).select("doc_id", "skey", "part"),
+        spark, lambda: split_chain(s, "doc_id", "skey", seed="42", materialize=_materialize(spark)).select("doc_id", "skey", "part"),
         path, partition_col="part")
     return stored.select("doc_id", "skey", "part")
 
@@ -333,10 +331,10 @@ def report_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
     then the sorted metric columns (D16, D19), sorted by the
     hyper-parameters with list cells compared element-wise (B16, E9)."""
     long = unpivot_metrics(fx.run_metrics(spark, sf_dir), ["run_id"], RESULT_METRICS)
-    cfg = overlay(fx.run_config(spark, sf_dir), DEFAULT_HPARAMS)
+    cfg = overlay(select_runs(fx.run_config(spark, sf_dir), REPORT_RUNS), DEFAULT_HPARAMS)
     cfg = cfg.withColumn("train_dataset_name", as_name_list(cfg, "train_dataset_name"))
     hp = ["model_name", "train_dataset_name", "data_augmentation_translate_data"]
-    rep = select_runs(report(long, cfg, hp, RESULT_METRICS), REPORT_RUNS)
+    rep = report(long, cfg, ["sel_pos", *hp], RESULT_METRICS)
     # The selection is bounded by the literal run list, so one window is fine.
     w = Window.orderBy(*[F.col(k).asc_nulls_first() for k in hp], "run_id")
     rep = rep.withColumn("sort_pos", F.row_number().over(w).cast("bigint")).withColumn("sel_pos", F.col("sel_pos").cast("bigint"))
@@ -377,9 +375,9 @@ def early_stop_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 def curves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frame behind the metric plots (E10): per suffix (in first-seen order of
     the first run, D17), run, label, epoch index in its series (E8), value."""
-    log = present_metrics(drop_tail(fx.epoch_log(spark, sf_dir), 2))
     prefix, suffix = split_name("metric")
-    log = log.withColumn("suffix", suffix)
+    # Three rankings build on each other; the log is cut off from the first two.
+    log = _materialize(spark)(present_metrics(drop_tail(fx.epoch_log(spark, sf_dir), 2)).withColumn("suffix", suffix))
     idx = value_rank(log, "epoch", group_cols=["run_id", "metric"], out="_p")
     first_run = log.agg(F.min("run_id")).scalar()
     order = log.where(F.col("run_id") == first_run).groupBy("suffix").agg(F.min("epoch").alias("_seen"))
@@ -397,11 +395,13 @@ GRID = {"batch_size": [16, 32, 64, 256], "accumulate_grad_batches": [1, 4, 8, 16
 
 
 def effective_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Grid product (C5) per region row (I4) with the effective batch."""
-    reg = fx.read(spark, sf_dir, "region").select("r_name")
-    g = expand_grid(reg, GRID)
+    """Every logged configuration times the grid (C5, I4): the effective batch
+    (B19) of the run's own accumulation and of each grid point."""
+    cfg = overlay(fx.run_config(spark, sf_dir).select("run_id", "accumulate_grad_batches"), EXPERIMENT_DEFAULTS)
+    own = effective_batch_size("batch_size", "accumulate_grad_batches").alias("own_batch")
+    g = expand_grid(cfg.select("run_id", own), GRID)
     return g.select(
-        "r_name", "grid_pos", "batch_size", "accumulate_grad_batches",
+        "run_id", "own_batch", "grid_pos", "batch_size", "accumulate_grad_batches",
         effective_batch_size("batch_size", "accumulate_grad_batches").alias("effective_batch"),
     )
 
@@ -444,8 +444,7 @@ def tokenise_pad(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = fx.read(spark, sf_dir, "documents").select("doc_id", "text")
     vocab = vocabulary(docs, "doc_id", "text")
     ids = token_ids(docs, "doc_id", "text", vocab, max_length=512)
-    ids = sequential_batches(ids, "doc_id", 16)
-    padded = pad_batches(ids, "batch_id")
+    padded = pad_batches(ids.join(sequential_batches(docs.select("doc_id"), "doc_id", 16), "doc_id"), "batch_id")
     return padded.select(
         "doc_id", "batch_id", F.col("n_tokens").cast("bigint").alias("n_tokens"),
         F.col("padded_length").cast("bigint").alias("padded_length"),
@@ -460,8 +459,7 @@ def encode_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = fx.read(spark, sf_dir, "documents").select("doc_id", "text")
     tp = normalise_scores(fx.text_pairs(spark, sf_dir, 6), "ro-sts").select(
         "pair_id", F.col("pair_id").alias("doc_a"), (F.col("pair_id") + 1).alias("doc_b"), "score")
-    scored = score_pairs(docs, tp.select("doc_a", "doc_b"), "doc_id", "text", "doc_a", "doc_b")
-    j = tp.join(scored, ["doc_a", "doc_b"])
+    j = score_pairs(docs, tp, "doc_id", "text", "doc_a", "doc_b")
     return j.select(
         "pair_id", rnd("score").alias("sim"), rnd("cos").alias("prediction"),
         rnd(F.pow(F.col("cos") - F.col("score"), 2)).alias("sq_error"),
@@ -523,9 +521,9 @@ def tsv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     write_scored_tsv(fx.text_pairs(spark, sf_dir, 6), ro)
     write_unscored_tsv(fx.turn_pairs(spark, sf_dir), para)
     write_header_csv(fx.text_pairs(spark, sf_dir, 101).select("text1", "text2", "score"), bib)
-    a = read_scored_tsv(spark, ro).withColumn("dataset", F.lit("ro-sts"))
-    b = read_unscored_tsv(spark, para).withColumn("dataset", F.lit("paraphrase-ro"))
-    c = read_header_csv(spark, bib).withColumn("dataset", F.lit("biblical_01"))
+    a = read_scored_tsv(spark, ro, multiline=True).withColumn("dataset", F.lit("ro-sts"))
+    b = read_unscored_tsv(spark, para, multiline=True).withColumn("dataset", F.lit("paraphrase-ro"))
+    c = read_header_csv(spark, bib, multiline=True).withColumn("dataset", F.lit("biblical_01"))
     u = a.unionByName(b, allowMissingColumns=True).unionByName(c.select("text1", "text2", "score", "dataset"), allowMissingColumns=True)
     return u.select("dataset", "score", "text1", "text2")
 
@@ -555,24 +553,30 @@ def _scored_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tr.select("part", *cols).unionByName(s2.select("part", *cols))
 
 
+def _fit_columns(df: DataFrame, *names: str) -> DataFrame:
+    return df.select(*names, "n", *[rnd(c).alias(c) for c in ("pearson", "spearman", "mse")])
+
+
+REG_PARAMS = [0.0, 0.01, 0.1]
+
+
 def regressor_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fit a distributed regressor on train pair features, report dev and
-    test Pearson, Spearman and MSE (I1)."""
+    """Fit on train pair features, choose the feature on dev, report the
+    chosen one on dev and test (I1)."""
     parts = _materialize(spark)(_scored_parts(spark, sf_dir))
-    return train_and_report(parts).select("part", "n", "pearson", "spearman", "mse")
+    return _fit_columns(train_and_report(parts), "part", "feature")
 
 
 def staged_fit_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stage 1 on a large noisy set (vector k with k + 2), stage 2 on the
-    clean train part with the stage-1 prediction as a feature (I2)."""
+    """Stage 1 on a large noisy set (vector k with k + 2), stage 2 on what it
+    leaves over on the clean train part (I2)."""
     e = fx.read(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
     a = e.select("vec_id", as_double_array("embedding").alias("u"), F.col("label").alias("la"))
     b = e.select((F.col("vec_id") - 2).alias("vec_id"), as_double_array("embedding").alias("v"), F.col("label").alias("lb"))
     noisy = pair_features(a.join(b, "vec_id").select("u", "v", "la", "lb")).withColumn(
         "score", F.lit(1.0) - F.abs(F.col("la") - F.col("lb")) / F.lit(9.0))
-    m = _materialize(spark)
-    parts = m(_scored_parts(spark, sf_dir))
-    return staged_fit(m(noisy.select("score", *FEATURES)), parts).select("part", "n", "pearson", "spearman", "mse")
+    parts = _materialize(spark)(_scored_parts(spark, sf_dir))
+    return _fit_columns(staged_fit(noisy.select("score", *FEATURES), parts), "part")
 
 
 # -- J1 J2 ---------------------------------------------------------------------------
@@ -603,22 +607,23 @@ def stream_spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Epoch log replayed in four epoch chunks as a file stream; the patience
-    monitor emits one stop event per run that stops (J2)."""
+    """Epoch log replayed in epoch order as a file stream; the patience
+    monitor gives one stop event per run that stops (J2)."""
     log = _materialize(spark)(fx.epoch_log(spark, sf_dir).select("run_id", "epoch", "value"))
-    log = log.withColumn("_chunk", F.least(F.expr("epoch div 25"), F.lit(3)))
     src = scratch_dir(spark, "epoch-stream")
     n_files = max(1, spark.sparkContext.defaultParallelism)
-    write_in_chunks(log, src, "_chunk", [0, 1, 2, 3], "run_id", n_files)
-    stream = spark.readStream.schema("run_id long, epoch long, value double").option("maxFilesPerTrigger", n_files).parquet(src)
-    return run_append_to_table(patience_monitor(stream, patience=4), spark, "stream-stop").select("run_id", "stop_epoch")
+    monitor = PatienceMonitor(spark, "stream-stop", patience=4)
+    stream = spark.readStream.schema("run_id long, epoch long, value double").parquet
+    replay_in_order(log, src, "epoch", 4, n_files, lambda: monitor.feed(stream(src)))
+    return monitor.stops()
 
 
 def grid_fit_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every configuration of a small regularisation grid fitted and
-    evaluated, one row per (configuration, part) (I4)."""
+    """Every configuration (feature and ridge weight) fitted on train and
+    scored on dev and test, one row each; the best on dev is chosen (I4)."""
     parts = _materialize(spark)(_scored_parts(spark, sf_dir))
-    return grid_fit(parts, [0.0, 0.01, 0.1]).select("config_pos", "reg_param", "part", "n", "pearson", "spearman", "mse")
+    return grid_fit(parts, REG_PARAMS).select("config_pos", "feature", "reg_param", "dev_n", "test_n",
+                      *[rnd(f"{p}_{c}").alias(f"{p}_{c}") for p in ("dev", "test") for c in ("pearson", "mse")])
 
 
 QUERIES.update({

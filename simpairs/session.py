@@ -1,7 +1,7 @@
 """Session helpers: a local session for tests and the shared scratch folder.
 
-Library code never creates its own session; it takes the caller's.  The only
-place a folder is chosen here is ``scratch_dir`` when the cluster names none.
+Library code never creates its own session; it takes the caller's.  Written
+tables go to the folder that the cluster names in ``spark.checkpoint.dir``.
 """
 
 from __future__ import annotations
@@ -41,29 +41,26 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this setting must point at shared storage and is only read.
-    When it is unset (local runs, tests) a private folder is created and
-    registered once, so every later call in the session agrees.
+    On a cluster this setting must point at storage that the driver and all
+    executors share; without it this raises.  On a local master (tests, bench)
+    a private folder is created and registered once per session.
     """
     sc = spark.sparkContext
-    root = sc.getCheckpointDir()
-    if root:
-        return root
-    conf_dir = spark.conf.get("spark.checkpoint.dir", None)
-    if not conf_dir:
-        conf_dir = tempfile.mkdtemp(prefix="simpairs-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", conf_dir)
-    sc.setCheckpointDir(conf_dir)
-    return sc.getCheckpointDir() or conf_dir
+    root = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="simpairs-ckpt-")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(root)
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        spark.conf.set("spark.checkpoint.dir", root)
+    return sc.getCheckpointDir() or root
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh, unique sub-folder of the checkpoint root for written tables."""
-    root = checkpoint_root(spark)
-    if root.startswith("file:"):
-        root = root[len("file:"):]
-    path = os.path.join(root, f"{name}-{uuid.uuid4().hex[:12]}")
-    return path
+    return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def ship_package(spark: SparkSession) -> None:

@@ -11,10 +11,12 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from typing import Callable, Iterable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.rank import value_rank
+from ..operators.split import split_chain
 
 # The text cells pandas reads as missing by default.
 NA_TOKENS = [
@@ -23,55 +25,74 @@ NA_TOKENS = [
     "nan", "null",
 ]
 
-SCORED_SCHEMA = "score DOUBLE, text1 STRING, text2 STRING"
-UNSCORED_SCHEMA = "text1 STRING, text2 STRING"
-TSV_OPTIONS = dict(sep="\t", quote='"', escape='"', multiLine=True, header=False)
+SCORED_COLUMNS = ("score", "text1", "text2")
+UNSCORED_COLUMNS = ("text1", "text2")
+TSV_OPTIONS = dict(sep="\t", quote='"', escape='"', header=False)
+CSV_OPTIONS = dict(quote='"', escape='"', header=True)
 # Writing keeps surrounding blanks, which the CSV writer strips by default.
 WRITE_OPTIONS = dict(ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def _na_to_null(df: DataFrame, cols: Iterable[str]) -> DataFrame:
-    for c in cols:
-        df = df.withColumn(c, F.when(F.col(c).isin(NA_TOKENS), F.lit(None)).otherwise(F.col(c)))
-    return df
+    return df.withColumns({c: F.when(~F.col(c).isin(NA_TOKENS), F.col(c)) for c in cols})
 
 
-def _read_tsv(spark: SparkSession, path: str, schema: str, split: str | None, na_tokens: bool) -> DataFrame:
+def _load(reader, path: str, split: str | None) -> DataFrame:
     try:
-        df = spark.read.schema(schema).options(**TSV_OPTIONS).csv(path)
-    except Exception as exc:  # analysis-time path error, re-raised with the split's name
-        if "PATH_NOT_FOUND" in str(exc) or "does not exist" in str(exc):
+        return reader.csv(path)
+    except AnalysisException as exc:
+        if exc.getCondition() == "PATH_NOT_FOUND":
             raise FileNotFoundError(f"File {path} not found (split {split!r}).") from exc
         raise
+
+
+def _with_score(df: DataFrame, keep_bad: bool) -> DataFrame:
+    """``score`` from text to DOUBLE.  Text that is no number raises at run
+    time, or with ``keep_bad`` stays in ``bad_score`` beside a null score."""
+    number = F.trim("score").try_cast("double")
+    bad = F.col("score").isNotNull() & number.isNull()
+    if keep_bad:
+        return df.withColumn("bad_score", F.when(bad, F.col("score"))).withColumn("score", number)
+    refuse = F.raise_error(F.concat(F.lit("score is not a number: "), F.col("score"))).cast("double")
+    return df.withColumn("score", F.when(bad, refuse).otherwise(number))
+
+
+def _read_tsv(spark: SparkSession, path: str, columns: Sequence[str], split: str | None, na_tokens: bool, multiline: bool) -> DataFrame:
+    schema = ", ".join(f"{c} STRING" for c in columns)
+    df = _load(spark.read.schema(schema).options(**TSV_OPTIONS, multiLine=multiline), path, split)
     if na_tokens:
-        df = _na_to_null(df, [c for c in ("text1", "text2") if c in df.columns])
+        df = _na_to_null(df, columns)
     return df if split is None else df.withColumn("split", F.lit(split))
 
 
-def read_scored_tsv(spark: SparkSession, path: str, split: str | None = None, na_tokens: bool = True) -> DataFrame:
+def read_scored_tsv(spark: SparkSession, path: str, split: str | None = None, na_tokens: bool = True,
+                    multiline: bool = False, keep_bad: bool = False) -> DataFrame:
     """Headerless TSV ``score, text1, text2`` (A1); doubled quotes unquoted,
-    quoted newlines kept, pandas' NA words read as null."""
-    return _read_tsv(spark, path, SCORED_SCHEMA, split, na_tokens)
+    pandas' NA words read as null.
+
+    Files are split over tasks; ``multiline`` allows quoted newlines at the
+    price of one task per file.  A score that is no number raises, or with
+    ``keep_bad`` is kept in ``bad_score``."""
+    return _with_score(_read_tsv(spark, path, SCORED_COLUMNS, split, na_tokens, multiline), keep_bad)
 
 
-def read_unscored_tsv(spark: SparkSession, path: str, split: str | None = None, na_tokens: bool = True) -> DataFrame:
+def read_unscored_tsv(spark: SparkSession, path: str, split: str | None = None, na_tokens: bool = True,
+                      multiline: bool = False) -> DataFrame:
     """Headerless TSV ``text1, text2`` (A2)."""
-    return _read_tsv(spark, path, UNSCORED_SCHEMA, split, na_tokens)
+    return _read_tsv(spark, path, UNSCORED_COLUMNS, split, na_tokens, multiline)
 
 
-def read_header_csv(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
-    """CSV with a header (A3): all columns kept as text, ``score`` cast to
-    DOUBLE with ANSI semantics (bad text raises, as pandas does)."""
-    try:
-        df = spark.read.options(header=True, quote='"', escape='"', multiLine=True).csv(path)
-    except Exception as exc:
-        if "PATH_NOT_FOUND" in str(exc) or "does not exist" in str(exc):
-            raise FileNotFoundError(f"File {path} not found (split {split!r}).") from exc
-        raise
+def read_header_csv(spark: SparkSession, path: str, split: str | None = None, na_tokens: bool = True,
+                    multiline: bool = False, keep_bad: bool = False) -> DataFrame:
+    """CSV with a header (A3): all columns kept as text, NA words null,
+    ``score`` to DOUBLE as in ``read_scored_tsv``."""
+    df = _load(spark.read.options(**CSV_OPTIONS, multiLine=multiline), path, split)
     missing = {"text1", "text2", "score"} - set(df.columns)
     if missing:
         raise KeyError(f"{path}: missing columns {sorted(missing)}")
-    df = df.withColumn("score", F.col("score").cast("double"))
+    if na_tokens:
+        df = _na_to_null(df, df.columns)
+    df = _with_score(df, keep_bad)
     return df if split is None else df.withColumn("split", F.lit(split))
 
 
@@ -86,22 +107,34 @@ def write_unscored_tsv(df: DataFrame, path: str, mode: str = "overwrite") -> Non
 
 def write_header_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Sink for A3 tables: header, no index column."""
-    df.write.mode(mode).options(header=True, quote='"', escape='"', **WRITE_OPTIONS).csv(path)
+    df.write.mode(mode).options(**CSV_OPTIONS, **WRITE_OPTIONS).csv(path)
 
 
 def write_results(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Result sink (A14): one JSON object per run, keys in sorted order,
-    partitioned by ``run_id``."""
+    """Result sink (A14): one JSON object per run with ``run_id`` first and the
+    other keys in sorted order; runs get no directories of their own."""
     cols = sorted(c for c in df.columns if c != "run_id")
-    df.select("run_id", *cols).write.mode(mode).partitionBy("run_id").json(path)
+    df.select("run_id", *cols).write.mode(mode).json(path)
 
 
-def compute_once(df_fn: Callable[[], DataFrame], path: str, partition_col: str = "split") -> DataFrame:
-    """Compute-once table (A5): written with mode ``ignore`` (nothing happens
-    when it exists), then always read back from ``path``."""
-    df = df_fn()
-    df.write.mode("ignore").partitionBy(partition_col).parquet(path)
-    return df.sparkSession.read.parquet(path)
+def stored_table(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at ``path``, or None where none was written."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as exc:
+        if exc.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
+def compute_once(spark: SparkSession, df_fn: Callable[[], DataFrame], path: str, partition_col: str = "split") -> DataFrame:
+    """Compute-once table (A5): the builder runs only when ``path`` holds no
+    table yet; the result is always read back from there."""
+    stored = stored_table(spark, path)
+    if stored is not None:
+        return stored
+    df_fn().write.mode("ignore").partitionBy(partition_col).parquet(path)
+    return spark.read.parquet(path)
 
 
 # -- preprocessing and projections ------------------------------------------
@@ -207,30 +240,55 @@ class Catalog:
 
     def load_parts(self, spark: SparkSession, train, dev, test=None) -> DataFrame:
         """Train, dev (and test) from possibly different datasets (A17, A18),
-        as one frame with a ``part`` column; each source is read once per use
-        and Spark reuses the common scans."""
-        parts = [("train", train), ("dev", dev)] + ([("test", test)] if test is not None else [])
-        frames = [self.get_data(spark, ds, p).withColumn("part", F.lit(p)) for p, ds in parts]
+        as one frame with a ``part`` column.  Each dataset is read in one pass
+        that keeps the splits it is asked for."""
+        wanted: dict[str, list[str]] = {}
+        for part, names in (("train", train), ("dev", dev), ("test", test)):
+            for name in names if isinstance(names, (list, tuple)) else [names] if names is not None else []:
+                if part not in self.splits_of(name):
+                    raise ValueError(f"Split '{part}' not found in dataset {name}.")
+                wanted.setdefault(name, []).append(part)
+        frames = [self.load(spark, name).where(F.col("split").isin(parts)).withColumn("part", F.col("split"))
+                  for name, parts in wanted.items()]
         out = frames[0]
         for f in frames[1:]:
             out = out.unionByName(f, allowMissingColumns=True)
         return out
 
 
-def file_catalog(root: str) -> Catalog:
-    """The reference's three corpora read from files under ``root``."""
+def file_catalog(root: str, multiline: bool = False) -> Catalog:
+    """The three corpora read from files under ``root``.
+
+    The verse corpus comes as ``Biblical_01/biblical.<split>.csv``; where those
+    are missing, ``bibl_paraphrase_full.csv`` is split once by its score
+    (E2) and the splits are stored beside it (A5)."""
     import os
 
+    def union(frames: list[DataFrame]) -> DataFrame:
+        out = frames[0]
+        for f in frames[1:]:
+            out = out.unionByName(f, allowMissingColumns=True)
+        return out
+
     def ro_sts(spark):
-        frames = [read_scored_tsv(spark, os.path.join(root, "RO-STS", f"RO-STS.{s}.tsv"), s) for s in ("train", "dev", "test")]
-        return frames[0].unionByName(frames[1]).unionByName(frames[2])
+        return union([read_scored_tsv(spark, os.path.join(root, "RO-STS", f"RO-STS.{s}.tsv"), s, multiline=multiline) for s in ("train", "dev", "test")])
 
     def paraphrase(spark):
-        frames = [read_unscored_tsv(spark, os.path.join(root, "Paraphrase-RO", f"{s}.tsv"), s) for s in ("train", "dev")]
-        return frames[0].unionByName(frames[1])
+        return union([read_unscored_tsv(spark, os.path.join(root, "Paraphrase-RO", f"{s}.tsv"), s, multiline=multiline) for s in ("train", "dev")])
 
     def biblical(spark):
-        return spark.read.parquet(os.path.join(root, "Biblical_01", "splits"))
+        folder = os.path.join(root, "Biblical_01")
+        try:
+            return union([read_header_csv(spark, os.path.join(folder, f"biblical.{s}.csv"), s, multiline=multiline) for s in ("train", "dev", "test")])
+        except FileNotFoundError:
+            def build() -> DataFrame:
+                full = read_header_csv(spark, os.path.join(folder, "bibl_paraphrase_full.csv"), multiline=multiline)
+                keyed = full.withColumn("_row", F.xxhash64(*full.columns))
+                parts = split_chain(keyed.select("_row", "score"), "_row", "score").where(F.col("part") != "discard")
+                rows = parts.select("_row", F.col("part").alias("split")).dropDuplicates(["_row"])
+                return keyed.join(rows, "_row").drop("_row")
+
+            return compute_once(spark, build, os.path.join(folder, "biblical.splits"))
 
     cat = Catalog()
     cat.register(DatasetSpec("ro-sts", ro_sts, preprocess=lambda d: normalise_scores(d, "ro-sts")))

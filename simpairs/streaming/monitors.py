@@ -2,30 +2,43 @@
 
 * J1: running evaluation metrics per (run, stage, epoch) while predictions
   arrive: a streaming aggregation whose Pearson is the same expression as
-  the batch one, so an ``availableNow`` run over all files equals the batch
-  query.
-* J2: an early-stopping monitor over an epoch stream, one state per run
-  (``applyInPandasWithState``): best value, last improving epoch, stopped
-  flag.  It emits the stop event once per run.  Epochs of a run must arrive
-  in order across micro-batches (a late epoch raises instead of silently
-  changing the answer); inside a micro-batch they are sorted.
+  the batch one.  Spearman needs ranks over everything seen, so its state is
+  the table of distinct (group, y, y_hat) with their counts: a micro-batch
+  adds its own counts, and ranks are taken from the sums.
+* J2: an early-stopping monitor over an epoch stream.  The state is one small
+  row per run (best value, last improving epoch, last epoch, stopped).  A
+  micro-batch is folded into it by the same blocked running maxima as the
+  batch operator, so a run with very many rows is spread over tasks.
+
+State tables are written under the micro-batch's id, so a replayed micro-batch
+writes the same rows again.
 """
 
 from __future__ import annotations
 
-import time
-from typing import Iterable, Sequence
+from collections.abc import Callable
+from typing import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
-from ..operators.metrics import pearson
+from ..operators.metrics import pearson, rank_correlation
+from ..operators.rank import _null_safe_join
+from ..operators.runlog import blocked_running_max
 from ..session import scratch_dir
 
 
+def run_available(stream: DataFrame, checkpoint: str, update: Callable[[DataFrame, int], None], mode: str = "append") -> None:
+    """Feed everything that is there to ``update``, micro-batch by micro-batch."""
+    q = (
+        stream.writeStream.outputMode(mode).foreachBatch(update)
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise RuntimeError(str(q.exception()))
+
+
 def stream_metrics(stream: DataFrame, group_cols: Sequence[str], y: str, y_hat: str, loss: str) -> DataFrame:
     """Streaming aggregation: n, Pearson, mean loss per group (J1).  The
     losses arrive one row per batch, so the batch mean is a plain ``avg``."""
@@ -37,123 +50,102 @@ def stream_metrics(stream: DataFrame, group_cols: Sequence[str], y: str, y_hat:
 def run_complete_to_table(agg: DataFrame, spark: SparkSession, name: str) -> DataFrame:
     """Run a complete-mode aggregation with ``availableNow`` and return the
     final result, read back from parquet written by ``foreachBatch`` (the
-    whole result is rewritten each micro-batch; it is one row per group)."""
-    out = scratch_dir(spark, f"{name}-out")
-    ckpt = scratch_dir(spark, f"{name}-ckpt")
-
-    def write(batch_df: DataFrame, batch_id: int) -> None:
-        batch_df.write.mode("overwrite").parquet(out)
-
-    q = (
-        agg.writeStream.outputMode("complete").foreachBatch(write)
-        .option("checkpointLocation", ckpt).trigger(availableNow=True).start()
-    )
-    q.awaitTermination()
-    if q.exception() is not None:
-        raise RuntimeError(str(q.exception()))
-    return spark.read.parquet(out)
-
-
-STOP_SCHEMA = "run_id long, stop_epoch long"
-STATE_SCHEMA = "best double, last_imp long, stopped boolean, last_epoch long"
-
-
-def _patience_fn(patience: int, run_col: str, epoch_col: str, value_col: str):
-    def fn(key, pdfs: Iterable[pd.DataFrame], state):
-        if state.exists:
-            best, last_imp, stopped, last_epoch = state.get
-            best = np.nan if best is None else best
-        else:
-            best, last_imp, stopped, last_epoch = np.nan, -1, False, -1
-        pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(epoch_col, kind="stable")
-        e = pdf[epoch_col].to_numpy(dtype=np.int64)
-        if len(e) and e[0] <= last_epoch:
-            # A late epoch would silently change the answer: refuse it.
-            raise ValueError(f"run {key[0]}: epoch {int(e[0])} arrived after epoch {int(last_epoch)}")
-        v = pdf[value_col].to_numpy(dtype=np.float64)
-        # Best so far before each row (NaN = nothing yet; NaN values never count).
-        prev = np.fmax.accumulate(np.concatenate([[best], v]))[:-1]
-        improve = ~np.isnan(v) & (np.isnan(prev) | (v > np.nan_to_num(prev, nan=-np.inf)))
-        last = np.maximum.accumulate(np.where(improve, e, -1))
-        last = np.maximum(last, last_imp)
-        hit = np.nonzero(e - last >= patience)[0]
-        out = []
-        if not stopped and len(hit):
-            out.append((int(key[0]), int(e[hit[0]])))
-            stopped = True
-        new_best = float(np.fmax.reduce(np.concatenate([[best], v])))
-        state.update((
-            None if np.isnan(new_best) else new_best,
-            int(last[-1]) if len(last) else int(last_imp),
-            bool(stopped),
-            int(e[-1]) if len(e) else int(last_epoch),
-        ))
-        if out:
-            yield pd.DataFrame(out, columns=["run_id", "stop_epoch"])
-
-    return fn
-
-
-def patience_monitor(stream: DataFrame, patience: int = 4, run_col: str = "run_id", epoch_col: str = "epoch", value_col: str = "value") -> DataFrame:
-    """Stop events of an epoch stream, mode max, strict improvement."""
-    return stream.groupBy(run_col).applyInPandasWithState(
-        _patience_fn(patience, run_col, epoch_col, value_col), STOP_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout
-    )
-
-
-def write_in_chunks(df: DataFrame, path: str, chunk_col: str, chunks: Sequence[int], key_col: str, partitions: int) -> None:
-    """Write ``df`` as successive appends, one per chunk value in order, each
-    hash-partitioned by ``key_col`` so a key's rows of one chunk share a file.
-    File modification times then follow the chunk order, which is the order
-    a file stream source reads them in."""
-    for c in chunks:
-        df.where(F.col(chunk_col) == c).drop(chunk_col).repartition(partitions, key_col).write.mode("append").parquet(path)
-        time.sleep(0.01)
-
-
-def run_append_to_table(stream_out: DataFrame, spark: SparkSession, name: str) -> DataFrame:
-    """Run an append-mode query with ``availableNow`` into a parquet sink and
-    read the sink back."""
+    whole result is rewritten each micro-batch; it is one row per group).  A
+    stream without rows gives an empty result."""
     out = scratch_dir(spark, f"{name}-out")
-    ckpt = scratch_dir(spark, f"{name}-ckpt")
-    q = (
-        stream_out.writeStream.outputMode("append").format("parquet").option("path", out)
-        .option("checkpointLocation", ckpt).trigger(availableNow=True).start()
-    )
-    q.awaitTermination()
-    if q.exception() is not None:
-        raise RuntimeError(str(q.exception()))
-    return spark.read.schema(STOP_SCHEMA).parquet(out)
+    spark.createDataFrame([], agg.schema).write.parquet(out)
+    run_available(agg, scratch_dir(spark, f"{name}-ckpt"),
+                  lambda batch, _: batch.write.mode("overwrite").parquet(out), "complete")
+    return spark.read.schema(agg.schema).parquet(out)
 
 
 def stream_rank_metrics(stream: DataFrame, spark: SparkSession, group_col: str, y: str, y_hat: str, name: str) -> DataFrame:
-    """Spearman needs the whole group, so it cannot be a running aggregate
-    (J1).  Each micro-batch is stored under its batch id (overwrite, so a
-    replayed batch is idempotent); then only the groups it touched are
-    recomputed from everything stored so far and rewritten with a dynamic
-    partition overwrite.  Returns the final result table."""
-    from ..operators.metrics import correlations
-
-    acc = scratch_dir(spark, f"{name}-acc")
-    out = scratch_dir(spark, f"{name}-out")
-    ckpt = scratch_dir(spark, f"{name}-ckpt")
-
-    def update(batch_df: DataFrame, batch_id: int) -> None:
-        batch_df.write.mode("overwrite").parquet(f"{acc}/batch={batch_id}")
-        ss = batch_df.sparkSession
-        # Read the written micro-batch back instead of recomputing its source.
-        touched = ss.read.parquet(f"{acc}/batch={batch_id}").select(group_col).distinct()
-        stored = ss.read.parquet(acc).drop("batch")
-        rows = stored.join(touched, group_col, "left_semi")
-        res = correlations(rows, y, y_hat, [group_col], spearman=True, digits=None)
-        (res.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy(group_col).parquet(out))
-
-    q = (
-        stream.writeStream.foreachBatch(update).option("checkpointLocation", ckpt)
-        .trigger(availableNow=True).start()
-    )
-    q.awaitTermination()
-    if q.exception() is not None:
-        raise RuntimeError(str(q.exception()))
-    return spark.read.parquet(out)
+    """Spearman per group over a stream (J1).  Each micro-batch appends its
+    counts of distinct (group, y, y_hat) under its own id; the result sums the
+    counts and ranks once, so history is never ranked again and again."""
+    acc = scratch_dir(spark, f"{name}-counts")
+    keys = [group_col, y, y_hat]
+    schema = spark.createDataFrame([], stream.select(*keys).schema).withColumn("weight", F.lit(0).cast("bigint")).schema
+    spark.createDataFrame([], schema).write.parquet(f"{acc}/batch=-1")
+
+    def update(batch: DataFrame, batch_id: int) -> None:
+        known = batch.where(F.col(y).isNotNull() & F.col(y_hat).isNotNull())
+        known.groupBy(*keys).agg(F.count(F.lit(1)).alias("weight")).write.mode("overwrite").parquet(f"{acc}/batch={batch_id}")
+
+    run_available(stream, scratch_dir(spark, f"{name}-ckpt"), update)
+    seen = spark.read.schema(schema).option("basePath", acc).parquet(f"{acc}/*").groupBy(*keys).agg(F.sum("weight").alias("weight"))
+    n = seen.groupBy(group_col).agg(F.sum("weight").alias("n"))
+    return _null_safe_join(n, rank_correlation(seen, y, y_hat, [group_col]), [group_col])
+
+
+STATE_SCHEMA = "run_id long, best double, last_imp long, last_epoch long, stop_epoch long"
+
+
+def fold_patience(state: DataFrame, rows: DataFrame, patience: int) -> DataFrame:
+    """The state after ``rows`` (run_id, epoch, value) came in (J2): mode max,
+    strict improvement; null and NaN never improve.
+
+    ``stop_epoch`` is the first epoch at which ``patience`` epochs have passed
+    without improvement, and stays once set.  Epochs of a run must arrive in
+    order across calls; a row at or before a run's last epoch raises, since it
+    would silently change the answer.  Inside one call any order will do.
+    """
+    value = F.when(F.isnan("value"), None).otherwise(F.col("value"))
+    d = _null_safe_join(rows.select("run_id", "epoch", value.alias("_v")), state, ["run_id"], "left")
+    late = F.raise_error(F.format_string("run %s: epoch %d arrived after epoch %d", F.col("run_id").cast("string"), F.col("epoch"), F.col("last_epoch")))
+    d = d.withColumn("epoch", F.when(F.col("epoch") <= F.col("last_epoch"), late.cast("bigint")).otherwise(F.col("epoch")))
+    d = blocked_running_max(d, "_v", ["run_id"], "epoch", inclusive=False, out="_before")
+    before = F.greatest("_before", "best")
+    d = d.withColumn("_imp", F.when(F.col("_v").isNotNull() & (before.isNull() | (F.col("_v") > before)), F.col("epoch")))
+    d = blocked_running_max(d, "_imp", ["run_id"], "epoch", inclusive=True, out="_last")
+    since = F.coalesce(F.greatest("_last", "last_imp"), F.lit(-1))
+    stop = F.when(F.col("epoch") - since >= patience, F.col("epoch"))
+    new = d.groupBy("run_id").agg(
+        F.greatest(F.max("_v"), F.first("best")).alias("best"),
+        F.greatest(F.max("_imp"), F.first("last_imp")).alias("last_imp"), F.max("epoch").alias("last_epoch"),
+        F.coalesce(F.first("stop_epoch"), F.min(stop)).alias("stop_epoch"))
+    return state.join(new.select(F.col("run_id").alias("_r")), F.col("run_id").eqNullSafe(F.col("_r")), "left_anti").unionByName(new)
+
+
+class PatienceMonitor:
+    """Stop events of an epoch stream, with its state in shared tables."""
+
+    def __init__(self, spark: SparkSession, name: str, patience: int = 4) -> None:
+        self.spark, self.patience = spark, patience
+        self.root, self.checkpoint = scratch_dir(spark, f"{name}-state"), scratch_dir(spark, f"{name}-ckpt")
+        self.version = -1
+        self._write(spark.createDataFrame([], STATE_SCHEMA), self.version)
+
+    def _write(self, state: DataFrame, version: int) -> None:
+        state.write.mode("overwrite").parquet(f"{self.root}/version={version}")
+        self.version = version
+
+    def state(self) -> DataFrame:
+        return self.spark.read.schema(STATE_SCHEMA).parquet(f"{self.root}/version={self.version}")
+
+    def update(self, batch: DataFrame, batch_id: int) -> None:
+        # A replayed micro-batch starts from the version before it.
+        self.version = min(self.version, batch_id - 1)
+        self._write(fold_patience(self.state(), batch, self.patience), batch_id)
+
+    def feed(self, stream: DataFrame) -> None:
+        """Take in everything that the source has now."""
+        run_available(stream, self.checkpoint, self.update)
+
+    def stops(self) -> DataFrame:
+        return self.state().where("stop_epoch is not null").select("run_id", "stop_epoch")
+
+
+def replay_in_order(df: DataFrame, path: str, order_col: str, chunks: int, partitions: int, take: Callable[[], None]) -> None:
+    """Write ``df`` to ``path`` in ``chunks`` steps of rising ``order_col`` and
+    call ``take`` after each, so a file source gets them in that order however
+    coarse its file times are.  Chunks cut the span of the order evenly."""
+    lo, hi = df.agg(F.min(order_col), F.max(order_col)).first()
+    if lo is None:
+        df.write.mode("append").parquet(path)
+        take()
+        return
+    step = F.expr(f"(({order_col} - {lo}) * {chunks}) div ({hi} - {lo} + 1)")
+    for c in range(chunks):
+        df.where(step == c).repartition(partitions).write.mode("append").parquet(path)
+        take()

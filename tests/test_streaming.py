@@ -1,33 +1,71 @@
-"""The patience monitor over a file stream: in-order epochs give the batch
-answer across micro-batches; a late epoch fails the query."""
+"""Streaming states: epochs in order give the batch answer across micro-batches,
+a hot run is spread, a late epoch fails, an empty stream gives an empty table."""
 
 import os
 
 import pytest
 from pyspark.sql import functions as F
 
-from simpairs.streaming.monitors import patience_monitor, run_append_to_table, write_in_chunks
+from simpairs.operators.runlog import early_stop
+from simpairs.streaming.monitors import PatienceMonitor, fold_patience, replay_in_order, run_complete_to_table, stream_metrics, stream_rank_metrics
+
+SCHEMA = "run_id long, epoch long, value double"
 
 
 def _series(spark, values, run=0):
-    return spark.createDataFrame([(run, i, float(v)) for i, v in enumerate(values)], "run_id long, epoch long, value double")
+    return spark.createDataFrame([(run, i, float(v)) for i, v in enumerate(values)], SCHEMA)
+
+
+def _replayed(spark, df, src, chunks):
+    monitor = PatienceMonitor(spark, "test-stop", 4)
+    replay_in_order(df, src, "epoch", chunks, 2, lambda: monitor.feed(spark.readStream.schema(SCHEMA).parquet(src)))
+    return monitor
 
 
 def test_monitor_matches_batch_across_micro_batches(spark, tmp_dir):
-    vals = [5, 4, 4, 4, 6, 1, 1, 1, 1]
-    df = _series(spark, vals).withColumn("_chunk", F.expr("epoch div 3"))
-    src = os.path.join(tmp_dir, "in-order")
-    write_in_chunks(df, src, "_chunk", [0, 1, 2], "run_id", 1)
-    stream = spark.readStream.schema("run_id long, epoch long, value double").option("maxFilesPerTrigger", 1).parquet(src)
-    out = run_append_to_table(patience_monitor(stream, 4), spark, "test-stop").collect()
-    assert [(r.run_id, r.stop_epoch) for r in out] == [(0, 8)]
-
-
-def test_late_epoch_fails(spark, tmp_dir):
-    vals = [5, 4, 4, 4, 6, 1]
-    df = _series(spark, vals).withColumn("_chunk", F.when(F.col("epoch") < 3, 1).otherwise(0))
-    src = os.path.join(tmp_dir, "late")
-    write_in_chunks(df, src, "_chunk", [0, 1], "run_id", 1)  # epochs 3-5 first, then 0-2
-    stream = spark.readStream.schema("run_id long, epoch long, value double").option("maxFilesPerTrigger", 1).parquet(src)
-    with pytest.raises(Exception):
-        run_append_to_table(patience_monitor(stream, 4), spark, "test-late")
+    df = _series(spark, [5, 4, 4, 4, 6, 1, 1, 1, 1]).unionByName(_series(spark, [1, 2, 3], 7)).unionByName(
+        _series(spark, [float("nan"), 2, 2, 2, 2, 2], None))
+    got = {(r.run_id, r.stop_epoch) for r in _replayed(spark, df, os.path.join(tmp_dir, "in"), 3).stops().collect()}
+    want = {(r.run_id, r.stop_epoch) for r in early_stop(df, 4).where("stop_epoch is not null").collect()}
+    assert got == want == {(0, 8), (None, 5)}
+
+
+def test_a_hot_run_equals_the_batch_answer(spark, tmp_dir):
+    df = spark.range(0, 20000).select(F.lit(1).cast("long").alias("run_id"), F.col("id").alias("epoch"),
+                                      F.when(F.col("id") < 15000, F.col("id")).otherwise(0).cast("double").alias("value"))
+    assert [tuple(r) for r in _replayed(spark, df, os.path.join(tmp_dir, "hot"), 3).stops().collect()] == [(1, 15003)]
+
+
+def test_a_replayed_micro_batch_changes_nothing(spark):
+    monitor = PatienceMonitor(spark, "test-again", 4)
+    first, second = _series(spark, [5, 4, 4]), _series(spark, [5, 4, 4, 4, 4, 4]).where("epoch > 2")
+    monitor.update(first, 0)
+    monitor.update(second, 1)
+    monitor.update(second, 1)
+    assert [tuple(r) for r in monitor.stops().collect()] == [(0, 4)]
+
+
+def test_late_epoch_fails(spark):
+    state = fold_patience(spark.createDataFrame([], "run_id long, best double, last_imp long, last_epoch long, stop_epoch long"),
+                          _series(spark, [5, 4, 4, 4]), 4)
+    with pytest.raises(Exception, match="arrived after"):
+        fold_patience(state, _series(spark, [9]), 4).collect()
+
+
+def test_empty_streams_give_empty_tables(spark, tmp_dir):
+    src = os.path.join(tmp_dir, "none")
+    schema = "stage string, y double, y_hat double, loss double"
+    spark.createDataFrame([], schema).write.parquet(src)
+    stream = lambda: spark.readStream.schema(schema).parquet(src)
+    assert run_complete_to_table(stream_metrics(stream(), ["stage"], "y", "y_hat", "loss"), spark, "e1").count() == 0
+    assert stream_rank_metrics(stream(), spark, "stage", "y", "y_hat", "e2").count() == 0
+    assert _replayed(spark, _series(spark, []), os.path.join(tmp_dir, "no-log"), 2).stops().count() == 0
+
+
+def test_streamed_spearman_keeps_null_groups(spark, tmp_dir):
+    src = os.path.join(tmp_dir, "pred")
+    rows = [(g, float(i), float(i * i % 7)) for g in ("a", None) for i in range(9)]
+    spark.createDataFrame(rows, "stage string, y double, y_hat double").repartition(3).write.parquet(src)
+    stream = spark.readStream.schema("stage string, y double, y_hat double").option("maxFilesPerTrigger", 1).parquet(src)
+    got = {r.stage: (r.n, r.spearman) for r in stream_rank_metrics(stream, spark, "stage", "y", "y_hat", "nulls").collect()}
+    assert set(got) == {"a", None} and got["a"] == got[None] and got["a"][0] == 9
