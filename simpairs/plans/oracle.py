@@ -584,3 +584,90 @@ r AS (SELECT *, {rank2_sql('score', 'part')}::DOUBLE AS ry, {rank2_sql('p', 'par
 SELECT part, count(*) AS n, {r6(pearson_sql('score', 'p'))} AS pearson, {r6(pearson_sql('ry', 'rp'))} AS spearman,
        {r6('avg(pow(p - score, 2))')} AS mse FROM r GROUP BY part
 """
+
+
+# -- run-log files -------------------------------------------------------------------
+
+FILE_LOG = EPOCH_LOG + """,
+fl AS (SELECT run_id, epoch, CASE WHEN run_id % 2 = 0 THEN metric ELSE 'val/' || split_part(metric, '/', 2) || '_epoch' END AS metric, value FROM el),
+ml AS (SELECT run_id, max(epoch) AS last FROM fl GROUP BY run_id),
+runs AS (SELECT DISTINCT user_id::INTEGER AS run_id FROM events)"""
+ORACLES["runlog_metrics"] = f"""
+WITH {FILE_LOG},
+h AS (SELECT fl.run_id, epoch * 5 AS epoch, row_number() OVER (PARTITION BY fl.run_id, metric ORDER BY epoch) - 1 AS pos, metric, value
+      FROM fl JOIN ml ON fl.run_id = ml.run_id WHERE epoch <= last - 2 AND fl.run_id % 10 NOT IN (3, 7) AND value IS NOT NULL)
+SELECT r.run_id, h.epoch, h.pos, h.metric, {r6('h.value')} AS value FROM runs r LEFT JOIN h ON r.run_id = h.run_id
+"""
+ORACLES["runlog_lines"] = f"""
+WITH {FILE_LOG}
+SELECT run_id::INTEGER AS run_id, count(*) AS rows, count(*) - (run_id % 10 = 3)::BIGINT AS parsed_rows, (run_id % 10 = 3)::BIGINT AS bad_rows
+FROM fl WHERE run_id % 10 <> 7 GROUP BY run_id
+"""
+ORACLES["runlog_results"] = f"""
+WITH {RUN_METRICS_LONG}
+SELECT run_id::INTEGER AS run_id, metric, {r6('value')} AS value FROM rml WHERE value IS NOT NULL
+UNION ALL SELECT DISTINCT user_id::INTEGER, 'extra_metric', 1.5::DOUBLE FROM events
+"""
+FILE_CONFIG = RUN_CONFIG + """,
+fc AS (SELECT rc.* FROM rc WHERE run_id IN (SELECT user_id FROM events))"""
+ORACLES["runlog_hparams"] = f"""
+WITH {FILE_CONFIG}
+SELECT run_id::INTEGER AS run_id, batch_size, model_name, 1 AS gpus, 0.25::DOUBLE AS warmup_share, 20 AS max_train_epochs,
+       translate AS data_augmentation_translate_data, '2e-05' AS lr, {list_text('tdn')} AS train_dataset_name, '[''ro-sts'']' AS test_dataset_name,
+       13::BIGINT AS n_options
+FROM fc
+"""
+ORACLES["runlog_report"] = f"""
+WITH {FILE_CONFIG}, {RUN_METRICS_WIDE}
+SELECT fc.run_id::INTEGER AS run_id, model_name, batch_size, {', '.join(f"{r6('rm.' + m)} AS {m}" for m in sorted(_METRICS))}, 1.5::DOUBLE AS extra_metric
+FROM fc JOIN rm ON fc.run_id = rm.run_id
+"""
+
+
+# -- loss options, triplets from text, epoch reports ------------------------------------
+
+ORACLES["inbatch_weighted"] = f"""
+WITH {VEC_PAIRS},
+z AS (SELECT pair_id, 1 AS side, list_transform(u, lambda e: e / greatest({nrm('u')}, 1e-12)) AS xn, score FROM vec_pairs
+      UNION ALL SELECT pair_id, 2, list_transform(v, lambda e: e / greatest({nrm('v')}, 1e-12)), score FROM vec_pairs),
+pr AS (SELECT a.pair_id, a.side, a.score, a.pair_id = b.pair_id AS is_partner, list_dot_product(a.xn, b.xn) AS sim,
+              20.0::DOUBLE * list_dot_product(a.xn, b.xn) + CASE WHEN a.pair_id = b.pair_id AND a.score = 0 THEN 5 ELSE 0 END AS logit
+       FROM z a, z b WHERE NOT (a.pair_id = b.pair_id AND a.side = b.side)),
+r AS (SELECT pair_id, side, any_value(score) AS score, max(logit) + ln(sum(exp(logit - 25))) + (25 - max(logit)) AS lse,
+             max(sim) FILTER (WHERE is_partner) AS partner_sim, max(logit) FILTER (WHERE is_partner) AS pl FROM pr GROUP BY ALL)
+SELECT pair_id, side, {r6('lse')} AS lse, {r6('partner_sim')} AS partner_sim, {r6('CASE WHEN score >= 0.9 THEN lse - pl ELSE 0.0 END')} AS ce FROM r
+"""
+ORACLES["epoch_report"] = f"""
+WITH p AS (SELECT l_orderkey % 3 AS run_id, nullif(l_returnflag, 'N') AS stage, l_linenumber::BIGINT AS epoch, l_orderkey // 64 AS batch_id,
+                  l_quantity AS y, l_extendedprice AS y_hat, pow(l_extendedprice / 105000.0::DOUBLE - l_quantity / 50.0::DOUBLE, 2) AS loss FROM lineitem),
+r AS (SELECT *, {rank2_sql('y', 'run_id, stage, epoch')}::DOUBLE AS ry, {rank2_sql('y_hat', 'run_id, stage, epoch')}::DOUBLE AS rp FROM p),
+c AS (SELECT run_id, stage, epoch, count(*) AS n, {r6(pearson_sql('y', 'y_hat'))} AS pearson, {r6(pearson_sql('ry', 'rp'))} AS spearman FROM r GROUP BY ALL),
+b AS (SELECT run_id, stage, epoch, batch_id, avg(loss) AS bl FROM p GROUP BY ALL),
+l AS (SELECT run_id, stage, epoch, count(*) AS n_batches, {r6('avg(bl)')} AS avg_loss FROM b GROUP BY ALL)
+SELECT c.*, l.n_batches, l.avg_loss FROM c JOIN l ON c.run_id = l.run_id AND c.stage IS NOT DISTINCT FROM l.stage AND c.epoch = l.epoch
+"""
+_dist = lambda p: (f"pow(list_sum(list_transform(generate_series(1, len(u)), lambda i: pow(abs(u[i] - v[i] + 1e-6::DOUBLE), {p}))), 1.0::DOUBLE / {p})")
+ORACLES["angle_mean_loss"] = f"""
+WITH {VEC_PAIRS},
+s AS (SELECT batch_id, score, {angle_sql('u', 'v', 300.0)} / len(u) AS s, {_dist(1)} AS d1, {_dist(3)} AS d3 FROM vec_pairs),
+t AS (SELECT a.batch_id, sum(exp(a.s - z.s)) AS e FROM s a JOIN s z ON a.batch_id = z.batch_id AND a.score < z.score GROUP BY a.batch_id),
+d AS (SELECT batch_id, avg(d1) AS d1, avg(d3) AS d3 FROM s GROUP BY batch_id)
+SELECT d.batch_id, {r6('ln(1 + coalesce(t.e, 0))')} AS loss, {r6('d1')} AS d1, {r6('d3')} AS d3 FROM d LEFT JOIN t ON d.batch_id = t.batch_id
+"""
+ORACLES["triplet_text"] = f"""
+WITH {TURN_PAIRS}, {negatives_sql('turn_pairs')},
+tr AS (SELECT (row_number() OVER (ORDER BY pair_id) - 1) // 16 AS batch_id, 'a' || pair_id AS a, 'b' || pair_id AS p,
+              CASE WHEN side = 1 THEN 'a' ELSE 'b' END || donor_id AS n FROM neg),
+docs AS (SELECT 'a' || pair_id AS id, text1 AS text FROM turn_pairs UNION ALL SELECT 'b' || pair_id, text2 FROM turn_pairs),
+ex AS (SELECT id, unnest(regexp_extract_all(coalesce(text, ''), {TOKEN_PAT})) AS token FROM docs),
+vec AS (SELECT id, (('0x' || substr(md5(token), 1, 8))::UBIGINT % 256)::INTEGER AS dim, count(*)::DOUBLE AS w FROM ex GROUP BY ALL),
+dense AS (SELECT d.id, x.dim, coalesce(v.w, 0) AS w FROM docs d CROSS JOIN (SELECT unnest(range(256))::INTEGER AS dim) x
+          LEFT JOIN vec v ON v.id = d.id AND v.dim = x.dim),
+ds AS (SELECT tr.batch_id, tr.a, sqrt(sum(pow(va.w - vp.w + 1e-6::DOUBLE, 2))) AS d_ap, sqrt(sum(pow(va.w - vn.w + 1e-6::DOUBLE, 2))) AS d_an
+       FROM tr JOIN dense va ON va.id = tr.a JOIN dense vp ON vp.id = tr.p AND vp.dim = va.dim JOIN dense vn ON vn.id = tr.n AND vn.dim = va.dim
+       GROUP BY tr.batch_id, tr.a),
+b AS (SELECT batch_id, count(*) AS n, avg(greatest(0.0::DOUBLE, d_ap - d_an + 1.0::DOUBLE)) AS loss,
+             avg(CASE WHEN d_ap < d_an THEN 1.0 ELSE 0.0 END::DOUBLE) AS accuracy FROM ds GROUP BY batch_id)
+SELECT batch_id, n, {r6('loss')} AS loss, {r6('accuracy')} AS accuracy FROM b
+UNION ALL SELECT NULL, count(*), {r6('avg(loss)')}, {r6('avg(accuracy)')} FROM b
+"""

@@ -12,28 +12,29 @@ from pyspark.sql import functions as F
 
 from . import fixtures as fx
 from ..functions.numeric import rnd
-from ..functions.vectors import as_double_array, cosine, l2_normalize
+from ..functions.vectors import as_double_array, cosine, l2_normalize, pairwise_distance
 from ..functions.pooling import linear_readout, mean_pool_tokens, readout_weights
 from ..operators.losses import (
     angle_loss, combined_loss, cosent_loss, in_batch_loss, in_batch_rows,
     pair_loss_per_batch, triplet_per_batch, triplet_terms,
 )
 from ..operators.batching import sequential_batches, shuffled_batches
-from ..operators.metrics import correlations, mean_batch_loss
-from ..operators.negatives import draw_negatives
+from ..operators.metrics import batch_accuracy, correlations, epoch_metrics, mean_batch_loss
+from ..operators.negatives import draw_donors, draw_negatives
 from ..operators.split import keep_keys, rare_keys, split_chain, stratified_split
 from ..operators.grid import effective_batch_size, expand_grid, mean_over_seeds, resolve_pad
 from ..operators.rank import value_rank
 from ..operators.runlog import (
     DEFAULT_HPARAMS, EXPERIMENT_DEFAULTS, arg_best, as_name_list, best_epoch, drop_tail, early_stop, label, overlay,
-    present_metrics, py_text, report, safe_name, select_runs, split_name, title, unpivot_metrics,
+    overlay_options, present_metrics, py_text, report, safe_name, select_runs, split_name, title, unpivot_metrics,
 )
 from ..functions.numeric import fixed4
 from ..functions.hashing import hash_unit
 from ..operators.batching import apply_translation, route_augmentation
-from ..operators.text import pad_batches, score_pairs, token_ids, vocabulary
+from ..operators.text import pad_batches, score_pairs, score_triplets, token_ids, vocabulary
 from ..operators.fit import FEATURES, grid_fit, pair_features, staged_fit, train_and_report
 from ..session import checkpoint_root, scratch_dir
+from ..sources.runlogs import metrics_long, option, read_hparams, read_metrics, read_report, read_results, run_histories
 from ..streaming.monitors import PatienceMonitor, replay_in_order, run_complete_to_table, stream_metrics, stream_rank_metrics
 from ..sources.pairs import (
     Catalog, DatasetSpec, compute_once, normalise_scores, read_header_csv, read_scored_tsv, read_unscored_tsv,
@@ -218,6 +219,53 @@ def inbatch_loss_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     return in_batch_loss(fx.vec_pairs(spark, sf_dir)).select("batch_id", rnd("loss").alias("loss"))
 
 
+def inbatch_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In-batch loss of one batch over all pairs, in tiles: a positive
+    threshold, and a weight on the pairs scored exactly 0 (D12)."""
+    p = fx.vec_pairs(spark, sf_dir).withColumn("batch_id", F.lit(0).cast("bigint"))
+    rows = in_batch_rows(p, tau=20.0, negative_weight=5.0, positive_threshold=0.9, tile_pairs=256)
+    return rows.select("pair_id", "side", *[rnd(c).alias(c) for c in ("lse", "partner_sim", "ce")])
+
+
+def triplet_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Triplets of turns encoded from text: distances, hinge, and the accuracy
+    of every batch and of all batches (G7, D8, D9)."""
+    turns = fx.turn_pairs(spark, sf_dir)
+    drawn = draw_donors(turns.select("pair_id"), "pair_id", seed="42").join(
+        sequential_batches(turns.select("pair_id"), "pair_id", 16), "pair_id")
+    first = turns.select(F.concat(F.lit("a"), "pair_id").alias("id"), F.col("text1").alias("text"))
+    docs = first.unionByName(turns.select(F.concat(F.lit("b"), "pair_id").alias("id"), F.col("text2").alias("text")))
+    side = F.when(F.col("side") == 1, F.lit("a")).otherwise(F.lit("b"))
+    trip = drawn.select("batch_id", F.concat(F.lit("a"), "pair_id").alias("anchor"), F.concat(F.lit("b"), "pair_id").alias("positive"),
+                        F.concat(side, "donor_id").alias("negative"))
+    t = score_triplets(docs, trip, "id", "text", "anchor", "positive", "negative")
+    per_batch = triplet_per_batch(t).select(F.col("batch_id"), "n", "loss", "accuracy")
+    every = mean_batch_loss(t, "hinge", "batch_id", [], "loss").select("loss", "n_batches")
+    total = batch_accuracy(t, F.col("correct"), "batch_id").select("accuracy")
+    all_row = every.select(F.lit(None).cast("bigint").alias("batch_id"), F.col("n_batches").alias("n"), "loss").withColumn(
+        "accuracy", total.scalar())
+    return per_batch.unionByName(all_row).select("batch_id", "n", rnd("loss").alias("loss"), rnd("accuracy").alias("accuracy"))
+
+
+def epoch_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per (run, stage, epoch): Pearson, Spearman and mean batch loss, with the
+    null stage as a group of its own (D21)."""
+    p = fx.predictions(spark, sf_dir).select(
+        (F.col("l_orderkey") % 3).alias("run_id"), F.nullif(F.col("stage"), F.lit("N")).alias("stage"),
+        F.col("l_linenumber").cast("bigint").alias("epoch"), "batch_id", "y", "y_hat",
+        F.pow(F.col("y_hat") / F.lit(105000.0) - F.col("y") / F.lit(50.0), 2).alias("loss"))
+    out = epoch_metrics(p, "y", "y_hat", "loss", "batch_id")
+    return out.select("run_id", "stage", "epoch", "n", "n_batches", "pearson", "spearman", "avg_loss")
+
+
+def angle_mean_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Angle loss with mean pooling, and distances with p = 1 and p = 3."""
+    p = fx.vec_pairs(spark, sf_dir)
+    loss = angle_loss(p, "u", "v", "score", tau=300.0, pooling="mean")
+    dist = p.groupBy("batch_id").agg(F.avg(pairwise_distance("u", "v", 1.0)).alias("d1"), F.avg(pairwise_distance("u", "v", 3.0)).alias("d3"))
+    return loss.join(dist, "batch_id").select("batch_id", *[rnd(c).alias(c) for c in ("loss", "d1", "d3")])
+
+
 def combined_loss_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     return combined_loss(fx.vec_pairs(spark, sf_dir)).select("batch_id", rnd("loss").alias("loss"))
 
@@ -266,6 +314,10 @@ QUERIES.update({
     "theta_pairs": theta_pairs,
     "inbatch_similarity": inbatch_similarity,
     "inbatch_loss": inbatch_loss_q,
+    "inbatch_weighted": inbatch_weighted,
+    "triplet_text": triplet_text,
+    "epoch_report": epoch_report,
+    "angle_mean_loss": angle_mean_loss,
     "combined_loss": combined_loss_q,
     "cosent_loss": cosent_loss_q,
     "angle_loss": angle_loss_q,
@@ -436,6 +488,103 @@ QUERIES.update({
 })
 
 
+# -- run-log files: A9-A13, B11, D16 -------------------------------------------------
+
+def _run_folder():
+    return F.concat(F.lit("version_"), F.col("run_id").cast("string")).alias("run")
+
+
+def _all_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.read(spark, sf_dir, "events").select(F.col("user_id").cast("int").alias("run_id")).distinct()
+
+
+def _write_metric_files(spark: SparkSession, sf_dir: str) -> str:
+    """The epoch log as one folder of CSV files per run: even runs with
+    ``dev/`` columns, odd runs with ``val/`` columns in another order; epochs
+    have gaps; runs ending in 3 have a cell that is no number, runs ending in
+    7 no file."""
+    root = scratch_dir(spark, "run-metrics")
+    log = fx.epoch_log(spark, sf_dir).where(F.col("run_id") % 10 != 7)
+    cell = F.when((F.col("run_id") % 10 == 3) & (F.col("epoch") == 0), F.lit("oops")).otherwise(F.col("value").cast("string"))
+    kind = F.split("metric", "/")[1]
+    base = [(F.col("epoch") * 5).alias("epoch"), (F.col("epoch") * 10).alias("step"), _run_folder()]
+    columns = lambda form, types: [F.when(kind == t, cell).alias(form.format(t)) for t in types]
+    even = log.where(F.col("run_id") % 2 == 0).select(*columns("dev/{}", fx.EVENT_TYPES), *base)
+    odd = log.where(F.col("run_id") % 2 == 1).select(*base, *columns("val/{}_epoch", fx.EVENT_TYPES[::-1]))
+    for part in (even, odd):
+        part.repartition("run").write.mode("append").partitionBy("run").option("header", True).csv(root)
+    return root
+
+
+def runlog_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metric files read by their own headers, the last two rows dropped by
+    position, every run kept by a left join (A9, A12, A13, B10-B13)."""
+    metrics = read_metrics(spark, _write_metric_files(spark, sf_dir), "*.csv")
+    long = metrics_long(_materialize(spark)(metrics))
+    return run_histories(_all_runs(spark, sf_dir), long).select("run_id", "epoch", "pos", "metric", rnd("value").alias("value"))
+
+
+def runlog_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per run: lines read, parsed and failed."""
+    return read_report(read_metrics(spark, _write_metric_files(spark, sf_dir), "*.csv")).select("run_id", "rows", "parsed_rows", "bad_rows")
+
+
+def _write_results(spark: SparkSession, sf_dir: str) -> str:
+    root = scratch_dir(spark, "run-results")
+    rows = fx.run_metrics(spark, sf_dir).select(*RESULT_METRICS, F.lit(1.5).alias("extra_metric"), _run_folder())
+    rows.repartition("run").write.partitionBy("run").json(root)
+    return root
+
+
+def runlog_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Result files with any metric names, in long form (A10)."""
+    res = read_results(spark, _write_results(spark, sf_dir), "*.json")
+    return res.select("run_id", "metric", rnd("value").alias("value"))
+
+
+def _write_hparams(spark: SparkSession, sf_dir: str) -> str:
+    """Sparse option files of the runs, with a key that no list knows."""
+    root = scratch_dir(spark, "run-hparams")
+    cfg = fx.run_config(spark, sf_dir).withColumn("run_id", F.col("run_id").cast("int")).join(_all_runs(spark, sf_dir), "run_id")
+    line = lambda key, text: F.when(text.isNotNull(), F.concat(F.lit(f"{key}: "), text))
+    names = F.concat(F.lit("["), F.array_join("train_dataset_name", ", "), F.lit("]"))
+    text = F.concat_ws("\n", F.lit("lr: 2.0e-05"), line("model_name", F.col("model_name")), line("batch_size", F.col("batch_size").cast("string")),
+                       line("data_augmentation_translate_data", F.col("data_augmentation_translate_data").cast("string")),
+                       line("train_dataset_name", names), line("warmup_share", F.lit("0.25")), F.lit("test_dataset_name: ro-sts"))
+    cfg.select(text.alias("value"), _run_folder()).repartition("run").write.partitionBy("run").text(root)
+    return root
+
+
+def runlog_hparams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Option files with any keys over the defaults."""
+    hp = overlay_options(read_hparams(spark, _write_hparams(spark, sf_dir), "*.txt"), DEFAULT_HPARAMS)
+    types = dict(hp.dtypes)
+    return hp.select(
+        "run_id", "batch_size", "model_name", option("gpus", "int").alias("gpus"), option("warmup_share", "double").alias("warmup_share"),
+        option("max_train_epochs", "int").alias("max_train_epochs"), "data_augmentation_translate_data",
+        py_text(F.col("lr"), types["lr"]).alias("lr"), py_text(F.col("train_dataset_name"), types["train_dataset_name"]).alias("train_dataset_name"),
+        py_text(F.col("test_dataset_name"), types["test_dataset_name"]).alias("test_dataset_name"),
+        F.size(F.map_keys("options")).cast("bigint").alias("n_options"),
+    )
+
+
+def runlog_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Options and results from files; metric names found in the data."""
+    hp = _materialize(spark)(read_hparams(spark, _write_hparams(spark, sf_dir), "*.txt"))
+    res = _materialize(spark)(read_results(spark, _write_results(spark, sf_dir), "*.json"))
+    wide = report(res, hp, ["model_name", "batch_size"])
+    return wide.select("run_id", "model_name", "batch_size", *[rnd(m).alias(m) for m in wide.columns[3:]])
+
+
+QUERIES.update({
+    "runlog_metrics": runlog_metrics,
+    "runlog_lines": runlog_lines,
+    "runlog_results": runlog_results,
+    "runlog_hparams": runlog_hparams,
+    "runlog_report": runlog_report,
+})
+
+
 # -- text: G1-G6, C8, K1, K2 --------------------------------------------------------
 
 def tokenise_pad(spark: SparkSession, sf_dir: str) -> DataFrame:

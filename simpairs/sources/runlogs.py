@@ -32,8 +32,8 @@ def _run_id(path="_metadata.file_path"):
     return F.regexp_extract(F.col(path), RUN_ID_PATTERN, 1).try_cast("int")
 
 
-def read_metrics(spark: SparkSession, root: str) -> DataFrame:
-    """All ``metrics.csv`` files (A9): one row per line with ``run_id`` (A12),
+def read_metrics(spark: SparkSession, root: str, name: str = "metrics.csv") -> DataFrame:
+    """All ``metrics.csv`` files (A9; ``name`` may be a pattern): one row per line with ``run_id`` (A12),
     ``epoch``, ``step``, ``values`` (a map from every other column of the
     file's header to its number; empty cells are absent, B12) and
     ``_corrupt_record`` (the line, when it does not fit its header or holds a
@@ -43,7 +43,7 @@ def read_metrics(spark: SparkSession, root: str) -> DataFrame:
     block, joined to the file's lines by path.  Cells hold numbers, so a
     comma is always a separator.
     """
-    lines = spark.read.text(os.path.join(root, "*", "metrics.csv")).select(
+    lines = spark.read.text(os.path.join(root, "*", name)).select(
         "value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"))
     lines = lines.withColumn("line", F.monotonically_increasing_id())
     first = lines.where(F.col("block") == 0).groupBy("path").agg(F.min(F.struct("line", "value")).alias("h"))
@@ -70,15 +70,15 @@ def read_metrics(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def read_results(spark: SparkSession, root: str) -> DataFrame:
+def read_results(spark: SparkSession, root: str, name: str = "results.json") -> DataFrame:
     """All ``results.json`` files (A10): (run_id, metric, value) for every
     number a file holds, whatever its name."""
-    text = spark.read.text(os.path.join(root, "*", "results.json"), wholetext=True)
+    text = spark.read.text(os.path.join(root, "*", name), wholetext=True)
     pairs = F.from_json("value", "map<string,double>")
     return text.select(_run_id().alias("run_id"), F.explode(pairs).alias("metric", "value"))
 
 
-def read_hparams(spark: SparkSession, root: str) -> DataFrame:
+def read_hparams(spark: SparkSession, root: str, name: str = "hparams.yaml") -> DataFrame:
     """All ``hparams.yaml`` files (A11): one row per run with ``options`` (every
     key, its value as JSON text), the typed columns of ``TYPED_HPARAMS`` and
     ``parse_error``.  Dataset names always become arrays.
@@ -108,7 +108,7 @@ def read_hparams(spark: SparkSession, root: str) -> DataFrame:
                 rows.append((int(run[1]) if run else None, options, error))
             yield pd.DataFrame(rows, columns=["run_id", "options", "parse_error"])
 
-    text = spark.read.text(os.path.join(root, "*", "hparams.yaml"), wholetext=True)
+    text = spark.read.text(os.path.join(root, "*", name), wholetext=True)
     text = text.select(F.col("_metadata.file_path").alias("path"), "value")
     raw = text.mapInPandas(parse, "run_id INT, options MAP<STRING,STRING>, parse_error STRING")
     return raw.select("run_id", "options", *[option(k, t).alias(k) for k, t in TYPED_HPARAMS.items()], "parse_error")
