@@ -44,7 +44,7 @@ def main() -> None:
             times[name] = round(time.time() - t0, 3)
         except Exception as exc:  # keep the other numbers; report the failure
             times[name] = None
-            failed[name] = f"{type(exc).__name__}: {str(exc)[:200]}"
+            failed[name] = f"{type(exc).__name__}: {exc}"
     m = re.search(r"sf([0-9.]+)", sf_dir)
     print(json.dumps({
         "metric": "headline_total",

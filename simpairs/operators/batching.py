@@ -9,6 +9,8 @@ batch, reproducible, independent of partitioning.
 
 from __future__ import annotations
 
+from typing import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +47,14 @@ def sequential_batches(df: DataFrame, id_col: str, batch_size: int, prefix: str
     return _numbered(df, value_rank(df.select(id_col), id_col, out="_bpos"), id_col, batch_size, prefix)
 
 
+def prepare_batches(df: DataFrame, id_col: str, batch_size: int, collate: Callable[[DataFrame], DataFrame] | None = None,
+                    shuffle: bool = False, seed="42", epoch: int = 0) -> DataFrame:
+    """Batches with the caller's own transform applied to them (K1): ``collate``
+    takes the batched frame (``batch_id``, ``batch_idx``) and gives any frame."""
+    batched = shuffled_batches(df, id_col, batch_size, seed, epoch) if shuffle else sequential_batches(df, id_col, batch_size)
+    return batched.transform(collate) if collate is not None else batched
+
+
 def route_augmentation(df: DataFrame, batch_col: str = "batch_id", seed="42", epoch: int = 0) -> DataFrame:
     """Per batch: ``route`` 1, 2 or 3 (30/40/30, G3) and a pivot ``lang``."""
     r = hash_unit(F.lit(seed), F.lit("route"), F.lit(epoch), F.col(batch_col))

@@ -628,11 +628,11 @@ FROM fc JOIN rm ON fc.run_id = rm.run_id
 
 ORACLES["inbatch_weighted"] = f"""
 WITH {VEC_PAIRS},
-z AS (SELECT pair_id, 1 AS side, list_transform(u, lambda e: e / greatest({nrm('u')}, 1e-12)) AS xn, score FROM vec_pairs
-      UNION ALL SELECT pair_id, 2, list_transform(v, lambda e: e / greatest({nrm('v')}, 1e-12)), score FROM vec_pairs),
+z AS (SELECT pair_id // 1000000 AS b, pair_id, 1 AS side, list_transform(u, lambda e: e / greatest({nrm('u')}, 1e-12)) AS xn, score FROM vec_pairs
+      UNION ALL SELECT pair_id // 1000000, pair_id, 2, list_transform(v, lambda e: e / greatest({nrm('v')}, 1e-12)), score FROM vec_pairs),
 pr AS (SELECT a.pair_id, a.side, a.score, a.pair_id = b.pair_id AS is_partner, list_dot_product(a.xn, b.xn) AS sim,
               20.0::DOUBLE * list_dot_product(a.xn, b.xn) + CASE WHEN a.pair_id = b.pair_id AND a.score = 0 THEN 5 ELSE 0 END AS logit
-       FROM z a, z b WHERE NOT (a.pair_id = b.pair_id AND a.side = b.side)),
+       FROM z a JOIN z b ON a.b = b.b AND NOT (a.pair_id = b.pair_id AND a.side = b.side)),
 r AS (SELECT pair_id, side, any_value(score) AS score, max(logit) + ln(sum(exp(logit - 25))) + (25 - max(logit)) AS lse,
              max(sim) FILTER (WHERE is_partner) AS partner_sim, max(logit) FILTER (WHERE is_partner) AS pl FROM pr GROUP BY ALL)
 SELECT pair_id, side, {r6('lse')} AS lse, {r6('partner_sim')} AS partner_sim, {r6('CASE WHEN score >= 0.9 THEN lse - pl ELSE 0.0 END')} AS ce FROM r

@@ -18,7 +18,7 @@ from ..operators.losses import (
     angle_loss, combined_loss, cosent_loss, in_batch_loss, in_batch_rows,
     pair_loss_per_batch, triplet_per_batch, triplet_terms,
 )
-from ..operators.batching import sequential_batches, shuffled_batches
+from ..operators.batching import prepare_batches, sequential_batches, shuffled_batches
 from ..operators.metrics import batch_accuracy, correlations, epoch_metrics, mean_batch_loss
 from ..operators.negatives import draw_donors, draw_negatives
 from ..operators.split import keep_keys, rare_keys, split_chain, stratified_split
@@ -36,6 +36,7 @@ from ..operators.fit import FEATURES, grid_fit, pair_features, staged_fit, train
 from ..session import checkpoint_root, scratch_dir
 from ..sources.runlogs import metrics_long, option, read_hparams, read_metrics, read_report, read_results, run_histories
 from ..streaming.monitors import PatienceMonitor, replay_in_order, run_complete_to_table, stream_metrics, stream_rank_metrics
+from ..sources.pairs import split_counts as count_splits
 from ..sources.pairs import (
     Catalog, DatasetSpec, compute_once, normalise_scores, read_header_csv, read_scored_tsv, read_unscored_tsv,
     to_instances, with_positions, write_header_csv, write_scored_tsv, write_unscored_tsv,
@@ -96,7 +97,8 @@ def split_chain_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def split_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Row counts per split of the three-step chain, one pass for all splits."""
-    return split_chain_q(spark, sf_dir).groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    counted = count_splits(split_chain_q(spark, sf_dir).withColumnRenamed("part", "split"))
+    return counted.withColumnRenamed("split", "part")
 
 
 def stratified_split_q(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -222,7 +224,7 @@ def inbatch_loss_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 def inbatch_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """In-batch loss of one batch over all pairs, in tiles: a positive
     threshold, and a weight on the pairs scored exactly 0 (D12)."""
-    p = fx.vec_pairs(spark, sf_dir).withColumn("batch_id", F.lit(0).cast("bigint"))
+    p = fx.vec_pairs(spark, sf_dir, batch_size=1_000_000)
     rows = in_batch_rows(p, tau=20.0, negative_weight=5.0, positive_threshold=0.9, tile_pairs=256)
     return rows.select("pair_id", "side", *[rnd(c).alias(c) for c in ("lse", "partner_sim", "ce")])
 
@@ -593,7 +595,7 @@ def tokenise_pad(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = fx.read(spark, sf_dir, "documents").select("doc_id", "text")
     vocab = vocabulary(docs, "doc_id", "text")
     ids = token_ids(docs, "doc_id", "text", vocab, max_length=512)
-    padded = pad_batches(ids.join(sequential_batches(docs.select("doc_id"), "doc_id", 16), "doc_id"), "batch_id")
+    padded = prepare_batches(docs.select("doc_id"), "doc_id", 16, lambda b: pad_batches(b.join(ids, "doc_id"), "batch_id"))
     return padded.select(
         "doc_id", "batch_id", F.col("n_tokens").cast("bigint").alias("n_tokens"),
         F.col("padded_length").cast("bigint").alias("padded_length"),

@@ -5,14 +5,16 @@ pruning reach the parquet scans."""
 import pytest
 
 import __spark_entry__ as entry
+from simpairs.plans.queries import QUERIES
 from tests.conftest import SF001
 
 # Queries whose construction runs jobs (writes, checkpoints, fits); their
 # plans read the written tables and are checked by the oracle tests.
-SIDE_EFFECTS = {"split_chain", "split_counts", "tsv_roundtrip", "regressor_eval", "staged_fit", "stream_metrics", "stream_stop"}
+SIDE_EFFECTS = {"split_chain", "split_counts", "tsv_roundtrip", "regressor_eval", "staged_fit", "grid_fit", "stream_metrics", "stream_stop",
+                "stream_spearman", "curves", "runlog_metrics", "runlog_lines", "runlog_results", "runlog_hparams", "runlog_report"}
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - SIDE_EFFECTS))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - SIDE_EFFECTS))
 def test_no_cartesian_product(spark, name):
     df = entry.queries()[name](spark, SF001)
     plan = df._jdf.queryExecution().executedPlan().toString()
@@ -31,3 +33,16 @@ def test_text_scan_reads_only_id_and_text(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
     assert "n_chars" not in plan.split("ReadSchema: struct<doc_id:bigint,text:string>")[0][-200:]
+
+
+def test_no_ranking_carries_texts_or_vectors(spark):
+    """Sorts and windows of the negatives see ids and hashes only."""
+    from simpairs.operators.negatives import draw_donors
+
+    ids = entry.queries()["negatives_pair"](spark, SF001)
+    plan = ids._jdf.queryExecution().optimizedPlan().toString()
+    for line in plan.splitlines():
+        if "Window [" in line:
+            assert "text" not in line and "_d1" not in line
+    narrow = draw_donors(spark.range(100).withColumnRenamed("id", "pair_id"), "pair_id")
+    assert narrow.columns == ["pair_id", "donor_id", "side"]
