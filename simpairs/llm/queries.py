@@ -18,6 +18,7 @@ from .mixing import mix_counts
 from .near_dup import near_duplicates
 from .quality import score_quality
 from .suffix_dedup import removal_digests, remove_repeats
+from .token_counts import token_counts
 from .url_filters import RULE_SCHEMA, filter_urls
 
 # The rules of the url contract.
@@ -53,6 +54,14 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removal_digests(remove_repeats(table(spark, sf_dir, "documents"), width=400))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every line of every document, the document encoded whole."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return token_counts(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, rule="most")
+
+
 def op6_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
 
@@ -79,6 +88,7 @@ QUERIES = {
     "op2_quality": op2_quality,
     "op3_bpe": op3_bpe,
     "op4_suffix_dedup": op4_suffix_dedup,
+    "op5_token_counts": op5_token_counts,
     "op6_near_dup": op6_near_dup,
     "op7_embed_dup": op7_embed_dup,
     "op8_language": op8_language,
