@@ -72,6 +72,9 @@ def text_slices(texts: list, limit: int) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
+EDGES_PER_FILE = 200_000
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b): the smallest node
     reachable.  Null ends and loops are ignored.
@@ -81,20 +84,18 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     is combined before its shuffle and no component is gathered anywhere.
     Each round is staged, which cuts lineage and survives lost executors.
     """
-    e = (
-        edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        .where(F.col("u") > F.col("v")).distinct()
-    )
-    e = staged(e, "edges")
-    total = None
+    e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where(F.col("u") > F.col("v"))
+    e, total = staged(e.distinct(), "edges"), None
     for _ in range(max_rounds):
+        now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if now == total:
+            break
+        total = now
         # Large star: larger neighbours of u link to u's smallest neighbour.
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = (
-            both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .where(F.col("u") > F.col("v")).distinct()
-        )
+        large = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")) \
+            .where(F.col("u") > F.col("v"))
         # Small star: u and its smaller neighbours link to the smallest of them.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
@@ -102,13 +103,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
                 F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v"))
             )).alias("s")).select("s.u", "s.v").where(F.col("u") > F.col("v")).distinct()
         )
-        e = staged(small, "edges")
-        now = e.agg(
-            F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
-        ).first()
-        if tuple(now) == total:
-            break
-        total = tuple(now)
+        # Few edges need few files.
+        e = staged(small.coalesce(1 + now[0] // EDGES_PER_FILE), "edges")
     else:
         raise RuntimeError("components did not settle")
     stars = e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))

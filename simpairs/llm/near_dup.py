@@ -13,8 +13,8 @@ Jaccard distance is a metric: members as close to the pivot as the threshold
 need no comparison with members farther than twice the threshold's distance.
 Only links between components matter, so what is in one component already is
 left alone.  Members in the ring around a component are compared with it in
-blocks; members far from the pivot are regrouped by a further band until the
-groups are small or settled.
+blocks; where many members are far from the pivots, they are regrouped by a
+further band first.
 """
 
 from __future__ import annotations
@@ -41,6 +41,8 @@ SMALL = 8
 CERTAIN = 14.0
 #: Bounds of a block of members that are compared with other blocks by matrix products.
 BLOCK_MEMBERS = 1024
+#: Up to so many memberships of far members are compared in blocks; more are regrouped.
+FAR_ROWS = 200_000
 BLOCK_SHINGLES = 1_500_000
 COLUMNS = 4096
 SLICE_CHARS = 2_000_000
@@ -227,27 +229,37 @@ def near_components(reps: DataFrame, texts: DataFrame, words: int, percent: int)
     sets = staged(full_sets(texts.join(wanted, "id", "left_semi"), words).dropDuplicates(["id"]), "near-sets")
     linked = F.col("shared") * 100 >= F.col("either") * percent
     low = ring / 2
-    found = None  # (node, component) so far
+    links, found = [], None  # found: (node, component) by the first links
     while True:
         star = members.where("rep != pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
         seen = _compared(star, reps, sets, low)
-        found = _joined(found, seen.where(linked).select("a", "b"))
+        links.append(seen.where(linked).select("a", "b"))
+        if found is None:
+            found = staged(connected_components(links[0]), "near-first")
         rest = _unsettled(members, seen.withColumn("near", linked), found, ring, 1 - near)
         few = rest.where(F.col("size") <= SMALL)
         pairs = few.alias("x").join(few.alias("y"), "gid").where("x.rep < y.rep and x.component != y.component") \
             .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
-        more = _compared(pairs, reps, sets, near).where(linked).select("a", "b")
+        links.append(_compared(pairs, reps, sets, near).where(linked).select("a", "b"))
         many = rest.where(F.col("size") > SMALL)
-        more = more.unionByName(_block_links(many.where((F.col("component") == F.col("centre")) | (F.col("sim") >= low)), sets, percent))
-        found = _joined(found, more)
-        # Members far from the pivot are regrouped, with those that may be near one of them.
-        far = many.where(F.col("sim") < low + 1 - near).select("gid", "band", "rep", (F.col("sim") < low).alias("far"))
-        some = far.groupBy("gid").agg(F.max("far").alias("any")).where("any").select("gid")
-        further = far.where(F.col("band") < BANDS - 1).join(some, "gid").join(reps.select("rep", "sketch"), "rep").select(
+        # Members far from the pivot: few of them join the blocks; else they
+        # are regrouped, with those that may be near one of them.
+        far = many.where(F.col("sim") < low)
+        regroup = far.count() > FAR_ROWS
+        close = many.where((F.col("component") == F.col("centre")) | (F.col("sim") >= low)) if regroup else many
+        links.append(_block_links(close, sets, percent))
+        if not regroup:
+            break
+        again = many.where((F.col("sim") < low + 1 - near) & (F.col("band") < BANDS - 1)).join(far.select("gid").distinct(), "gid")
+        further = again.join(reps.select("rep", "sketch"), "rep").select(
             "gid", "rep", "sketch", F.explode(F.sequence(F.col("band") + 1, F.lit(BANDS - 1))).alias("band"))
         members = staged(_grouped(further.select(_band_key(F.col("gid"), F.col("band")).alias("gid"), "band", "rep")), "near-members")
         if members.isEmpty():
-            return found
+            break
+    edges = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    for more in links[1:]:
+        edges = edges.unionByName(more)
+    return connected_components(edges)
 
 
 def _block_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -324,12 +336,6 @@ def shared_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _joined(found: DataFrame | None, links: DataFrame) -> DataFrame:
-    """(node, component) with more links."""
-    edges = links if found is None else found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links)
-    return connected_components(edges)
-
-
 def _unsettled(members: DataFrame, seen: DataFrame, found: DataFrame, ring: float, reach: float) -> DataFrame:
     """The members that may still have links which would join components, with
     their component and the size of what is left of the group, staged.
