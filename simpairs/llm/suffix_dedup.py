@@ -31,6 +31,8 @@ PLACE = np.uint64(2**24 - 1)
 PIECE = 2**23
 #: Differing runs of one hash that are put in suffix order together.
 GROUP = 512
+#: Windows of one piece of a run in larger groups.
+PIECE_WINDOWS = 16
 #: Bytes of runs that one task orders at a time.
 BUCKET_BYTES = 400_000
 
@@ -72,6 +74,34 @@ def window_runs(raw: list[bytes], width: int) -> tuple[np.ndarray, ...]:
     return owner[start], start - begin[owner[start]], count, anchor, stretch
 
 
+def run_pieces(raw: list[bytes], count: np.ndarray, h: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
+    """(run, first window, windows, core hash, stretch hash) of the pieces of runs.
+
+    A piece holds the windows of a run whose distances to the least hash lie in
+    one block of ``PIECE_WINDOWS``.  The core lies inside every window that
+    the block can have; both hashes are told apart by run hash and block.
+    """
+    step = min(PIECE_WINDOWS, width)
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    sizes = np.array([len(x) for x in raw], np.int64)
+    begin = np.cumsum(sizes) - sizes
+    gram = max(1, min(GRAM, width // 4))
+    stretches = Stretches(data)
+    grams = mix(stretches.windows(gram)) & ~PLACE
+    least = np.array([np.argmin(grams[b:b + width - gram + 1]) for b in begin], np.int64)
+    low, high = (least - count + 1) // step, least // step
+    run = np.repeat(np.arange(len(raw)), high - low + 1)
+    block = low[run] + np.arange(len(run)) - np.repeat(np.cumsum(high - low + 1) - (high - low + 1), high - low + 1)
+    first = np.maximum(0, least[run] - step * block - step + 1)
+    last = np.minimum(count[run] - 1, least[run] - step * block)
+    edge = begin[run] + least[run] - step * block
+    mark = mix(h[run] + block.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    core = mix(stretches.of(edge, edge - step + 1 + width) ^ mark)
+    span = mix((least[run] - first).astype(np.uint64) * np.uint64(65536) + (last - first).astype(np.uint64))
+    stretch = mix(stretches.of(begin[run] + first, begin[run] + last + width) ^ mark ^ span)
+    return run, first, last - first + 1, core, stretch
+
+
 def suffix_order(data: np.ndarray, begin: np.ndarray, count: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Windows (``count[k]`` starts from ``begin[k]`` on) in the order of their
     ``width`` bytes, ties by place, and the common length of each with the one
@@ -251,26 +281,60 @@ def repeated_spans(docs: DataFrame, width: int = 400, keep_first: bool = False)
     few = differing.where(F.col("kinds") <= GROUP).withColumn("bucket", F.pmod("h", F.lit(buckets)))
     ordered = few.groupBy("bucket").applyInArrow(order_bucket, span_schema)
 
-    # Hashes with very many differing runs: their windows meet as fingerprints,
-    # counted before the shuffle, so no task holds the group.
+    # Hashes with very many differing runs: no task holds such a group.  Its
+    # windows are dealt into pieces by their distance from the least hash, the
+    # same for equal windows.  All windows of a piece share a core of bytes; a
+    # core that stands alone settles its piece, and so does a whole stretch
+    # that recurs.  The windows of what is left meet as fingerprints.
+    def pieces(batches):
+        for batch in batches:
+            raw, count, h = batch.column("bytes").to_pylist(), batch.column("count").to_numpy(), batch.column("h").to_numpy()
+            for a, b in text_slices(raw, SLICE_BYTES // 4):
+                who, at, n, core, stretch = run_pieces(raw[a:b], count[a:b], h[a:b].view(np.uint64), width)
+                row = pa.array(who + a)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(c).take(row) for c in ("id", "key", "start")] + [pa.array(at), pa.array(n), pa.array(core.view(np.int64)),
+                     pa.array(stretch.view(np.int64)), batch.column("n").take(row)],
+                    names=["id", "key", "start", "at", "count", "core", "stretch", "n"])
+
+    many = differing.where(F.col("kinds") > GROUP).select("id", "key", "start", "count", "h", "n", "bytes")
+    cuts = many.mapInArrow(pieces, f"id {id_type}, key long, start long, at long, count long, core long, stretch long, n long")
+    if keep_first:  # every piece for itself: which copy comes first is judged window by window
+        cuts = cuts.withColumn("stretch", F.xxhash64("id", "key", "start", "at"))
+    cuts = staged(cuts, "suffix-pieces")
+    kinds = cuts.groupBy("core", "stretch").agg(F.sum("n").alias("n"), F.min(F.struct("id", "key", "start", "at", "count")).alias("one"))
+    several = kinds.groupBy("core").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("core")
+    if not keep_first:
+        same = cuts.join(kinds.where("n > 1").select("core", "stretch"), ["core", "stretch"])
+        spans = spans.unionByName(same.select("id", "key", (F.col("start") + F.col("at")).alias("start"),
+                                              (F.col("start") + F.col("at") + F.col("count") - 1 + width).alias("stop")))
+    left = kinds.join(several, "core").select("one.*", "n").groupBy("id", "key", "start").agg(
+        F.collect_list(F.struct("at", "count", "n")).alias("pieces")).alias("l")
+    m = many.select("id", "key", "start", "bytes").alias("m")
+    left = m.join(left, F.col("m.id").eqNullSafe(F.col("l.id")) & (F.col("m.key") == F.col("l.key")) & (F.col("m.start") == F.col("l.start"))) \
+        .select("m.id", "m.key", "m.start", "m.bytes", "l.pieces")
+
     def windows(batches):
         for batch in batches:
             raw = batch.column("bytes").to_pylist()
             for a, b in text_slices(raw, SLICE_BYTES // 4):
+                lists = batch.column("pieces").slice(a, b - a).to_pylist()
                 data = np.frombuffer(b"".join(raw[a:b]), np.uint8)
                 sizes = np.array([len(x) for x in raw[a:b]])
-                begin, count = np.cumsum(sizes) - sizes, batch.column("count").to_numpy()[a:b]
-                owner = np.repeat(np.arange(b - a), count)
-                place = np.repeat(begin - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
+                begin = np.cumsum(sizes) - sizes
+                flat = [(k, p["at"], p["count"], p["n"]) for k, ps in enumerate(lists) for p in ps]
+                who, at, count, n = (np.array([f[c] for f in flat], np.int64) for c in range(4))
+                each = np.repeat(np.arange(len(flat)), count)
+                offset = at[each] + np.arange(len(each)) - np.repeat(np.cumsum(count) - count, count)
+                place = begin[who[each]] + offset
                 one = Stretches(data).of(place, place + width)
                 two = Stretches(data[::-1].copy()).of(len(data) - place - width, len(data) - place)
-                at = pa.array(owner + a)
+                row = pa.array(who[each] + a)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").take(at), batch.column("key").take(at), pa.array(batch.column("start").to_numpy()[a:b][owner] + place - begin[owner]),
-                     pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), batch.column("n").take(at)], names=["id", "key", "start", "w1", "w2", "n"])
+                    [batch.column("id").take(row), batch.column("key").take(row), pa.array(batch.column("start").to_numpy()[a:b][who[each]] + offset),
+                     pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(n[each])], names=["id", "key", "start", "w1", "w2", "n"])
 
-    many = differing.where(F.col("kinds") > GROUP).select("id", "key", "start", "count", "n", "bytes")
-    prints = staged(many.mapInArrow(windows, f"id {id_type}, key long, start long, w1 long, w2 long, n long"), "suffix-windows")
+    prints = staged(left.mapInArrow(windows, f"id {id_type}, key long, start long, w1 long, w2 long, n long"), "suffix-windows")
     met = prints.groupBy("w1", "w2").agg(F.sum("n").alias("all"), F.min(F.struct("id", "key", "start")).alias("one")).where("all > 1")
     hit = prints.join(met, ["w1", "w2"])
     if keep_first:
