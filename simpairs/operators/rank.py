@@ -13,6 +13,10 @@ order is first cut into *buckets* whose order agrees with the row order:
 Rows are counted per (group, bucket); a prefix sum over those counts gives each
 bucket its offset, and the final ``row_number`` runs per (group, bucket), so no
 task sees more than one bucket of one group.
+
+Whether any group is larger than ``ROWS_PER_BUCKET`` is found by one count per
+group, which runs when the rank is built.  Where none is, a plain window gives
+the same positions with one exchange.
 """
 
 from __future__ import annotations
@@ -52,6 +56,11 @@ def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(r, cond, how).select(*keep)
 
 
+def _largest_group(df: DataFrame, g: Sequence[str]) -> int:
+    """Rows of the largest group: one combined count, one number to the driver."""
+    return df.groupBy(*g).agg(F.count(F.lit(1)).alias("_gn")).agg(F.max("_gn")).first()[0] or 0
+
+
 def with_hash_bucket(df: DataFrame, hex_key: str, digits: int = 4) -> DataFrame:
     """Bucket = first ``digits`` hex digits of an md5 column (16**digits buckets)."""
     return df.withColumn(BUCKET, hash_bucket(F.col(hex_key), digits))
@@ -156,10 +165,14 @@ def hash_rank(
     group_cols: Iterable[str] = (),
     out: str = "pos",
     digits: int = 4,
+    rows_per_bucket: int | None = None,
 ) -> DataFrame:
     """1-based position by an md5 key (ties by ``tie_cols``): a seeded shuffle."""
-    tmp = "_hkey"
+    tmp, g = "_hkey", _cols(group_cols)
     d = df.withColumn(tmp, hex_key)
+    if _largest_group(df, g) <= (rows_per_bucket or ROWS_PER_BUCKET):
+        whole = Window.partitionBy(*g).orderBy(F.col(tmp), *[F.col(c) for c in tie_cols])
+        return d.withColumn(out, F.row_number().over(whole)).drop(tmp)
     d = with_hash_bucket(d, tmp, digits)
     return ordered_index(d, [F.col(tmp), *[F.col(c) for c in tie_cols]], group_cols, out).drop(tmp)
 
@@ -173,6 +186,9 @@ def value_rank(
     rows_per_bucket: int | None = None,
 ) -> DataFrame:
     """1-based position by ``key`` ascending, ties by ``tie_cols``."""
+    if _largest_group(df, _cols(group_cols)) <= (rows_per_bucket or ROWS_PER_BUCKET):
+        whole = Window.partitionBy(*_cols(group_cols)).orderBy(F.col(key), *[F.col(c) for c in tie_cols])
+        return df.withColumn(out, F.row_number().over(whole))
     d = with_value_bucket(df, group_cols, key, tie_cols, rows_per_bucket)
     return ordered_index(d, [F.col(key), *[F.col(c) for c in tie_cols]], group_cols, out)
 
@@ -195,6 +211,10 @@ def rank_table(
     g = _cols(group_cols)
     n = F.sum(weight) if weight else F.count(F.lit(1))
     distinct = df.where(F.col(value).isNotNull()).groupBy(*g, value).agg(n.alias("_tc"))
+    rank = (F.col("_tb") * 2 + F.col("_tc") + 1).cast("bigint").alias(out)
+    if _largest_group(distinct, g) <= (rows_per_bucket or ROWS_PER_BUCKET):
+        below = Window.partitionBy(*g).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+        return distinct.withColumn("_tb", F.coalesce(F.sum("_tc").over(below), F.lit(0))).select(*g, value, rank)
     distinct = with_value_bucket(distinct, g, value, (), rows_per_bucket)
     distinct = prefix_before(distinct, [F.col(value)], g, weight="_tc", out="_tb")
-    return distinct.select(*g, value, (F.col("_tb") * 2 + F.col("_tc") + 1).cast("bigint").alias(out))
+    return distinct.select(*g, value, rank)

@@ -430,7 +430,7 @@ def curves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frame behind the metric plots (E10): per suffix (in first-seen order of
     the first run, D17), run, label, epoch index in its series (E8), value."""
     prefix, suffix = split_name("metric")
-    # Three rankings build on each other; the log is cut off from the first two.
+    # Rankings build on each other; the log is cut off from the first ones.
     log = _materialize(spark)(present_metrics(drop_tail(fx.epoch_log(spark, sf_dir), 2)).withColumn("suffix", suffix))
     idx = value_rank(log, "epoch", group_cols=["run_id", "metric"], out="_p")
     first_run = log.agg(F.min("run_id")).scalar()
@@ -621,9 +621,11 @@ def augment_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Triplets in batches of 16; one routing draw and one pivot language per
     batch (G3, G4); the routed sentence is replaced from the translation
     memory, or kept when there is no entry (C8)."""
-    trip = draw_negatives(fx.turn_pairs(spark, sf_dir), "pair_id", ("text1", "text2"), seed="42").select(
+    turns = fx.turn_pairs(spark, sf_dir)
+    trip = draw_negatives(turns, "pair_id", ("text1", "text2"), seed="42").select(
         "pair_id", F.col("text1").alias("sentence1"), F.col("text2").alias("sentence2"), "sentence3")
-    b = route_augmentation(sequential_batches(trip, "pair_id", 16), "batch_id", seed="42", epoch=0)
+    numbered = sequential_batches(turns.select("pair_id"), "pair_id", 16)
+    b = route_augmentation(trip.join(numbered, "pair_id"), "batch_id", seed="42", epoch=0)
     out = apply_translation(b, fx.translation_memory(spark, sf_dir))
     return out.select("pair_id", "batch_id", "route", "lang", "translated", "sentence1", "sentence2", "sentence3")
 

@@ -10,7 +10,7 @@ from simpairs.operators.rank import hash_rank, rank_table, value_rank, with_valu
 
 def test_value_rank_matches_window(spark):
     df = spark.range(0, 3000).select((F.col("id") % 97).alias("g"), ((F.col("id") * 7919) % 1000).cast("double").alias("v"), "id")
-    mine = value_rank(df, "v", tie_cols=["id"], group_cols=["g"], out="pos").select("id", "pos")
+    mine = value_rank(df, "v", tie_cols=["id"], group_cols=["g"], out="pos", rows_per_bucket=20).select("id", "pos")
     ref = df.select("id", F.row_number().over(Window.partitionBy("g").orderBy("v", "id")).alias("ref"))
     bad = mine.join(ref, "id").where(F.col("pos") != F.col("ref")).count()
     assert bad == 0
@@ -20,7 +20,7 @@ def test_hash_rank_is_a_permutation_and_partition_free(spark):
     df = spark.range(0, 2000)
     key = hash_key(F.lit("42"), F.col("id"))
     a = hash_rank(df.repartition(1), key, ["id"]).select("id", F.col("pos").alias("a"))
-    b = hash_rank(df.repartition(7), key, ["id"]).select("id", F.col("pos").alias("b"))
+    b = hash_rank(df.repartition(7), key, ["id"], rows_per_bucket=10).select("id", F.col("pos").alias("b"))
     j = a.join(b, "id")
     assert j.where(F.col("a") != F.col("b")).count() == 0
     stats = j.agg(F.min("a"), F.max("a"), F.countDistinct("a")).first()
@@ -32,7 +32,8 @@ def test_average_ranks(spark):
     got = sorted(((r.v, r.rank2 / 2) for r in rank_table(df, "v").collect()))
     assert got == [(0.1, 1.5), (0.5, 3.0), (0.9, 4.0)]
     weighted = spark.createDataFrame([(0.1, 2), (0.5, 1), (0.9, 1)], "v double, w long")
-    assert sorted((r.v, r.rank2 / 2) for r in rank_table(weighted, "v", weight="w").collect()) == got
+    for limit in (None, 1):
+        assert sorted((r.v, r.rank2 / 2) for r in rank_table(weighted, "v", weight="w", rows_per_bucket=limit).collect()) == got
 
 
 def _sizes(df):
