@@ -26,7 +26,7 @@ from .common import crc_fold, staged, text_slices
 SAMPLE_POSITIVE = 20_000
 SAMPLE_UNLABELLED = 20_000
 THRESHOLD = 0.7
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 2_000_000
 
 # Character classes of the style features.
 UPPER_CASE = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -143,7 +143,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
         drawn(free, n_free, SAMPLE_UNLABELLED).select("id", F.lit(False).alias("good")))
     # At most about SAMPLE_POSITIVE + SAMPLE_UNLABELLED ids: a proven bound.
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(wanted), "id")
-    got = rows.select("good", "id", _feature_column(F.col("text")).alias("x")).orderBy("id").collect()
+    got = rows.select("good", "id", _feature_column(F.col("text")).alias("x")).collect()
+    got.sort(key=lambda r: (r["id"], r["x"]))  # the same sums on every run
     x = np.array([r["x"] for r in got]).reshape(-1, len(FEATURES))
     is_good = np.array([r["good"] for r in got], bool)
     return fit_pu(x[is_good], x[~is_good], prior)
