@@ -31,7 +31,7 @@ from ..functions.hashing import hash_bucket
 
 BUCKET = "_bucket"
 #: Rows of a group that may share a bucket; smaller groups are one bucket.
-ROWS_PER_BUCKET = 100_000
+ROWS_PER_BUCKET = 1_000_000
 #: Sampled keys per group, and the most buckets of a group (a power of two).
 SAMPLE_KEYS = 20_000
 MOST_BUCKETS = 4096

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine
+from ..session import scratch_dir
 from .losses import triplet_terms
 from .rank import hash_rank
 
@@ -91,9 +92,14 @@ def hashed_bag(docs: DataFrame, id_col: str, text_col: str, dims: int = HASH_DIM
 Encoder = Callable[[DataFrame, str, str], DataFrame]
 
 
-def _encoded(docs: DataFrame, id_col: str, text_col: str, encoder: Encoder, as_id: str, as_vec: str) -> DataFrame:
-    vec = encoder(docs, id_col, text_col)
-    return vec.select(F.col(id_col).alias(as_id), F.col("vec").alias(as_vec))
+def encode_once(docs: DataFrame, id_col: str, text_col: str, encoder: Encoder) -> DataFrame:
+    """The encoder's ``(id, vec)`` rows, written to the shared scratch folder:
+    a pair or triplet table reads them once per side without encoding again."""
+    spark = docs.sparkSession
+    path = scratch_dir(spark, "encoded")
+    vec = encoder(docs, id_col, text_col).select(id_col, "vec")
+    vec.write.parquet(path)
+    return spark.read.schema(vec.schema).parquet(path)
 
 
 def score_pairs(
@@ -103,8 +109,9 @@ def score_pairs(
     cosine (F1) of each row of ``pairs`` as ``cos``; the columns of ``pairs``
     stay, and a pair that is listed twice is scored twice.  Ids without a
     document count as zero vectors.  ``encoder`` is the hook (K2)."""
-    u = _encoded(docs, id_col, text_col, encoder, a_id, "_u")
-    v = _encoded(docs, id_col, text_col, encoder, b_id, "_v")
+    vec = encode_once(docs, id_col, text_col, encoder)
+    u = vec.select(F.col(id_col).alias(a_id), F.col("vec").alias("_u"))
+    v = vec.select(F.col(id_col).alias(b_id), F.col("vec").alias("_v"))
     j = pairs.join(u, a_id, "left").join(v, b_id, "left")
     return j.select(*pairs.columns, F.coalesce(cosine("_u", "_v"), F.lit(0.0)).alias("cos"))
 
@@ -115,7 +122,7 @@ def score_triplets(
 ) -> DataFrame:
     """End-to-end triplet scoring (G7): encode three texts, two distances,
     hinge and correctness per row (F4, D8, D9)."""
-    j = triplets
+    vec, j = encode_once(docs, id_col, text_col, encoder), triplets
     for k, c in enumerate((anchor, positive, negative)):
-        j = j.join(_encoded(docs, id_col, text_col, encoder, c, f"_x{k}"), c)
+        j = j.join(vec.select(F.col(id_col).alias(c), F.col("vec").alias(f"_x{k}")), c)
     return triplet_terms(j, "_x0", "_x1", "_x2", margin, p).drop("_x0", "_x1", "_x2")
