@@ -29,8 +29,8 @@ from tokenizers import Regex, normalizers, pre_tokenizers
 from ..session import ship_package
 from .common import text_slices
 
-WORD_MEMORY = 600_000
-SLICE_CHARS = 4_000_000
+WORD_MEMORY = 400_000
+SLICE_CHARS = 2_000_000
 NEVER = np.int64(1) << 40
 
 # The tokenizer's word pattern, white space and word end.

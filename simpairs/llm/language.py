@@ -28,7 +28,7 @@ MODEL_GRAMS = 100_000
 LONGEST = 5
 SMOOTH = 0.5
 CHUNK_MEMORY = 300_000
-SLICE_CHARS = 2_000_000
+SLICE_CHARS = 1_000_000
 UNKNOWN = "und"
 EDGE = "\x02"  # stands for a word's start and end; no letter
 _LETTERS = re.compile(r"[^\W\d_]+")

@@ -45,7 +45,7 @@ BLOCK_MEMBERS = 1024
 FAR_ROWS = 200_000
 BLOCK_SHINGLES = 1_500_000
 COLUMNS = 4096
-SLICE_CHARS = 2_000_000
+SLICE_CHARS = 1_000_000
 BLOCK = 60_000
 
 _RNG = np.random.Generator(np.random.PCG64(7331))
