@@ -62,18 +62,24 @@ def _load(vocabulary: bytes, pattern: str) -> Encoder:
     return _LOADED[key]
 
 
-def line_sections(text: Column) -> Column:
-    """The lines of a text as sections named ``line``; a line break belongs to
-    the line that it ends.  An empty text has none."""
-    sizes = F.transform(F.split(F.coalesce(text, F.lit("")), "\n", -1), lambda x: F.length(x).cast("bigint"))
-    lines = F.aggregate(
-        sizes, F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("starts")),
-        lambda acc, n: F.struct((acc["at"] + n + 1).alias("at"), F.array_append(acc["starts"], acc["at"]).alias("starts")),
-        lambda acc: acc["starts"])
-    size = F.length(F.coalesce(text, F.lit(""))).cast("bigint")
-    whole = F.arrays_zip(lines.alias("a"), F.slice(F.array_append(lines, size + 1), 2, F.size(lines)).alias("b"))
-    spans = F.transform(whole, lambda x: F.struct(F.lit("line").alias("name"), x["a"].alias("start"), F.least(x["b"], size).alias("stop")))
-    return F.filter(spans, lambda s: s["stop"] > s["start"])
+def lines_of(text: str) -> list[tuple[int, int, str]]:
+    """The lines of a text as sections; a line break belongs to the line that
+    it ends."""
+    stops = np.cumsum([len(x) + 1 for x in text.split("\n")])
+    stops[-1] -= 1  # the last line has no break
+    starts = np.concatenate([[0], stops[:-1]])
+    return [(a, b, "line") for a, b in zip(starts.tolist(), stops.tolist()) if b > a]
+
+
+def sections_of(text: str, given: list | None) -> list[tuple[int, int, str]]:
+    """Given sections in order, clipped to the text and to what earlier ones left."""
+    cut, end = [], 0
+    for s in sorted((x["start"] or 0, len(text) if x["stop"] is None else x["stop"], x["name"] or "") for x in given or () if x):
+        begin, stop = max(s[0], end, 0), min(s[1], len(text))
+        if stop > begin:
+            cut.append((begin, stop, s[2]))
+            end = stop
+    return cut
 
 
 def attribute(start: np.ndarray, stop: np.ndarray, lo: np.ndarray, hi: np.ndarray, rule: str) -> tuple[np.ndarray, np.ndarray]:
@@ -129,7 +135,8 @@ def token_counts(docs: DataFrame, vocabulary_path: str, pattern: str, rule: str
     ship_package(docs.sparkSession)
     with open(vocabulary_path, "rb") as f:
         shared = docs.sparkSession.sparkContext.broadcast((f.read(), pattern))
-    given = line_sections(F.col(text_col)) if sections is None else sections
+    by_line = sections is None
+    given = F.lit(None) if by_line else sections
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), given.cast(f"array<{SECTION}>").alias("sections"))
     id_type = rows.schema["id"].dataType.simpleString()
 
@@ -143,12 +150,7 @@ def token_counts(docs: DataFrame, vocabulary_path: str, pattern: str, rule: str
                 for k, (text, spans) in enumerate(zip(texts[a:b], lists.slice(a, b - a).to_pylist()), start=a):
                     if not text:
                         continue
-                    cut, end = [], 0
-                    for s in sorted((x["start"] or 0, len(text) if x["stop"] is None else x["stop"], x["name"] or "") for x in spans or () if x):
-                        begin, stop = max(s[0], end, 0), min(s[1], len(text))
-                        if stop > begin:
-                            cut.append((begin, stop, s[2]))
-                            end = stop
+                    cut = lines_of(text) if by_line else sections_of(text, spans)
                     begin, stop = np.array([c[0] for c in cut], np.int64), np.array([c[1] for c in cut], np.int64)
                     n, x = attribute(*encoder.spans(text), begin, stop, rule)
                     shown = len(cut) + bool(n[-1])
