@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+from array import array
 
 import ahocorasick
 import numpy as np
@@ -29,9 +30,11 @@ from tokenizers import Regex, normalizers, pre_tokenizers
 from ..session import ship_package
 from .common import text_slices
 
-WORD_MEMORY = 400_000
+WORD_MEMORY = 300_000
 SLICE_CHARS = 2_000_000
-NEVER = np.int64(1) << 40
+SHORT = 40
+NEVER = 1 << 40
+NO_MERGE = (NEVER, -1)
 
 # The tokenizer's word pattern, white space and word end.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -100,7 +103,8 @@ class WordBpe:
                 self.lengths[t] = len(key)
                 self.automaton.add_word(key, t)
         self.automaton.make_automaton()
-        self.words: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}  # white-space chunks
+        self.known: dict[str, bytes] = {}  # words of chunks
 
     def cross_rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = (a.astype(np.int64) << 32) | b
@@ -154,6 +158,8 @@ class WordBpe:
     def merged(self, word: str) -> list[int]:
         """Exact merging: lowest rank first, leftmost of equal ranks."""
         ids = [self.vocab[c] for c in word[:-1]] + [self.vocab[word[-1] + WORD_END]]
+        if len(ids) <= SHORT:
+            return self._merged_short(ids)
         n = len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         queue = [(self.merge[p][0], i, p) for i, p in enumerate(zip(ids, ids[1:])) if p in self.merge]
@@ -173,6 +179,22 @@ class WordBpe:
                 heapq.heappush(queue, (self.merge[p][0], h, p))
         return [t for t in ids if t >= 0]
 
+    def _merged_short(self, ids: list[int]) -> list[int]:
+        """The same for few letters, without a queue."""
+        get = self.merge.get
+        found = [get(p, NO_MERGE) for p in zip(ids, ids[1:])]
+        ranks = [f[0] for f in found]
+        joined = [f[1] for f in found]
+        while ranks and (least := min(ranks)) < NEVER:
+            i = ranks.index(least)
+            ids[i] = joined[i]
+            del ids[i + 1], ranks[i], joined[i]
+            if i < len(ranks):
+                ranks[i], joined[i] = get((ids[i], ids[i + 1]), NO_MERGE)
+            if i:
+                ranks[i - 1], joined[i - 1] = get((ids[i - 1], ids[i]), NO_MERGE)
+        return ids
+
     def pieces(self, chunk: str) -> list[str]:
         """Words of a chunk without white space."""
         if chunk.isascii():
@@ -190,7 +212,7 @@ class WordBpe:
     def learn(self, chunks: set[str]) -> None:
         """Encode chunks not met before, all their new words at once."""
         plan: list[tuple[str, list[str]]] = []
-        number: dict[str, int] = {}
+        number: dict[str, None] = {}
         for chunk in chunks:
             if "<|" in chunk and self.special_at:
                 parts = [p for p in self.special_at.split(chunk) if p]
@@ -199,7 +221,8 @@ class WordBpe:
                 words = self.pieces(chunk)
             plan.append((chunk, words))
             for w in words:
-                number.setdefault(w, len(number))
+                if w not in self.known:
+                    number[w] = None
         words = list(number)
         letters = [w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(self.letters) for w in words]
         token, owner, gaps = self.propose(letters)
@@ -209,12 +232,12 @@ class WordBpe:
         failing = {*gaps.tolist(), *owner[joint][~fine[which]].tolist()}
         stops = np.searchsorted(owner, np.arange(len(words)), side="right").tolist()
         flat = token.astype(np.int32).tobytes()
-        known, start = {}, 0
+        known, start = self.known, 0
         for k, (w, stop) in enumerate(zip(words, stops)):
             if w in self.special:
                 known[w] = np.int32(self.special[w]).tobytes()
             elif k in failing:
-                known[w] = np.array(self.merged(letters[k]), np.int32).tobytes()
+                known[w] = array("i", self.merged(letters[k])).tobytes()
             else:
                 known[w] = flat[4 * start:4 * stop]
             start = stop
@@ -225,6 +248,8 @@ class WordBpe:
         """The ids of each text (null: none) as an int32 array."""
         if len(self.words) > WORD_MEMORY:
             self.words = {}
+        if len(self.known) > WORD_MEMORY:
+            self.known = {}
         chunked = []
         for t in texts:
             t = t or ""
