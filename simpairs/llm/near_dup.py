@@ -39,6 +39,8 @@ TOP = 2**16 - 1
 SMALL = 8
 #: Log-likelihood distance at which an estimate is taken as certain.
 CERTAIN = 14.0
+#: Bounds that only prune are this much wider, so that rounding never prunes a pair at exactly the threshold.
+SLACK = 1e-9
 #: Bounds of a block of members that are compared with other blocks by matrix products.
 BLOCK_MEMBERS = 1024
 #: Up to so many memberships of far members are compared in blocks; more are regrouped.
@@ -173,7 +175,7 @@ def clearly_below(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray,
     for x in np.linspace(0, 1, 41):
         best = np.maximum(best, np.where(x * most <= floor, log_likelihood(x * most), -np.inf))
     at = log_likelihood(np.minimum(floor, most))
-    return (most < floor) | (best - at > CERTAIN)
+    return (most < floor - SLACK) | (best - at > CERTAIN)
 
 
 def _plausible(pairs: DataFrame, reps: DataFrame, floor: float) -> DataFrame:
@@ -352,9 +354,9 @@ def _unsettled(members: DataFrame, seen: DataFrame, found: DataFrame, ring: floa
     rest = staged(rest.select(
         "gid", "band", "rep", F.coalesce("component", "rep").alias("component"), F.coalesce("sim", F.lit(0.0)).alias("sim"),
         F.coalesce("near", F.lit(False)).alias("near"), F.coalesce("centre", "pivot").alias("centre")), "near-rest")
-    outside = ~F.col("near") & (F.col("sim") >= ring) & (F.col("component") != F.col("centre"))
+    outside = ~F.col("near") & (F.col("sim") >= ring - SLACK) & (F.col("component") != F.col("centre"))
     edge = rest.where(outside).groupBy("gid").agg(F.max("sim").alias("edge"))
-    rest = rest.join(edge, "gid", "left").where(~F.col("near") | (F.col("sim") <= F.col("edge") + reach)) \
+    rest = rest.join(edge, "gid", "left").where(~F.col("near") | (F.col("sim") <= F.col("edge") + reach + SLACK)) \
         .select("gid", "band", "rep", "component", "sim", "centre")
     parts = rest.groupBy("gid").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")) \
         .where("lo != hi").select("gid", "size")

@@ -71,6 +71,33 @@ def test_a_large_group_around_the_threshold(spark, monkeypatch, small, block, fa
     assert answer(near_duplicates(docs_of(spark, rows), 4)) == brute(rows, 4)
 
 
+def in_one_band(texts, k):
+    sketch = registers(shingle_sets(texts, k))[:, :module.ROWS]
+    return (sketch == sketch[0]).all()
+
+
+def trimmed(length, cuts, k=4):
+    """Texts cut from one of ``length`` words, which all agree in the first band."""
+    for seed in range(1000):
+        rnd = random.Random(seed)
+        words = [f"w{rnd.randint(0, 10**6)}" for _ in range(length)]
+        texts = [" ".join(words[a:length - b]) for a, b in cuts]
+        if in_one_band(texts, k):
+            return list(enumerate(texts))
+
+
+@pytest.mark.parametrize("length, cuts", [
+    (13, [(0, 2), (0, 0), (2, 0)]),  # 8/10 to the pivot and to each other, 6/10 between pivot and last
+    (23, [(0, 2), (0, 0), (4, 0)]),  # 18/20 to the pivot, 16/20 to each other, 14/20 between pivot and last
+])
+def test_links_at_exactly_the_threshold(spark, monkeypatch, length, cuts):
+    monkeypatch.setattr(module, "BANDS", 1)
+    rows = trimmed(length, cuts)
+    want = brute(rows, 4)
+    assert {c for _, c, _ in want.values()} == {0}
+    assert answer(near_duplicates(docs_of(spark, rows), 4)) == want
+
+
 def test_edge_rows(spark):
     got = near_duplicates(edge_docs(spark), 4).collect()
     assert len(got) == len(EDGE_DOCS)
