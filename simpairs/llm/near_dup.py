@@ -13,8 +13,8 @@ Jaccard distance is a metric: members as close to the pivot as the threshold
 need no comparison with members farther than twice the threshold's distance.
 Only links between components matter, so what is in one component already is
 left alone.  Members in the ring around a component are compared with it in
-blocks; where many members are far from the pivots, they are regrouped by a
-further band first.
+blocks; where many members are far from the pivots, they are regrouped first
+by their rarest shingles, of which any two linked sets have one in common.
 """
 
 from __future__ import annotations
@@ -43,7 +43,8 @@ CERTAIN = 14.0
 SLACK = 1e-9
 #: Bounds of a block of members that are compared with other blocks by matrix products.
 BLOCK_MEMBERS = 1024
-#: Up to so many memberships of far members are compared in blocks; more are regrouped.
+#: Up to so many memberships of far members are compared in blocks; more are
+#: regrouped once.  Either way finds every link.
 FAR_ROWS = 200_000
 BLOCK_SHINGLES = 1_500_000
 COLUMNS = 4096
@@ -208,8 +209,8 @@ def _compared(pairs: DataFrame, reps: DataFrame, sets: DataFrame, floor: float)
     return staged(x.select("a", "b", "shared", (F.col("na") + F.col("nb") - F.col("shared")).alias("either")).distinct(), "near-compared")
 
 
-def _band_key(group: Column, band: Column) -> Column:
-    return F.xxhash64(group, band, F.substring(F.col("sketch"), band * (2 * ROWS) + 1, F.lit(2 * ROWS)))
+def _band_key(band: Column) -> Column:
+    return F.xxhash64(F.lit(0).cast("long"), band, F.substring(F.col("sketch"), band * (2 * ROWS) + 1, F.lit(2 * ROWS)))
 
 
 def _grouped(members: DataFrame) -> DataFrame:
@@ -218,6 +219,23 @@ def _grouped(members: DataFrame) -> DataFrame:
     return members.join(g, "gid")
 
 
+def _rare_groups(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(gid, rep) of the representatives in ``members``, grouped by shingle.
+
+    Linked sets share at least ``percent`` of the larger one, so in any order
+    common to all sets, the first ``n - ceil(n * percent / 100) + 1`` shingles
+    of both have one in common.  Shingles held by fewest of the sets come
+    first; the order decides how large the groups are, not which links are found.
+    """
+    held = sets.join(members.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
+    held = held.select(F.col("id").alias("rep"), F.explode("shingles").alias("gid"))
+    counted = held.join(held.groupBy("gid").agg(F.count(F.lit(1)).alias("sets")), "gid")
+    ordered = counted.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("sets", "gid"))).alias("rarest"))
+    most = F.expr(f"size(rarest) - int((size(rarest) * {percent}L + 99) div 100) + 1")
+    first = ordered.select("rep", F.explode(F.slice("rarest", F.lit(1), most)).alias("s"))
+    return first.where("s.sets > 1").select("s.gid", "rep")
+
+
 def near_components(reps: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """(node, component) of the set representatives with a link, from every
     pair at or above ``percent`` that the bands bring together.  Links inside
@@ -225,14 +243,14 @@ def near_components(reps: DataFrame, texts: DataFrame, words: int, percent: int)
     near = percent / 100.0
     ring = max(0.0, 2 * near - 1)  # farther from the pivot than this: no link to what is near it
     band = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band")
-    members = reps.select("rep", "sketch", band).select(_band_key(F.lit(0).cast("long"), F.col("band")).alias("gid"), "band", "rep")
+    members = reps.select("rep", "sketch", band).select(_band_key(F.col("band")).alias("gid"), "rep")
     members = staged(_grouped(members), "near-members")
     wanted = members.select(F.col("rep").alias("id")).distinct()
     sets = staged(full_sets(texts.join(wanted, "id", "left_semi"), words).dropDuplicates(["id"]), "near-sets")
     linked = F.col("shared") * 100 >= F.col("either") * percent
     low = ring / 2
     links, found = [], None  # found: (node, component) by the first links
-    while True:
+    for last in (False, True):
         star = members.where("rep != pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
         seen = _compared(star, reps, sets, low)
         links.append(seen.where(linked).select("a", "b"))
@@ -247,17 +265,13 @@ def near_components(reps: DataFrame, texts: DataFrame, words: int, percent: int)
         # Members far from the pivot: few of them join the blocks; else they
         # are regrouped, with those that may be near one of them.
         far = many.where(F.col("sim") < low)
-        regroup = far.count() > FAR_ROWS
+        regroup = not last and far.count() > FAR_ROWS
         close = many.where((F.col("component") == F.col("centre")) | (F.col("sim") >= low)) if regroup else many
         links.append(_block_links(close, sets, percent))
         if not regroup:
             break
-        again = many.where((F.col("sim") < low + 1 - near) & (F.col("band") < BANDS - 1)).join(far.select("gid").distinct(), "gid")
-        further = again.join(reps.select("rep", "sketch"), "rep").select(
-            "gid", "rep", "sketch", F.explode(F.sequence(F.col("band") + 1, F.lit(BANDS - 1))).alias("band"))
-        members = staged(_grouped(further.select(_band_key(F.col("gid"), F.col("band")).alias("gid"), "band", "rep")), "near-members")
-        if members.isEmpty():
-            break
+        again = many.where(F.col("sim") < low + 1 - near + SLACK).join(far.select("gid").distinct(), "gid", "left_semi")
+        members = staged(_grouped(_rare_groups(again, sets, percent)), "near-members")
     edges = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
     for more in links[1:]:
         edges = edges.unionByName(more)
@@ -352,12 +366,12 @@ def _unsettled(members: DataFrame, seen: DataFrame, found: DataFrame, ring: floa
         ["pivot", "rep"], "left").join(own, "rep", "left") \
         .join(own.select(F.col("rep").alias("pivot"), F.col("component").alias("centre")), "pivot", "left")
     rest = staged(rest.select(
-        "gid", "band", "rep", F.coalesce("component", "rep").alias("component"), F.coalesce("sim", F.lit(0.0)).alias("sim"),
+        "gid", "rep", F.coalesce("component", "rep").alias("component"), F.coalesce("sim", F.lit(0.0)).alias("sim"),
         F.coalesce("near", F.lit(False)).alias("near"), F.coalesce("centre", "pivot").alias("centre")), "near-rest")
     outside = ~F.col("near") & (F.col("sim") >= ring - SLACK) & (F.col("component") != F.col("centre"))
     edge = rest.where(outside).groupBy("gid").agg(F.max("sim").alias("edge"))
     rest = rest.join(edge, "gid", "left").where(~F.col("near") | (F.col("sim") <= F.col("edge") + reach + SLACK)) \
-        .select("gid", "band", "rep", "component", "sim", "centre")
+        .select("gid", "rep", "component", "sim", "centre")
     parts = rest.groupBy("gid").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")) \
         .where("lo != hi").select("gid", "size")
     return staged(rest.join(parts, "gid"), "near-unsettled")

@@ -76,6 +76,34 @@ def in_one_band(texts, k):
     return (sketch == sketch[0]).all()
 
 
+def mosaics(k=4, clusters=10, body=60):
+    """Clusters of near copies that are far from each other, but agree in the
+    first band through the passages that all of them hold."""
+    rnd = random.Random(5)
+    passages = [" ".join(f"h{i}x{j}" for j in range(k)) for i in range(20_000)]
+    sketch = registers(shingle_sets(passages, k))
+    shared = " ".join(passages[int(np.argmax(sketch[:, r]))] for r in range(module.ROWS))
+    rows = []
+    for c in range(clusters):
+        words = [f"c{c}w{rnd.randint(0, 10**6)}" for _ in range(body)]
+        for i in range(3):
+            w = list(words)
+            w[rnd.randrange(body)] = f"e{c}e{i}"
+            rows.append((10 * c + i, f"{shared} {' '.join(w)}"))
+    assert in_one_band([t for _, t in rows], k)
+    return rows
+
+
+@pytest.mark.parametrize("far", [200_000, 0])
+def test_far_members_lose_no_links(spark, monkeypatch, far):
+    monkeypatch.setattr(module, "BANDS", 1)
+    monkeypatch.setattr(module, "FAR_ROWS", far)
+    rows = mosaics()
+    want = brute(rows, 4)
+    assert len({c for _, c, _ in want.values()}) < len(rows)
+    assert answer(near_duplicates(docs_of(spark, rows), 4)) == want
+
+
 def trimmed(length, cuts, k=4):
     """Texts cut from one of ``length`` words, which all agree in the first band."""
     for seed in range(1000):
