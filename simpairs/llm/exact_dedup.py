@@ -1,4 +1,4 @@
-"""Exact duplicate groups by a tree merge of sorted digest runs."""
+"""Exact duplicate groups by a tree merge of digest runs."""
 
 from __future__ import annotations
 
@@ -26,7 +26,7 @@ def merge_runs(runs: DataFrame, keep: str = "max") -> DataFrame:
     """(digest, n_bytes, check, keep_id, n): the runs merged level by level.
 
     Level by level, 2 ** FAN_BITS neighbouring runs become one: rows of equal
-    digest meet sorted, and the kept identifier and the row count are carried
+    digest meet in a hash aggregate, and the kept identifier and the row count are carried
     up.  Length and second hash are part of the key at every level, so two
     texts are only merged when all three agree.  Each level combines before
     its exchange, so a group with a third of all rows shrinks to one row per
