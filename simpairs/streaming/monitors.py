@@ -4,7 +4,7 @@
   arrive: a streaming aggregation whose Pearson is the same expression as
   the batch one.  Spearman needs ranks over everything seen, so its state is
   the table of distinct (group, y, y_hat) with their counts: a micro-batch
-  adds its own counts, and ranks are taken from the sums.
+  adds its own counts, and the groups it touched are ranked from the sums.
 * J2: an early-stopping monitor over an epoch stream.  The state is one small
   row per run (best value, last improving epoch, last epoch, stopped).  A
   micro-batch is folded into it by the same blocked running maxima as the
@@ -59,23 +59,45 @@ def run_complete_to_table(agg: DataFrame, spark: SparkSession, name: str) -> Dat
     return spark.read.schema(agg.schema).parquet(out)
 
 
-def stream_rank_metrics(stream: DataFrame, spark: SparkSession, group_col: str, y: str, y_hat: str, name: str) -> DataFrame:
-    """Spearman per group over a stream (J1).  Each micro-batch appends its
-    counts of distinct (group, y, y_hat) under its own id; the result sums the
-    counts and ranks once, so history is never ranked again and again."""
-    acc = scratch_dir(spark, f"{name}-counts")
+def running_rank_metrics(stream: DataFrame, spark: SparkSession, group_col: str, y: str, y_hat: str, name: str) -> DataFrame:
+    """(batch, group, n, spearman): for every micro-batch, the groups it touched
+    with Spearman over everything seen up to then (J1).
+
+    Each micro-batch appends its counts of distinct (group, y, y_hat) under its
+    own id, ranks the touched groups from the summed counts, and writes their
+    rows under its id."""
+    acc, out = scratch_dir(spark, f"{name}-counts"), scratch_dir(spark, f"{name}-running")
     keys = [group_col, y, y_hat]
     schema = spark.createDataFrame([], stream.select(*keys).schema).withColumn("weight", F.lit(0).cast("bigint")).schema
     spark.createDataFrame([], schema).write.parquet(f"{acc}/batch=-1")
+    rows = spark.createDataFrame([], stream.select(group_col).schema).withColumn("n", F.lit(0).cast("bigint")) \
+        .withColumn("spearman", F.lit(0.0)).schema
+    spark.createDataFrame([], rows).write.parquet(f"{out}/batch=-1")
 
     def update(batch: DataFrame, batch_id: int) -> None:
+        own = f"{acc}/batch={batch_id}"
         known = batch.where(F.col(y).isNotNull() & F.col(y_hat).isNotNull())
-        known.groupBy(*keys).agg(F.count(F.lit(1)).alias("weight")).write.mode("overwrite").parquet(f"{acc}/batch={batch_id}")
+        known.groupBy(*keys).agg(F.count(F.lit(1)).alias("weight")).write.mode("overwrite").parquet(own)
+        # Later ids are there when a micro-batch is replayed.
+        counts = batch.sparkSession.read.schema(schema).option("basePath", acc).parquet(f"{acc}/*").where(F.col("batch") <= batch_id)
+        touched = batch.sparkSession.read.schema(schema).parquet(own).select(group_col).distinct()
+        seen = _null_safe_join(counts.select(*keys, "weight"), touched, [group_col]) \
+            .groupBy(*keys).agg(F.sum("weight").alias("weight"))
+        n = seen.groupBy(group_col).agg(F.sum("weight").alias("n"))
+        _null_safe_join(n, rank_correlation(seen, y, y_hat, [group_col]), [group_col]) \
+            .write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     run_available(stream, scratch_dir(spark, f"{name}-ckpt"), update)
-    seen = spark.read.schema(schema).option("basePath", acc).parquet(f"{acc}/*").groupBy(*keys).agg(F.sum("weight").alias("weight"))
-    n = seen.groupBy(group_col).agg(F.sum("weight").alias("n"))
-    return _null_safe_join(n, rank_correlation(seen, y, y_hat, [group_col]), [group_col])
+    found = spark.read.schema(rows).option("basePath", out).parquet(f"{out}/*").where("batch >= 0")
+    return found.select("batch", group_col, "n", "spearman")
+
+
+def stream_rank_metrics(stream: DataFrame, spark: SparkSession, group_col: str, y: str, y_hat: str, name: str) -> DataFrame:
+    """(group, n, spearman) after the last micro-batch (J1): per group the last
+    row of ``running_rank_metrics``."""
+    found = running_rank_metrics(stream, spark, group_col, y, y_hat, name)
+    last = found.groupBy(group_col).agg(F.max_by(F.struct("n", "spearman"), "batch").alias("_last"))
+    return last.select(group_col, "_last.n", "_last.spearman")
 
 
 STATE_SCHEMA = "run_id long, best double, last_imp long, last_epoch long, stop_epoch long"

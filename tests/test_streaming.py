@@ -2,11 +2,13 @@
 a hot run is spread, a late epoch fails, an empty stream gives an empty table."""
 
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from simpairs.operators.runlog import early_stop
+from simpairs.streaming import monitors
 from simpairs.streaming.monitors import PatienceMonitor, fold_patience, replay_in_order, run_complete_to_table, stream_metrics, stream_rank_metrics
 
 SCHEMA = "run_id long, epoch long, value double"
@@ -69,3 +71,15 @@ def test_streamed_spearman_keeps_null_groups(spark, tmp_dir):
     stream = spark.readStream.schema("stage string, y double, y_hat double").option("maxFilesPerTrigger", 1).parquet(src)
     got = {r.stage: (r.n, r.spearman) for r in stream_rank_metrics(stream, spark, "stage", "y", "y_hat", "nulls").collect()}
     assert set(got) == {"a", None} and got["a"] == got[None] and got["a"][0] == 9
+
+
+def test_spearman_after_every_micro_batch(spark, tmp_dir):
+    src = os.path.join(tmp_dir, "running")
+    schema = "stage string, y double, y_hat double"
+    rows = [[("a", 1.0, 1.0), ("a", 2.0, 2.0), ("b", 1.0, 2.0), ("b", 2.0, 1.0)], [("a", 3.0, 0.0)], [("b", 3.0, None), ("a", 4.0, 5.0)]]
+    for part in rows:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(src)
+        time.sleep(1.1)  # files arrive in the order of their times
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    got = {(r.batch, r.stage, r.n, round(r.spearman, 6)) for r in monitors.running_rank_metrics(stream, spark, "stage", "y", "y_hat", "running").collect()}
+    assert got == {(0, "a", 2, 1.0), (0, "b", 2, -1.0), (1, "a", 3, -0.5), (2, "a", 4, 0.4)}
