@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .bpe import digests, encode_decode
 from .common import table
+from .conversation_repair import repair_report
 from .embed_dup import embedding_duplicates
 from .exact_dedup import exact_dedup
 from .language import identify_languages
@@ -83,6 +84,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_report(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_quality": op2_quality,
@@ -94,6 +99,7 @@ QUERIES = {
     "op8_language": op8_language,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_mixing": op10_mixing,
+    "op11_conversation_repair": op11_conversation_repair,
 }
 
 OP1_SQL = r"""
