@@ -18,6 +18,7 @@ from .language import identify_languages
 from .mixing import mix_counts
 from .near_dup import near_duplicates
 from .quality import score_quality
+from .quality_rules import judge_quality
 from .suffix_dedup import removal_digests, remove_repeats
 from .token_counts import token_counts
 from .url_filters import RULE_SCHEMA, filter_urls
@@ -88,6 +89,10 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_report(table(spark, sf_dir, "conversations"))
 
 
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_quality": op2_quality,
@@ -100,6 +105,7 @@ QUERIES = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_mixing": op10_mixing,
     "op11_conversation_repair": op11_conversation_repair,
+    "op13_quality_rules": op13_quality_rules,
 }
 
 OP1_SQL = r"""
