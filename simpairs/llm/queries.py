@@ -19,6 +19,7 @@ from .mixing import mix_counts
 from .near_dup import near_duplicates
 from .quality import score_quality
 from .quality_rules import judge_quality
+from .spelling import spelling_variants
 from .suffix_dedup import removal_digests, remove_repeats
 from .token_counts import token_counts
 from .url_filters import RULE_SCHEMA, filter_urls
@@ -89,6 +90,10 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_report(table(spark, sf_dir, "conversations"))
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -105,6 +110,7 @@ QUERIES = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_mixing": op10_mixing,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_spelling": op12_spelling,
     "op13_quality_rules": op13_quality_rules,
 }
 
