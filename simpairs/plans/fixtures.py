@@ -98,6 +98,19 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def prediction_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prediction log as a stream has it: run = line number modulo 3, null
+    stages, an epoch per 4096 orders, one loss per row, the order's second as
+    event time; and one end mark per epoch with the number of its rows."""
+    p = predictions(spark, sf_dir).select(
+        (F.col("l_linenumber") % 3).cast("long").alias("run_id"), F.nullif(F.col("stage"), F.lit("N")).alias("stage"),
+        F.expr("l_orderkey div 4096").alias("epoch"), "batch_id", F.col("y").cast("double").alias("y"), F.col("y_hat").cast("double").alias("y_hat"),
+        F.pow(F.col("y_hat") / F.lit(105000.0) - F.col("y") / F.lit(50.0), 2).cast("double").alias("loss"),
+        F.timestamp_seconds("l_orderkey").alias("at"), F.lit(None).cast("long").alias("announced"))
+    ends = p.groupBy("run_id", "stage", "epoch").agg(F.count(F.lit(1)).alias("announced"), F.max("at").alias("at"))
+    return p.unionByName(ends, allowMissingColumns=True)
+
+
 def epoch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-run metric series: run_id = user_id, epoch = position by
     (ts, event_id) minus one, metric name ``dev/<event_type>``, value.

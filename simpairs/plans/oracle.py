@@ -520,6 +520,27 @@ ORACLES["stream_stop"] = "SELECT run_id, stop_epoch FROM (" + ORACLES["early_sto
     "AND epoch < 60 ", "") + ") WHERE stop_epoch IS NOT NULL"
 
 ORACLES["stream_spearman"] = ORACLES["spearman_by_stage"]
+ORACLES["stream_spearman_steps"] = f"""
+WITH s AS (SELECT min(l_orderkey) AS lo, max(l_orderkey) AS hi FROM lineitem),
+p AS (SELECT ((l_orderkey - lo) * 6) // (hi - lo + 1) AS step, l_returnflag AS stage, l_quantity::DOUBLE AS y,
+             floor(l_extendedprice::DOUBLE / 100.0::DOUBLE) AS y_hat FROM lineitem, s),
+b AS (SELECT DISTINCT step FROM p),
+x AS (SELECT b.step AS batch, stage, y, y_hat FROM b JOIN p ON p.step <= b.step),
+r AS (SELECT batch, stage,
+        2 * rank() OVER (PARTITION BY batch, stage ORDER BY y) + count(*) OVER (PARTITION BY batch, stage, y) - 1 AS ry,
+        2 * rank() OVER (PARTITION BY batch, stage ORDER BY y_hat) + count(*) OVER (PARTITION BY batch, stage, y_hat) - 1 AS rp FROM x)
+SELECT batch::INTEGER AS batch, stage, count(*) AS n, {r6(pearson_sql('ry', 'rp'))} AS spearman FROM r GROUP BY batch, stage
+"""
+ORACLES["stream_epochs"] = f"""
+WITH p AS (SELECT (l_linenumber % 3)::BIGINT AS run_id, nullif(l_returnflag, 'N') AS stage, l_orderkey // 4096 AS epoch, l_orderkey // 64 AS batch_id,
+                  l_quantity::DOUBLE AS y, l_extendedprice::DOUBLE AS y_hat,
+                  pow(l_extendedprice / 105000.0::DOUBLE - l_quantity / 50.0::DOUBLE, 2) AS loss FROM lineitem),
+b AS (SELECT run_id, stage, epoch, batch_id, avg(loss) AS loss FROM p GROUP BY ALL),
+l AS (SELECT run_id, stage, epoch, count(*) AS n_batches, avg(loss) AS avg_loss FROM b GROUP BY ALL),
+m AS (SELECT run_id, stage, epoch, count(*) AS n, {pearson_sql('y', 'y_hat')} AS pearson FROM p GROUP BY ALL)
+SELECT m.run_id, m.stage, m.epoch, n, n_batches, {r6('pearson')} AS pearson, {r6('avg_loss')} AS avg_loss, true AS complete
+FROM m JOIN l ON m.run_id = l.run_id AND m.epoch = l.epoch AND m.stage IS NOT DISTINCT FROM l.stage
+"""
 
 
 # -- fits: closed forms ---------------------------------------------------------------

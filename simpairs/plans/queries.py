@@ -35,7 +35,9 @@ from ..operators.text import pad_batches, score_pairs, score_triplets, token_ids
 from ..operators.fit import FEATURES, grid_fit, pair_features, staged_fit, train_and_report
 from ..session import checkpoint_root, scratch_dir
 from ..sources.runlogs import metrics_long, option, read_hparams, read_metrics, read_report, read_results, run_histories
-from ..streaming.monitors import PatienceMonitor, replay_in_order, run_complete_to_table, stream_metrics, stream_rank_metrics
+from ..streaming.epochs import run_epoch_metrics
+from ..streaming.levels import RankLevels
+from ..streaming.monitors import PatienceMonitor, replay_in_order, run_available, run_complete_to_table, stream_metrics, stream_rank_metrics
 from ..sources.pairs import split_counts as count_splits
 from ..sources.pairs import (
     Catalog, DatasetSpec, compute_once, normalise_scores, read_header_csv, read_scored_tsv, read_unscored_tsv,
@@ -748,8 +750,8 @@ def stream_metrics_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spearman per stage over the prediction stream: each micro-batch
-    recomputes the stages it touched from all rows seen (J1)."""
+    """Spearman per stage after the whole prediction stream, from the count
+    table that every micro-batch adds to (J1)."""
     p = fx.predictions(spark, sf_dir).select("stage", "batch_id", "y", "y_hat")
     src = scratch_dir(spark, "pred-rank-stream")
     n_files = max(1, spark.sparkContext.defaultParallelism)
@@ -759,6 +761,34 @@ def stream_spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("stage", "n", rnd("spearman").alias("spearman"))
 
 
+# Micro-batches of the replay, and the bucket width of y_hat.
+RANK_STEPS, Y_HAT_WIDTH = 6, 100.0
+
+
+def stream_spearman_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spearman per stage after every micro-batch, predictions replayed in
+    order of their order key; y_hat at a resolution of 100 (J1)."""
+    p = fx.predictions(spark, sf_dir).select("l_orderkey", "stage", F.col("y").cast("double").alias("y"), F.col("y_hat").cast("double").alias("y_hat"))
+    path = scratch_dir(spark, "rank-steps")
+    state = RankLevels(spark, f"{path}/ranks", ["stage"], "y", "y_hat", fan=3, widths=(None, Y_HAT_WIDTH))
+    stream = lambda: spark.readStream.schema(p.schema).parquet(f"{path}/in")
+    replay_in_order(p, f"{path}/in", "l_orderkey", RANK_STEPS, spark.sparkContext.defaultParallelism,
+                    lambda: run_available(stream(), f"{path}/checkpoint", state.update))
+    return state.running(p).select(F.col("batch").cast("int").alias("batch"), "stage", "n", rnd("spearman").alias("spearman"))
+
+
+def stream_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """n, Pearson and mean batch loss of every (run, stage, epoch), emitted when
+    the epoch closes; several runs on one checkpoint take the stream in (J1)."""
+    p = fx.prediction_steps(spark, sf_dir)
+    path = scratch_dir(spark, "epoch-metrics")
+    stream = lambda: spark.readStream.schema(p.schema).parquet(f"{path}/in")
+    seconds = p.withColumn("second", F.unix_seconds("at"))
+    replay_in_order(seconds, f"{path}/in", "second", 2, spark.sparkContext.defaultParallelism, lambda: run_epoch_metrics(stream(), f"{path}/state"))
+    out = run_epoch_metrics(stream(), f"{path}/state")
+    return out.select("run_id", "stage", "epoch", "n", "n_batches", rnd("pearson").alias("pearson"), rnd("avg_loss").alias("avg_loss"), "complete")
+
+
 def stream_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Epoch log replayed in epoch order as a file stream; the patience
     monitor gives one stop event per run that stops (J2)."""
@@ -785,5 +815,7 @@ QUERIES.update({
     "staged_fit": staged_fit_q,
     "stream_metrics": stream_metrics_q,
     "stream_spearman": stream_spearman,
+    "stream_spearman_steps": stream_spearman_steps,
+    "stream_epochs": stream_epochs,
     "stream_stop": stream_stop,
 })

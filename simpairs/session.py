@@ -46,16 +46,35 @@ def checkpoint_root(spark: SparkSession) -> str:
     a private folder is created and registered once per session.
     """
     sc = spark.sparkContext
-    root = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="simpairs-ckpt-")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(root)
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.conf.set("spark.checkpoint.dir", root)
-    return sc.getCheckpointDir() or root
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if root:
+        if not sc.getCheckpointDir():
+            sc.setCheckpointDir(root)
+        return root.rstrip("/")
+    if not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    # The setting itself is fixed once a session runs; the context keeps the folder.
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="simpairs-ckpt-"))
+    return sc.getCheckpointDir().rstrip("/")
+
+
+def _hadoop(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def child_names(spark: SparkSession, path: str) -> list[str]:
+    """Names inside a folder, in whatever store Spark writes to; none if it is not there."""
+    target, fs = _hadoop(spark, path)
+    if not fs.exists(target):
+        return []
+    return sorted(f.getPath().getName() for f in fs.listStatus(target))
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Remove a table that this library wrote and nothing reads any more."""
+    target, fs = _hadoop(spark, path)
+    fs.delete(target, True)
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:

@@ -1,17 +1,17 @@
 """Streaming forms of the two incremental states of the reference.
 
-* J1: running evaluation metrics per (run, stage, epoch) while predictions
-  arrive: a streaming aggregation whose Pearson is the same expression as
-  the batch one.  Spearman needs ranks over everything seen, so its state is
-  the table of distinct (group, y, y_hat) with their counts: a micro-batch
-  adds its own counts, and the groups it touched are ranked from the sums.
+* J1: running evaluation metrics while predictions arrive: a streaming
+  aggregation whose Pearson is the same expression as the batch one (metrics
+  that close with their epoch are in ``epochs``), and Spearman after every
+  micro-batch from the count table of ``levels``.
 * J2: an early-stopping monitor over an epoch stream.  The state is one small
   row per run (best value, last improving epoch, last epoch, stopped).  A
   micro-batch is folded into it by the same blocked running maxima as the
   batch operator, so a run with very many rows is spread over tasks.
 
 State tables are written under the micro-batch's id, so a replayed micro-batch
-writes the same rows again.
+writes the same rows again.  Given a path, state and progress stay there, and
+a new object on that path goes on where the last one stopped.
 """
 
 from __future__ import annotations
@@ -22,10 +22,11 @@ from typing import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.metrics import pearson, rank_correlation
+from ..operators.metrics import pearson
 from ..operators.rank import _null_safe_join
 from ..operators.runlog import blocked_running_max
-from ..session import scratch_dir
+from ..session import child_names, delete_folder, scratch_dir
+from .levels import RankLevels
 
 
 def run_available(stream: DataFrame, checkpoint: str, update: Callable[[DataFrame, int], None], mode: str = "append") -> None:
@@ -47,49 +48,38 @@ def stream_metrics(stream: DataFrame, group_cols: Sequence[str], y: str, y_hat:
     )
 
 
-def run_complete_to_table(agg: DataFrame, spark: SparkSession, name: str) -> DataFrame:
+def run_complete_to_table(agg: DataFrame, spark: SparkSession, name: str, path: str | None = None) -> DataFrame:
     """Run a complete-mode aggregation with ``availableNow`` and return the
-    final result, read back from parquet written by ``foreachBatch`` (the
-    whole result is rewritten each micro-batch; it is one row per group).  A
-    stream without rows gives an empty result."""
-    out = scratch_dir(spark, f"{name}-out")
-    spark.createDataFrame([], agg.schema).write.parquet(out)
-    run_available(agg, scratch_dir(spark, f"{name}-ckpt"),
-                  lambda batch, _: batch.write.mode("overwrite").parquet(out), "complete")
-    return spark.read.schema(agg.schema).parquet(out)
+    final result.  Each micro-batch writes the whole result (one row per group)
+    under its id, so the one before stands until it is there; older ones are
+    removed.  A stream without rows gives an empty result."""
+    path = path or scratch_dir(spark, name)
 
+    def update(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/result/batch={batch_id}")
+        for old in _batches(spark, f"{path}/result"):
+            if old < batch_id - 1:
+                delete_folder(spark, f"{path}/result/batch={old}")
 
-def running_rank_metrics(stream: DataFrame, spark: SparkSession, group_col: str, y: str, y_hat: str, name: str) -> DataFrame:
-    """(batch, group, n, spearman): for every micro-batch, the groups it touched
-    with Spearman over everything seen up to then (J1).
-
-    Each micro-batch appends its counts of distinct (group, y, y_hat) under its
-    own id, ranks the touched groups from the summed counts, and writes their
-    rows under its id."""
-    acc, out = scratch_dir(spark, f"{name}-counts"), scratch_dir(spark, f"{name}-running")
-    keys = [group_col, y, y_hat]
-    schema = spark.createDataFrame([], stream.select(*keys).schema).withColumn("weight", F.lit(0).cast("bigint")).schema
-    spark.createDataFrame([], schema).write.parquet(f"{acc}/batch=-1")
-    rows = spark.createDataFrame([], stream.select(group_col).schema).withColumn("n", F.lit(0).cast("bigint")) \
-        .withColumn("spearman", F.lit(0.0)).schema
-    spark.createDataFrame([], rows).write.parquet(f"{out}/batch=-1")
+    run_available(agg, f"{path}/checkpoint", update, "complete")
+    done = _batches(spark, f"{path}/result")
+    if not done:
+        return spark.createDataFrame([], agg.schema)
+    return spark.read.schema(agg.schema).parquet(f"{path}/result/batch={done[-1]}")
 
-    def update(batch: DataFrame, batch_id: int) -> None:
-        own = f"{acc}/batch={batch_id}"
-        known = batch.where(F.col(y).isNotNull() & F.col(y_hat).isNotNull())
-        known.groupBy(*keys).agg(F.count(F.lit(1)).alias("weight")).write.mode("overwrite").parquet(own)
-        # Later ids are there when a micro-batch is replayed.
-        counts = batch.sparkSession.read.schema(schema).option("basePath", acc).parquet(f"{acc}/*").where(F.col("batch") <= batch_id)
-        touched = batch.sparkSession.read.schema(schema).parquet(own).select(group_col).distinct()
-        seen = _null_safe_join(counts.select(*keys, "weight"), touched, [group_col]) \
-            .groupBy(*keys).agg(F.sum("weight").alias("weight"))
-        n = seen.groupBy(group_col).agg(F.sum("weight").alias("n"))
-        _null_safe_join(n, rank_correlation(seen, y, y_hat, [group_col]), [group_col]) \
-            .write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-
-    run_available(stream, scratch_dir(spark, f"{name}-ckpt"), update)
-    found = spark.read.schema(rows).option("basePath", out).parquet(f"{out}/*").where("batch >= 0")
-    return found.select("batch", group_col, "n", "spearman")
+
+def _batches(spark: SparkSession, path: str) -> list[int]:
+    return sorted(int(n.split("=")[1]) for n in child_names(spark, path))
+
+
+def running_rank_metrics(stream: DataFrame, spark: SparkSession, group_col: str, y: str, y_hat: str, name: str,
+                         path: str | None = None, **levels) -> DataFrame:
+    """(batch, group, n, spearman): for every micro-batch, the groups it touched
+    with Spearman over everything seen up to then (J1)."""
+    path = path or scratch_dir(spark, name)
+    state = RankLevels(spark, f"{path}/ranks", [group_col], y, y_hat, **levels)
+    run_available(stream, f"{path}/checkpoint", state.update)
+    return state.running(stream)
 
 
 def stream_rank_metrics(stream: DataFrame, spark: SparkSession, group_col: str, y: str, y_hat: str, name: str) -> DataFrame:
@@ -130,17 +120,26 @@ def fold_patience(state: DataFrame, rows: DataFrame, patience: int) -> DataFrame
 
 
 class PatienceMonitor:
-    """Stop events of an epoch stream, with its state in shared tables."""
+    """Stop events of an epoch stream, with its state in shared tables.
+
+    With a ``path`` the monitor can be made again there: it starts from the
+    last state, and the stream from the last micro-batch that was finished."""
 
-    def __init__(self, spark: SparkSession, name: str, patience: int = 4) -> None:
+    def __init__(self, spark: SparkSession, name: str, patience: int = 4, path: str | None = None) -> None:
         self.spark, self.patience = spark, patience
-        self.root, self.checkpoint = scratch_dir(spark, f"{name}-state"), scratch_dir(spark, f"{name}-ckpt")
-        self.version = -1
-        self._write(spark.createDataFrame([], STATE_SCHEMA), self.version)
+        path = path or scratch_dir(spark, name)
+        self.root, self.checkpoint = f"{path}/state", f"{path}/checkpoint"
+        found = _batches(spark, self.root)
+        self.version = found[-1] if found else -1
+        if not found:
+            self._write(spark.createDataFrame([], STATE_SCHEMA), -1)
 
     def _write(self, state: DataFrame, version: int) -> None:
         state.write.mode("overwrite").parquet(f"{self.root}/version={version}")
         self.version = version
+        for old in _batches(self.spark, self.root):
+            if old < version - 1:
+                delete_folder(self.spark, f"{self.root}/version={old}")
 
     def state(self) -> DataFrame:
         return self.spark.read.schema(STATE_SCHEMA).parquet(f"{self.root}/version={self.version}")
