@@ -1,8 +1,8 @@
 """Mini-batches and augmentation routing.
 
-A batch is a range of positions in some order: a seeded hash order for the
+A batch is a range of positions in some order: a seeded permutation for the
 shuffled training loader, the id order for the sequential ones.  Positions
-come from the bucketed ordered index, so no task sees all rows.  Augmentation
+come from ranges of ids and their counts, so no task sees all rows.  Augmentation
 draws are hashes of (seed, epoch, batch_id): the same value for a whole
 batch, reproducible, independent of partitioning.
 """
@@ -14,8 +14,9 @@ from typing import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hashing import hash_key, hash_unit
-from .rank import hash_rank, value_rank
+from ..functions.hashing import hash_unit
+from .negatives import permutation
+from .rank import value_rank
 
 # The pivot languages of the augmentation step, in order.
 PIVOT_LANGUAGES = ["en", "fr", "de", "es", "it"]
@@ -38,7 +39,7 @@ def _numbered(df: DataFrame, ranked: DataFrame, id_col: str, batch_size: int, pr
 def shuffled_batches(df: DataFrame, id_col: str, batch_size: int, seed="42", epoch: int = 0, prefix: str = "") -> DataFrame:
     """Shuffled batches of ``batch_size`` (E4); the last batch may be short.
     Ids are unique."""
-    d = hash_rank(df.select(id_col), hash_key(F.lit(seed), F.lit(epoch), F.col(id_col)), [id_col], out="_bpos")
+    d = permutation(df.select(id_col), id_col, seed, f"epoch-{epoch}", out="_bpos")
     return _numbered(df, d, id_col, batch_size, prefix)
 
 

@@ -1,9 +1,9 @@
 """Negative sampling (C1) and seeded permutations.
 
 Row ``i`` receives the sentence of row ``p(i)`` for a seeded permutation
-``p``: recipients are numbered by one hash order, donors by another, and the
-two numberings are equi-joined.  The result is a bijection (each row donates
-exactly once), deterministic per seed, independent of partitioning, and the
+``p``: ids are numbered once, and a keyed bijection of the numbers names each
+recipient's donor, who is found by an equi-join.  Each row donates exactly
+once; the result depends on seed and ids only, not on partitions, and is the
 same in DuckDB.  As in the reference, a row may draw itself or its partner.
 """
 
@@ -13,12 +13,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_key
-from .rank import hash_rank, value_rank
+from .permute import numbered, with_permutation
+from .rank import value_rank
 
 
 def permutation(df: DataFrame, id_col: str, seed="42", salt: str = "p", out: str = "perm_pos") -> DataFrame:
-    """1-based position of every row in a seeded random order."""
-    return hash_rank(df, hash_key(F.lit(seed), F.lit(salt), F.col(id_col)), [id_col], out=out)
+    """1-based position of every row in a seeded random order (E3); ids are unique."""
+    rows, n = numbered(df, [id_col], "_at")
+    return with_permutation(rows, "_at", n, (seed, salt), out).drop("_at")
 
 
 def coin(seed, id_col: str, sides: int = 2) -> Column:
@@ -28,11 +30,12 @@ def coin(seed, id_col: str, sides: int = 2) -> Column:
 
 
 def draw_donors(ids: DataFrame, id_col: str, seed="42", avoid_self: bool = False) -> DataFrame:
-    """(id, donor_id, side) for a table of unique ids: one shuffle join between
-    two numberings that hold nothing but ids."""
-    recipients = permutation(ids, id_col, seed, "a", "_ra")
-    donors = permutation(ids, id_col, seed, "b", "_rb").select("_rb", F.col(id_col).alias("donor_id"))
-    j = recipients.join(donors, recipients["_ra"] == donors["_rb"], "inner").drop("_rb")
+    """(id, donor_id, side) for a table of unique ids: one shuffle join of the
+    numbered ids with themselves, on the number drawn."""
+    rows, n = numbered(ids.select(id_col), [id_col], "_ra")
+    recipients = with_permutation(rows, "_ra", n, (seed, "a"), "_from")
+    donors = rows.select(F.col("_ra").alias("_rb"), F.col(id_col).alias("donor_id"))
+    j = recipients.join(donors, recipients["_from"] == donors["_rb"], "inner").drop("_rb", "_from")
     if avoid_self:
         j = _rotate_fixed_points(j, id_col)
     return j.select(id_col, "donor_id", coin(seed, id_col).alias("side"))

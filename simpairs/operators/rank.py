@@ -1,8 +1,11 @@
 """Positions and ranks without a single-partition window.
 
 ``Window.orderBy(..)`` with no partition moves every row to one task, and a
-window partitioned by a heavy key does the same for that key.  Here every
-order is first cut into *buckets* whose order agrees with the row order:
+window partitioned by a heavy key does the same for that key.
+
+An order over all rows takes its positions from ranges and their counts
+(``permute.numbered``), at every size.  An order inside groups is cut into
+*buckets* whose order agrees with the row order:
 
 * hash orders use a prefix of the md5 key (uniform by construction);
 * value orders are cut at values of a sorted sample of the order key, ties
@@ -12,11 +15,9 @@ order is first cut into *buckets* whose order agrees with the row order:
 
 Rows are counted per (group, bucket); a prefix sum over those counts gives each
 bucket its offset, and the final ``row_number`` runs per (group, bucket), so no
-task sees more than one bucket of one group.
-
-Whether any group is larger than ``ROWS_PER_BUCKET`` is found by one count per
-group, which runs when the rank is built.  Where none is, a plain window gives
-the same positions with one exchange.
+task sees more than one bucket of one group.  Groups up to ``ROWS_PER_BUCKET``
+rows are one bucket, which a window over the group ranks; one count per group,
+run when the rank is built, tells whether any is larger.
 """
 
 from __future__ import annotations
@@ -28,10 +29,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_bucket
+from .permute import numbered
 
 BUCKET = "_bucket"
 #: Rows of a group that may share a bucket; smaller groups are one bucket.
-ROWS_PER_BUCKET = 1_000_000
+ROWS_PER_BUCKET = 20_000
 #: Sampled keys per group, and the most buckets of a group (a power of two).
 SAMPLE_KEYS = 20_000
 MOST_BUCKETS = 4096
@@ -170,6 +172,8 @@ def hash_rank(
     """1-based position by an md5 key (ties by ``tie_cols``): a seeded shuffle."""
     tmp, g = "_hkey", _cols(group_cols)
     d = df.withColumn(tmp, hex_key)
+    if not g:
+        return numbered(d, [tmp, *tie_cols], out)[0].drop(tmp)
     if _largest_group(df, g) <= (rows_per_bucket or ROWS_PER_BUCKET):
         whole = Window.partitionBy(*g).orderBy(F.col(tmp), *[F.col(c) for c in tie_cols])
         return d.withColumn(out, F.row_number().over(whole)).drop(tmp)
@@ -186,6 +190,8 @@ def value_rank(
     rows_per_bucket: int | None = None,
 ) -> DataFrame:
     """1-based position by ``key`` ascending, ties by ``tie_cols``."""
+    if not _cols(group_cols):
+        return numbered(df, [key, *tie_cols], out)[0]
     if _largest_group(df, _cols(group_cols)) <= (rows_per_bucket or ROWS_PER_BUCKET):
         whole = Window.partitionBy(*_cols(group_cols)).orderBy(F.col(key), *[F.col(c) for c in tie_cols])
         return df.withColumn(out, F.row_number().over(whole))

@@ -109,14 +109,24 @@ def split_sql(name: str, src: str, id_col: str, key: str, test_size: float, seed
   FROM {name}_r r JOIN {name}_q3 q ON r.{key} IS NOT DISTINCT FROM q.k)"""
 
 
-def perm_sql(src: str, id_col: str, seed: str, salt: str) -> str:
-    return f"row_number() OVER (ORDER BY {md5_sql(repr(seed), repr(salt), id_col)}, {id_col})"
+def numbered_sql(src: str, id_col: str) -> str:
+    """Rows with ``_x`` (0-based position in id order), ``_n`` and the two bases of the bijection."""
+    return f"""(SELECT *, (_n + _a - 1) // _a AS _b FROM (SELECT *, ceil(sqrt(_n))::BIGINT AS _a FROM
+    (SELECT *, row_number() OVER (ORDER BY {id_col}) - 1 AS _x, count(*) OVER () AS _n FROM {src})))"""
+
+
+def perm_sql(seed: str, salt: str) -> str:
+    """The 1-based image of ``_x``: four rounds, walked on until below ``_n``."""
+    h = lambda digit: f"('0x' || substr({md5_sql(repr(seed), repr(salt), 'i', digit)}, 1, 8))::UBIGINT::BIGINT"
+    trip = lambda x: (f"list_reduce(list_prepend({x}, [1, 2, 3, 4]::BIGINT[]), lambda v, i: CASE WHEN i % 2 = 1 "
+                      f"THEN ((v // _b + {h('v % _b')}) % _a) * _b + v % _b ELSE (v // _b) * _b + (v % _b + {h('v // _b')}) % _b END)")
+    return f"(1 + list_reduce(list_prepend({trip('_x')}, range(1, 65)), lambda x, j: CASE WHEN x < _n THEN x ELSE {trip('x')} END))"
 
 
 def negatives_sql(src: str, seed: str = "42") -> str:
-    return f"""rec AS (SELECT *, {perm_sql(src, 'pair_id', seed, 'a')} AS ra,
-                1 + (('0x' || substr({md5_sql(repr(seed), "'c'", 'pair_id')}, 1, 8))::UBIGINT % 2)::INTEGER AS side FROM {src}),
-don AS (SELECT pair_id AS donor_id, text1 AS d1, text2 AS d2, {perm_sql(src, 'pair_id', seed, 'b')} AS rb FROM {src}),
+    return f"""rec AS (SELECT * EXCLUDE (_x, _n, _a, _b), {perm_sql(seed, 'a')} AS ra,
+                1 + (('0x' || substr({md5_sql(repr(seed), "'c'", 'pair_id')}, 1, 8))::UBIGINT % 2)::INTEGER AS side FROM {numbered_sql(src, 'pair_id')}),
+don AS (SELECT pair_id AS donor_id, text1 AS d1, text2 AS d2, row_number() OVER (ORDER BY pair_id) AS rb FROM {src}),
 neg AS (SELECT rec.*, don.donor_id, CASE WHEN side = 1 THEN d1 ELSE d2 END AS sentence3 FROM rec JOIN don ON ra = rb)"""
 
 
@@ -162,8 +172,8 @@ SELECT pair_id, donor_id, side, text1 AS sentence1, text2 AS sentence2, sentence
 """,
     "batches": f"""
 WITH d AS (SELECT doc_id FROM documents),
-s0 AS (SELECT doc_id, row_number() OVER (ORDER BY {md5_sql("'42'", '0', 'doc_id')}, doc_id) AS p FROM d),
-s1 AS (SELECT doc_id, row_number() OVER (ORDER BY {md5_sql("'42'", '1', 'doc_id')}, doc_id) AS p FROM d),
+s0 AS (SELECT doc_id, {perm_sql('42', 'epoch-0')} AS p FROM {numbered_sql('d', 'doc_id')}),
+s1 AS (SELECT doc_id, {perm_sql('42', 'epoch-1')} AS p FROM {numbered_sql('d', 'doc_id')}),
 sq AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS p FROM d)
 SELECT 'shuffled-0' AS kind, doc_id, (p - 1) // 16 AS batch_id, (p - 1) % 16 AS batch_idx FROM s0
 UNION ALL SELECT 'shuffled-1', doc_id, (p - 1) // 16, (p - 1) % 16 FROM s1
@@ -243,9 +253,10 @@ ce AS (SELECT *, CASE WHEN floor(score) = 1 THEN lse - 20.0::DOUBLE * partner_si
 
 
 def vec_negatives_sql(seed: str = "42") -> str:
-    return f"""rec AS (SELECT *, {perm_sql('vec_pairs', 'pair_id', seed, 'a')} AS ra,
-                1 + (('0x' || substr({md5_sql(repr(seed), "'c'", 'pair_id')}, 1, 8))::UBIGINT % 2)::INTEGER AS side FROM vec_pairs),
-don AS (SELECT u AS du, v AS dv, {perm_sql('vec_pairs', 'pair_id', seed, 'b')} AS rb FROM vec_pairs),
+    return f"""rec AS (SELECT * EXCLUDE (_x, _n, _a, _b), {perm_sql(seed, 'a')} AS ra,
+                1 + (('0x' || substr({md5_sql(repr(seed), "'c'", 'pair_id')}, 1, 8))::UBIGINT % 2)::INTEGER AS side
+         FROM {numbered_sql('vec_pairs', 'pair_id')}),
+don AS (SELECT u AS du, v AS dv, row_number() OVER (ORDER BY pair_id) AS rb FROM vec_pairs),
 neg AS (SELECT rec.*, CASE WHEN side = 1 THEN du ELSE dv END AS w FROM rec JOIN don ON ra = rb)"""
 
 

@@ -46,3 +46,29 @@ def test_no_ranking_carries_texts_or_vectors(spark):
             assert "text" not in line and "_d1" not in line
     narrow = draw_donors(spark.range(100).withColumnRenamed("id", "pair_id"), "pair_id")
     assert narrow.columns == ["pair_id", "donor_id", "side"]
+
+
+@pytest.mark.parametrize("name", ["row_lookup", "batches", "negatives_pair", "negatives_triplet", "tokenise_pad", "triplet_text", "augment_lookup",
+                                  "pair_loss", "triplet_eval", "spearman_by_stage"])
+def test_no_window_without_a_key(spark, name):
+    """No order goes through one task, at any size."""
+    df = entry.queries()[name](spark, SF001)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    for line in plan.splitlines():
+        if "Window [" in line:
+            assert "], [], [" not in line and not line.rstrip().endswith(", []"), line
+
+
+def test_every_range_of_an_order_has_rows(spark):
+    """At sf0.1 the numbering of documents is spread over all ranges."""
+    from simpairs.operators.permute import numbered
+
+    ids = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    try:
+        rows, n = numbered(ids, ["doc_id"])
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    parts = [len(p) for p in rows.select("pos").rdd.glom().collect()]
+    assert n == 10000 and max(parts) < 3 * n / 32

@@ -64,3 +64,35 @@ def test_groups_with_and_without_cuts_together(spark):
     mine = value_rank(df, "v", ["id"], ["g"], rows_per_bucket=400).select("id", "pos")
     ref = df.select("id", F.row_number().over(Window.partitionBy("g").orderBy("v", "id")).alias("ref"))
     assert mine.join(ref, "id").where(F.col("pos") != F.col("ref")).count() == 0
+
+
+def test_bijection_of_every_size(spark):
+    """Every n up to 70, odd ones too, and some larger: each number once."""
+    from simpairs.operators.permute import bases, with_permutation
+
+    for n in [*range(1, 71), 997, 1024, 5003]:
+        a, b = bases(n)
+        assert a * b >= n and a * b - n < a and a >= b
+    fixed = 0
+    for n in (1, 2, 3, 5, 7, 11, 64, 65, 997, 5003):
+        d = spark.range(1, n + 1)
+        got = [r.p for r in with_permutation(d, "id", n, ("s", "a"), "p").orderBy("id").collect()]
+        assert sorted(got) == list(range(1, n + 1))
+        other = [r.p for r in with_permutation(d, "id", n, ("s", "b"), "p").orderBy("id").collect()]
+        assert n < 60 or got != other
+        fixed += sum(i + 1 == p for i, p in enumerate(got)) if n == 5003 else 0
+    assert fixed < 12
+
+
+def test_numbers_follow_any_order(spark):
+    from simpairs.operators.permute import numbered
+
+    inf, nan = float("inf"), float("nan")
+    df = spark.range(0, 4000).select("id", F.when(F.col("id") == 5, inf).when(F.col("id") == 6, nan).when(F.col("id") == 7, None)
+                                     .when(F.col("id") < 3000, 2.0).otherwise(F.col("id").cast("double")).alias("v"))
+    rows, n = numbered(df.repartition(5), ["v", "id"])
+    mine = {r.id: r.pos for r in rows.collect()}
+    want = {r.id: r.p for r in df.select("id", F.row_number().over(Window.orderBy("v", "id")).alias("p")).collect()}
+    assert n == 4000 and mine == want
+    empty, none = numbered(df.where("id < 0"), ["id"])
+    assert none == 0 and empty.count() == 0
