@@ -1,7 +1,7 @@
 """Evaluation metrics.
 
 All are aggregations with partial (map-side) combine; Spearman adds the
-bucketed average ranks of ``rank.rank_table`` over rows collapsed by value, so
+average ranks of ``rank.rank_table`` over rows collapsed by value, so
 a stage holding a third of the rows is still spread over many tasks.
 """
 

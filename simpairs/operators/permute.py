@@ -19,7 +19,7 @@ from __future__ import annotations
 import math
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_key
@@ -33,6 +33,28 @@ ROUNDS = 4
 WALK = 64
 
 
+def _ranged(df: DataFrame, order_cols: Sequence) -> DataFrame:
+    """``df`` dealt out by ranges and sorted inside them, with ``__part`` and
+    ``__at`` (the place inside the range), checkpointed."""
+    spark = df.sparkSession
+    checkpoint_root(spark)
+    order = [F.col(c) if isinstance(c, str) else c for c in order_cols]
+    ranges = max(LEAST_RANGES, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    d = df.repartitionByRange(ranges, *order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id())
+    return d.select(*df.columns, F.shiftright("__id", 33).alias("__part"), F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)).alias("__at")).checkpoint()
+
+
+def _with_starts(d: DataFrame, amount: Column) -> tuple[DataFrame, int]:
+    """``__start``: the amount in the ranges before the row's own, and the
+    whole amount.  One number per range goes to the driver."""
+    starts, total = [], 0
+    for part, n in sorted(tuple(r) for r in d.groupBy("__part").agg(F.sum(amount).cast("bigint").alias("n")).collect()):
+        starts.append((part, total))
+        total += n
+    offsets = F.broadcast(d.sparkSession.createDataFrame(starts, "__p long, __start long"))
+    return d.join(offsets, F.col("__part") == F.col("__p")).drop("__p"), total
+
+
 def numbered(df: DataFrame, order_cols: Sequence, out: str = "pos") -> tuple[DataFrame, int]:
     """``df`` with 1-based positions in the order of ``order_cols`` (nulls
     first, NaN last), and the number of rows.
@@ -40,22 +62,15 @@ def numbered(df: DataFrame, order_cols: Sequence, out: str = "pos") -> tuple[Dat
     The rows are checkpointed, so give ids and keys rather than texts.
     ``order_cols`` must order rows totally if positions are to be repeatable.
     """
-    spark = df.sparkSession
-    checkpoint_root(spark)
-    order = [F.col(c) if isinstance(c, str) else c for c in order_cols]
-    ranges = max(LEAST_RANGES, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    at = F.monotonically_increasing_id()
-    d = df.repartitionByRange(ranges, *order).sortWithinPartitions(*order).withColumn("__at", at).checkpoint()
-    part = F.shiftright("__at", 33)
-    counts = sorted(tuple(r) for r in d.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect())  # one row per range
-    starts, total = [], 0
-    for p, n in counts:
-        starts.append((p, total))
-        total += n
-    offsets = F.broadcast(spark.createDataFrame(starts, "__part long, __start long"))
-    joined = d.join(offsets, part == F.col("__part"))
-    inside = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
-    return joined.select(*df.columns, (F.col("__start") + inside + 1).alias(out)), total
+    d, total = _with_starts(_ranged(df, order_cols), F.lit(1))
+    return d.select(*df.columns, (F.col("__start") + F.col("__at") + 1).alias(out)), total
+
+
+def sums_before(df: DataFrame, order_cols: Sequence, weight: str, out: str) -> DataFrame:
+    """``df`` with the sum of ``weight`` over all rows before each row."""
+    d, _ = _with_starts(_ranged(df, order_cols), F.col(weight))
+    inside = Window.partitionBy("__part").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    return d.select(*df.columns, (F.col("__start") + F.coalesce(F.sum(weight).over(inside), F.lit(0))).alias(out))
 
 
 def bases(n: int) -> tuple[int, int]:

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_bucket
-from .permute import numbered
+from .permute import numbered, sums_before
 
 BUCKET = "_bucket"
 #: Rows of a group that may share a bucket; smaller groups are one bucket.
@@ -112,35 +112,6 @@ def with_value_bucket(
     return d.select(*df.columns, F.coalesce(found, F.lit(0)).cast("bigint").alias(BUCKET))
 
 
-def prefix_before(
-    df: DataFrame,
-    order_cols: Sequence,
-    group_cols: Iterable[str] = (),
-    weight: str | None = None,
-    out: str = "_before",
-) -> DataFrame:
-    """Sum of ``weight`` (1 per row when None) over rows strictly before each
-    row in ``order_cols`` within its group.  ``df`` must carry ``BUCKET``.
-
-    ``order_cols`` must order rows totally within a group (append a unique
-    id) when positions are wanted; with ties, tied rows get arbitrary but
-    distinct positions.
-    """
-    g = _cols(group_cols)
-    w_col = F.col(weight) if weight else F.lit(1).cast("bigint")
-    counts = df.groupBy(*g, BUCKET).agg(F.sum(w_col).alias("_bn"))
-    wb = Window.partitionBy(*g).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*g, BUCKET, F.coalesce(F.sum("_bn").over(wb), F.lit(0).cast("bigint")).alias("_boff"))
-    if not g:
-        # At most 16**digits or MOST_BUCKETS rows: a proven bound.
-        offsets = F.broadcast(offsets)
-    joined = _null_safe_join(df, offsets, [*g, BUCKET])
-    wr = Window.partitionBy(*g, BUCKET).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, -1)
-    inside = F.coalesce(F.sum(w_col).over(wr), F.lit(0).cast("bigint"))
-    rest = [c for c in joined.columns if c != "_boff"]
-    return joined.select(*rest, (F.col("_boff") + inside).alias(out))
-
-
 def ordered_index(
     df: DataFrame,
     order_cols: Sequence,
@@ -205,7 +176,6 @@ def rank_table(
     group_cols: Iterable[str] = (),
     out: str = "rank2",
     weight: str | None = None,
-    rows_per_bucket: int | None = None,
 ) -> DataFrame:
     """Distinct (group, value) with the doubled average rank of the value.
 
@@ -213,14 +183,18 @@ def rank_table(
     strictly smaller value.  Ties are collapsed first, so one value held by a
     third of the rows is a single row here.  Null values are left out; NaN
     ranks above infinity.  ``weight`` counts each row that many times.
+
+    All groups share one order by (group, value), cut into even ranges: the
+    sum before a row less the sum before its group's first row is ``before``,
+    so neither a large group nor many small ones change the work.
     """
     g = _cols(group_cols)
     n = F.sum(weight) if weight else F.count(F.lit(1))
     distinct = df.where(F.col(value).isNotNull()).groupBy(*g, value).agg(n.alias("_tc"))
-    rank = (F.col("_tb") * 2 + F.col("_tc") + 1).cast("bigint").alias(out)
-    if _largest_group(distinct, g) <= (rows_per_bucket or ROWS_PER_BUCKET):
-        below = Window.partitionBy(*g).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-        return distinct.withColumn("_tb", F.coalesce(F.sum("_tc").over(below), F.lit(0))).select(*g, value, rank)
-    distinct = with_value_bucket(distinct, g, value, (), rows_per_bucket)
-    distinct = prefix_before(distinct, [F.col(value)], g, weight="_tc", out="_tb")
-    return distinct.select(*g, value, rank)
+    summed = sums_before(distinct, [*g, value], "_tc", "_tb")
+    if g:
+        firsts = summed.groupBy(*g).agg(F.min("_tb").alias("_first"))
+        summed = _null_safe_join(summed, firsts, g)
+    else:
+        summed = summed.withColumn("_first", F.lit(0))
+    return summed.select(*g, value, ((F.col("_tb") - F.col("_first")) * 2 + F.col("_tc") + 1).cast("bigint").alias(out))
