@@ -623,17 +623,22 @@ SELECT part, count(*) AS n, {r6(pearson_sql('score', 'p'))} AS pearson, {r6(pear
 FILE_LOG = EPOCH_LOG + """,
 fl AS (SELECT run_id, epoch, CASE WHEN run_id % 2 = 0 THEN metric ELSE 'val/' || split_part(metric, '/', 2) || '_epoch' END AS metric, value FROM el),
 ml AS (SELECT run_id, max(epoch) AS last FROM fl GROUP BY run_id),
+odd AS (SELECT min(user_id) AS broken, max(user_id) AS missing FROM events),
 runs AS (SELECT DISTINCT user_id::INTEGER AS run_id FROM events)"""
 ORACLES["runlog_metrics"] = f"""
 WITH {FILE_LOG},
 h AS (SELECT fl.run_id, epoch * 5 AS epoch, row_number() OVER (PARTITION BY fl.run_id, metric ORDER BY epoch) - 1 AS pos, metric, value
-      FROM fl JOIN ml ON fl.run_id = ml.run_id WHERE epoch <= last - 2 AND fl.run_id % 10 NOT IN (3, 7) AND value IS NOT NULL)
+      FROM fl JOIN ml ON fl.run_id = ml.run_id JOIN odd ON fl.run_id NOT IN (broken, missing) WHERE epoch <= last - 2 AND value IS NOT NULL)
 SELECT r.run_id, h.epoch, h.pos, h.metric, {r6('h.value')} AS value FROM runs r LEFT JOIN h ON r.run_id = h.run_id
 """
 ORACLES["runlog_lines"] = f"""
 WITH {FILE_LOG}
-SELECT run_id::INTEGER AS run_id, count(*) AS rows, count(*) - (run_id % 10 = 3)::BIGINT AS parsed_rows, (run_id % 10 = 3)::BIGINT AS bad_rows
-FROM fl WHERE run_id % 10 <> 7 GROUP BY run_id
+SELECT run_id::INTEGER AS run_id, count(*) AS rows, count(*) - (run_id = broken)::BIGINT AS parsed_rows, (run_id = broken)::BIGINT AS bad_rows
+FROM fl JOIN odd ON run_id <> missing GROUP BY run_id, broken
+"""
+ORACLES["metric_log_replay"] = f"""
+WITH {EPOCH_LOG}
+SELECT run_id, epoch, metric, {r6('value')} AS value FROM el
 """
 ORACLES["runlog_results"] = f"""
 WITH {RUN_METRICS_LONG}
@@ -641,7 +646,7 @@ SELECT run_id::INTEGER AS run_id, metric, {r6('value')} AS value FROM rml WHERE
 UNION ALL SELECT DISTINCT user_id::INTEGER, 'extra_metric', 1.5::DOUBLE FROM events
 """
 FILE_CONFIG = RUN_CONFIG + """,
-fc AS (SELECT rc.* FROM rc WHERE run_id IN (SELECT user_id FROM events))"""
+fc AS (SELECT rc.* FROM rc)"""
 ORACLES["runlog_hparams"] = f"""
 WITH {FILE_CONFIG}
 SELECT run_id::INTEGER AS run_id, batch_size, model_name, 1 AS gpus, 0.25::DOUBLE AS warmup_share, 20 AS max_train_epochs,
@@ -651,8 +656,8 @@ FROM fc
 """
 ORACLES["runlog_report"] = f"""
 WITH {FILE_CONFIG}, {RUN_METRICS_WIDE}
-SELECT fc.run_id::INTEGER AS run_id, model_name, batch_size, {', '.join(f"{r6('rm.' + m)} AS {m}" for m in sorted(_METRICS))}, 1.5::DOUBLE AS extra_metric
-FROM fc JOIN rm ON fc.run_id = rm.run_id
+SELECT fc.run_id::INTEGER AS run_id, model_name, batch_size, {', '.join(f"{r6('rm.' + m)} AS {m}" for m in sorted(_METRICS))}, CASE WHEN rm.run_id IS NOT NULL THEN 1.5::DOUBLE END AS extra_metric
+FROM fc LEFT JOIN rm ON fc.run_id = rm.run_id
 """
 
 

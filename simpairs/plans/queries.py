@@ -34,7 +34,8 @@ from ..operators.batching import apply_translation, route_augmentation
 from ..operators.text import pad_batches, score_pairs, score_triplets, token_ids, vocabulary
 from ..operators.fit import FEATURES, grid_fit, pair_features, staged_fit, train_and_report
 from ..session import checkpoint_root, scratch_dir
-from ..sources.runlogs import metrics_long, option, read_hparams, read_metrics, read_report, read_results, run_histories
+from ..sources.runlog_source import append_log, load_runs
+from ..sources.runlogs import metrics_long, option, read_report, run_histories, typed_hparams
 from ..streaming.epochs import run_epoch_metrics
 from ..streaming.levels import RankLevels
 from ..streaming.monitors import PatienceMonitor, replay_in_order, run_available, run_complete_to_table, stream_metrics, stream_rank_metrics
@@ -502,14 +503,20 @@ def _all_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.read(spark, sf_dir, "events").select(F.col("user_id").cast("int").alias("run_id")).distinct()
 
 
+def _odd_runs(spark: SparkSession, sf_dir: str):
+    """The run whose file is broken (smallest id) and the run without a file (largest id)."""
+    ids = fx.read(spark, sf_dir, "events").agg(F.struct(F.min("user_id").alias("broken"), F.max("user_id").alias("missing")).alias("r"))
+    return ids.scalar()
+
+
 def _write_metric_files(spark: SparkSession, sf_dir: str) -> str:
     """The epoch log as one folder of CSV files per run: even runs with
     ``dev/`` columns, odd runs with ``val/`` columns in another order; epochs
-    have gaps; runs ending in 3 have a cell that is no number, runs ending in
-    7 no file."""
+    have gaps; one run has a cell that is no number, one has no file."""
     root = scratch_dir(spark, "run-metrics")
-    log = fx.epoch_log(spark, sf_dir).where(F.col("run_id") % 10 != 7)
-    cell = F.when((F.col("run_id") % 10 == 3) & (F.col("epoch") == 0), F.lit("oops")).otherwise(F.col("value").cast("string"))
+    odd_run = _odd_runs(spark, sf_dir)
+    log = fx.epoch_log(spark, sf_dir).where(F.col("run_id") != odd_run["missing"])
+    cell = F.when((F.col("run_id") == odd_run["broken"]) & (F.col("epoch") == 0), F.lit("oops")).otherwise(F.col("value").cast("string"))
     kind = F.split("metric", "/")[1]
     base = [(F.col("epoch") * 5).alias("epoch"), (F.col("epoch") * 10).alias("step"), _run_folder()]
     columns = lambda form, types: [F.when(kind == t, cell).alias(form.format(t)) for t in types]
@@ -521,16 +528,30 @@ def _write_metric_files(spark: SparkSession, sf_dir: str) -> str:
 
 
 def runlog_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metric files read by their own headers, the last two rows dropped by
-    position, every run kept by a left join (A9, A12, A13, B10-B13)."""
-    metrics = read_metrics(spark, _write_metric_files(spark, sf_dir), "*.csv")
+    """Metric files read by their own headers through the run-log source, the
+    last two rows dropped by position, every run kept by a left join (A9, A12,
+    A13, B10-B13)."""
+    metrics = load_runs(spark, _write_metric_files(spark, sf_dir), "metrics", "*.csv")
     long = metrics_long(_materialize(spark)(metrics))
     return run_histories(_all_runs(spark, sf_dir), long).select("run_id", "epoch", "pos", "metric", rnd("value").alias("value"))
 
 
 def runlog_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per run: lines read, parsed and failed."""
-    return read_report(read_metrics(spark, _write_metric_files(spark, sf_dir), "*.csv")).select("run_id", "rows", "parsed_rows", "bad_rows")
+    metrics = load_runs(spark, _write_metric_files(spark, sf_dir), "metrics", "*.csv")
+    return read_report(metrics).select("run_id", "rows", "parsed_rows", "bad_rows")
+
+
+def metric_log_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The epoch log appended in two writes, the second one replayed, and read
+    back: every row once (A15)."""
+    log = _materialize(spark)(fx.epoch_log(spark, sf_dir).select("run_id", "epoch", "metric", "value"))
+    path = scratch_dir(spark, "metric-log")
+    early = F.col("epoch") < 10
+    append_log(log.where(early), path, "early")
+    for _ in range(2):
+        append_log(log.where(~early), path, "late")
+    return load_runs(spark, path, "log").select("run_id", "epoch", "metric", rnd("value").alias("value"))
 
 
 def _write_results(spark: SparkSession, sf_dir: str) -> str:
@@ -542,14 +563,14 @@ def _write_results(spark: SparkSession, sf_dir: str) -> str:
 
 def runlog_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Result files with any metric names, in long form (A10)."""
-    res = read_results(spark, _write_results(spark, sf_dir), "*.json")
+    res = load_runs(spark, _write_results(spark, sf_dir), "results", "*.json")
     return res.select("run_id", "metric", rnd("value").alias("value"))
 
 
 def _write_hparams(spark: SparkSession, sf_dir: str) -> str:
     """Sparse option files of the runs, with a key that no list knows."""
     root = scratch_dir(spark, "run-hparams")
-    cfg = fx.run_config(spark, sf_dir).withColumn("run_id", F.col("run_id").cast("int")).join(_all_runs(spark, sf_dir), "run_id")
+    cfg = fx.run_config(spark, sf_dir)
     line = lambda key, text: F.when(text.isNotNull(), F.concat(F.lit(f"{key}: "), text))
     names = F.concat(F.lit("["), F.array_join("train_dataset_name", ", "), F.lit("]"))
     text = F.concat_ws("\n", F.lit("lr: 2.0e-05"), line("model_name", F.col("model_name")), line("batch_size", F.col("batch_size").cast("string")),
@@ -561,7 +582,7 @@ def _write_hparams(spark: SparkSession, sf_dir: str) -> str:
 
 def runlog_hparams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Option files with any keys over the defaults."""
-    hp = overlay_options(read_hparams(spark, _write_hparams(spark, sf_dir), "*.txt"), DEFAULT_HPARAMS)
+    hp = overlay_options(typed_hparams(load_runs(spark, _write_hparams(spark, sf_dir), "hparams", "*.txt")), DEFAULT_HPARAMS)
     types = dict(hp.dtypes)
     return hp.select(
         "run_id", "batch_size", "model_name", option("gpus", "int").alias("gpus"), option("warmup_share", "double").alias("warmup_share"),
@@ -574,8 +595,8 @@ def runlog_hparams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def runlog_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Options and results from files; metric names found in the data."""
-    hp = _materialize(spark)(read_hparams(spark, _write_hparams(spark, sf_dir), "*.txt"))
-    res = _materialize(spark)(read_results(spark, _write_results(spark, sf_dir), "*.json"))
+    hp = _materialize(spark)(typed_hparams(load_runs(spark, _write_hparams(spark, sf_dir), "hparams", "*.txt")))
+    res = _materialize(spark)(load_runs(spark, _write_results(spark, sf_dir), "results", "*.json"))
     wide = report(res, hp, ["model_name", "batch_size"])
     return wide.select("run_id", "model_name", "batch_size", *[rnd(m).alias(m) for m in wide.columns[3:]])
 
@@ -583,6 +604,7 @@ def runlog_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES.update({
     "runlog_metrics": runlog_metrics,
     "runlog_lines": runlog_lines,
+    "metric_log_replay": metric_log_replay,
     "runlog_results": runlog_results,
     "runlog_hparams": runlog_hparams,
     "runlog_report": runlog_report,

@@ -111,6 +111,11 @@ def read_hparams(spark: SparkSession, root: str, name: str = "hparams.yaml") ->
     text = spark.read.text(os.path.join(root, "*", name), wholetext=True)
     text = text.select(F.col("_metadata.file_path").alias("path"), "value")
     raw = text.mapInPandas(parse, "run_id INT, options MAP<STRING,STRING>, parse_error STRING")
+    return typed_hparams(raw)
+
+
+def typed_hparams(raw: DataFrame) -> DataFrame:
+    """(run_id, options, parse_error) with the typed columns of ``TYPED_HPARAMS``."""
     return raw.select("run_id", "options", *[option(k, t).alias(k) for k, t in TYPED_HPARAMS.items()], "parse_error")
 
 
