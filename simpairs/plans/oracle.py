@@ -618,6 +618,72 @@ SELECT part, count(*) AS n, {r6(pearson_sql('score', 'p'))} AS pearson, {r6(pear
 """
 
 
+# -- ridge over several features: the normal equations, solved by elimination ---------------
+
+TEXT_FEATURES = f"""tk AS (SELECT pair_id, regexp_extract_all(coalesce(text1, ''), {TOKEN_PAT}) AS t1, regexp_extract_all(coalesce(text2, ''), {TOKEN_PAT}) AS t2
+  FROM tp),
+tf AS (SELECT pair_id,
+  coalesce(len(list_intersect(list_distinct(t1), list_distinct(t2)))::DOUBLE / nullif(len(list_distinct(list_concat(t1, t2))), 0), 1.0::DOUBLE) AS f_overlap,
+  coalesce(least(len(t1), len(t2))::DOUBLE / nullif(greatest(len(t1), len(t2)), 0), 1.0::DOUBLE) AS f_length FROM tk)"""
+ORACLES["pair_text_features"] = f"""
+WITH {text_pairs_sql('tp', 6)}, {TEXT_FEATURES}
+SELECT pair_id, {r6('f_overlap')} AS f_overlap, {r6('f_length')} AS f_length FROM tf
+"""
+
+
+def ridge_sql(name: str, src: str, features: list[str], regs: list[float], prior: str | None = None) -> str:
+    """CTEs ending in ``name``: one row per ridge weight with w0.., b0 (intercept)."""
+    k = len(features)
+    gram = ", ".join(f"covar_pop({features[i]}, {features[j]}) AS g_{i}_{j}" for i in range(k) for j in range(k))
+    cross = ", ".join(f"covar_pop({f}, score) AS c_{i}" for i, f in enumerate(features))
+    means = ", ".join(f"avg({f}) AS m_{i}" for i, f in enumerate(features))
+    start = [f"{prior}.w{i}" if prior else "0" for i in range(k)]
+    cells = ", ".join(f"g_{i}_{j} + {'reg' if i == j else '0'} AS a_{i}_{j}" for i in range(k) for j in range(k))
+    right = ", ".join(f"c_{i} + reg * {start[i]} AS a_{i}_{k}" for i in range(k))
+    keep = "reg, my, " + ", ".join(f"m_{i}" for i in range(k))
+    out = [f"{name}_m AS (SELECT avg(score) AS my, {gram}, {cross}, {means} FROM {src})",
+           f"{name}_r(reg) AS (VALUES {', '.join(f'({r!r}::DOUBLE)' for r in regs)})",
+           f"{name}_0 AS (SELECT {keep}, {cells}, {right} FROM {name}_m, {name}_r{', ' + prior if prior else ''})".replace("reg, my", f"{name}_r.reg, my", 1)
+           .replace(" reg AS", f" {name}_r.reg AS").replace("+ reg *", f"+ {name}_r.reg *")]
+    for p in range(k):
+        rows = ", ".join(f"a_{i}_{j} - a_{i}_{p} * a_{p}_{j} / a_{p}_{p} AS a_{i}_{j}" if i != p else f"a_{p}_{j} / a_{p}_{p} AS a_{p}_{j}"
+                         for i in range(k) for j in range(p + 1, k + 1))
+        out.append(f"{name}_{p + 1} AS (SELECT {keep}, {rows} FROM {name}_{p})")
+    weights = ", ".join(f"a_{i}_{k} AS w{i}" for i in range(k))
+    out.append(f"{name} AS (SELECT reg, {weights}, my - ({' + '.join(f'a_{i}_{k} * m_{i}' for i in range(k))}) AS b0 FROM {name}_{k})")
+    return ",\n".join(out)
+
+
+def ridge_scores_sql(name: str, src: str, features: list[str]) -> str:
+    return f"""pr AS (SELECT reg, part, score, b0 + {' + '.join(f'w{i} * {f}' for i, f in enumerate(features))} AS p FROM {src}, {name} WHERE part IN ('dev', 'test')),
+rk AS (SELECT *, {rank2_sql('score', 'reg, part')}::DOUBLE AS ry, {rank2_sql('p', 'reg, part')}::DOUBLE AS rp FROM pr),
+sc AS (SELECT part, reg AS reg_param, count(*) AS n, {pearson_sql('score', 'p')} AS pearson, {pearson_sql('ry', 'rp')} AS spearman, avg(pow(p - score, 2)) AS mse
+       FROM rk GROUP BY ALL)
+SELECT part, reg_param, n, {r6('pearson')} AS pearson, {r6('spearman')} AS spearman, {r6('mse')} AS mse,
+       reg_param = (SELECT reg_param FROM sc WHERE part = 'dev' ORDER BY pearson DESC NULLS LAST, reg_param LIMIT 1) AS chosen FROM sc"""
+
+
+RIDGES = [0.01, 0.1, 1.0]
+FIVE = [*FEATURES, "f_overlap", "f_length"]
+ORACLES["regressor_features"] = f"""
+WITH {FIT_PARTS}, {text_pairs_sql('tp', 6)}, {TEXT_FEATURES},
+five AS (SELECT parts.*, f_overlap, f_length FROM parts JOIN tf ON tf.pair_id = parts.pair_id),
+tr AS (SELECT * FROM five WHERE part = 'train'),
+{ridge_sql('mo', 'tr', FIVE, RIDGES)},
+{ridge_scores_sql('mo', 'five', FIVE)}
+"""
+ORACLES["staged_features"] = f"""
+WITH {FIT_PARTS},
+noisy0 AS (SELECT a.emb AS u, b.emb AS v, 1.0::DOUBLE - abs(a.label - b.label) / 9.0::DOUBLE AS score
+           FROM e a JOIN e b ON b.vec_id = a.vec_id + 2),
+noisy AS ({features_sql('noisy0')}),
+tr AS (SELECT * FROM parts WHERE part = 'train'),
+{ridge_sql('one', 'noisy', FEATURES, RIDGES[:1])},
+{ridge_sql('mo', 'tr', FEATURES, RIDGES, 'one')},
+{ridge_scores_sql('mo', 'parts', FEATURES)}
+"""
+
+
 # -- run-log files -------------------------------------------------------------------
 
 FILE_LOG = EPOCH_LOG + """,

@@ -33,6 +33,7 @@ from ..functions.hashing import hash_unit
 from ..operators.batching import apply_translation, route_augmentation
 from ..operators.text import pad_batches, score_pairs, score_triplets, token_ids, vocabulary
 from ..operators.fit import FEATURES, grid_fit, pair_features, staged_fit, train_and_report
+from ..operators.regress import PAIR_FEATURES, fit_features, fit_stages, text_features
 from ..session import checkpoint_root, scratch_dir
 from ..sources.runlog_source import append_log, load_runs
 from ..sources.runlogs import metrics_long, option, read_report, run_histories, typed_hparams
@@ -744,17 +745,52 @@ def regressor_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fit_columns(train_and_report(parts), "part", "feature")
 
 
-def staged_fit_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stage 1 on a large noisy set (vector k with k + 2), stage 2 on what it
-    leaves over on the clean train part (I2)."""
+def _noisy_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score and features of vectors k and k + 2."""
     e = fx.read(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
     a = e.select("vec_id", as_double_array("embedding").alias("u"), F.col("label").alias("la"))
     b = e.select((F.col("vec_id") - 2).alias("vec_id"), as_double_array("embedding").alias("v"), F.col("label").alias("lb"))
     noisy = pair_features(a.join(b, "vec_id").select("u", "v", "la", "lb")).withColumn(
         "score", F.lit(1.0) - F.abs(F.col("la") - F.col("lb")) / F.lit(9.0))
+    return noisy.select("score", *FEATURES)
+
+
+def staged_fit_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stage 1 on a large noisy set (vector k with k + 2), stage 2 on what it
+    leaves over on the clean train part (I2)."""
+    parts = _materialize(spark)(_scored_parts(spark, sf_dir))
+    return _fit_columns(staged_fit(_noisy_pairs(spark, sf_dir), parts), "part")
+
+
+def pair_text_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token overlap and length ratio of the whole texts of every pair."""
+    d = text_features(fx.text_pairs(spark, sf_dir, 6).select("pair_id", "text1", "text2"))
+    return d.select("pair_id", rnd("f_overlap").alias("f_overlap"), rnd("f_length").alias("f_length"))
+
+
+def _parts_with_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The split pairs with all five features: vectors k and k + 1, documents k and k + 1."""
+    texts = text_features(fx.text_pairs(spark, sf_dir, 6).select("pair_id", "text1", "text2")).select("pair_id", "f_overlap", "f_length")
+    return _scored_parts(spark, sf_dir).join(texts, "pair_id")
+
+
+def regressor_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ridge over cosine, distance, angle, token overlap and length ratio for
+    every ridge weight, chosen on dev, reported on dev and test (I1, I4)."""
+    rows, _ = fit_features(_materialize(spark)(_parts_with_texts(spark, sf_dir)), PAIR_FEATURES, RIDGES)
+    return rows.select("part", "reg_param", "n", *[rnd(c).alias(c) for c in ("pearson", "spearman", "mse")], "chosen")
+
+
+def staged_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stage 1 over three features on noisy pairs (vectors k and k + 2); stage 2
+    on the clean train part with stage 1's weights as its prior (I2)."""
     parts = _materialize(spark)(_scored_parts(spark, sf_dir))
-    return _fit_columns(staged_fit(noisy.select("score", *FEATURES), parts), "part")
+    rows, _ = fit_stages(_noisy_pairs(spark, sf_dir), parts, FEATURES, RIDGES[0], RIDGES)
+    return rows.select("part", "reg_param", "n", *[rnd(c).alias(c) for c in ("pearson", "spearman", "mse")], "chosen")
+
 
+# The ridge weights of the fits over several features.
+RIDGES = [0.01, 0.1, 1.0]
 
 # -- J1 J2 ---------------------------------------------------------------------------
 
@@ -833,6 +869,9 @@ def grid_fit_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES.update({
     "grid_fit": grid_fit_q,
+    "pair_text_features": pair_text_features,
+    "regressor_features": regressor_features,
+    "staged_features": staged_features,
     "regressor_eval": regressor_eval,
     "staged_fit": staged_fit_q,
     "stream_metrics": stream_metrics_q,
