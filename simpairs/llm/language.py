@@ -4,16 +4,23 @@ A word that the model knows adds its log frequency in each language.  An
 unseen word is covered by its longest known character n-grams, from five
 letters down to one, starting at every position; their log frequencies are
 averaged, so a word weighs as one word either way.
+
+Words are cut and lower-cased by one rule (``words_of``) in training and in
+scoring.  Every language keeps its own most frequent words and n-grams, so a
+small language loses nothing to large ones, and the model holds only the
+entries that a language has: its size follows the number of languages.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_unit
@@ -22,9 +29,10 @@ from .common import crc_fold, staged, text_slices
 
 #: Bound of the fit: labelled rows read per language (fewer rows: all).
 SAMPLE_ROWS = 3_000
-#: Bounds of the model that is broadcast: entries kept, most frequent first.
-MODEL_WORDS = 100_000
-MODEL_GRAMS = 100_000
+#: Bounds of the model that is broadcast: entries kept per language, most
+#: frequent first.
+MODEL_WORDS = 50_000
+MODEL_GRAMS = 50_000
 LONGEST = 5
 SMOOTH = 0.5
 CHUNK_MEMORY = 300_000
@@ -34,56 +42,98 @@ EDGE = "\x02"  # stands for a word's start and end; no letter
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
+def words_of(text: str) -> list[str]:
+    return _LETTERS.findall(text.lower())
+
+
 @dataclass
 class LanguageModel:
-    """Languages, feature numbers of words and n-grams, log frequencies."""
+    """Languages, numbers of words and n-grams, and what an entry adds to the
+    log frequency that its language gives to anything unseen."""
 
     languages: list[str]
     words: dict[str, int]
     grams: dict[str, int]
-    logs: np.ndarray
+    start: np.ndarray      # entries of number i: start[i] to start[i + 1]
+    language: np.ndarray   # of each entry
+    gain: np.ndarray       # of each entry
+    unseen: np.ndarray     # log frequency of an unseen word, of an unseen n-gram, per language
 
 
-def _log_table(rows: list, languages: list[str], base: int) -> tuple[dict[str, int], np.ndarray]:
+def _entries(rows: list, at: dict[str, int], base: int) -> tuple[dict[str, int], list[tuple[int, int, float]], np.ndarray]:
+    """Numbers of the keys, their entries, and each language's log frequency of
+    an unseen key."""
     number: dict[str, int] = {}
-    for r in rows:
-        number.setdefault(r[0], base + len(number))
-    counts = np.zeros((len(number), len(languages)))
-    at = {x: i for i, x in enumerate(languages)}
-    for text, lang, n in rows:
-        counts[number[text] - base, at[lang]] += n
-    total = counts.sum(axis=0) + SMOOTH * max(1, len(number))
-    return number, np.log((counts + SMOOTH) / total)
-
-
-def _top(counted: DataFrame, key: str, most: int) -> list:
-    """(key, lang, n) of the ``most`` keys with the highest total count."""
-    totals = counted.groupBy(key).agg(F.sum("n").alias("all")).orderBy(F.desc("all"), key).limit(most)
-    return counted.join(totals, key).select(key, "lang", "n").orderBy(key, "lang").collect()
+    for key, _, _ in rows:
+        number.setdefault(key, base + len(number))
+    total = np.full(len(at), SMOOTH * max(1, len(number)))
+    for _, lang, n in rows:
+        total[at[lang]] += n
+    found = [(number[key], at[lang], float(np.log(n + SMOOTH) - np.log(SMOOTH))) for key, lang, n in rows]
+    return number, found, np.log(SMOOTH) - np.log(total)
+
+
+def _top(counted: DataFrame, key: str, most: int) -> list[tuple[str, str, int]]:
+    """(key, lang, n) of every language's ``most`` most frequent keys: at most
+    that many rows a language reach the driver."""
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), key))
+    rows = counted.withColumn("place", place).where(F.col("place") <= most).select(key, "lang", "n").toArrow().to_pydict()
+    return sorted(zip(rows[key], rows["lang"], rows["n"]))
+
+
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, text) rows to counts of words, combined per batch."""
+    for batch in batches:
+        held: dict[str, Counter] = {}
+        for lang, text in zip(*[c.to_pylist() for c in batch.columns]):
+            held.setdefault(lang, Counter()).update(words_of(text))
+        yield _counts(held, "word")
+
+
+def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, word, n) rows to counts of n-grams.  One pass over the letters
+    for each length, so the work follows the length of a word."""
+    for batch in batches:
+        held: dict[str, Counter] = {}
+        for lang, word, n in zip(*[c.to_pylist() for c in batch.columns]):
+            counts, text = held.setdefault(lang, Counter()), EDGE + word + EDGE
+            for size in range(1, LONGEST + 1):
+                for i in range(len(text) - size + 1):
+                    counts[text[i:i + size]] += n
+            if sum(map(len, held.values())) > CHUNK_MEMORY:
+                yield _counts(held, "gram")
+                held = {}
+        yield _counts(held, "gram")
+
+
+def _counts(held: dict[str, Counter], key: str) -> pa.RecordBatch:
+    rows = [(lang, k, n) for lang, counts in held.items() for k, n in counts.items()]
+    columns = zip(*rows) if rows else ((), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64()))], ["lang", key, "n"])
 
 
 def fit_languages(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id",
                   sample_rows: int = SAMPLE_ROWS) -> LanguageModel:
     """Counts over at most about ``sample_rows`` labelled rows of each language,
     drawn by a hash of the id.  Rows without language or text are left out."""
+    ship_package(docs.sparkSession)
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     per = rows.groupBy(F.col(lang_col).alias("__l")).agg(F.count(F.lit(1)).alias("n")).collect()
     if not per:
-        return LanguageModel([], {}, {}, np.zeros((0, 0)))
+        return LanguageModel([], {}, {}, np.zeros(1, int), np.zeros(0, int), np.zeros(0), np.zeros((2, 0)))
     rate = F.create_map(*[F.lit(x) for r in per for x in (r[0], min(1.0, sample_rows / r[1]))])
     drawn = rows.where(hash_unit(F.lit("language"), F.col(id_col)) < rate[F.col(lang_col)])
-    words = drawn.select(F.col(lang_col).alias("lang"), F.explode(F.regexp_extract_all(F.lower(text_col), F.lit(r"(\p{L}+)"))).alias("word"))
-    words = staged(words.groupBy("word", "lang").agg(F.count(F.lit(1)).alias("n")), "language-words")
-    edged = F.concat(F.lit(EDGE), F.col("word"), F.lit(EDGE))
-    spans = F.flatten(F.array(*[
-        F.when(F.length("word") + 2 >= n, F.transform(F.sequence(F.lit(1), F.length("word") + (3 - n)), lambda i, n=n: F.substring(edged, i, F.lit(n))))
-        .otherwise(F.array().cast("array<string>")) for n in range(1, LONGEST + 1)]))
-    grams = words.select("lang", "n", F.explode(spans).alias("gram")).groupBy("gram", "lang").agg(F.sum("n").alias("n"))
+    words = drawn.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(_count_words, "lang string, word string, n long")
+    words = staged(words.groupBy("word", "lang").agg(F.sum("n").alias("n")), "language-words")
+    grams = words.select("lang", "word", "n").mapInArrow(_count_grams, "lang string, gram string, n long")
+    grams = grams.groupBy("gram", "lang").agg(F.sum("n").alias("n"))
     languages = sorted(r[0] for r in per)
-    known = words.groupBy("word").agg(F.sum("n").alias("all")).where("all > 1").select("word")
-    w, w_log = _log_table(_top(words.join(known, "word", "left_semi"), "word", MODEL_WORDS), languages, 0)
-    g, g_log = _log_table(_top(grams, "gram", MODEL_GRAMS), languages, len(w))
-    return LanguageModel(languages, w, g, np.vstack([w_log, g_log]))
+    at = {x: i for i, x in enumerate(languages)}
+    w, w_found, w_unseen = _entries(_top(words, "word", MODEL_WORDS), at, 0)
+    g, g_found, g_unseen = _entries(_top(grams, "gram", MODEL_GRAMS), at, len(w))
+    found = sorted(w_found + g_found)
+    start = np.searchsorted([f[0] for f in found], np.arange(len(w) + len(g) + 1))
+    return LanguageModel(languages, w, g, start, np.array([f[1] for f in found], int), np.array([f[2] for f in found], float), np.array([w_unseen, g_unseen]))
 
 
 class LanguageScorer:
@@ -99,7 +149,7 @@ class LanguageScorer:
 
     def features(self, chunk: str) -> list[tuple[int, float]]:
         found = []
-        for word in _LETTERS.findall(chunk.lower()):
+        for word in words_of(chunk):
             if (w := self.model.words.get(word)) is not None:
                 found.append((w, 1.0))
                 continue
@@ -113,7 +163,7 @@ class LanguageScorer:
         return found
 
     def learn(self, chunks: list[str]) -> None:
-        first = len(self.row)
+        first, model = len(self.row), self.model
         owner, number, weight = [], [], []
         for k, chunk in enumerate(chunks):
             self.row[chunk] = first + k
@@ -121,11 +171,17 @@ class LanguageScorer:
                 owner.append(k)
                 number.append(f)
                 weight.append(w)
-        fresh = np.zeros((len(chunks), self.scores.shape[1]))
+        size = len(model.languages)
+        fresh = np.zeros((len(chunks), size))
         if owner:
-            terms = self.model.logs[number] * np.array(weight)[:, None]
-            for c in range(fresh.shape[1]):
-                fresh[:, c] = np.bincount(owner, terms[:, c], len(chunks))
+            at, feature, share = np.array(owner), np.array(number), np.array(weight)
+            for kind, mine in enumerate((feature < len(model.words), feature >= len(model.words))):
+                fresh += np.bincount(at[mine], share[mine], len(chunks))[:, None] * model.unseen[kind]
+            # Every feature's entries, one after the other.
+            count = model.start[feature + 1] - model.start[feature]
+            entry = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(model.start[feature], count)
+            cell = np.repeat(at, count) * size + model.language[entry]
+            fresh += np.bincount(cell, model.gain[entry] * np.repeat(share, count), len(chunks) * size).reshape(fresh.shape)
         self.scores = np.vstack([self.scores, fresh])
 
     def predict(self, texts: list) -> tuple[list[str], list[float]]:
@@ -153,8 +209,8 @@ class LanguageScorer:
 
 
 def language_column(docs: DataFrame, model: LanguageModel, text: Column) -> Column:
-    """struct(lang_pred, score) of a text column.  The model is broadcast; its
-    size is bounded by MODEL_WORDS and MODEL_GRAMS."""
+    """struct(lang_pred, score) of a text column.  The model is broadcast: at
+    most MODEL_WORDS + MODEL_GRAMS entries a language."""
     ship_package(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     held: dict = {}
