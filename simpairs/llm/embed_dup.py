@@ -142,8 +142,10 @@ def embedding_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str
     fine = v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) \
         & F.exists(v, lambda x: x != 0)
     rows = vectors.select(F.col(id_col).alias("id"), F.when(F.coalesce(fine, F.lit(False)), v).alias("v"))
-    groups = rows.where("v is not null").groupBy("v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("size"))
-    groups = staged(groups.select("rep", "size", "v", F.xxhash64("v").alias("h"), F.hash("v").alias("h2")), "embed-groups")
+    groups = rows.where("v is not null").groupBy("v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("size"))
+    # A class of equal vectors is named by 128 bits of its vector, not by an id that other vectors may share.
+    name = F.concat(F.hex(F.xxhash64("v")), F.lit("-"), F.hex(F.xxhash64(F.lit("second"), "v")))
+    groups = staged(groups.select(name.alias("rep"), "id", "size", "v", F.xxhash64("v").alias("h"), F.hash("v").alias("h2")), "embed-groups")
     n, width = groups.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
     width = width or 1
     rate = min(1.0, SAMPLE / n) if n else 1.0
@@ -153,8 +155,6 @@ def embedding_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str
     tree = splitting_tree(units @ axes, -(-(n or 1) // tile))
     shared = spark.sparkContext.broadcast((axes, tree, width))
     lead = min(LEAD, width)
-    id_type = rows.schema["id"].dataType.simpleString()
-
     def place(batches):
         axes, tree, width = shared.value
         for t in batches:
@@ -163,7 +163,7 @@ def embedding_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str
                 [*t.columns, pa.array(leaf_of(z, tree)), pa.array(list(z[:, :lead]), pa.list_(pa.float64()))],
                 names=[*t.schema.names, "leaf", "lead"])
 
-    placed = groups.mapInArrow(place, f"rep {id_type}, size long, v array<double>, h long, h2 int, leaf long, lead array<double>")
+    placed = groups.drop("id").mapInArrow(place, "rep string, size long, v array<double>, h long, h2 int, leaf long, lead array<double>")
     # A leaf that its cuts could not part (equal leading dimensions) is parted by hash.
     leaves = placed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / F.lit(2.0 * tile)).alias("parts"))
     placed = staged(placed.join(leaves, "leaf").withColumn("tile", F.xxhash64("leaf", F.pmod("h2", F.col("parts")))), "embed-placed")
@@ -210,12 +210,14 @@ def embedding_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str
         reps = group.column("rep").take(pa.array(order))
         return pa.table({"rep": reps.take(pa.array(hit)), "links": pa.array(links[hit]), "peer": reps.take(pa.array(root[hit]))})
 
-    found = staged(work.groupBy("pair").applyInArrow(compare, f"rep {id_type}, links long, peer {id_type}"), "embed-links")
+    found = staged(work.groupBy("pair").applyInArrow(compare, "rep string, links long, peer string"), "embed-links")
     component = connected_components(found.select(F.col("rep").alias("a"), F.col("peer").alias("b")))
     counted = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    known = groups.select("rep", "size", "v").join(counted, "rep", "left") \
-        .join(component.select(F.col("node").alias("rep"), "component"), "rep", "left") \
-        .select("v", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    joined = staged(groups.select("rep", "id").join(component.select(F.col("node").alias("rep"), "component"), "rep"), "embed-joined")
+    least = joined.groupBy("component").agg(F.min("id").alias("least"))
+    known = groups.select("rep", "id", "size", "v").join(counted, "rep", "left") \
+        .join(joined.join(least, "component").select("rep", "least"), "rep", "left") \
+        .select("v", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("least", "id").alias("component_id"))
     out = rows.join(known, "v", "left")
     of = F.when(F.col("v").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),

@@ -115,9 +115,18 @@ def _signed(x) -> np.ndarray:
     return np.asarray(x, np.uint64).view(np.int64)
 
 
+def set_keys(sets: list[np.ndarray]) -> list[bytes]:
+    """A 128-bit digest of every set: the name of its class, whoever holds it."""
+    out = np.zeros((len(sets), 2), np.uint64)
+    for k, s in enumerate(sets):
+        if len(s):
+            out[k] = s.sum(dtype=np.uint64) + np.uint64(len(s)) * _PLACES[0], mix(s).sum(dtype=np.uint64)
+    return [row.tobytes() for row in out]
+
+
 def sketches(docs: DataFrame, words: int) -> DataFrame:
-    """(id, n, d1, d2, sketch) per row of (id, text): set size, a 128-bit
-    digest of the set, and its registers as bytes."""
+    """(id, n, rep, sketch) per row of (id, text): set size, the set's key, and
+    its registers as bytes."""
     id_type = docs.schema["id"].dataType.simpleString()
 
     def run(batches):
@@ -125,33 +134,29 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
             texts, keys = batch.column(1).to_pylist(), batch.column(0)
             for start, stop in text_slices(texts, SLICE_CHARS):
                 sets = shingle_sets(texts[start:stop], words)
-                d1 = [int(s.sum(dtype=np.uint64)) if len(s) else 0 for s in sets]
-                d2 = [int(mix(s).sum(dtype=np.uint64)) if len(s) else 0 for s in sets]
                 sig = registers(sets)
                 yield pa.RecordBatch.from_arrays([
                     keys.slice(start, stop - start), pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array(_signed(d1)), pa.array(_signed(d2)), pa.array([row.tobytes() for row in sig], pa.binary()),
-                ], names=["id", "n", "d1", "d2", "sketch"])
+                    pa.array(set_keys(sets), pa.binary()), pa.array([row.tobytes() for row in sig], pa.binary()),
+                ], names=["id", "n", "rep", "sketch"])
 
-    return docs.mapInArrow(run, f"id {id_type}, n long, d1 long, d2 long, sketch binary")
+    return docs.mapInArrow(run, f"id {id_type}, n long, rep binary, sketch binary")
 
 
 def full_sets(docs: DataFrame, words: int) -> DataFrame:
-    """(id, shingles) per row of (id, text)."""
-    id_type = docs.schema["id"].dataType.simpleString()
-
+    """(id, shingles) per row of (text); the id is the set's key."""
     def run(batches):
         for batch in batches:
-            texts, keys = batch.column(1).to_pylist(), batch.column(0)
+            texts = batch.column(0).to_pylist()
             for start, stop in text_slices(texts, SLICE_CHARS):
                 sets = shingle_sets(texts[start:stop], words)
                 ends = np.cumsum([0] + [len(s) for s in sets]).astype(np.int32)
                 flat = _signed(np.concatenate(sets)) if sets else np.empty(0, np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [keys.slice(start, stop - start), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
+                    [pa.array(set_keys(sets), pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
                     names=["id", "shingles"])
 
-    return docs.mapInArrow(run, f"id {id_type}, shingles array<long>")
+    return docs.select("text").mapInArrow(run, "id binary, shingles array<long>")
 
 
 def _log_p(x: np.ndarray) -> np.ndarray:
@@ -237,16 +242,22 @@ def _rare_groups(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
 
 
 def near_components(reps: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """(node, component) of the set representatives with a link, from every
-    pair at or above ``percent`` that the bands bring together.  Links inside
-    a component are not looked for once it is one."""
+    """(node, component) of the classes with a link, from every pair at or above
+    ``percent`` that the bands bring together.  Links inside a component are
+    not looked for once it is one.
+
+    ``reps`` holds a class per row: its key ``rep``, the ``id`` of one of its
+    rows, size and registers.  That id finds its text again; where an id stands
+    for several texts, the key tells which one is meant."""
     near = percent / 100.0
     ring = max(0.0, 2 * near - 1)  # farther from the pivot than this: no link to what is near it
     band = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band")
     members = reps.select("rep", "sketch", band).select(_band_key(F.col("band")).alias("gid"), "rep")
     members = staged(_grouped(members), "near-members")
-    wanted = members.select(F.col("rep").alias("id")).distinct()
-    sets = staged(full_sets(texts.join(wanted, "id", "left_semi"), words).dropDuplicates(["id"]), "near-sets")
+    wanted = staged(reps.select("rep", "id").join(members.select("rep").distinct(), "rep", "left_semi"), "near-wanted")
+    held = wanted.select(F.col("id").alias("of")).distinct()
+    sets = full_sets(texts.join(held, texts["id"].eqNullSafe(held["of"]), "left_semi"), words)
+    sets = staged(sets.join(wanted.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"]), "near-sets")
     linked = F.col("shared") * 100 >= F.col("either") * percent
     low = ring / 2
     links, found = [], None  # found: (node, component) by the first links
@@ -387,21 +398,25 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     ``component_id`` is the smallest id reachable.
 
     Null, empty and blank texts have empty sets and are linked with nothing,
-    not even with each other.  Equal sets are one representative before any
-    comparison, so a group of copies costs one row.  Rows with a null id are
-    judged by the ids of equal sets, or stand alone with a null component.
-    Rows that repeat an id are judged by their own texts.  An empty table
+    not even with each other.  Equal sets are one class before any comparison,
+    so a group of copies costs one row; classes are named by a digest of their
+    set, so rows that repeat an id are judged by their own texts and rows with
+    a null id take part.  A component without any id is null.  An empty table
     gives an empty result; other columns are not read.
     """
     ship_package(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows = staged(sketches(texts, words), "near-sketches")
-    key = ["n", "d1", "d2"]
-    classes = rows.where("n > 0").groupBy(*key).agg(F.min("id").alias("rep"), F.first("sketch").alias("sketch"))
-    classes = staged(classes.where("rep is not null"), "near-classes")
-    found = near_components(classes, texts.where("id is not null"), words, percent).select(F.col("node").alias("rep"), "component")
-    named = classes.select(*key, "rep").join(found, "rep", "left").select(*key, F.coalesce("component", "rep").alias("component_id"))
-    out = rows.select("id", *key).join(named, key, "left")
-    component = F.coalesce("component_id", "id")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"),
-                      F.col("id").eqNullSafe(component).alias("kept"))
+    classes = rows.where("n > 0").groupBy("rep").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    classes = staged(classes, "near-classes")
+    found = staged(near_components(classes, texts, words, percent).select(F.col("node").alias("rep"), "component"), "near-found")
+    linked = classes.select("rep", "id").join(found, "rep")
+    smallest = linked.groupBy("component").agg(F.min("id").alias("least"))
+    named = linked.join(smallest, "component").select("rep", F.col("least").alias("component_id"))
+    named = classes.select("rep", "id").join(named, "rep", "left").select(
+        "rep", F.when(F.col("component_id").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+    # Rows without words are their own.
+    own = rows.where("n = 0").select("id", "n", F.col("id").alias("component_id"))
+    out = rows.where("n > 0").select("id", "n", "rep").join(named, "rep", "left").select("id", "n", "component_id").unionByName(own)
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id",
+                      F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))

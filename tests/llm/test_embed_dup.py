@@ -51,3 +51,15 @@ def test_tree_leaves_are_balanced():
     z = np.random.default_rng(1).normal(size=(4000, 10))
     sizes = np.bincount(leaf_of(z, splitting_tree(z, 13)), minlength=16)
     assert len(sizes) == 16 and sizes.min() > 200
+
+
+@pytest.mark.parametrize("order", [1, -1])
+def test_repeated_and_null_ids_count_by_their_own_vectors(spark, order):
+    """(5, v1), (5, v2), (7, near v1), (null, v3), (8, near v3): links by rows."""
+    rnd = np.random.default_rng(6)
+    v1, v2, v3 = (rnd.normal(size=24) for _ in range(3))
+    near = lambda v: (v + rnd.normal(size=24) * 0.05).tolist()
+    rows = [(5, v1.tolist()), (5, v2.tolist()), (7, near(v1)), (None, v3.tolist()), (8, near(v3)), (None, rnd.normal(size=24).tolist())][::order]
+    got = embedding_duplicates(frame(spark, rows).coalesce(1)).collect()
+    assert sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in got), key=repr) == sorted(
+        [(5, 1, 5, True), (5, 0, 5, True), (7, 1, 5, False), (None, 1, 8, False), (8, 1, 8, True), (None, 0, None, True)], key=repr)

@@ -149,3 +149,38 @@ def test_registers_merge_and_estimate():
     na, nb = np.array([float(len(sa))]), np.array([float(len(sb))])
     assert not clearly_below(ra[None], rb[None], na, nb, true)[0]
     assert clearly_below(ra[None], rb[None], na, nb, 0.97)[0]
+
+
+def brute_rows(rows, k):
+    """(n, component, kept) of every row, links by rows, ids only as names."""
+    sets, root = sets_of(rows, k), list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                root[find(a)] = find(b)
+    least = {}
+    for i, (doc, _) in enumerate(rows):
+        if doc is not None:
+            least[find(i)] = min(doc, least.get(find(i), doc))
+    return sorted(((doc, len(sets[i]), least.get(find(i)), doc == least.get(find(i))) for i, (doc, _) in enumerate(rows)), key=repr)
+
+
+def probe_rows():
+    rnd = random.Random(11)
+    a, b = ([f"w{rnd.randint(0, 999)}" for _ in range(80)] for _ in range(2))
+    near = lambda words, at: " ".join(words[:at] + ["x"] + words[at + 1:])
+    return [(5, " ".join(a)), (5, " ".join(b)), (7, near(a, 40)), (9, near(b, 30)), (None, near(b, 50)), (None, "alone in the world today"),
+            (11, "alone in the world"), (None, None), (11, near(a, 20))]
+
+
+@pytest.mark.parametrize("order", [0, 1])
+def test_repeated_and_null_ids_are_judged_by_their_own_texts(spark, order):
+    rows = probe_rows()[::-1] if order else probe_rows()
+    got = near_duplicates(docs_of(spark, rows).coalesce(1), 4).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got), key=repr) == brute_rows(rows, 4)
