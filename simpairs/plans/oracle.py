@@ -774,3 +774,32 @@ b AS (SELECT batch_id, count(*) AS n, avg(greatest(0.0::DOUBLE, d_ap - d_an + 1.
 SELECT batch_id, n, {r6('loss')} AS loss, {r6('accuracy')} AS accuracy FROM b
 UNION ALL SELECT NULL, count(*), {r6('avg(loss)')}, {r6('avg(accuracy)')} FROM b
 """
+
+
+# -- queries of operators that had unit tests only --------------------------------------
+
+ORACLES["categorical_loss"] = f"""
+WITH x AS (SELECT l_orderkey, l_extendedprice::DOUBLE / 10000.0::DOUBLE AS z, l_quantity::DOUBLE / 50.0::DOUBLE AS t FROM lineitem),
+m AS (SELECT l_orderkey, max(z) AS m FROM x GROUP BY l_orderkey),
+s AS (SELECT x.l_orderkey, any_value(m) + ln(sum(exp(z - m))) AS lse FROM x JOIN m ON x.l_orderkey = m.l_orderkey GROUP BY x.l_orderkey)
+SELECT x.l_orderkey, {r6('-sum(t * (z - lse))')} AS ce FROM x JOIN s ON x.l_orderkey = s.l_orderkey GROUP BY x.l_orderkey
+"""
+ORACLES["loss_by_name"] = f"""
+WITH {VEC_PAIRS}
+SELECT 'MSE' AS name, batch_id, {r6(f"avg(pow({cos_sql('u', 'v')} - score, 2))")} AS loss FROM vec_pairs GROUP BY batch_id
+UNION ALL SELECT 'AnglE', batch_id, loss FROM ({ORACLES['combined_loss']})
+"""
+ORACLES["results_roundtrip"] = f"""
+WITH {RUN_METRICS_WIDE}
+SELECT run_id, {', '.join(f"{r6(m)} AS {m}" for m in _METRICS)} FROM rm
+"""
+ORACLES["catalog_train_dev"] = f"""
+WITH {text_pairs_sql('ro', 6)}, {TURN_PAIRS}
+SELECT 'train' AS part, 'ro-sts' AS dataset, pair_id, {r6('score / 5.0::DOUBLE')} AS score, text1, text2 FROM ro WHERE {unit_sql("'split'", 'pair_id')} < 0.7
+UNION ALL SELECT 'dev', 'paraphrase-ro', pair_id, NULL::DOUBLE, text1, text2 FROM turn_pairs WHERE {unit_sql("'split'", 'pair_id')} >= 0.8
+"""
+ORACLES["encode_custom"] = f"""
+WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {TOKEN_PAT}) AS k, length(coalesce(text, '')) AS c FROM documents),
+v AS (SELECT doc_id, [len(k)::DOUBLE, len(list_distinct(k))::DOUBLE, c::DOUBLE] AS v FROM t)
+SELECT a.doc_id AS pair_id, {r6(cos_sql('a.v', 'b.v'))} AS cos FROM v a JOIN v b ON b.doc_id = a.doc_id + 1
+"""

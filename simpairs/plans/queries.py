@@ -15,8 +15,8 @@ from ..functions.numeric import rnd
 from ..functions.vectors import as_double_array, cosine, l2_normalize, pairwise_distance
 from ..functions.pooling import linear_readout, mean_pool_tokens, readout_weights
 from ..operators.losses import (
-    angle_loss, combined_loss, cosent_loss, in_batch_loss, in_batch_rows,
-    pair_loss_per_batch, triplet_per_batch, triplet_terms,
+    angle_loss, categorical_crossentropy, combined_loss, cosent_loss, in_batch_loss, in_batch_rows,
+    pair_loss_per_batch, select_loss, triplet_per_batch, triplet_terms,
 )
 from ..operators.batching import prepare_batches, sequential_batches, shuffled_batches
 from ..operators.metrics import batch_accuracy, correlations, epoch_metrics, mean_batch_loss
@@ -31,7 +31,7 @@ from ..operators.runlog import (
 from ..functions.numeric import fixed4
 from ..functions.hashing import hash_unit
 from ..operators.batching import apply_translation, route_augmentation
-from ..operators.text import pad_batches, score_pairs, score_triplets, token_ids, vocabulary
+from ..operators.text import pad_batches, score_pairs, score_triplets, token_ids, tokens, vocabulary
 from ..operators.fit import FEATURES, grid_fit, pair_features, staged_fit, train_and_report
 from ..operators.regress import PAIR_FEATURES, fit_features, fit_stages, text_features
 from ..session import checkpoint_root, scratch_dir
@@ -43,7 +43,7 @@ from ..streaming.monitors import PatienceMonitor, replay_in_order, run_available
 from ..sources.pairs import split_counts as count_splits
 from ..sources.pairs import (
     Catalog, DatasetSpec, compute_once, normalise_scores, read_header_csv, read_scored_tsv, read_unscored_tsv,
-    to_instances, with_positions, write_header_csv, write_scored_tsv, write_unscored_tsv,
+    to_instances, with_positions, write_header_csv, write_results, write_scored_tsv, write_unscored_tsv,
 )
 
 R = 6  # digits kept on every double output
@@ -880,3 +880,57 @@ QUERIES.update({
     "stream_epochs": stream_epochs,
     "stream_stop": stream_stop,
 })
+
+
+# -- D13, K3, A14, A18, K2 ------------------------------------------------------------
+
+def categorical_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Categorical cross-entropy per row: an order's lines are the columns,
+    with soft targets (D13)."""
+    li = fx.read(spark, sf_dir, "lineitem").select(
+        "l_orderkey", (F.col("l_extendedprice") / F.lit(10000.0)).cast("double").alias("logit"), (F.col("l_quantity") / F.lit(50.0)).cast("double").alias("target"))
+    return categorical_crossentropy(li, ["l_orderkey"]).select("l_orderkey", rnd("ce").alias("ce"))
+
+
+def loss_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both losses that can be chosen by name, on the same rows (K3)."""
+    p = fx.vec_pairs(spark, sf_dir)
+    each = [select_loss(name)(p).select(F.lit(name).alias("name"), "batch_id", rnd("loss").alias("loss")) for name in ("MSE", "AnglE")]
+    return each[0].unionByName(each[1])
+
+
+def results_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results of every run written as JSON objects and read back."""
+    rows = fx.run_metrics(spark, sf_dir)
+    path = scratch_dir(spark, "results")
+    write_results(rows, path)
+    return spark.read.schema(rows.schema).json(path).select("run_id", *[rnd(m).alias(m) for m in RESULT_METRICS])
+
+
+def catalog_train_dev(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Train and dev without a test part, dev from a set without scores."""
+    parts = stand_in_catalog(sf_dir).load_parts(spark, "ro-sts", "paraphrase-ro")
+    return parts.select("part", "dataset", "pair_id", rnd("score").alias("score"), "text1", "text2")
+
+
+def token_profile(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """An encoder of the caller's own: tokens, distinct tokens, characters."""
+    found = tokens(text_col)
+    parts = [F.size(found), F.size(F.array_distinct(found)), F.length(F.coalesce(text_col, F.lit("")))]
+    return docs.select(id_col, F.array(*[x.cast("double") for x in parts]).alias("vec"))
+
+
+def encode_custom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of documents scored with an encoder given by the caller (K2)."""
+    docs = fx.read(spark, sf_dir, "documents").select("doc_id", "text")
+    pairs = fx.text_pairs(spark, sf_dir, 6).select("pair_id", F.col("pair_id").alias("doc_a"), (F.col("pair_id") + 1).alias("doc_b"))
+    return score_pairs(docs, pairs, "doc_id", "text", "doc_a", "doc_b", encoder=token_profile).select("pair_id", rnd("cos").alias("cos"))
+
+
+QUERIES.update({
+    "categorical_loss": categorical_loss,
+    "loss_by_name": loss_by_name,
+    "results_roundtrip": results_roundtrip,
+    "catalog_train_dev": catalog_train_dev,
+    "encode_custom": encode_custom,
+})
