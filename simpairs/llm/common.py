@@ -8,13 +8,14 @@ written table instead of recomputing the steps before it.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_root
+
 # The word rule of the contracts (everything but ASCII space and
 # the control characters 0x09-0x0D) and the letters that A-Z lower-casing maps.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -22,24 +23,10 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The shared scratch folder.  Unset on a local master (tests): a private
-    temporary folder, registered once.  Unset on a cluster: an error, because
-    executors could not read each other's files."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    root = tempfile.mkdtemp(prefix="simpairs-llm-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
-
-
 def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read back."""
     spark = df.sparkSession
-    path = f"{shared_root(spark)}/llm-{name}-{uuid.uuid4().hex}"
+    path = f"{checkpoint_root(spark)}/llm-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
