@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from typing import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_unit
@@ -66,16 +66,21 @@ def route_augmentation(df: DataFrame, batch_col: str = "batch_id", seed="42", ep
     return df.withColumn("route", route.cast("int")).withColumn("lang", F.element_at(langs, li.cast("int")))
 
 
+def routed_text(cols) -> Column:
+    """The sentence that ``route`` names."""
+    routed = F.col(cols[0])
+    for i, c in enumerate(cols[1:], start=2):
+        routed = F.when(F.col("route") == i, F.col(c)).otherwise(routed)
+    return routed
+
+
 def apply_translation(df: DataFrame, tm: DataFrame, cols=("sentence1", "sentence2", "sentence3")) -> DataFrame:
     """Replace the routed sentence by its translation-memory entry.
 
     A left join on (md5(text), lang); a missing entry keeps the text, as the
     reference keeps it when the remote call fails.  Adds ``translated``.
     """
-    routed = F.col(cols[0])
-    for i, c in enumerate(cols[1:], start=2):
-        routed = F.when(F.col("route") == i, F.col(c)).otherwise(routed)
-    d = df.withColumn("_tkey", F.md5(routed))
+    d = df.withColumn("_tkey", F.md5(routed_text(cols)))
     t = tm.select(F.col("text_key").alias("_tkey"), F.col("lang").alias("_tlang"), F.col("replacement").alias("_rep"))
     j = d.join(t, (d["_tkey"] == t["_tkey"]) & (d["lang"] == t["_tlang"]), "left").drop(t["_tkey"]).drop("_tlang")
     for i, c in enumerate(cols, start=1):
