@@ -803,3 +803,15 @@ WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {TOKEN_PAT}) AS
 v AS (SELECT doc_id, [len(k)::DOUBLE, len(list_distinct(k))::DOUBLE, c::DOUBLE] AS v FROM t)
 SELECT a.doc_id AS pair_id, {r6(cos_sql('a.v', 'b.v'))} AS cos FROM v a JOIN v b ON b.doc_id = a.doc_id + 1
 """
+
+# The filter and the buckets change what moves, not what comes out.
+ORACLES["key_filtered"] = ORACLES["key_semi_anti"]
+ORACLES["augment_filtered"] = ORACLES["augment_lookup"]
+ORACLES["encode_stored"] = ORACLES["encode_score"]
+ORACLES["parts_bucketed"] = f"""
+WITH {text_pairs_sql('ro', 6)},
+p AS (SELECT *, {unit_sql("'split'", 'pair_id')} AS u FROM ro)
+SELECT CASE WHEN u < 0.7 THEN 'train' WHEN u < 0.85 THEN 'dev' ELSE 'test' END AS part, count(*) AS n,
+       sum(length(text1) + length(text2))::BIGINT AS n_chars, {r6('avg(score / 5.0::DOUBLE)')} AS mean_score
+FROM p GROUP BY 1
+"""

@@ -21,7 +21,7 @@ from ..operators.losses import (
 from ..operators.batching import prepare_batches, sequential_batches, shuffled_batches
 from ..operators.metrics import batch_accuracy, correlations, epoch_metrics, mean_batch_loss
 from ..operators.negatives import draw_donors, draw_negatives
-from ..operators.split import keep_keys, rare_keys, split_chain, stratified_split
+from ..operators.split import keep_keys, key_counts, rare_keys, split_chain, stratified_split
 from ..operators.grid import effective_batch_size, expand_grid, mean_over_seeds, resolve_pad
 from ..operators.rank import value_rank
 from ..operators.runlog import (
@@ -31,10 +31,12 @@ from ..operators.runlog import (
 from ..functions.numeric import fixed4
 from ..functions.hashing import hash_unit
 from ..operators.batching import apply_translation, route_augmentation
+from ..operators.lookup import apply_translation_filtered, drop_keys
 from ..operators.text import pad_batches, score_pairs, score_triplets, token_ids, tokens, vocabulary
 from ..operators.fit import FEATURES, grid_fit, pair_features, staged_fit, train_and_report
 from ..operators.regress import PAIR_FEATURES, fit_features, fit_stages, text_features
 from ..session import checkpoint_root, scratch_dir
+from ..sources.buckets import encode_bucketed, score_stored_pairs, write_bucketed
 from ..sources.runlog_source import append_log, load_runs
 from ..sources.runlogs import metrics_long, option, read_report, run_histories, typed_hparams
 from ..streaming.epochs import run_epoch_metrics
@@ -642,16 +644,19 @@ def encode_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def augment_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Triplets in batches of 16; one routing draw and one pivot language per
-    batch (G3, G4); the routed sentence is replaced from the translation
-    memory, or kept when there is no entry (C8)."""
+def _routed_triplets(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = fx.turn_pairs(spark, sf_dir)
     trip = draw_negatives(turns, "pair_id", ("text1", "text2"), seed="42").select(
         "pair_id", F.col("text1").alias("sentence1"), F.col("text2").alias("sentence2"), "sentence3")
     numbered = sequential_batches(turns.select("pair_id"), "pair_id", 16)
-    b = route_augmentation(trip.join(numbered, "pair_id"), "batch_id", seed="42", epoch=0)
-    out = apply_translation(b, fx.translation_memory(spark, sf_dir))
+    return route_augmentation(trip.join(numbered, "pair_id"), "batch_id", seed="42", epoch=0)
+
+
+def augment_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Triplets in batches of 16; one routing draw and one pivot language per
+    batch (G3, G4); the routed sentence is replaced from the translation
+    memory, or kept when there is no entry (C8)."""
+    out = apply_translation(_routed_triplets(spark, sf_dir), fx.translation_memory(spark, sf_dir))
     return out.select("pair_id", "batch_id", "route", "lang", "translated", "sentence1", "sentence2", "sentence3")
 
 
@@ -934,3 +939,60 @@ QUERIES.update({
     "catalog_train_dev": catalog_train_dev,
     "encode_custom": encode_custom,
 })
+
+
+# -- filtered lookups (B7, C8) and bucketed tables (G5, G6, A17) --------------------
+
+def key_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows by whether their key is rare: the rare ones by the anti join with the
+    common keys, the common ones by the anti join with the rare keys, each on
+    the rows that a Bloom filter of the listed keys does not rule out (B7)."""
+    s = fx.strata(spark, sf_dir, 50)
+    rare = rare_keys(s, "skey")
+    common = key_counts(s, "skey").where("n > 1").select("skey")
+    a = drop_keys(s, common, "skey").withColumn("kind", F.lit("rare"))
+    b = drop_keys(s, rare, "skey").withColumn("kind", F.lit("common"))
+    return a.unionByName(b).select("doc_id", "skey", "kind")
+
+
+def augment_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``augment_lookup`` with a Bloom filter of the translation memory before
+    the join: sentences that it rules out are not exchanged (C8).  The routed
+    triplets are written first, as both sides of the filter read them."""
+    m = _materialize(spark)
+    out = apply_translation_filtered(m(_routed_triplets(spark, sf_dir)), m(fx.translation_memory(spark, sf_dir)))
+    return out.select("pair_id", "batch_id", "route", "lang", "translated", "sentence1", "sentence2", "sentence3")
+
+
+def encode_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``encode_score`` over vectors written in buckets by document: the two
+    joins exchange pairs only (G5, G6)."""
+    docs = fx.read(spark, sf_dir, "documents").select("doc_id", "text")
+    tp = normalise_scores(fx.text_pairs(spark, sf_dir, 6), "ro-sts").select(
+        "pair_id", F.col("pair_id").alias("doc_a"), (F.col("pair_id") + 1).alias("doc_b"), "score")
+    vectors = spark.table(encode_bucketed(docs, "doc_id", "text"))
+    j = score_stored_pairs(vectors, tp, "doc_id", "doc_a", "doc_b")
+    return j.select("pair_id", rnd("score").alias("sim"), rnd("cos").alias("prediction"),
+                    rnd(F.pow(F.col("cos") - F.col("score"), 2)).alias("sq_error"))
+
+
+def parts_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts and pair texts written in buckets by pair and joined without an
+    exchange: pairs, characters and mean score per part (A17, A16)."""
+    pairs = normalise_scores(fx.text_pairs(spark, sf_dir, 6), "ro-sts").select("pair_id", "score", "text1", "text2")
+    u = hash_unit(F.lit("split"), F.col("pair_id"))
+    parts = fx.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("pair_id")).withColumn(
+        "part", F.when(u < 0.7, "train").when(u < 0.85, "dev").otherwise("test"))
+    texts = spark.table(write_bucketed(pairs, "pair_id", "pair_texts"))
+    j = spark.table(write_bucketed(parts, "pair_id", "pair_parts")).join(texts, "pair_id")
+    return j.groupBy("part").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.length("text1") + F.length("text2")).cast("bigint").alias("n_chars"),
+        rnd(F.avg("score")).alias("mean_score"))
+
+
+QUERIES.update({
+    "key_filtered": key_filtered,
+    "augment_filtered": augment_filtered,
+    "encode_stored": encode_stored,
+    "parts_bucketed": parts_bucketed,
+})

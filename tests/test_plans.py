@@ -11,7 +11,7 @@ from tests.conftest import SF001
 # Queries whose construction runs jobs (writes, checkpoints, fits); their
 # plans read the written tables and are checked by the oracle tests.
 SIDE_EFFECTS = {"split_chain", "split_counts", "tsv_roundtrip", "regressor_eval", "staged_fit", "grid_fit", "stream_metrics", "stream_stop",
-                "stream_spearman", "stream_spearman_steps", "stream_epochs", "metric_log_replay", "regressor_features", "staged_features", "results_roundtrip", "encode_custom", "curves", "encode_score", "triplet_text", "runlog_metrics", "runlog_lines", "runlog_results", "runlog_hparams", "runlog_report"}
+                "stream_spearman", "stream_spearman_steps", "stream_epochs", "metric_log_replay", "regressor_features", "staged_features", "results_roundtrip", "encode_custom", "augment_filtered", "key_filtered", "encode_stored", "parts_bucketed", "curves", "encode_score", "triplet_text", "runlog_metrics", "runlog_lines", "runlog_results", "runlog_hparams", "runlog_report"}
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - SIDE_EFFECTS))
