@@ -8,9 +8,8 @@ adjacent pairs of a batch are checked at once with array operations.  Only
 words with a failing pair go through exact merging.
 
 The vocabulary file (a fixed 1-2 MB) is broadcast as bytes, so executors need
-no copy of it.  Words are remembered within a task up to ``WORD_MEMORY``
-entries; a full memory is emptied, which changes no result.  A task forgets
-its words when it ends, since its Python worker lives on beside later stages.
+no copy of it.  Words are remembered per Python worker up to ``WORD_MEMORY``
+entries; a full memory is emptied, which changes no result.
 """
 
 from __future__ import annotations
@@ -32,7 +31,7 @@ from ..session import ship_package
 from .common import text_slices
 
 WORD_MEMORY = 300_000
-SLICE_CHARS = 1_000_000
+SLICE_CHARS = 2_000_000
 SHORT = 40
 NEVER = 1 << 40
 NO_MERGE = (NEVER, -1)
@@ -201,7 +200,7 @@ class WordBpe:
         if chunk.isascii():
             text = chunk.lower()
             if text.isalpha():
-                return [chunk if chunk == text else text]
+                return [text]
             if text[-1] in ",." and text[:-1].isalpha():
                 return [text[:-1], text[-1]]
         else:
@@ -222,7 +221,7 @@ class WordBpe:
                 words = self.pieces(chunk)
             plan.append((chunk, words))
             for w in words:
-                if w not in self.known and not (w in self.words and w.isascii() and w.isalpha()):
+                if w not in self.known:
                     number[w] = None
         words = list(number)
         letters = [w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(self.letters) for w in words]
@@ -233,7 +232,7 @@ class WordBpe:
         failing = {*gaps.tolist(), *owner[joint][~fine[which]].tolist()}
         stops = np.searchsorted(owner, np.arange(len(words)), side="right").tolist()
         flat = token.astype(np.int32).tobytes()
-        known, start = {}, 0
+        known, start = self.known, 0
         for k, (w, stop) in enumerate(zip(words, stops)):
             if w in self.special:
                 known[w] = np.int32(self.special[w]).tobytes()
@@ -243,11 +242,7 @@ class WordBpe:
                 known[w] = flat[4 * start:4 * stop]
             start = stop
         for chunk, parts in plan:
-            if parts == [chunk] and chunk in known:  # its own word: remembered once
-                self.words[chunk] = known.pop(chunk)
-                continue
-            self.words[chunk] = b"".join([known[w] if w in known else self.known[w] if w in self.known else self.words[w] for w in parts])
-        self.known.update(known)
+            self.words[chunk] = known[parts[0]] if len(parts) == 1 else b"".join([known[w] for w in parts])
 
     def encode(self, texts: list) -> list[np.ndarray]:
         """The ids of each text (null: none) as an int32 array."""
@@ -289,7 +284,8 @@ def _load(vocabulary: bytes) -> WordBpe:
     return _LOADED[key]
 
 
-def encode_decode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_decode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text",
+                  forget: bool = False) -> DataFrame:
     """(id, ids, decoded) for every row: the token ids of the whole text and
     their decoded form (token texts joined by one space).
 
@@ -299,6 +295,9 @@ def encode_decode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
     Special-token strings in a text become their special ids.  A word of any
     length is one word; work is linear in text length but for exact merging,
     which is n log n in a failing word.
+
+    ``forget`` empties the words remembered when a task ends, for jobs whose
+    Python workers serve other steps too; results are the same.
     """
     ship_package(docs.sparkSession)
     with open(vocabulary_path, "rb") as f:
@@ -308,19 +307,18 @@ def encode_decode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
 
     def run(batches):
         bpe = _load(shared.value)
-        try:
-            for batch in batches:
-                texts, keys = batch.column(1).to_pylist(), batch.column(0)
-                for start, stop in text_slices(texts, SLICE_CHARS):
-                    found = bpe.encode(texts[start:stop])
-                    ends = np.zeros(len(found) + 1, np.int32)
-                    np.cumsum([len(x) for x in found], out=ends[1:])
-                    flat = np.concatenate(found) if found else np.empty(0, np.int32)
-                    yield pa.RecordBatch.from_arrays(
-                        [keys.slice(start, stop - start), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
-                         pa.array([bpe.decode(x) for x in found], pa.string())],
-                        names=["id", "ids", "decoded"])
-        finally:
+        for batch in batches:
+            texts, keys = batch.column(1).to_pylist(), batch.column(0)
+            for start, stop in text_slices(texts, SLICE_CHARS):
+                found = bpe.encode(texts[start:stop])
+                ends = np.zeros(len(found) + 1, np.int32)
+                np.cumsum([len(x) for x in found], out=ends[1:])
+                flat = np.concatenate(found) if found else np.empty(0, np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [keys.slice(start, stop - start), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
+                     pa.array([bpe.decode(x) for x in found], pa.string())],
+                    names=["id", "ids", "decoded"])
+        if forget:
             bpe.forget()
 
     return rows.mapInArrow(run, f"id {id_type}, ids array<int>, decoded string").withColumnRenamed("id", id_col)

@@ -78,6 +78,8 @@ def test_query_rows(spark, library):
 
 def test_edge_rows(spark, library):
     got = encode_decode(edge_docs(spark), tokenizer_path()).collect()
+    forgot = encode_decode(edge_docs(spark), tokenizer_path(), forget=True).collect()
+    assert sorted(map(str, forgot)) == sorted(map(str, got))
     want = sorted((repr(r[0]), library.encode(r[1] or "", add_special_tokens=False).ids) for r in EDGE_DOCS)
     assert sorted((repr(r.doc_id), list(r.ids)) for r in got) == want
     assert digests(encode_decode(empty_docs(spark), tokenizer_path())).count() == 0
