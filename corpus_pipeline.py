@@ -63,7 +63,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The encoded corpus: doc_id, n_tokens, ids_sha256, decoded_sha256 of every row."""
-    return digests(encode_decode(docs, tokenizer_path()))
+    return digests(encode_decode(docs, tokenizer_path(), forget=True))
 
 
 STAGES = [
