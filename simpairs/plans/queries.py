@@ -37,7 +37,7 @@ from ..operators.fit import FEATURES, grid_fit, pair_features, staged_fit, train
 from ..operators.regress import PAIR_FEATURES, fit_features, fit_stages, text_features
 from ..session import checkpoint_root, scratch_dir
 from ..sources.buckets import encode_bucketed, score_stored_pairs, write_bucketed
-from ..sources.runlog_source import append_log, load_runs
+from ..sources.runlog_source import append_log, load_runs, write_packs
 from ..sources.runlogs import metrics_long, option, read_report, run_histories, typed_hparams
 from ..streaming.epochs import run_epoch_metrics
 from ..streaming.levels import RankLevels
@@ -502,6 +502,14 @@ def _run_folder():
     return F.concat(F.lit("version_"), F.col("run_id").cast("string")).alias("run")
 
 
+def _pack_files(texts: DataFrame, root: str, name: str, head: str = "", *parts) -> None:
+    """Texts of runs (run, value) as packed run files ``<run>/<name>``; ``parts``
+    cut the texts of a run into several rows, each below ``head``."""
+    files = texts.groupBy("run", *parts).agg(F.array_join(F.collect_list("value"), "\n").alias("text"), *([F.max(head).alias("head")] if head else []))
+    path = F.concat(F.coalesce("run", F.lit("no_run")), F.lit(f"/{name}"))
+    write_packs(files.select(path.alias("path"), F.concat(*([F.col("head"), F.lit("\n")] if head else []), "text", F.lit("\n")).alias("content")), root)
+
+
 def _all_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.read(spark, sf_dir, "events").select(F.col("user_id").cast("int").alias("run_id")).distinct()
 
@@ -512,21 +520,29 @@ def _odd_runs(spark: SparkSession, sf_dir: str):
     return ids.scalar()
 
 
+# Fixed value: lines of one stretch of a metric file.
+STRETCH_LINES = 1000
+
+
 def _write_metric_files(spark: SparkSession, sf_dir: str) -> str:
-    """The epoch log as one folder of CSV files per run: even runs with
+    """The epoch log as one CSV file per run, in packs: even runs with
     ``dev/`` columns, odd runs with ``val/`` columns in another order; epochs
     have gaps; one run has a cell that is no number, one has no file."""
     root = scratch_dir(spark, "run-metrics")
     odd_run = _odd_runs(spark, sf_dir)
-    log = fx.epoch_log(spark, sf_dir).where(F.col("run_id") != odd_run["missing"])
+    log = fx.epoch_log(spark, sf_dir).where((F.col("run_id") != odd_run["missing"]) & (F.col("run_id") % 2).isin(0, 1))
     cell = F.when((F.col("run_id") == odd_run["broken"]) & (F.col("epoch") == 0), F.lit("oops")).otherwise(F.col("value").cast("string"))
     kind = F.split("metric", "/")[1]
-    base = [(F.col("epoch") * 5).alias("epoch"), (F.col("epoch") * 10).alias("step"), _run_folder()]
-    columns = lambda form, types: [F.when(kind == t, cell).alias(form.format(t)) for t in types]
-    even = log.where(F.col("run_id") % 2 == 0).select(*columns("dev/{}", fx.EVENT_TYPES), *base)
-    odd = log.where(F.col("run_id") % 2 == 1).select(*base, *columns("val/{}_epoch", fx.EVENT_TYPES[::-1]))
-    for part in (even, odd):
-        part.repartition("run").write.mode("append").partitionBy("run").option("header", True).csv(root)
+    base = [(F.col("epoch") * 5).alias("epoch"), (F.col("epoch") * 10).alias("step")]
+    even = [*[F.when(kind == t, cell) for t in fx.EVENT_TYPES], *base]
+    odd = [*base, *[F.when(kind == t, cell) for t in fx.EVENT_TYPES[::-1]]]
+    even_names = [*[f"dev/{t}" for t in fx.EVENT_TYPES], "epoch", "step"]
+    odd_names = ["epoch", "step", *[f"val/{t}_epoch" for t in fx.EVENT_TYPES[::-1]]]
+    is_even = F.col("run_id") % 2 == 0
+    lines = log.select(_run_folder(), F.expr(f"epoch div {STRETCH_LINES}").alias("stretch"),
+                       F.when(is_even, F.lit(",".join(even_names))).otherwise(F.lit(",".join(odd_names))).alias("head"),
+                       F.when(is_even, F.to_csv(F.struct(*even))).otherwise(F.to_csv(F.struct(*odd))).alias("value"))
+    _pack_files(lines, root, "metrics.csv", "head", "stretch")
     return root
 
 
@@ -559,8 +575,8 @@ def metric_log_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _write_results(spark: SparkSession, sf_dir: str) -> str:
     root = scratch_dir(spark, "run-results")
-    rows = fx.run_metrics(spark, sf_dir).select(*RESULT_METRICS, F.lit(1.5).alias("extra_metric"), _run_folder())
-    rows.repartition("run").write.partitionBy("run").json(root)
+    rows = fx.run_metrics(spark, sf_dir).select(F.to_json(F.struct(*RESULT_METRICS, F.lit(1.5).alias("extra_metric"))).alias("value"), _run_folder())
+    _pack_files(rows, root, "results.json")
     return root
 
 
@@ -571,7 +587,7 @@ def runlog_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _write_hparams(spark: SparkSession, sf_dir: str) -> str:
-    """Sparse option files of the runs, with a key that no list knows."""
+    """Sparse option files of the runs, in packs, with a key that no list knows."""
     root = scratch_dir(spark, "run-hparams")
     cfg = fx.run_config(spark, sf_dir)
     line = lambda key, text: F.when(text.isNotNull(), F.concat(F.lit(f"{key}: "), text))
@@ -579,7 +595,7 @@ def _write_hparams(spark: SparkSession, sf_dir: str) -> str:
     text = F.concat_ws("\n", F.lit("lr: 2.0e-05"), line("model_name", F.col("model_name")), line("batch_size", F.col("batch_size").cast("string")),
                        line("data_augmentation_translate_data", F.col("data_augmentation_translate_data").cast("string")),
                        line("train_dataset_name", names), line("warmup_share", F.lit("0.25")), F.lit("test_dataset_name: ro-sts"))
-    cfg.select(text.alias("value"), _run_folder()).repartition("run").write.partitionBy("run").text(root)
+    _pack_files(cfg.select(text.alias("value"), _run_folder()), root, "hparams.txt")
     return root
 
 

@@ -12,6 +12,11 @@ ranges, small files share a partition.  Conditions on ``run_id`` choose files
 before any is opened.  A streaming read of ``metrics`` keeps the bytes read of
 every file as its offset and takes in whole new lines only.
 
+Very many runs can be kept in packs: tables of (path, content) in the folder
+``packs`` of the root, each row one run file, or a stretch of whole lines of a
+metric file below its header.  A pack is read by one task, row by row, as if
+its rows were files; a batch read takes in loose files and packs alike.
+
 A write stages its files and makes them part of the log by one small commit
 file, named after the write's ``id`` (the micro-batch in a stream).  Without
 that file nothing of a write is ever read; a write whose commit is there adds
@@ -28,6 +33,7 @@ import re
 import uuid
 from collections.abc import Iterator, Sequence
 from fnmatch import fnmatch
+from itertools import islice
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -59,6 +65,9 @@ SPLIT_BYTES = 32 << 20
 #: Bytes that a file counts for at least, so that many empty files are spread too.
 OPEN_BYTES = 64 << 10
 BATCH_ROWS = 10_000
+PACKS = "packs"
+#: Run files of one pack, and those that a task holds at a time.
+PACK_FILES, PACK_ROWS = 5_000, 200
 _INTEGER = re.compile(r"[+-]?\d+(\.0*)?$")
 
 
@@ -75,6 +84,13 @@ class Ranges(InputPartition):
         self.ranges = ranges
 
 
+class Pack(InputPartition):
+    """One pack of run files."""
+
+    def __init__(self, path: str) -> None:
+        self.path = path
+
+
 def run_of(path: str) -> int | None:
     found = re.search(RUN_ID_PATTERN, path)
     return int(found[1]) if found else None
@@ -85,7 +101,13 @@ def run_files(fs: pafs.FileSystem, root: str, name: str) -> list[tuple[str, int
     found = fs.get_file_info(pafs.FileSelector(root, allow_not_found=True, recursive=True))
     depth = root.rstrip("/").count("/") + 2
     return sorted((f.path, run_of(f.path), f.size) for f in found
-                  if f.type == pafs.FileType.File and f.path.count("/") == depth and fnmatch(f.base_name, name))
+                  if f.type == pafs.FileType.File and f.path.count("/") == depth and fnmatch(f.base_name, name)
+                  and f.path.split("/")[-2] != PACKS)
+
+
+def pack_paths(fs: pafs.FileSystem, root: str) -> list[str]:
+    found = fs.get_file_info(pafs.FileSelector(f"{root.rstrip('/')}/{PACKS}", allow_not_found=True))
+    return sorted(f.path for f in found if f.type == pafs.FileType.File and f.base_name.endswith(".parquet"))
 
 
 def parse_cell(text: str) -> float | None:
@@ -176,39 +198,75 @@ def dealt(files: Sequence[tuple[str, int | None, int, int]], split: int, whole:
     return parts + ([Ranges(held)] if held else [])
 
 
-def read_ranges(root: str, kind: str, ranges: Sequence[tuple]) -> Iterator[pa.RecordBatch]:
+def parse_options(text: str) -> dict:
+    """An option file's keys; libyaml reads it where it can, the other parser
+    tells what is wrong with the rest."""
+    import yaml
+
+    try:
+        found = yaml.load(text, getattr(yaml, "CSafeLoader", yaml.SafeLoader))
+    except yaml.YAMLError:
+        found = yaml.safe_load(text)
+    return found or {}
+
+
+def rows_of(kind: str, run: int | None, text: str) -> Iterator[tuple]:
+    """The rows of a whole run file."""
+    if kind == "metrics":
+        head, *lines = text.split("\n")
+        names = [x.strip() for x in head.strip("\r").split(",")]
+        for line in lines:
+            if line != head and line.strip():
+                yield parse_line(line.strip("\r"), names, run)
+    elif kind == "results":
+        for line in ([text] if text.count("{") == 1 else text.splitlines()):
+            found = json.loads(line) if line.strip() else {}
+            for k, v in found.items():
+                if isinstance(v, (int, float)) and not isinstance(v, bool):
+                    yield run, k, float(v)
+    else:
+        import yaml
+
+        options, error = [], None
+        try:
+            options = [(str(k), json.dumps(v, default=str)) for k, v in parse_options(text).items()]
+        except (yaml.YAMLError, AttributeError) as exc:  # kept and reported, never lost
+            error = str(exc)
+        yield run, options, error
+
+
+def rows_of_ranges(root: str, kind: str, ranges: Sequence[tuple]) -> Iterator[tuple]:
     fs, _ = open_store(root)
-    rows: list[tuple] = []
     for path, run, start, end in ranges:
         if kind == "metrics":
             lines = lines_of(fs, path, start, end)
             names = [x.strip() for x in next(lines).split(",")]
             for line in lines:
-                rows.append(parse_line(line, names, run))
-                if len(rows) >= BATCH_ROWS:
-                    yield as_batch(rows, kind)
-                    rows = []
-            continue
-        with fs.open_input_stream(path) as f:
-            text = f.read().decode(errors="replace")
-        if kind == "results":
-            for line in ([text] if text.count("{") == 1 else text.splitlines()):
-                found = json.loads(line) if line.strip() else {}
-                rows += [(run, k, float(v)) for k, v in found.items() if isinstance(v, (int, float)) and not isinstance(v, bool)]
+                yield parse_line(line, names, run)
         else:
-            import yaml
+            with fs.open_input_stream(path) as f:
+                text = f.read().decode(errors="replace")
+            yield from rows_of(kind, run, text)
 
-            options, error = [], None
-            try:
-                options = [(str(k), json.dumps(v, default=str)) for k, v in (yaml.safe_load(text) or {}).items()]
-            except (yaml.YAMLError, AttributeError) as exc:  # kept and reported, never lost
-                error = str(exc)
-            rows.append((run, options, error))
-        if len(rows) >= BATCH_ROWS:
-            yield as_batch(rows, kind)
-            rows = []
-    if rows:
-        yield as_batch(rows, kind)
+
+def rows_of_pack(root: str, kind: str, path: str, name: str, filters: Sequence[Filter]) -> Iterator[tuple]:
+    """Rows of the pack's files of that name whose run fits the conditions."""
+    fs, _ = open_store(root)
+    with fs.open_input_file(path) as f:
+        for batch in pq.ParquetFile(f).iter_batches(PACK_ROWS, columns=["path", "content"]):
+            for file, text in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
+                run = run_of(file)
+                if fnmatch(file.rsplit("/", 1)[-1], name) and wanted(run, filters):
+                    yield from rows_of(kind, run, text)
+
+
+def in_batches(rows: Iterator[tuple], kind: str) -> Iterator[pa.RecordBatch]:
+    while part := list(islice(rows, BATCH_ROWS)):
+        yield as_batch(part, kind)
+
+
+def read_ranges(root: str, kind: str, ranges: Sequence[tuple]) -> Iterator[pa.RecordBatch]:
+    return in_batches(rows_of_ranges(root, kind, ranges), kind)
 
 
 def as_batch(rows: Sequence[tuple], kind: str) -> pa.RecordBatch:
@@ -247,14 +305,16 @@ class RunLogReader(DataSourceReader):
             return dealt(files, self.split, True) or [Ranges([])]
         files = [(p, run, 0, n) for p, run, n in run_files(fs, root, self.name) if wanted(run, self.filters)]
         # Spark reads a source without partitions as one without a partition object.
-        return dealt(files, self.split, self.kind != "metrics") or [Ranges([])]
+        return [*dealt(files, self.split, self.kind != "metrics"), *map(Pack, pack_paths(fs, root))] or [Ranges([])]
 
-    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Ranges | Pack) -> Iterator[pa.RecordBatch]:
         if self.kind == "log":
             fs, _ = open_store(self.root)
             for path, *_ in partition.ranges:
                 with fs.open_input_file(path) as f:
                     yield from pq.ParquetFile(f).iter_batches()
+        elif isinstance(partition, Pack):
+            yield from in_batches(rows_of_pack(self.root, self.kind, partition.path, self.name, self.filters), self.kind)
         else:
             yield from read_ranges(self.root, self.kind, partition.ranges)
 
@@ -428,3 +488,10 @@ def append_log(long: DataFrame, path: str, write_id: str) -> None:
     register(long.sparkSession)
     rows = long.selectExpr("cast(run_id as long) run_id", "cast(epoch as long) epoch", "metric", "cast(value as double) value")
     rows.sortWithinPartitions("run_id").write.format("runlog").option("kind", "log").option("id", write_id).mode("append").save(path)
+
+
+def write_packs(files: DataFrame, path: str) -> None:
+    """Run files (path, content) into packs below the log root.  One file per
+    run costs a folder, a commit and a listing entry each; packs cost their
+    bytes, so this is the form for very many runs."""
+    files.select("path", "content").write.mode("append").option("maxRecordsPerFile", PACK_FILES).parquet(f"{path}/{PACKS}")
