@@ -59,3 +59,18 @@ def test_option_files_of_many_runs_are_few_files(spark, tmp_dir):
     got = {r.run_id: r for r in q.runlog_hparams(spark, tmp_dir).collect()}
     assert len(got) == RUNS and got[1].batch_size == 64 and got[0].batch_size == 32 and got[50].batch_size is None
     assert got[1].train_dataset_name == "['ro-sts', 'biblical_01']" and {r.n_options for r in got.values()} == {13}
+
+
+def test_result_files_of_many_runs_are_few_files(spark, tmp_dir):
+    _events(spark, tmp_dir)
+    assert len(_files(q._write_results(spark, tmp_dir))) < RUNS / 2
+    got = q.runlog_results(spark, tmp_dir).collect()
+    assert len({r.run_id for r in got}) == RUNS and sum(r.metric == "extra_metric" for r in got) == RUNS
+    assert {(r.metric, r.value) for r in got if r.run_id == 7} == {("extra_metric", 1.5), ("test_click", 67.0)}
+
+
+def test_report_of_many_runs(spark, tmp_dir):
+    _documents(spark, tmp_dir)
+    _events(spark, tmp_dir)
+    got = {r.run_id: r for r in q.runlog_report(spark, tmp_dir).collect()}
+    assert len(got) == RUNS and got[7].test_click == 67.0 and got[7].batch_size == 64 and got[50].batch_size is None
