@@ -74,3 +74,16 @@ def test_report_of_many_runs(spark, tmp_dir):
     _events(spark, tmp_dir)
     got = {r.run_id: r for r in q.runlog_report(spark, tmp_dir).collect()}
     assert len(got) == RUNS and got[7].test_click == 67.0 and got[7].batch_size == 64 and got[50].batch_size is None
+
+
+def test_metric_files_of_many_runs_are_few_files(spark, tmp_dir):
+    _events(spark, tmp_dir)
+    assert len(_files(q._write_metric_files(spark, tmp_dir))) < RUNS / 2
+    got = {r.run_id: r for r in q.runlog_lines(spark, tmp_dir).collect()}
+    assert len(got) == RUNS - 1 and (got[5].rows, got[5].bad_rows) == (2502, 0) and (got[0].rows, got[0].bad_rows) == (2, 1)
+
+
+def test_histories_of_a_run_in_several_stretches(spark, tmp_dir):
+    _events(spark, tmp_dir)
+    got = q.runlog_metrics(spark, tmp_dir).where("run_id = 5").orderBy("pos").collect()
+    assert [r.pos for r in got] == list(range(2500)) and [r.epoch for r in got] == [5 * k for k in range(2500)]
