@@ -5,19 +5,22 @@
   are computed without enumerating pairs: per (batch, label) sums, then one
   fold over a batch's labels in order, all in logarithms.
 * The in-batch contrastive loss needs every dot product inside a batch.  A
-  batch is dealt into tiles of rows; a task holds two tiles, and each row gets
-  a partial ``(max, sum exp)`` per tile it meets.  The partials are merged by
-  an aggregation, so a batch may have any size and no pair rows are emitted.
+  batch is cut into strips; a task holds two strips, goes over them in tiles,
+  and each row of either gets a partial ``(max, sum exp)`` over the other.  The
+  partials are merged by an aggregation, so a batch may have any size and no
+  pair rows are emitted.  A row is sent to one task per strip: up to
+  ``MOST_STRIPS`` strips, the exchange grows as the input does.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import NORMALIZE_EPS, angle_score, cosine, dot, norm, pairwise_distance
+from ..session import ship_package
 from .rank import _null_safe_join
 
 # Default weights and scales of the combined AnglE loss.
@@ -25,6 +28,12 @@ COSINE_W, IBN_W, ANGLE_W = 0.0, 20.0, 1.0
 COSINE_TAU, IBN_TAU, ANGLE_TAU = 20.0, 20.0, 20.0
 #: Pairs of one tile of an in-batch step; larger batches have several tiles.
 TILE_PAIRS = 1024
+#: Strips of a batch, unless a strip would be above STRIP_PAIRS, which bounds a task's memory.
+MOST_STRIPS, STRIP_PAIRS = 32, 32_768
+#: Columns of one tile, and logits up to which exp needs no maximum of its own.
+TILE_COLUMNS, SAFE_LOGIT = 512, 300.0
+#: Tasks that the cells are dealt over at least: their work is far above their bytes, by which Spark would join them.
+LEAST_TASKS = 256
 
 
 def normalized_cosine(u, v) -> Column:
@@ -112,41 +121,89 @@ def angle_loss(
 
 
 PARTIAL_SCHEMA = "batch_id long, pair_id long, side int, m double, x double, partner_sim double, score double"
+PARTIAL_ARROW = pa.schema([("batch_id", pa.int64()), ("pair_id", pa.int64()), ("side", pa.int32()),
+                           *[(c, pa.float64()) for c in ("m", "x", "partner_sim", "score")]])
+
+
+def _zigzag(part: pa.Table) -> np.ndarray:
+    """The normalised rows u, v, u, v, .. of the pairs."""
+    u, v = (part.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(part), -1) for c in "uv")
+    x = np.empty((2 * len(part), u.shape[1]))
+    x[0::2], x[1::2] = u, v
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), NORMALIZE_EPS)
+
+
+def _log_sums(a: np.ndarray, b: np.ndarray | None, tau: float, raised: np.ndarray, weight: float, tile: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """``(max, sum exp)`` of the logits of every row of ``a`` over ``b`` and of
+    ``b`` over ``a``, tile by tile.  Without ``b``, of ``a`` over its other
+    rows, the partner's logit of the rows ``raised`` higher by ``weight``."""
+    other = a if b is None else b
+    sides = [0, 1] if b is not None else [0]
+    bound = abs(tau) + max(weight, 0.0)
+    safe = bound <= SAFE_LOGIT  # cosines are at most 1
+    top = [np.full(len(x), bound if safe else -np.inf) for x in (a, other)]
+    total = [np.zeros(len(x)) for x in (a, other)]
+    for i in range(0, len(a), 2 * tile):
+        for j in range(0, len(other), TILE_COLUMNS):
+            logits = a[i:i + 2 * tile] @ other[j:j + TILE_COLUMNS].T * tau
+            if b is None:
+                idx = np.arange(max(i, j), max(i, j, min(i + 2 * tile, j + TILE_COLUMNS, len(a))))
+                up = idx[raised[idx]]
+                logits[up - i, (up ^ 1) - j] += weight
+                logits[idx - i, idx - j] = -np.inf  # self excluded
+            places = slice(i, i + 2 * tile), slice(j, j + TILE_COLUMNS)
+            if safe:
+                grown = np.exp(logits - bound)
+                for side in sides:
+                    total[side][places[side]] += grown.sum(axis=1 - side)
+                continue
+            for side in sides:
+                at, old = places[side], top[side][places[side]]
+                new = np.maximum(old, logits.max(axis=1 - side))
+                grown = np.exp(logits - (new[:, None] if side == 0 else new))
+                total[side][at] = total[side][at] * np.exp(old - new) + grown.sum(axis=1 - side)
+                top[side][at] = new
+    return [(top[side], total[side]) for side in sides]
+
+
+def _strip_rows(tau: float, negative_weight: float, tile: int):
+    """Partial log-sums of the rows of strips ``rt`` and ``ct`` over each other."""
+
+    def fn(cell: pa.Table) -> pa.Table:
+        rt, ct = cell.column("rt")[0].as_py(), cell.column("ct")[0].as_py()
+        strip = cell.column("tile").to_numpy()
+        parts = [cell.filter(pa.array(strip == k)) for k in ([rt] if rt == ct else [rt, ct])]
+        if not all(map(len, parts)):
+            return PARTIAL_ARROW.empty_table()
+        score = [np.repeat(p.column("score").to_numpy().astype(np.float64), 2) for p in parts]
+        rows = [_zigzag(p) for p in parts]
+        own = len(parts) == 1
+        # Pairs scored exactly 0 are raised.
+        raised = (score[0] == 0) & (negative_weight > 0)
+        sums = _log_sums(rows[0], None if own else rows[1], tau, raised, negative_weight if own else 0.0, tile)
+        out = []
+        for part, x, (m, total), s in zip(parts, rows, sums, score):
+            sim = np.einsum("ij,ij->i", x, x[np.arange(len(x)) ^ 1]) if own else np.full(len(x), np.nan)
+            ids = [np.repeat(part.column(c).to_numpy(), 2).astype(np.int64) for c in ("batch_id", "pair_id")]
+            columns = [*ids, np.tile(np.array([1, 2], np.int32), len(part)), m, total, sim, s]
+            out.append(pa.table([pa.array(c, f.type, from_pandas=True) for c, f in zip(columns, PARTIAL_ARROW)], schema=PARTIAL_ARROW))
+        return pa.concat_tables(out)
 
+    return fn
 
-def _tile_rows(tau: float, negative_weight: float):
-    """Partial log-sums of the rows of tile ``rt`` over the rows of tile ``ct``."""
-
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        def zigzag(part: pd.DataFrame) -> np.ndarray:
-            u = np.stack(part["u"].to_numpy()).astype(np.float64)
-            v = np.stack(part["v"].to_numpy()).astype(np.float64)
-            x = np.empty((2 * len(part), u.shape[1]))
-            x[0::2], x[1::2] = u, v
-            return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), NORMALIZE_EPS)
-
-        own = bool((pdf["rt"] == pdf["ct"]).iloc[0])
-        rows = pdf[pdf["tile"] == pdf["rt"]]
-        a = zigzag(rows)
-        logits = a @ (a if own else zigzag(pdf[pdf["tile"] == pdf["ct"]])).T * tau
-        idx = np.arange(len(a))
-        score = np.repeat(rows["score"].to_numpy(dtype=np.float64), 2)
-        partner_sim = np.full(len(a), np.nan)
-        if own:
-            partner_sim = logits[idx, idx ^ 1] / tau
-            if negative_weight > 0:  # pairs scored exactly 0
-                zero = score == 0
-                logits[idx[zero], (idx ^ 1)[zero]] += negative_weight
-            logits[idx, idx] = -np.inf  # self excluded
-        m = logits.max(axis=1)
-        return pd.DataFrame({
-            "batch_id": np.repeat(rows["batch_id"].to_numpy(), 2).astype(np.int64),
-            "pair_id": np.repeat(rows["pair_id"].to_numpy(), 2).astype(np.int64),
-            "side": np.tile([1, 2], len(rows)).astype(np.int32),
-            "m": m, "x": np.exp(logits - m[:, None]).sum(axis=1), "partner_sim": partner_sim, "score": score,
-        })
 
-    return fn
+def deal_strips(df: DataFrame, tile_pairs: int) -> DataFrame:
+    """Pairs with their strip ``tile`` (by a hash of the pair id) and the two
+    strips ``rt <= ct`` of the cell that each copy goes to, one copy per strip
+    of the batch."""
+    n = F.count(F.lit(1))
+    strips = F.greatest(F.least(F.ceil(n / F.lit(float(tile_pairs))), F.lit(MOST_STRIPS)), F.ceil(n / F.lit(float(STRIP_PAIRS))))
+    sizes = df.groupBy("batch_id").agg(strips.cast("int").alias("_tiles"))
+    d = df.select("batch_id", "pair_id", "u", "v", "score").join(sizes, "batch_id")
+    d = d.withColumn("tile", F.pmod(F.xxhash64("pair_id"), F.col("_tiles")).cast("int"))
+    meets = F.transform(F.sequence(F.lit(0), F.col("_tiles") - 1), lambda k: F.struct(
+        F.least(k, "tile").alias("rt"), F.greatest(k, "tile").alias("ct")))
+    return d.withColumn("_meet", F.explode(meets)).select("batch_id", "pair_id", "u", "v", "score", "tile", "_meet.rt", "_meet.ct")
 
 
 def in_batch_rows(
@@ -161,21 +218,15 @@ def in_batch_rows(
     when its score cut to an integer is 1 (the reference's rule, so 0.99
     counts as 0), or when ``score >= positive_threshold`` if one is given.
     With a ``negative_weight``, the partner's logit of a pair scored exactly 0
-    is raised by it.  Batches larger than ``tile_pairs`` are dealt into tiles
-    by a hash of the pair id.
+    is raised by it.  Batches are gone over in tiles of ``tile_pairs`` pairs;
+    those larger than one are cut into strips by a hash of the pair id.
     """
+    ship_package(df.sparkSession)
     limit = tile_pairs or TILE_PAIRS
-    sizes = df.groupBy("batch_id").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(limit))).cast("int").alias("_tiles"))
-    d = df.select("batch_id", "pair_id", "u", "v", "score").join(sizes, "batch_id")
-    d = d.withColumn("tile", F.pmod(F.xxhash64("pair_id"), F.col("_tiles")).cast("int"))
-    # A tile meets every tile as rows and every other tile as columns.
-    meets = F.flatten(F.transform(F.sequence(F.lit(0), F.col("_tiles") - 1), lambda k: F.when(
-        k == F.col("tile"), F.array(F.struct(k.alias("rt"), k.alias("ct")))).otherwise(F.array(
-            F.struct(F.col("tile").alias("rt"), k.alias("ct")), F.struct(k.alias("rt"), F.col("tile").alias("ct"))))))
-    dealt = d.withColumn("_meet", F.explode(meets)).select("batch_id", "pair_id", "u", "v", "score", "tile", "_meet.rt", "_meet.ct")
-    partial = dealt.groupBy("batch_id", "rt", "ct").applyInPandas(_tile_rows(tau, negative_weight), PARTIAL_SCHEMA)
+    tasks = max(LEAST_TASKS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    partial = deal_strips(df, limit).repartition(tasks, "batch_id", "rt", "ct").groupBy("batch_id", "rt", "ct").applyInArrow(_strip_rows(tau, negative_weight, limit), PARTIAL_SCHEMA)
     known = F.when(F.isnan("partner_sim"), None).otherwise(F.col("partner_sim"))
-    merged = partial.groupBy("batch_id", "pair_id", "side").agg(
+    merged = partial.repartition(tasks, "batch_id", "pair_id", "side").groupBy("batch_id", "pair_id", "side").agg(
         F.collect_list(F.struct("m", "x")).alias("_parts"), F.max("m").alias("_m"), F.max(known).alias("partner_sim"), F.max("score").alias("score"))
     lse = F.col("_m") + F.log(F.aggregate("_parts", F.lit(0.0), lambda s, p: s + p["x"] * F.exp(p["m"] - F.col("_m"))))
     positive = F.floor("score") == 1 if positive_threshold is None else F.col("score") >= F.lit(positive_threshold)

@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from simpairs.operators.losses import in_batch_loss, in_batch_rows, ranking_loss, select_loss
@@ -148,3 +149,28 @@ def test_losses_chosen_by_name_take_the_same_rows(spark):
     for name in ("MSE", "AnglE"):
         out = select_loss(name)(df)
         assert out.columns == ["batch_id", "loss"] and out.count() == 1
+
+
+def test_a_pair_meets_a_bounded_number_of_strips(spark):
+    from simpairs.operators.losses import MOST_STRIPS, deal_strips
+
+    dealt = deal_strips(_pairs(spark, 2000, 2), 7).groupBy("pair_id").count().agg(F.max("count").alias("most"), F.sum("count").alias("all")).first()
+    assert dealt.most == MOST_STRIPS and dealt["all"] == 2000 * MOST_STRIPS
+
+
+@pytest.mark.parametrize("tau", [20.0, 500.0])
+def test_strips_give_the_sums_over_all_rows(spark, tau):
+    df = _pairs(spark, 400, 4)
+    rows = sorted(df.collect(), key=lambda r: r.pair_id)
+    x = np.array([v for r in rows for v in (r.u, r.v)])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    logits = x @ x.T * tau
+    for k, r in enumerate(rows):
+        if r.score == 0:
+            logits[2 * k, 2 * k + 1] += 5
+            logits[2 * k + 1, 2 * k] += 5
+    np.fill_diagonal(logits, -np.inf)
+    top = logits.max(axis=1)
+    lse = top + np.log(np.exp(logits - top[:, None]).sum(axis=1))
+    for r in in_batch_rows(df, tau, 5.0, 0.9, tile_pairs=7).collect():
+        assert abs(r.lse - lse[2 * r.pair_id + r.side - 1]) < 1e-9
