@@ -198,8 +198,11 @@ def deal_strips(df: DataFrame, tile_pairs: int) -> DataFrame:
     of the batch."""
     n = F.count(F.lit(1))
     strips = F.greatest(F.least(F.ceil(n / F.lit(float(tile_pairs))), F.lit(MOST_STRIPS)), F.ceil(n / F.lit(float(STRIP_PAIRS))))
-    sizes = df.groupBy("batch_id").agg(strips.cast("int").alias("_tiles"))
-    d = df.select("batch_id", "pair_id", "u", "v", "score").join(sizes, "batch_id")
+    # Only batches above a tile are looked up, at most one per ``tile_pairs`` rows,
+    # so a batch is not gathered in one task for it.
+    sizes = df.groupBy("batch_id").agg(strips.cast("int").alias("_many")).where("_many > 1")
+    d = df.where(F.col("batch_id").isNotNull()).select("batch_id", "pair_id", "u", "v", "score").join(F.broadcast(sizes), "batch_id", "left")
+    d = d.withColumn("_tiles", F.coalesce("_many", F.lit(1)))
     d = d.withColumn("tile", F.pmod(F.xxhash64("pair_id"), F.col("_tiles")).cast("int"))
     meets = F.transform(F.sequence(F.lit(0), F.col("_tiles") - 1), lambda k: F.struct(
         F.least(k, "tile").alias("rt"), F.greatest(k, "tile").alias("ct")))
