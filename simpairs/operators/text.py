@@ -77,16 +77,30 @@ def hashed_bag(docs: DataFrame, id_col: str, text_col: str, dims: int = HASH_DIM
     """Default encoder (G5): ``(id, vec)`` with token counts hashed into
     ``dims`` buckets by md5.
 
-    Texts are dealt out by document once; counting tokens, hashing each
-    distinct token of a document, and gathering its buckets then need no
-    further exchange."""
-    d = docs.select(id_col, F.coalesce(text_col, F.lit("")).alias("_text")).repartition(F.col(id_col))
-    counted = d.select(id_col, F.explode_outer(tokens("_text")).alias("token")).groupBy(id_col, "token").agg(F.count("token").alias("_n"))
-    dim = (F.conv(F.substring(F.md5("token"), 1, 8), 16, 10).cast("bigint") % dims).cast("int")
-    sums = counted.select(id_col, dim.alias("dim"), "_n").groupBy(id_col, "dim").agg(F.sum("_n").cast("double").alias("w"))
-    bags = sums.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.when(F.col("dim").isNotNull(), F.struct("dim", "w")))).alias("_bag"))
-    vec = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.try_element_at("_bag", i), F.lit(0.0)))
-    return bags.select(id_col, vec.alias("vec"))
+    Tokens become their dimensions inside the row, so only small integers are
+    dealt out by document, where rows of one id are counted together: no table
+    of tokens is held.  Counting is numpy over Arrow batches."""
+    dim = lambda t: (F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("bigint") % dims).cast("smallint" if dims <= 2**15 else "int")
+    hashed = docs.select(id_col, F.transform(tokens(text_col), dim).alias("_dims"))
+    gathered = hashed.groupBy(id_col).agg(F.flatten(F.collect_list("_dims")).alias("_dims"))
+    id_type = docs.schema[id_col].dataType.simpleString()
+
+    def count(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        step = max(1, 2**20 // dims)
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                found = part.column(1)
+                size = found.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+                place = np.repeat(np.arange(len(size)) * dims, size) + found.flatten().to_numpy(zero_copy_only=False)
+                bags = pa.array(np.bincount(place, minlength=len(size) * dims).astype(np.float64))
+                vec = pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1) * dims, pa.int32()), bags)
+                yield pa.RecordBatch.from_arrays([part.column(0), vec], names=[id_col, "vec"])
+
+    return gathered.mapInArrow(count, f"`{id_col}` {id_type}, vec array<double>")
 
 
 Encoder = Callable[[DataFrame, str, str], DataFrame]

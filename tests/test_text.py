@@ -51,3 +51,18 @@ def test_batches_take_a_transform(spark):
     rows = {r.id: r for r in prepare_batches(docs.select("id"), "id", 2, lambda b: pad_batches(b.join(ids, "id"))).collect()}
     assert [rows[i].batch_id for i in (1, 2, 3, 4, 5)] == [0, 0, 1, 1, 2]
     assert len(rows[1].input_ids) == 2 and rows[4].input_ids == [0] and rows[4].attention_mask == [0] and rows[5].input_ids == []
+
+
+def test_bags_hold_no_table_of_tokens(spark, capsys):
+    docs = spark.createDataFrame([(1, "a b a"), (1, "a"), (None, "b"), (None, None), (2, None), (3, "")], "id long, text string")
+    bags = hashed_bag(docs, "id", "text")
+    bags.explain()
+    plan = capsys.readouterr().out
+    assert "MapInArrow" in plan and "Generate" not in plan and "explode" not in plan
+    got = {r.id: sorted((x for x in r.vec if x), reverse=True) for r in bags.collect()}
+    assert got == {1: [3.0, 1.0], None: [1.0], 2: [], 3: []} and bags.count() == 4
+
+
+def test_a_long_text_is_counted_whole(spark):
+    docs = spark.range(1).select("id", F.repeat(F.lit("a b "), 50_000).alias("text"))
+    assert sorted(x for x in hashed_bag(docs, "id", "text").first().vec if x) == [50_000.0, 50_000.0]
