@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import rnd
+from ..session import scratch_dir
 from .rank import _cols, _null_safe_join, rank_table
 
 
@@ -62,18 +63,23 @@ def rank_correlation(df: DataFrame, y: str, y_hat: str, group_cols: Iterable[str
     """Per group: ``spearman``, the Pearson correlation of average ranks.
 
     ``df`` may carry a ``weight`` column, the number of rows that each of its
-    rows stands for."""
+    rows stands for.  The combined rows are written to the scratch folder once;
+    ranks, moments and totals read them there."""
     g = _cols(group_cols)
     weight = F.col("weight") if "weight" in df.columns else F.lit(1).cast("bigint")
     pairs = df.select(*g, F.col(y).cast("double").alias("_y"), F.col(y_hat).cast("double").alias("_p"), weight.alias("_w"))
+    pairs = pairs.where(F.col("_y").isNotNull() & F.col("_p").isNotNull())
+    path = scratch_dir(df.sparkSession, "rank-pairs")
     pairs = pairs.groupBy(*g, "_y", "_p").agg(F.sum("_w").alias("_w"))
+    pairs.write.parquet(path)
+    pairs = df.sparkSession.read.schema(pairs.schema).parquet(path)
     long = pairs.select(*g, "_w", F.expr("stack(2, 'y', _y, 'p', _p) AS (_which, _v)"))
     ranks = rank_table(long, "_v", [*g, "_which"], out="_r2", weight="_w")
     ry = ranks.where(F.col("_which") == "y").select(*g, F.col("_v").alias("_y"), F.col("_r2").alias("_ry"))
     rp = ranks.where(F.col("_which") == "p").select(*g, F.col("_v").alias("_p"), F.col("_r2").alias("_rp"))
     both = _null_safe_join(_null_safe_join(pairs, ry, [*g, "_y"]), rp, [*g, "_p"])
     # Weighted moments around the known mean rank (n + 1) / 2, doubled: n + 1.
-    total = both.groupBy(*g).agg(F.sum("_w").alias("_n"))
+    total = pairs.groupBy(*g).agg(F.sum("_w").alias("_n"))
     both = _null_safe_join(both, total, g) if g else both.withColumn("_n", total.select("_n").scalar())
     a, b, w = F.col("_ry") - F.col("_n") - 1, F.col("_rp") - F.col("_n") - 1, F.col("_w").cast("double")
     sums = both.groupBy(*g).agg(

@@ -113,3 +113,19 @@ def test_pairwise_distance_other_norms(spark):
     for p in (1.0, 3.0):
         got = df.select(pairwise_distance("u", "v", p).alias("d")).first().d
         assert abs(got - np.linalg.norm(np.array([-3.0, 4.0]) + 1e-6, p)) < 1e-9
+
+
+def test_ranks_read_the_combined_rows_once(spark, capsys):
+    from simpairs.operators.metrics import rank_correlation
+
+    # Rows with a null side count nowhere, and weights of any integer type add up.
+    rows = [("a", 1.0, 2.0, 1), ("a", 1.0, 2.0, 2), ("a", 2.0, 5.0, 1), ("a", 3.0, 4.0, 1), ("a", None, 9.0, 7), (None, 1.0, 1.0, 1), (None, 2.0, 3.0, 1)]
+    df = spark.createDataFrame(rows, "k string, y double, p double, weight int")
+    out = rank_correlation(df, "y", "p", ["k"])
+    out.explain()
+    assert "rank-pairs" in capsys.readouterr().out
+    got = {r.k: r.spearman for r in out.collect()}
+    import numpy as np
+
+    y, p = [2, 2, 2, 4, 5], [2, 2, 2, 5, 4]
+    assert abs(got["a"] - np.corrcoef(y, p)[0, 1]) < 1e-12 and abs(got[None] - 1.0) < 1e-12
