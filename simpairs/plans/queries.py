@@ -713,13 +713,13 @@ def catalog_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tsv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write the scored pairs as headerless TSV, the unscored pairs as TSV and
-    the 0..100 pairs as CSV with a header, then read all three back with the
+    the 0..100 pairs as CSV with a header, all compressed, then read all three back with the
     source readers (A1, A2, A3, A14).  Equals the original tables."""
     root = scratch_dir(spark, "tsv-roundtrip")
     ro, para, bib = f"{root}/ro-sts", f"{root}/paraphrase", f"{root}/biblical"
-    write_scored_tsv(fx.text_pairs(spark, sf_dir, 6), ro)
-    write_unscored_tsv(fx.turn_pairs(spark, sf_dir), para)
-    write_header_csv(fx.text_pairs(spark, sf_dir, 101).select("text1", "text2", "score"), bib)
+    write_scored_tsv(fx.text_pairs(spark, sf_dir, 6), ro, compression="gzip")
+    write_unscored_tsv(fx.turn_pairs(spark, sf_dir), para, compression="gzip")
+    write_header_csv(fx.text_pairs(spark, sf_dir, 101).select("text1", "text2", "score"), bib, compression="gzip")
     a = read_scored_tsv(spark, ro, multiline=True).withColumn("dataset", F.lit("ro-sts"))
     b = read_unscored_tsv(spark, para, multiline=True).withColumn("dataset", F.lit("paraphrase-ro"))
     c = read_header_csv(spark, bib, multiline=True).withColumn("dataset", F.lit("biblical_01"))
