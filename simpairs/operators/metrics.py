@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import rnd
-from ..session import scratch_dir
-from .rank import _cols, _null_safe_join, rank_table
+from ..session import scratch_dir, shuffles_for
+from .rank import _cols, _null_safe_join, rank_table, spread_join
 
 
 def pearson(x, y) -> Column:
@@ -64,30 +64,35 @@ def rank_correlation(df: DataFrame, y: str, y_hat: str, group_cols: Iterable[str
 
     ``df`` may carry a ``weight`` column, the number of rows that each of its
     rows stands for.  The combined rows are written to the scratch folder once;
-    ranks, moments and totals read them there."""
+    ranks and moments read them there.  Shuffles get partitions by the number of
+    those rows, and rows of one score or group are spread, so what a task holds
+    does not grow with the table; the result is written for the same reason."""
     g = _cols(group_cols)
     weight = F.col("weight") if "weight" in df.columns else F.lit(1).cast("bigint")
     pairs = df.select(*g, F.col(y).cast("double").alias("_y"), F.col(y_hat).cast("double").alias("_p"), weight.alias("_w"))
     pairs = pairs.where(F.col("_y").isNotNull() & F.col("_p").isNotNull())
-    path = scratch_dir(df.sparkSession, "rank-pairs")
+    spark, path = df.sparkSession, scratch_dir(df.sparkSession, "rank-pairs")
     pairs = pairs.groupBy(*g, "_y", "_p").agg(F.sum("_w").alias("_w"))
     pairs.write.parquet(path)
-    pairs = df.sparkSession.read.schema(pairs.schema).parquet(path)
+    pairs = spark.read.schema(pairs.schema).parquet(path)
     long = pairs.select(*g, "_w", F.expr("stack(2, 'y', _y, 'p', _p) AS (_which, _v)"))
-    ranks = rank_table(long, "_v", [*g, "_which"], out="_r2", weight="_w")
-    ry = ranks.where(F.col("_which") == "y").select(*g, F.col("_v").alias("_y"), F.col("_r2").alias("_ry"))
-    rp = ranks.where(F.col("_which") == "p").select(*g, F.col("_v").alias("_p"), F.col("_r2").alias("_rp"))
-    both = _null_safe_join(_null_safe_join(pairs, ry, [*g, "_y"]), rp, [*g, "_p"])
-    # Weighted moments around the known mean rank (n + 1) / 2, doubled: n + 1.
-    total = pairs.groupBy(*g).agg(F.sum("_w").alias("_n"))
-    both = _null_safe_join(both, total, g) if g else both.withColumn("_n", total.select("_n").scalar())
-    a, b, w = F.col("_ry") - F.col("_n") - 1, F.col("_rp") - F.col("_n") - 1, F.col("_w").cast("double")
-    sums = both.groupBy(*g).agg(
-        F.sum(w * a * b).alias("_ab"), F.sum(w * a * a).alias("_aa"), F.sum(w * b * b).alias("_bb"),
-        F.max((F.isnan("_y") | F.isnan("_p")).cast("int")).alias("_bad"))
-    value = F.when(F.col("_bad") == 1, F.lit(float("nan"))).otherwise(
-        F.try_divide(F.col("_ab"), F.sqrt(F.col("_aa")) * F.sqrt(F.col("_bb"))))
-    return sums.select(*g, value.alias("spearman"))
+    with shuffles_for(spark, 2 * pairs.count()):
+        ranks = rank_table(long, "_v", [*g, "_which"], out="_r2", weight="_w", total="_n")
+        # Deviation from the known mean rank (n + 1) / 2, doubled.
+        off = ranks.select(*g, "_which", "_v", (F.col("_r2") - F.col("_n") - 1).alias("_off"))
+        ry = off.where(F.col("_which") == "y").select(*g, F.col("_v").alias("_y"), F.col("_off").alias("_ry"))
+        rp = off.where(F.col("_which") == "p").select(*g, F.col("_v").alias("_p"), F.col("_off").alias("_rp"))
+        # A score has many rows; a prediction has no more than there are scores.
+        both = _null_safe_join(spread_join(pairs, ry, [*g, "_y"], ["_p"]), rp, [*g, "_p"])
+        a, b, w = F.col("_ry"), F.col("_rp"), F.col("_w").cast("double")
+        sums = both.groupBy(*g).agg(
+            F.sum(w * a * b).alias("_ab"), F.sum(w * a * a).alias("_aa"), F.sum(w * b * b).alias("_bb"),
+            F.max((F.isnan("_y") | F.isnan("_p")).cast("int")).alias("_bad"))
+        value = F.when(F.col("_bad") == 1, F.lit(float("nan"))).otherwise(
+            F.try_divide(F.col("_ab"), F.sqrt(F.col("_aa")) * F.sqrt(F.col("_bb"))))
+        out = sums.select(*g, value.alias("spearman"))
+        out.write.parquet(f"{path}-values")
+    return spark.read.schema(out.schema).parquet(f"{path}-values")
 
 
 def mean_batch_loss(

@@ -66,11 +66,13 @@ def numbered(df: DataFrame, order_cols: Sequence, out: str = "pos") -> tuple[Dat
     return d.select(*df.columns, (F.col("__start") + F.col("__at") + 1).alias(out)), total
 
 
-def sums_before(df: DataFrame, order_cols: Sequence, weight: str, out: str) -> DataFrame:
-    """``df`` with the sum of ``weight`` over all rows before each row."""
+def sums_before(df: DataFrame, order_cols: Sequence, weight: str, out: str, part: str | None = None) -> DataFrame:
+    """``df`` with the sum of ``weight`` over all rows before each row;
+    ``part`` names a column for the row's range."""
     d, _ = _with_starts(_ranged(df, order_cols), F.col(weight))
     inside = Window.partitionBy("__part").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
-    return d.select(*df.columns, (F.col("__start") + F.coalesce(F.sum(weight).over(inside), F.lit(0))).alias(out))
+    return d.select(*df.columns, (F.col("__start") + F.coalesce(F.sum(weight).over(inside), F.lit(0))).alias(out),
+                    *([F.col("__part").alias(part)] if part else []))
 
 
 def bases(n: int) -> tuple[int, int]:

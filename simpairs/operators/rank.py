@@ -58,6 +58,18 @@ def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(r, cond, how).select(*keep)
 
 
+def spread_join(df: DataFrame, small: DataFrame, keys: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """``df`` with the columns of ``small``, which has one row per key (nulls match).
+
+    A key may hold most of the rows: its rows are dealt over cells by a hash of
+    ``by``, and every cell in use gets the key's row, so no task sees more than
+    some cells.  ``df`` is read twice."""
+    cells = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cell = F.pmod(F.xxhash64(*by), F.lit(cells)).alias("_cell")
+    used = df.select(*keys, cell).distinct()
+    return _null_safe_join(df.select("*", cell), _null_safe_join(used, small, keys), [*keys, "_cell"]).drop("_cell")
+
+
 def _largest_group(df: DataFrame, g: Sequence[str]) -> int:
     """Rows of the largest group: one combined count, one number to the driver."""
     return df.groupBy(*g).agg(F.count(F.lit(1)).alias("_gn")).agg(F.max("_gn")).first()[0] or 0
@@ -176,25 +188,31 @@ def rank_table(
     group_cols: Iterable[str] = (),
     out: str = "rank2",
     weight: str | None = None,
+    total: str | None = None,
 ) -> DataFrame:
     """Distinct (group, value) with the doubled average rank of the value.
 
     ``2 * avg_rank = 2 * before + count + 1`` with ``before`` the rows with a
     strictly smaller value.  Ties are collapsed first, so one value held by a
     third of the rows is a single row here.  Null values are left out; NaN
-    ranks above infinity.  ``weight`` counts each row that many times.
+    ranks above infinity.  ``weight`` counts each row that many times;
+    ``total`` names a column for the group's number of rows.
 
     All groups share one order by (group, value), cut into even ranges: the
     sum before a row less the sum before its group's first row is ``before``,
-    so neither a large group nor many small ones change the work.
+    so neither a large group nor many small ones change the work.  That first
+    row is found from one row per group and range, and joined back by both.
     """
     g = _cols(group_cols)
     n = F.sum(weight) if weight else F.count(F.lit(1))
     distinct = df.where(F.col(value).isNotNull()).groupBy(*g, value).agg(n.alias("_tc"))
-    summed = sums_before(distinct, [*g, value], "_tc", "_tb")
+    summed = sums_before(distinct, [*g, value], "_tc", "_tb", "_range")
+    pieces = summed.groupBy(*g, "_range").agg(F.min("_tb").alias("_first"), F.sum("_tc").alias("_tn"))
     if g:
-        firsts = summed.groupBy(*g).agg(F.min("_tb").alias("_first"))
-        summed = _null_safe_join(summed, firsts, g)
+        group = Window.partitionBy(*g)
+        pieces = pieces.select(*g, "_range", F.min("_first").over(group).alias("_first"), F.sum("_tn").over(group).cast("bigint").alias("_tn"))
+        summed = _null_safe_join(summed, pieces, [*g, "_range"])
     else:
-        summed = summed.withColumn("_first", F.lit(0))
-    return summed.select(*g, value, ((F.col("_tb") - F.col("_first")) * 2 + F.col("_tc") + 1).cast("bigint").alias(out))
+        summed = summed.withColumn("_first", F.lit(0)).withColumn("_tn", pieces.agg(F.sum("_tn").cast("bigint")).scalar())
+    return summed.select(*g, value, ((F.col("_tb") - F.col("_first")) * 2 + F.col("_tc") + 1).cast("bigint").alias(out),
+                         *([F.col("_tn").alias(total)] if total else []))

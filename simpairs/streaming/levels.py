@@ -23,8 +23,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.metrics import rank_correlation
-from ..operators.rank import _null_safe_join
-from ..session import child_names, delete_folder
+from ..operators.rank import _null_safe_join, spread_join
+from ..session import child_names, delete_folder, shuffles_for
 
 LIVE = "name string, level int, rows long"
 
@@ -76,24 +76,31 @@ class RankLevels:
         counts = self._counts(batch)
         schema = counts.schema
         runs = [tuple(r) for r in self.live(batch_id - 1)]
-        own = self._write(counts, batch_id, 0)
+        with shuffles_for(batch.sparkSession, batch.count()):
+            own = self._write(counts, batch_id, 0)
         runs.append(own)
         level = 0
         while sum(r[1] == level for r in runs) >= self.fan:
             full = [r for r in runs if r[1] == level]
             merged = self._read(full, schema).groupBy(*self.groups, "y", "y_hat").agg(F.sum("weight").alias("weight"))
             level += 1
-            runs = [r for r in runs if r not in full] + [self._write(merged, batch_id, level)]
+            with shuffles_for(self.spark, sum(r[2] for r in full)):
+                runs = [r for r in runs if r not in full] + [self._write(merged, batch_id, level)]
+        with shuffles_for(self.spark, sum(r[2] for r in runs)):
+            self._rank(runs, own, schema, batch_id)
+        self.spark.createDataFrame(runs, LIVE).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/live/version={batch_id}")
+        self._forget(batch_id)
+
+    def _rank(self, runs: list, own: tuple, schema, batch_id: int) -> None:
+        """Write the ranks of the groups of the micro-batch's own run over all runs."""
         seen = self._read(runs, schema)
         if self.groups:
             touched = self._read([own], schema).select(*self.groups).distinct()
-            seen = _null_safe_join(seen, touched, self.groups)
+            seen = spread_join(seen, touched, self.groups, ["y", "y_hat"])
         n = seen.groupBy(*self.groups).agg(F.sum("weight").alias("n"))
         ranked = rank_correlation(seen, "y", "y_hat", self.groups)
         out = _null_safe_join(n, ranked, self.groups) if self.groups else n.withColumn("spearman", ranked.select("spearman").scalar()).where("n > 0")
         out.write.mode("overwrite").parquet(f"{self.path}/running/batch={batch_id}")
-        self.spark.createDataFrame(runs, LIVE).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/live/version={batch_id}")
-        self._forget(batch_id)
 
     def _forget(self, batch_id: int) -> None:
         """Remove runs and tables that neither this batch nor its replay reads."""

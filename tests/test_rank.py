@@ -1,11 +1,12 @@
 """global_rank equals the plain window, is partition-independent, and
 average ranks follow the tie rule."""
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from simpairs.functions.hashing import hash_key
-from simpairs.operators.rank import hash_rank, rank_table, value_rank, with_value_bucket
+from simpairs.operators.rank import hash_rank, rank_table, spread_join, value_rank, with_value_bucket
 
 
 def test_value_rank_matches_window(spark):
@@ -106,3 +107,31 @@ def test_average_ranks_in_groups(spark):
     w = Window.partitionBy("g")
     want = df.select("g", "v", (2 * F.rank().over(w.orderBy("v")) + F.count(F.lit(1)).over(Window.partitionBy("g", "v")) - 1).alias("r")).distinct()
     assert got == {(r.g, repr(r.v)): r.r for r in want.collect()}
+
+
+@pytest.fixture()
+def plain_plans(spark):
+    """No plan is changed while it runs, so joins stay as they are written."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    yield
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def _largest_share(df):
+    sizes = [r["count"] for r in df.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    return max(sizes) / sum(sizes)
+
+
+def test_ranks_of_one_group_are_spread_over_tasks(spark, plain_plans):
+    df = spark.range(4000).select(F.lit("a").alias("g"), F.col("id").cast("double").alias("v"))
+    ranks = rank_table(df, "v", ["g"], total="n")
+    assert _largest_share(ranks) < 0.7
+    assert sorted((r.v, r.rank2, r.n) for r in ranks.collect()) == [(float(i), 2 * i + 2, 4000) for i in range(4000)]
+
+
+def test_join_with_one_key_is_spread_over_tasks(spark, plain_plans):
+    df = spark.range(4000).select(F.when(F.col("id") < 3990, F.lit("a")).alias("g"), F.col("id").alias("v"))
+    small = spark.createDataFrame([("a", 1), (None, 2), ("b", 3)], "g string, w int")
+    got = spread_join(df, small, ["g"], ["v"])
+    assert _largest_share(got) < 0.5
+    assert sorted((r.v, r.w) for r in got.collect()) == [(i, 1 if i < 3990 else 2) for i in range(4000)]

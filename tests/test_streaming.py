@@ -7,6 +7,8 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from simpairs import session
+from simpairs.operators.metrics import correlations
 from simpairs.operators.runlog import early_stop
 from simpairs.streaming import monitors
 from simpairs.streaming.monitors import PatienceMonitor, fold_patience, replay_in_order, run_complete_to_table, stream_metrics, stream_rank_metrics
@@ -214,3 +216,18 @@ def test_epochs_close_once_across_restarts(spark, tmp_dir):
     rows = {(r.run_id, r.stage, r.epoch): r for r in late}
     assert len(rows) == len(late) and not rows[1, "train", 0].complete and rows[1, "train", 0].n == 5
     assert rows[2, "dev", 1].n == 2 and rows[2, "dev", 1].pearson != rows[2, "dev", 1].pearson and not rows[2, "dev", 0].complete
+
+
+def test_partitions_of_the_counts_follow_their_rows(spark, tmp_dir, monkeypatch):
+    monkeypatch.setattr(session, "ROWS_PER_TASK", 100)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # small partitions are not put together
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    src, path = os.path.join(tmp_dir, "in"), os.path.join(tmp_dir, "out")
+    spark.range(2000).select(F.lit("a").alias("stage"), F.col("id").cast("double").alias("y"), (F.col("id") * 7 % 2000).cast("double").alias("y_hat")).write.parquet(src)
+    stream = spark.readStream.schema("stage string, y double, y_hat double").parquet(src)
+    got = monitors.running_rank_metrics(stream, spark, "stage", "y", "y_hat", "wide", path=path).collect()
+    plain = correlations(spark.read.parquet(src), "y", "y_hat", ["stage"], digits=None).first()
+    assert [(r.n, round(r.spearman, 9)) for r in got] == [(2000, round(plain.spearman, 9))]
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
+    assert sum(f.endswith(".parquet") for f in os.listdir(f"{path}/ranks/runs/batch=0-level=0")) > 10
