@@ -87,3 +87,22 @@ def test_histories_of_a_run_in_several_stretches(spark, tmp_dir):
     _events(spark, tmp_dir)
     got = q.runlog_metrics(spark, tmp_dir).where("run_id = 5").orderBy("pos").collect()
     assert [r.pos for r in got] == list(range(2500)) and [r.epoch for r in got] == [5 * k for k in range(2500)]
+
+
+def test_result_files_are_shuffled_once(spark, tmp_dir, monkeypatch):
+    """A run is one row of its results: it is not grouped a second time to be packed."""
+    _events(spark, tmp_dir)
+    held = []
+    monkeypatch.setattr(q, "write_packs", lambda files, root: held.append(files))
+    q._write_results(spark, tmp_dir)
+    plan = held[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan
+    assert held[0].where("path = 'version_7/results.json' and endswith(content, '\n')").count() == 1 and held[0].count() == RUNS
+
+
+def test_results_of_events_without_a_run_are_kept(spark, tmp_dir):
+    rows = [(1, None, "click", 2.0), (2, 3, "click", 4.0), (4, 3, "view", None)]
+    e = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double").withColumn("ts", F.timestamp_seconds("event_id"))
+    e.write.parquet(f"{tmp_dir}/events.parquet")
+    got = sorted(map(tuple, q.runlog_results(spark, tmp_dir).collect()), key=repr)
+    assert got == [(3, "dev_click", 4.0), (3, "extra_metric", 1.5), (None, "extra_metric", 1.5), (None, "test_click", 2.0)]
