@@ -171,11 +171,16 @@ def value_rank(
     group_cols: Iterable[str] = (),
     out: str = "pos",
     rows_per_bucket: int | None = None,
+    largest: int | None = None,
 ) -> DataFrame:
-    """1-based position by ``key`` ascending, ties by ``tie_cols``."""
+    """1-based position by ``key`` ascending, ties by ``tie_cols``.
+
+    ``largest`` is a bound that the caller has for the rows of a group; one
+    within ``rows_per_bucket`` spares the count."""
     if not _cols(group_cols):
         return numbered(df, [key, *tie_cols], out)[0]
-    if _largest_group(df, _cols(group_cols)) <= (rows_per_bucket or ROWS_PER_BUCKET):
+    limit = rows_per_bucket or ROWS_PER_BUCKET
+    if (largest is not None and largest <= limit) or _largest_group(df, _cols(group_cols)) <= limit:
         whole = Window.partitionBy(*_cols(group_cols)).orderBy(F.col(key), *[F.col(c) for c in tie_cols])
         return df.withColumn(out, F.row_number().over(whole))
     d = with_value_bucket(df, group_cols, key, tie_cols, rows_per_bucket)

@@ -14,7 +14,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.rank import _null_safe_join, value_rank
+from ..operators.rank import _largest_group, _null_safe_join, value_rank
 
 # The bookkeeping columns of a metrics file.
 EPOCH, STEP = "epoch", "step"
@@ -145,10 +145,12 @@ def metrics_long(metrics: DataFrame, drop_eval_rows: int = 2, keep_partial: bool
     # Rows equal in step and epoch are ordered by their content.
     tie = F.md5(F.to_json(F.array_sort(F.map_entries("values"))))
     keyed = ok.withColumn("_back", -F.col(STEP)).withColumn("_back2", -F.col(EPOCH)).withColumn("_tie", tie)
-    ranked = value_rank(keyed, "_back", tie_cols=["_back2", "_tie"], group_cols=["run_id"], out="_from_end")
+    # A run has at most one row per metric and line: its lines are counted once for both orders.
+    most = _largest_group(ok, ["run_id"])
+    ranked = value_rank(keyed, "_back", tie_cols=["_back2", "_tie"], group_cols=["run_id"], out="_from_end", largest=most)
     kept = ranked.where(F.col("_from_end") > drop_eval_rows)
     long = kept.select("run_id", EPOCH, STEP, "_tie", F.explode("values").alias("metric", "value"))
-    out = value_rank(long, STEP, tie_cols=[EPOCH, "_tie"], group_cols=["run_id", "metric"], out="_p")
+    out = value_rank(long, STEP, tie_cols=[EPOCH, "_tie"], group_cols=["run_id", "metric"], out="_p", largest=most)
     return out.select("run_id", EPOCH, STEP, (F.col("_p") - 1).alias("pos"), "metric", "value")
 
 

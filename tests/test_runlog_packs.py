@@ -5,8 +5,10 @@ import os
 
 from pyspark.sql import functions as F
 
+from simpairs.operators import rank
 from simpairs.plans import queries as q
 from simpairs.sources import runlog_source as rs
+from simpairs.sources import runlogs
 from simpairs.sources.runlogs import read_metrics
 from tests.test_runlog import log_root  # noqa: F401
 
@@ -106,3 +108,15 @@ def test_results_of_events_without_a_run_are_kept(spark, tmp_dir):
     e.write.parquet(f"{tmp_dir}/events.parquet")
     got = sorted(map(tuple, q.runlog_results(spark, tmp_dir).collect()), key=repr)
     assert got == [(3, "dev_click", 4.0), (3, "extra_metric", 1.5), (None, "extra_metric", 1.5), (None, "test_click", 2.0)]
+
+
+def test_lines_of_runs_are_counted_once(spark, log_root, monkeypatch):  # noqa: F811
+    """Both orders of ``metrics_long`` share one count where no run is large."""
+    calls, count = [], rank._largest_group
+    for module in (rank, runlogs):
+        monkeypatch.setattr(module, "_largest_group", lambda *a: calls.append(a) or count(*a), raising=False)
+    metrics = rs.load_runs(spark, log_root, "metrics")
+    once = sorted(map(repr, runlogs.metrics_long(metrics).collect()))
+    assert len(calls) == 1
+    monkeypatch.setattr(rank, "ROWS_PER_BUCKET", 1)
+    assert sorted(map(repr, runlogs.metrics_long(metrics).collect())) == once
