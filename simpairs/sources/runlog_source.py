@@ -110,28 +110,23 @@ def pack_paths(fs: pafs.FileSystem, root: str) -> list[str]:
     return sorted(f.path for f in found if f.type == pafs.FileType.File and f.base_name.endswith(".parquet"))
 
 
-def parse_cell(text: str) -> float | None:
-    """A cell's number: null when empty; raises for anything else."""
-    text = text.strip()
-    if not text:
-        return None
-    if "_" in text:
-        raise ValueError(text)
-    return float(text)
-
-
 def parse_line(line: str, names: Sequence[str], run: int | None) -> tuple:
     """A metric line as a row; a line that does not fit its header, or holds a
-    cell that is no number, is kept as ``_corrupt_record``."""
-    cells = line.split(",")
+    cell that is no number, is kept as ``_corrupt_record``.  Empty cells are
+    null; of columns with one name the last counts."""
+    cells, row = line.split(","), {}
     try:
-        if len(cells) != len(names):
+        if len(cells) != len(names) or "_" in line:  # float() takes 1_000, a log does not
             raise ValueError(line)
-        row = dict(zip(names, map(parse_cell, cells)))
+        for name, cell in zip(names, cells):
+            if cell and not cell.isspace():
+                row[name] = float(cell)
+            elif name in row:
+                del row[name]
     except ValueError:
         return run, None, None, None, line
-    at = [None if row.get(c) is None or math.isnan(row[c]) else int(row[c]) for c in (EPOCH, STEP)]
-    return run, *at, [(k, v) for k, v in row.items() if k not in (EPOCH, STEP) and v is not None], None
+    at = [row.pop(c, None) for c in (EPOCH, STEP)]
+    return run, *[None if x is None or math.isnan(x) else int(x) for x in at], list(row.items()), None
 
 
 def lines_of(fs: pafs.FileSystem, path: str, start: int, end: int) -> Iterator[str]:

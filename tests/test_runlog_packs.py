@@ -120,3 +120,12 @@ def test_lines_of_runs_are_counted_once(spark, log_root, monkeypatch):  # noqa:
     assert len(calls) == 1
     monkeypatch.setattr(rank, "ROWS_PER_BUCKET", 1)
     assert sorted(map(repr, runlogs.metrics_long(metrics).collect())) == once
+
+
+def test_cells_of_metric_lines():
+    names = ["step", "a", "epoch", "a"]
+    assert rs.parse_line("3,1.5, 2 ,nan", names, 7)[:3] == (7, 2, 3)
+    assert rs.parse_line("3,1.5,2,4e1", names, 7) == (7, 2, 3, [("a", 40.0)], None)
+    assert rs.parse_line("nan,1.5,\t, ", names, 7) == (7, None, None, [], None)
+    for bad in ("3,1.5,2", "3,1_0,2,1", "3,x,2,1", "x,,,"):
+        assert rs.parse_line(bad, names, 7) == (7, None, None, None, bad)
